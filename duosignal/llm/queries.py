@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from duosignal.llm.ngram_jaccard import op1_ngram_jaccard
+from duosignal.llm.quality import op8_quality_rules
 
 
 def queries() -> dict[str, Callable]:
-    return {"op1_ngram_jaccard": op1_ngram_jaccard}
+    return {
+        "op1_ngram_jaccard": op1_ngram_jaccard,
+        "op8_quality_rules": op8_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
