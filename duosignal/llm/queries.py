@@ -7,12 +7,14 @@ from collections.abc import Callable
 from duosignal.llm.ngram_jaccard import op1_ngram_jaccard
 from duosignal.llm.packing import op10_best_fit_packing
 from duosignal.llm.quality import op8_quality_rules
+from duosignal.llm.suffix_dedup import op2_suffix_dedup
 from duosignal.llm.tokens import op9_token_counts
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op8_quality_rules": op8_quality_rules,
         "op9_token_counts": op9_token_counts,
         "op10_best_fit_packing": op10_best_fit_packing,
