@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from duosignal.llm.html_text import op3_html_extraction
+from duosignal.llm.licenses import op7_license_scans
 from duosignal.llm.ngram_jaccard import op1_ngram_jaccard
 from duosignal.llm.packing import op10_best_fit_packing
 from duosignal.llm.quality import op8_quality_rules
 from duosignal.llm.suffix_dedup import op2_suffix_dedup
+from duosignal.llm.tiff import op5_media_tiff
 from duosignal.llm.tokens import op9_token_counts
 
 
@@ -15,6 +18,9 @@ def queries() -> dict[str, Callable]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
         "op2_suffix_dedup": op2_suffix_dedup,
+        "op3_html_extraction": op3_html_extraction,
+        "op5_media_tiff": op5_media_tiff,
+        "op7_license_scans": op7_license_scans,
         "op8_quality_rules": op8_quality_rules,
         "op9_token_counts": op9_token_counts,
         "op10_best_fit_packing": op10_best_fit_packing,
