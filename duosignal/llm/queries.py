@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from duosignal.llm.html_text import op3_html_extraction
+from duosignal.llm.language import op4_language_id
 from duosignal.llm.licenses import op7_license_scans
+from duosignal.llm.mixing import op6_mixing_weights
 from duosignal.llm.ngram_jaccard import op1_ngram_jaccard
 from duosignal.llm.packing import op10_best_fit_packing
 from duosignal.llm.quality import op8_quality_rules
@@ -19,7 +21,9 @@ def queries() -> dict[str, Callable]:
         "op1_ngram_jaccard": op1_ngram_jaccard,
         "op2_suffix_dedup": op2_suffix_dedup,
         "op3_html_extraction": op3_html_extraction,
+        "op4_language_id": op4_language_id,
         "op5_media_tiff": op5_media_tiff,
+        "op6_mixing_weights": op6_mixing_weights,
         "op7_license_scans": op7_license_scans,
         "op8_quality_rules": op8_quality_rules,
         "op9_token_counts": op9_token_counts,
