@@ -84,13 +84,15 @@ def _inverse(m: list[list[float]]) -> list[list[float]]:
     return [r[n:] for r in rows]
 
 
-def fit_rates(members: DataFrame, targets: list[float], most: float | None = None, steps: int = 60, close: float = 1e-7) -> Column:
-    """The rate of each row of ``members`` (rows, n_tokens, p_0 ...), as an expression on it.
+def with_rates(members: DataFrame, targets: list[float], most: float | None = None, steps: int = 60, close: float = 1e-7, gain: float = 1e-3) -> DataFrame:
+    """``members`` (rows, n_tokens, p_0 ...) with the ``rate`` of each row.
 
     Least squares of the domains' expected tokens against ``targets`` over rates between 0 and
     ``most``, from rate 1. Residuals are weighed by the inverse of sum n p p', so the step 1 never
     overshoots where rates are measured by tokens; without active bounds it meets the targets at
-    once. Only sums over all documents, one for each domain, come to the driver.
+    once. It ends after ``steps``, at residuals below ``close`` of all tokens, or when a step lowers
+    the loss by less than the share ``gain`` (targets out of reach). Only sums over all documents,
+    one for each domain, come to the driver; rates are written out every eight steps.
     """
     k = len(targets)
     p = [F.col(f"p_{i}") for i in range(k)]
@@ -98,21 +100,23 @@ def fit_rates(members: DataFrame, targets: list[float], most: float | None = Non
     sums = members.agg(F.sum(n).alias("n"), *[F.sum(n * p[i] * p[j]).alias(f"m_{i}_{j}") for i in range(k) for j in range(k)]).first()
     rate: Column = F.lit(1.0)
     if not sums["n"]:
-        return rate
+        return members.withColumn("rate", rate)
     scale = float(sums["n"])
     inverse = _inverse([[sums[f"m_{i}_{j}"] / scale + (1e-9 if i == j else 0.0) for j in range(k)] for i in range(k)])
     last = float("inf")
-    for _ in range(steps):
+    for turn in range(1, steps + 1):
         got = members.agg(*[F.sum(n * rate * p[i]).alias(f"t_{i}") for i in range(k)]).first()
         e = [(got[f"t_{i}"] - targets[i]) / scale for i in range(k)]
         push = [sum(a * b for a, b in zip(row, e, strict=True)) for row in inverse]
         loss = sum(a * b for a, b in zip(push, e, strict=True))
-        if max(map(abs, e)) < close or last - loss < close * loss:
+        if max(map(abs, e)) < close or last - loss < gain * loss:
             break
         last = loss
         rate = F.greatest(F.lit(0.0), rate - reduce(lambda a, b: a + b, [p[i] * push[i] for i in range(k)]))
         rate = rate if most is None else F.least(F.lit(float(most)), rate)
-    return rate
+        if turn % 8 == 0:
+            members, rate = stored(members.withColumn("rate", rate), "rates"), F.col("rate")
+    return members.withColumn("rate", rate)
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], size: float = 1.0, most: float | None = None, **classifier) -> DataFrame:
@@ -128,8 +132,8 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], size:
     members = stored(posteriors(docs, labelled, domains, **classifier), "members")
     total = members.agg(F.sum(F.col("rows") * F.col("n_tokens"))).first()[0] or 0
     whole = sum(targets.values())
-    rate = fit_rates(members, [targets[d] / whole * size * total for d in domains], most)
-    out = members.select("doc_id", "h", "g", "n_tokens", *[F.col(f"p_{i}").alias(f"p_{d}") for i, d in enumerate(domains)], rate.alias("rate"))
+    rated = with_rates(members, [targets[d] / whole * size * total for d in domains], most)
+    out = rated.select("doc_id", "h", "g", "n_tokens", *[F.col(f"p_{i}").alias(f"p_{d}") for i, d in enumerate(domains)], "rate")
     chance = F.pmod(F.xxhash64("doc_id", "h", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     return out.withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("long"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from duosignal.llm.html_text import op3_html_extraction
 from duosignal.llm.language import op4_language_id
 from duosignal.llm.licenses import op7_license_scans
@@ -28,6 +29,7 @@ def queries() -> dict[str, Callable]:
         "op8_quality_rules": op8_quality_rules,
         "op9_token_counts": op9_token_counts,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "pipeline": corpus_pipeline.run,
     }
 
 
