@@ -18,9 +18,9 @@ C_SQL = """select conv_id as k, turn, case role when 'user' then 1 when 'assista
   (sum(length(text)) over (partition by conv_id order by turn) - length(text)) / 100e0 as start_s,
   sum(length(text)) over (partition by conv_id order by turn) / 100e0 as end_s from {conversations}"""
 #: Paired conditions: subject, condition, channel and a metric.
-P_SQL = "select l_suppkey as subject, l_returnflag as condition, l_linenumber as channel, avg(l_extendedprice) as v from {lineitem} group by l_suppkey, l_returnflag, l_linenumber"
+P_SQL = "select l_suppkey as subject, l_returnflag as condition, cast(l_linenumber as bigint) as channel, avg(l_extendedprice) as v from {lineitem} group by l_suppkey, l_returnflag, l_linenumber"
 _M_SPARK = "select vec_id, label, cast(pos as bigint) as ch, cast(v as double) as v from {embeddings} lateral view posexplode(embedding) e as pos, v"
-_M_DUCK = "select vec_id, label, i - 1 as ch, cast(embedding[i] as double) as v from embeddings, (select unnest(range(1, 65)) as i)"
+_M_DUCK = "select vec_id, cast(label as bigint) as label, i - 1 as ch, cast(embedding[i] as double) as v from embeddings, (select unnest(range(1, 65)) as i)"
 
 #: The adapters as DuckDB common table expressions.
 E, L, C, P = (f"{n} as ({s.format(events='events', lineitem='lineitem', conversations='conversations')})" for n, s in (("E", E_SQL), ("L", L_SQL), ("C", C_SQL), ("P", P_SQL)))
