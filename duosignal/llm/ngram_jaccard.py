@@ -1,11 +1,13 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence matrix.
 
-Equal shingle sets are one matrix row. Rows that can reach the similarity share an entry among
-their first few in a global order (frequent n-grams last), so those entries deal rows into blocks
-of bounded size. Each pair of blocks that has a common entry is one task's work: it multiplies the
-two incidence blocks, a few thousand n-grams at a time, accumulating overlap counts; pairs below
-the bound that their sizes set are discarded. A block reports a spanning forest and link counts,
-never all pairs, and the forests are joined to components on Spark.
+Equal shingle sets are one matrix row. A row that holds more n-grams of its own alone than the size
+bound lets a linked pair differ by links with nothing; that is counted first on the n-grams of the
+lowest hashes, then on all n-grams of the rows left. Of these, linked rows share an entry among
+their first few in the order of rising frequency, and those entries deal rows into blocks of bounded
+size. Each pair of blocks with a common entry is multiplied in one task, a few thousand n-grams at a
+time, accumulating overlap counts; pairs below the bound that their sizes set are discarded. A block
+reports a spanning forest and link counts, never all pairs, and the forests are joined to components
+on Spark.
 """
 
 from __future__ import annotations
@@ -18,42 +20,58 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from duosignal.llm.shared import components, emit, runs, shared_folder, stored, table, utf8
-from duosignal.llm.shingles import prefix_length, shingle_sets
+from duosignal.llm.shared import components, emit, fitting, runs, small_batches, stored, table, utf8
+from duosignal.llm.shingles import shingle_sets
 
 
 def _name(grams: np.ndarray) -> bytes:
     return blake2b(grams.tobytes(), digest_size=16).digest()
 
 
-def _summaries(k: int, percent: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("head", pa.list_(pa.int64()))])
+def _numbers(grams: np.ndarray) -> list[int]:
+    return np.frombuffer(_name(grams), "<i8").tolist()
+
+
+def _summaries(k: int, sampled: float):
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("low", pa.list_(pa.int64()))])
+    bound = np.uint64(int(sampled * 2**64))
+
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for i, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(utf8(batch.column("text")), k), strict=True):
+            yield i, len(s), *_numbers(s), s[: np.searchsorted(s, bound)].view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            yield from emit(schema, ((i, len(s), _name(s), s[: 2 * prefix_length(len(s), percent) + 8].view(np.int64)) for i, s in zip(ids, shingle_sets(utf8(batch.column("text")), k), strict=True)))
+            yield from emit(schema, rows(batch))
 
     return run
 
 
 def _whole_sets(k: int):
-    schema = pa.schema([("node", pa.binary()), ("n", pa.int64()), ("head", pa.list_(pa.int64()))])
+    """The whole set of each text that has the name (x, y); texts may share a doc_id."""
+    schema = pa.schema([("node", pa.binary()), ("x", pa.int64()), ("y", pa.int64()), ("n", pa.int64()), ("grams", pa.list_(pa.int64()))])
+
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for s, *named in zip(shingle_sets(utf8(batch.column("text")), k), batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+            if _numbers(s) == named:
+                yield _name(s), *named, len(s), s.view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from emit(schema, ((_name(s), len(s), s.view(np.int64)) for s in shingle_sets(utf8(batch.column("text")), k)), 200)
+            yield from emit(schema, rows(batch), 200)
 
     return run
 
 
-def _first_entries(sets: DataFrame, frequent: DataFrame, percent: int) -> DataFrame:
-    """(node, n, first): the entries that a set is found by; null where ``head`` doesn't reach."""
-    own = sets.select("node", F.explode("head").alias("gram")).join(frequent, "gram").groupBy("node").agg(F.collect_list("gram").alias("hot"))
-    rare = F.array_except("head", F.coalesce("hot", F.expr("array()").cast("array<bigint>")))
-    need = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    ordered = sets.join(own, "node", "left").select("node", "n", need.cast("int").alias("need"), rare.alias("rare"), F.size("head").alias("reach"), F.sort_array(F.coalesce("hot", F.expr("array()").cast("array<bigint>"))).alias("hot"))
-    return ordered.select("node", "n", F.when((F.size("rare") >= F.col("need")) | (F.col("reach") >= F.col("n")), F.expr("slice(concat(rare, hot), 1, need)")).alias("first"))
+def _linkable(rows: DataFrame, grams: str, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of ``sets`` of which fewer ``grams`` are in no other set than a linked pair can differ by."""
+    alone = rows.select(F.explode(grams).alias("gram"), "x", "y").groupBy("gram").agg(F.min("x").alias("x"), F.max("x").alias("most"), F.min("y").alias("y"))
+    alone = alone.where("x = most").groupBy("x", "y").agg(F.count("*").alias("own"))
+    return sets.join(alone, ["x", "y"], "left").where(F.coalesce("own", F.lit(0)) < _differ(percent)).drop("own")
+
+
+def _differ(percent: int):
+    return F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
 
 
 def _block_product(sizes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
@@ -79,8 +97,9 @@ def _links(percent: int):
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("links", pa.int64())])
 
     def block(rows: pa.Table) -> Iterator[tuple]:
-        nodes, home = rows.column("node").to_pylist(), np.array(rows.column("at_first").to_pylist(), bool)
-        flat = rows.column("head").combine_chunks()
+        nodes = rows.column("node").to_pylist()
+        home = np.array(rows.column("at_first").to_pylist(), bool)
+        flat = rows.column("grams").combine_chunks()
         cuts, values = flat.offsets.to_numpy(), flat.values.to_numpy()
         sets = [values[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
         left = np.flatnonzero(home)
@@ -113,7 +132,7 @@ def _links(percent: int):
     return run
 
 
-def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, frequent: int = 64, block: int = 256) -> DataFrame:
+def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, sampled: float | None = None, block: int = 256) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for each row of ``docs`` (doc_id, text).
 
     A document's set are its distinct k-word shingles (A-Z lower-cased; fewer words: the whole
@@ -124,27 +143,31 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, frequent: int
     one result each, of one component. A null doc_id is never a component's id unless all are null.
     No rows: no rows. Further columns are ignored. Very long texts are worked on whole.
 
-    ``frequent``: an n-gram in more sets' heads than that goes to the end of the global order.
-    ``block``: rows of a block. Both change the work only, never the result.
+    ``sampled``: the share of the space of hashes that the first count covers, by default half as
+    much again as a linked pair can differ by. ``block``: rows of a block. Both change the work,
+    never the result.
     """
-    shared_folder(docs.sparkSession)
+    sampled = min(0.999, 1.5 * (1 - percent / 100)) if sampled is None else sampled
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = stored(docs.mapInArrow(_summaries(k, percent), "doc_id long, n_shingles long, node binary, head array<long>"), "rows")
-    sets = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.first("head").alias("head"))
-    sets = stored(sets, "sets")
-    often = sets.select(F.explode("head").alias("gram")).groupBy("gram").count().where(F.col("count") > frequent)
-    often = stored(often.select("gram"), "frequent")
-    first = stored(_first_entries(sets.select("node", "n", "head"), often, percent), "first")
-
-    def texts_of(nodes: DataFrame) -> DataFrame:
-        """Whole sets of ``nodes`` (node, doc_id), from their texts."""
-        ids = nodes.select(F.col("doc_id").alias("id")).distinct()
-        again = docs.join(ids, docs.doc_id.eqNullSafe(ids.id), "left_semi").mapInArrow(_whole_sets(k), "node binary, n long, head array<long>")
-        return again.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
-
-    rest = _first_entries(texts_of(sets.join(first.where("first is null"), "node", "left_semi").select("node", "doc_id")), often, percent)
-    entries = first.where("first is not null").union(rest).select("node", F.explode("first").alias("gram"))
+    small_batches(docs.sparkSession)
+    rows = stored(docs.mapInArrow(_summaries(k, sampled), "doc_id long, n_shingles long, x long, y long, low array<long>"), "rows")
+    sets = rows.where("n_shingles > 0").groupBy("x", "y").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"))
+    some = stored(_linkable(rows, "low", sets, percent), "some")
+    texts = docs.join(fitting(some), docs.doc_id.eqNullSafe(some.id)).select("x", "y", "text")
+    whole = texts.mapInArrow(_whole_sets(k), "node binary, x long, y long, n long, grams array<long>")
+    if rows.groupBy("doc_id", "x", "y").count().where("count > 1").isEmpty():
+        whole = stored(whole, "whole")
+    else:  # repeated rows
+        whole = stored(whole.dropDuplicates(["x", "y"]), "whole")
+    kept = stored(_linkable(whole, "grams", whole.select("x", "y", "n"), percent), "kept")
+    few = stored(whole.drop("n").join(fitting(kept), ["x", "y"]), "few")
+
+    shared = few.select(F.explode("grams").alias("gram"), "x", "y").withColumn("m", F.count("*").over(Window.partitionBy("gram"))).where("m > 1")
+    shared = few.select("x", "y", "node", "n").join(shared, ["x", "y"])
+    each = Window.partitionBy("x", "y")
+    rank = F.col("n") - F.count("*").over(each) + F.row_number().over(each.orderBy("m", "gram"))
     bucket = Window.partitionBy("gram")
+    entries = shared.withColumn("rank", rank).where(F.col("rank") <= _differ(percent))
     entries = entries.withColumns({"m": F.count("*").over(bucket), "lead": F.min("node").over(bucket)}).where("m > 1")
     entries = stored(entries.select("gram", "node", "lead"), "entries")
 
@@ -156,19 +179,21 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, frequent: int
     size = near.groupBy("label").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     home = near.join(size, "label").select("node", F.struct("label", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part")).alias("home"))
     placed = stored(entries.select("gram", "node").join(home, "node"), "placed")
-    other = placed.select("gram", F.col("home").alias("other")).distinct()
-    dealt = placed.join(other, "gram").select("node", F.struct(F.least("home", "other").alias("x"), F.greatest("home", "other").alias("y")).alias("pair"), (F.col("home") <= F.col("other")).alias("at_first"), (F.col("home") == F.col("other")).alias("inside")).distinct()
-    crowd = F.count("*").over(Window.partitionBy("pair"))
-    dealt = stored(dealt.withColumn("m", crowd).where("m > 1").select("node", F.sha2(F.to_json("pair"), 256).alias("pair"), "at_first", "inside"), "dealt")
-    whole = texts_of(sets.join(dealt, "node", "left_semi").select("node", "doc_id"))
-    work = dealt.join(whole.select("node", "head"), "node")
+    other = placed.groupBy("gram", F.col("home").alias("other")).agg(F.count("*").alias("m"))
+    dealt = placed.join(other, "gram").where((F.col("home") != F.col("other")) | (F.col("m") > 1))
+    pair = F.sha2(F.to_json(F.struct(F.least("home", "other").alias("x"), F.greatest("home", "other").alias("y"))), 256)
+    dealt = dealt.select("node", F.struct(F.unhex(pair).alias("pair"), (F.col("home") <= F.col("other")).alias("at_first"), (F.col("home") == F.col("other")).alias("inside")).alias("deal"))
+    dealt = dealt.groupBy("node").agg(F.collect_set("deal").alias("deals"))
+    work = few.join(dealt, "node").select("node", "grams", F.inline("deals"))
     parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
     work = work.repartition(int(parts), "pair").sortWithinPartitions("pair")
     found = stored(work.mapInArrow(_links(percent), "a binary, b binary, links long"), "links")
 
     joined = components(found.select("a", "b"))
     degree = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
-    rows = rows.drop("head").join(joined, "node", "left").join(degree, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    names = few.select("x", "y", "node").join(joined, "node").join(degree, "node", "left").select("x", "y", F.col("component").alias("c"), "n_links")
+    group = F.coalesce("c", F.sha2(F.concat_ws(" ", "x", "y"), 256).cast("binary"))
+    rows = rows.select("doc_id", "n_shingles", "x", "y").join(names, ["x", "y"], "left").withColumn("group", group)
     low = rows.where("n_shingles > 0").groupBy("group").agg(F.min("doc_id").alias("low"))
     return rows.join(low, "group", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 

@@ -31,10 +31,30 @@ _own = ""
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again, which cuts its lineage."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """``df`` written as Parquet to the shared folder and read again, which cuts its lineage.
+
+    The shuffle files behind it are no longer needed then; Spark drops them when the driver's JVM
+    collects its garbage, which is asked for here so that they don't pile up over the steps.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def fitting(df: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """``df``, a stored table of a few numbers a row, to broadcast if it has at most ``most`` rows.
+
+    With more it is left to join by a shuffle.
+    """
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of whole texts of at most this many rows, so that workers hold few at a time."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -79,8 +79,3 @@ def shingle_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
                     for s in range(y - x):
                         one = mix(one * _BASE + w[x + s : x + s + 1])
                     yield one
-
-
-def prefix_length(n: int, percent: int) -> int:
-    """Entries that two sets of at least ``percent`` Jaccard similarity can't both avoid sharing."""
-    return n - -(-percent * n // 100) + 1 if n else 0
