@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duosignal.llm.shared import emit, stored, table, utf8
+from duosignal.llm.shared import emit, small_batches, stored, table, utf8
 from duosignal.llm.shingles import mix
 
 # Each remainder by 91 but 0 is the difference of just one pair of these.
@@ -70,7 +70,7 @@ def _sample(length: int, turn: int, turns: int):
                 names.append(name[mine])
                 refs.append((key & ~np.uint64(0xFFFFFF)) | ((at[mine].astype(np.uint64) & np.uint64(0x7FFFFF)) << np.uint64(1)))
         name, ref = np.concatenate(names), np.concatenate(refs)
-        order = np.lexsort((ref, name))
+        order = np.argsort(name)
         name, ref = name[order], ref[order]
         fresh = np.ones(len(name), bool)
         fresh[1:] = (name[1:] != name[:-1]) | (ref[1:] != ref[:-1])
@@ -111,75 +111,117 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out(ref[known])
 
 
-_SIDES = pa.schema([("name", pa.int64()), ("h", pa.int64()), ("g", pa.int32()), ("at", pa.int64()), ("before", pa.binary()), ("after", pa.binary()), ("known", pa.bool_())])
+_SIDES = "name long, h long, g int, at long, n_before int, n_after int, sides binary, known boolean"
 
 
 def _with_sides(length: int):
-    """Flagged suffixes with the bytes on both sides; of equal ones in a batch one is carried on."""
+    """Flagged suffixes with SIDE bytes of both sides, the nearest first; of equal ones in a batch one is carried on."""
     name_length = length - SIDE
-
-    def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-        texts = utf8(batch.column("text"))
-        seen: dict[tuple, list] = {}
-        for h, g, text, marks in zip(batch.column("h").to_pylist(), batch.column("g").to_pylist(), texts, batch.column("marks").to_pylist(), strict=True):
-            at = sampled_positions(len(text))
-            at = at[(at + name_length <= len(text)) & np.isin(at & 0x7FFFFF, np.array(marks))]
-            names = window_hashes(np.frombuffer(text, np.uint8), at, name_length).view(np.int64).tolist()
-            for name, s in zip(names, at.tolist(), strict=True):
-                e = s + name_length
-                seen.setdefault((name, text[max(0, s - SIDE) : s], text[e : e + SIDE]), []).append((h, g, s))
-        for (name, before, after), own in seen.items():
-            yield name, *own[0], before, after, len(own) > 1
-            for h, g, s in own[1:]:
-                yield int(mix(np.array([h + s], np.int64).view(np.uint64)).view(np.int64)[0]), h, g, s, before, after, True
+    away = np.arange(SIDE)
+
+    def one(h: int, g: int, text: bytes, marks: np.ndarray) -> dict[str, np.ndarray]:
+        n = len(text)
+        at = sampled_positions(n)
+        at = at[(at + name_length <= n) & np.isin(at & 0x7FFFFF, marks)]
+        a = np.frombuffer(text, np.uint8)
+        before, after = np.minimum(at, SIDE), np.minimum(n - at - name_length, SIDE)
+        left, right = at[:, None] - 1 - away, at[:, None] + name_length + away
+        sides = np.hstack((np.where(left >= 0, a[np.maximum(left, 0)], 0), np.where(right < n, a[np.minimum(right, n - 1)], 0))).astype(np.uint8)
+        name = window_hashes(a, at, name_length)
+        full = np.flatnonzero((before == SIDE) & (after == SIDE))
+        key = mix(name + mix((at + 1).astype(np.uint64) * _OTHER + np.uint64(h & 0xFFFFFFFFFFFFFFFF)))
+        key[full] = window_hashes(a, at[full] - SIDE, length + SIDE)
+        return {"name": name.view(np.int64), "h": np.full(len(at), h), "g": np.full(len(at), g, np.int32), "at": at, "n_before": before.astype(np.int32), "n_after": after.astype(np.int32), "sides": sides, "key": key}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from emit(_SIDES, rows(batch), 20_000)
+            flat = batch.column("marks")
+            cuts, values = flat.offsets.to_numpy(), flat.values.to_numpy()
+            with np.errstate(over="ignore"):
+                parts = [one(*x, values[i:j]) for *x, i, j in zip(batch.column("h").to_pylist(), batch.column("g").to_pylist(), utf8(batch.column("text")), cuts[:-1], cuts[1:], strict=True)]
+            rows = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]} if parts else {}
+            if not rows or not len(rows["at"]):
+                continue
+            _, first, inverse, count = np.unique(rows.pop("key"), return_index=True, return_inverse=True, return_counts=True)
+            known = count[inverse] > 1
+            extra = np.ones(len(known), bool)
+            extra[first] = False
+            rows["name"][extra] = mix((rows["h"] + rows["at"])[extra].view(np.uint64)).view(np.int64)
+            yield from _side_batches(rows, known, extra)
 
     return run
 
 
-def _side_hashes(sides: list[bytes], back: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths, and the hashes of the 0 to SIDE bytes nearest to the name."""
-    wide = np.zeros((len(sides), SIDE), np.uint8)
-    for i, x in enumerate(sides):
-        wide[i, : len(x)] = np.frombuffer(x[::-1] if back else x, np.uint8)
+def _side_batches(rows: dict[str, np.ndarray], known: np.ndarray, extra: np.ndarray, size: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Record batches of the rows; extra ones are settled and go without their sides."""
+    for i in range(0, len(known), size):
+        part = slice(i, i + size)
+        bare = extra[part]
+        ends = np.cumsum(np.append(0, np.where(bare, 0, 2 * SIDE))).astype(np.int32)
+        present = pa.py_buffer(np.packbits(~bare, bitorder="little").tobytes())
+        sides = pa.Array.from_buffers(pa.binary(), len(bare), [present, pa.py_buffer(ends.tobytes()), pa.py_buffer(rows["sides"][part][~bare].tobytes())])
+        plain = [pa.array(rows[c][part]) for c in ("name", "h", "g", "at", "n_before", "n_after")]
+        yield pa.RecordBatch.from_arrays([*plain, sides, pa.array(known[part])], names=["name", "h", "g", "at", "n_before", "n_after", "sides", "known"])
+
+
+def _side_hashes(sides: np.ndarray) -> np.ndarray:
+    """Hashes of the first 0 to SIDE bytes of each row."""
     hashes = np.zeros((SIDE + 1, len(sides)), np.uint64)
     with np.errstate(over="ignore"):
         for i in range(SIDE):
-            hashes[i + 1] = mix(hashes[i] * np.uint64(_BASE) + _TABLE[wide[:, i]])
-    return np.array([len(x) for x in sides]), hashes
+            hashes[i + 1] = (hashes[i] ^ (hashes[i] >> np.uint64(29))) * np.uint64(_BASE) + _TABLE[sides[:, i]]
+    return hashes
+
 
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bytes rows begin with in common."""
+    other = a != b
+    return np.where(other.any(axis=1), other.argmax(axis=1), a.shape[1])
 
-def _covered(name: np.ndarray, before: list[bytes], after: list[bytes], known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def _covered(name: np.ndarray, n_before: np.ndarray, n_after: np.ndarray, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each row the least and most bytes before the name with which the whole string repeats.
 
-    Most is below least where none does.
+    Most is below least where none does. Rows are sorted by name.
     """
-    n_before, h_before = _side_hashes(before, True)
-    n_after, h_after = _side_hashes(after, False)
-    least, most = np.full(len(name), SIDE + 1), np.full(len(name), -1)
-    # Rows alike in name and both sides: any completion repeats. Of these one is compared on.
+    before, after = sides[:, :SIDE], sides[:, SIDE:]
+    wide = np.ascontiguousarray(np.hstack((sides, n_before[:, None].astype(np.uint8), n_after[:, None].astype(np.uint8), np.zeros((len(name), 2), np.uint8)))).view(np.uint64)
     with np.errstate(over="ignore"):
-        alike = mix(name.view(np.uint64) + mix(h_before[n_before, np.arange(len(name))] * _OTHER + h_after[n_after, np.arange(len(name))] + n_before.astype(np.uint64)))
+        alike = mix(name.view(np.uint64))
+        for i in range(wide.shape[1]):
+            alike = mix(alike + wide[:, i] * _OTHER)
+    # Rows alike in name and both sides: any completion repeats. Of these one is compared on.
     _, first, inverse, count = np.unique(alike, return_index=True, return_inverse=True, return_counts=True)
-    whole = known | (count[inverse] > 1)
-    least[whole], most[whole] = np.maximum(0, SIDE - n_after[whole]), np.minimum(SIDE, n_before[whole])
-    rest = first[np.argsort(name[first], kind="stable")]
-    _, own, shared = np.unique(name[rest], return_inverse=True, return_counts=True)
-    rest = rest[shared[own] > 1]
     low, high = np.full(len(count), SIDE + 1), np.full(len(count), -1)
-    with np.errstate(over="ignore"):
-        for x in range(SIDE + 1):
-            fit = rest[(n_before[rest] >= x) & (n_after[rest] >= SIDE - x)]
-            key = mix(name[fit].view(np.uint64) + mix(h_before[x, fit] * _OTHER + h_after[SIDE - x, fit]))
-            order = np.argsort(key)
-            same = np.zeros(len(key) + 1, bool)
-            same[1:-1] = key[order][1:] == key[order][:-1]
-            found = inverse[fit[order[same[1:] | same[:-1]]]] if len(key) else np.empty(0, np.int64)
-            low[found], high[found] = np.minimum(low[found], x), x
-    return np.minimum(least, low[inverse]), np.maximum(most, high[inverse])
+    many = count > 1
+    low[many], high[many] = np.maximum(0, SIDE - n_after[first[many]]), np.minimum(SIDE, n_before[first[many]])
+    order = np.argsort(first)
+    rows = first[order]
+    _, start, size = np.unique(name[rows], return_index=True, return_counts=True)
+    for m in range(2, 7):  # small groups pair by pair
+        head = start[size == m]
+        for i in range(m):
+            for j in range(i + 1, m):
+                x, y = rows[head + i], rows[head + j]
+                left = np.minimum(_common(before[x], before[y]), np.minimum(n_before[x], n_before[y]))
+                right = np.minimum(_common(after[x], after[y]), np.minimum(n_after[x], n_after[y]))
+                fit = left + right >= SIDE
+                for own in (order[head + i][fit], order[head + j][fit]):
+                    low[own], high[own] = np.minimum(low[own], SIDE - right[fit]), np.maximum(high[own], left[fit])
+    large = np.flatnonzero(np.repeat(size > 6, size))
+    if len(large):
+        own, at = order[large], rows[large]
+        h_before, h_after = _side_hashes(before[at]), _side_hashes(after[at])
+        with np.errstate(over="ignore"):
+            for x in range(SIDE + 1):
+                fit = np.flatnonzero((n_before[at] >= x) & (n_after[at] >= SIDE - x))
+                key = mix(name[at][fit].view(np.uint64) + mix(h_before[x, fit] * _OTHER + h_after[SIDE - x, fit]))
+                by_key = np.argsort(key)
+                same = np.zeros(len(key) + 1, bool)
+                same[1:-1] = key[by_key][1:] == key[by_key][:-1]
+                found = own[fit[by_key[same[1:] | same[:-1]]]]
+                low[found], high[found] = np.minimum(low[found], x), np.maximum(high[found], x)
+    return low[inverse], high[inverse]
 
 
 def _spans(length: int, chunk: int = 40_000):
@@ -187,11 +229,19 @@ def _spans(length: int, chunk: int = 40_000):
     name_length = length - SIDE
 
     def cover(t: pa.Table) -> pa.RecordBatch:
-        least, most = _covered(t.column("name").to_numpy(), t.column("before").to_pylist(), t.column("after").to_pylist(), t.column("known").to_numpy())
+        columns = {c: t.column(c).to_numpy() for c in ("name", "h", "g", "at", "n_before", "n_after", "known")}
+        least, most = np.maximum(0, SIDE - columns["n_after"]), np.minimum(SIDE, columns["n_before"])
+        sides = t.column("sides").combine_chunks()
+        with_sides = np.flatnonzero(sides.is_valid().to_numpy(zero_copy_only=False))
+        if len(with_sides):
+            flat = sides.filter(sides.is_valid())
+            matrix = np.frombuffer(flat.buffers()[2], np.uint8)[flat.offset * 2 * SIDE :][: len(flat) * 2 * SIDE].reshape(-1, 2 * SIDE)
+            low, high = _covered(*(columns[c][with_sides] for c in ("name", "n_before", "n_after")), matrix)
+            settled = columns["known"][with_sides]
+            least[with_sides], most[with_sides] = np.where(settled, least[with_sides], low), np.where(settled, most[with_sides], high)
         found = np.flatnonzero(most >= least)
-        at = t.column("at").to_numpy()[found]
-        t = t.select(["h", "g"]).take(pa.array(found)).combine_chunks()
-        return pa.RecordBatch.from_arrays([t.column("h").combine_chunks(), t.column("g").combine_chunks(), pa.array(at - most[found]), pa.array(at + name_length + SIDE - least[found])], names=["h", "g", "start", "stop"])
+        at = columns["at"][found]
+        return pa.RecordBatch.from_arrays([pa.array(columns["h"][found]), pa.array(columns["g"][found]), pa.array(at - most[found]), pa.array(at + name_length + SIDE - least[found])], names=["h", "g", "start", "stop"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -276,6 +326,7 @@ def repeated_passages(docs: DataFrame, length: int = 200, turns: int = 2, with_t
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    small_batches(docs.sparkSession, 2000)
     keyed = _keyed(docs)
     text = F.coalesce("text", F.lit(""))
     rows = stored(keyed.select("doc_id", "h", "g", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha256")), "rows")
@@ -292,7 +343,7 @@ def repeated_passages(docs: DataFrame, length: int = 200, turns: int = 2, with_t
     some = keyed.join(wanted, keyed.doc_id.eqNullSafe(wanted.id) & (keyed.h == wanted["_h"]) & (keyed.g == wanted["_g"]))
     some = stored(some.select("h", "g", "text", "marks"), "some")
 
-    sides = some.mapInArrow(_with_sides(length), "name long, h long, g int, at long, before binary, after binary, known boolean")
+    sides = some.mapInArrow(_with_sides(length), _SIDES)
     spans = sides.repartition(parts, "name").sortWithinPartitions("name").mapInArrow(_spans(length), "h long, g int, start long, stop long")
     spans = stored(spans, "spans").distinct().groupBy("h", "g").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     copied = texts.where("copies > 1").select("h", "g", "n_bytes")
