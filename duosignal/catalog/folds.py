@@ -10,7 +10,9 @@ from duosignal.functions.numeric import r6
 from duosignal.operators import folds as f
 
 KFOLD = "F as (select *, ntile(5) over (partition by k order by t) - 1 as fold from L)"
-TRAIN = F.col("fold") != 0
+def _train():
+    return F.col("fold") != 0
+
 
 
 @query("kfold_contiguous", f"with {E} select k, t, ntile(5) over (partition by k order by t) - 1 as fold from E")
@@ -41,13 +43,13 @@ _FIT = "S as (select k, " + ", ".join(f"avg({c}) as m_{c}, stddev_pop({c}) as s_
 
 @query("standardise", f"with {L}, {KFOLD}, {_FIT} select cast(F.k as bigint) as k, t, {r(_standard('y1'))} as y1, {r(_standard('y2'))} as y2 from F join S on F.k = S.k")
 def standardise(t: Tables) -> DataFrame:
-    rows = f.standardise(f.contiguous_folds(t.l, ["k"], 5).select("k", "t", "fold", "y1", "y2"), ["k"], ["y1", "y2"], TRAIN)
+    rows = f.standardise(f.contiguous_folds(t.l, ["k"], 5).select("k", "t", "fold", "y1", "y2"), ["k"], ["y1", "y2"], _train())
     return rows.select("k", "t", r6("y1").alias("y1"), r6("y2").alias("y2"))
 
 
 @query("minmax_fit", f"with {L}, {KFOLD}, {_FIT} select cast(F.k as bigint) as k, t, {r(_range('x'))} as x, {r(_range('y1'))} as y1 from F join S on F.k = S.k")
 def minmax_fit(t: Tables) -> DataFrame:
-    rows = f.min_max(f.contiguous_folds(t.l, ["k"], 5).select("k", "t", "fold", "x", "y1"), ["k"], ["x", "y1"], TRAIN)
+    rows = f.min_max(f.contiguous_folds(t.l, ["k"], 5).select("k", "t", "fold", "x", "y1"), ["k"], ["x", "y1"], _train())
     return rows.select("k", "t", r6("x").alias("x"), r6("y1").alias("y1"))
 
 
@@ -71,5 +73,5 @@ def scale_11(t: Tables) -> DataFrame:
 
 @query("preprocess_dispatch", f"with {L}, {KFOLD}, {_FIT} select cast(F.k as bigint) as k, t, {r(_range('x'))} as x0, {r(_range('y2'))} as x1, {r(_standard('y1'))} as y1 from F join S on F.k = S.k")
 def preprocess_dispatch(t: Tables) -> DataFrame:
-    rows = f.preprocess(f.contiguous_folds(t.l, ["k"], 5).select("k", "t", "fold", "x", "y1", "y2"), ["k"], ["x", "y2"], ["y1"], TRAIN)
+    rows = f.preprocess(f.contiguous_folds(t.l, ["k"], 5).select("k", "t", "fold", "x", "y1", "y2"), ["k"], ["x", "y2"], ["y1"], _train())
     return rows.select("k", "t", r6(F.get("x", F.lit(0))).alias("x0"), r6(F.get("x", F.lit(1))).alias("x1"), r6("y1").alias("y1"))

@@ -136,3 +136,11 @@ def decorrelation_time(r: DataFrame, keys: list[str], below: float = 0.1, scale:
     first = before.groupBy(*keys).agg(F.min_by(F.struct("lag", "r", "_r0"), "lag").alias("_f"))
     f = F.col("_f")
     return first.select(*keys, ((f["lag"] - 1 + F.try_divide(f["_r0"] - below, f["_r0"] - f["r"])) * scale).alias("time"))
+
+
+def melt_lags(df: DataFrame, keys: list[str], x: str, delays: list[int], t: str = "t") -> DataFrame:
+    """Each row once for each delay, with <x>_lagged; rows without a partner are left out."""
+    w = by(keys, t)
+    at = lambda d: F.lag(x, d).over(w) if d >= 0 else F.lead(x, -d).over(w)
+    rows = df.withColumn("_all", F.array(*[F.struct(F.lit(d).cast("long").alias("delay"), at(d).alias(f"{x}_lagged")) for d in delays]))
+    return rows.select(*df.columns, F.inline("_all")).where(F.col(f"{x}_lagged").isNotNull())
