@@ -12,6 +12,7 @@ from duosignal.llm.mixing import op6_mixing_weights
 from duosignal.llm.ngram_jaccard import op1_ngram_jaccard
 from duosignal.llm.packing import op10_best_fit_packing
 from duosignal.llm.quality import op8_quality_rules
+from duosignal.llm.sql import LICENSE_SCANS, NGRAM_JACCARD
 from duosignal.llm.suffix_dedup import op2_suffix_dedup
 from duosignal.llm.tiff import op5_media_tiff
 from duosignal.llm.tokens import op9_token_counts
@@ -34,4 +35,8 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others hold models, media, tokens or packing, and are tested against brute force."""
+    found = {"op1_ngram_jaccard": NGRAM_JACCARD, "op7_license_scans": LICENSE_SCANS}
+    if corpus_pipeline.ORACLE_SQL:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
