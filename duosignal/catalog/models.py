@@ -42,17 +42,17 @@ S{tag} as (select k, channel, fold, case when stddev_pop(p) > 1e-9 and stddev_po
 MODEL = f"{FOLDED}, {model_sql()}"
 
 
-@query("gram", f"with {FOLDED} select k, fold, count(*) as n, {r('sum(x)')} as sx, {r('sum(y1)')} as sy, {r('sum(x * x)')} as sxx, {r('sum(x * y1)')} as sxy, {r('sum(y1 * y1)')} as syy, min(x) as low, max(x) as high from F group by k, fold")
+@query("gram", f"with {FOLDED} select k, fold, count(*) as n, {r('sum(x)', 3)} as sx, {r('sum(y1)', 3)} as sy, {r('sum(x * x)', 3)} as sxx, {r('sum(x * y1)', 3)} as sxy, {r('sum(y1 * y1)', 3)} as syy, min(x) as low, max(x) as high from F group by k, fold")
 def gram(t: Tables) -> DataFrame:
     rows = m.pair_blocks(folded(t).withColumnRenamed("y1", "y"), ["k"])
-    return rows.select("k", "fold", F.col("n").cast("long").alias("n"), *[r6(c).alias(c) for c in m.SUMS[1:]], "low", "high")
+    return rows.select("k", "fold", F.col("n").cast("long").alias("n"), *[F.round(c, 3).alias(c) for c in m.SUMS[1:]], "low", "high")
 
 
-@query("gram_wide", f"with {FOLDED} select k, {r('sum(x * y1)')} as xy1, {r('sum(y2 * y1)')} as y2y1, {r('sum(y2)')} as y2, count(*) as n from F group by k")
+@query("gram_wide", f"with {FOLDED} select k, {r('sum(x * y1)', 3)} as xy1, {r('sum(y2 * y1)', 3)} as y2y1, {r('sum(y2)', 3)} as y2, count(*) as n from F group by k")
 def gram_wide(t: Tables) -> DataFrame:
     grams = m.gram(folded(t).select("k", F.array("x", "y2").alias("xs"), F.array("y1").alias("ys")), ["k"], "xs", "ys")
     at = lambda i, j: F.get("moments", F.lit(4 * i + j))
-    return grams.select("k", r6(at(1, 3)).alias("xy1"), r6(at(2, 3)).alias("y2y1"), r6(at(0, 2)).alias("y2"), at(0, 0).cast("long").alias("n"))
+    return grams.select("k", F.round(at(1, 3), 3).alias("xy1"), F.round(at(2, 3), 3).alias("y2y1"), F.round(at(0, 2), 3).alias("y2"), at(0, 0).cast("long").alias("n"))
 
 
 @query("ridge_encode", f"with {MODEL} select k, channel, split as fold, {r('w')} as w, {r('b')} as b from W")

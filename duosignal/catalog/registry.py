@@ -60,9 +60,9 @@ class Tables:
         return self.adapt(P_SQL, "lineitem").selectExpr("cast(subject as bigint) as subject", "condition", "cast(channel as bigint) as channel", "v")
 
 
-def r(x: str) -> str:
-    """Six decimals in DuckDB, without a negative zero."""
-    return f"round({x}, 6) + 0.0"
+def r(x: str, decimals: int = 6) -> str:
+    """So many decimals in DuckDB, without a negative zero."""
+    return f"round({x}, {decimals}) + 0.0"
 
 
 def query(name: str, sql: str | None = None) -> Callable:

@@ -90,9 +90,9 @@ def score_matrix(t: Tables) -> DataFrame:
     return wide.select("channel", *[x for i in range(5) for x in (r6(F.col(f"{i}_r")).alias(f"r_{i}"), F.col(f"{i}_n").alias(f"passed_{i}"))])
 
 
-@query("score_distribution", f"with {P} select condition, " + ", ".join(f"{r(f'quantile_cont(v, {q})')} as q{int(q * 100)}" for q in (0, 0.25, 0.5, 0.75, 1)) + " from P group by condition")
+@query("score_distribution", f"with {P} select condition, " + ", ".join(f"{r(f'quantile_cont(v, {q})', 3)} as q{int(q * 100)}" for q in (0, 0.25, 0.5, 0.75, 1)) + " from P group by condition")
 def score_distribution(t: Tables) -> DataFrame:
-    return t.p.groupBy("condition").agg(*[r6(F.percentile("v", q)).alias(f"q{int(q * 100)}") for q in (0.0, 0.25, 0.5, 0.75, 1.0)])
+    return t.p.groupBy("condition").agg(*[F.round(F.percentile("v", q), 3).alias(f"q{int(q * 100)}") for q in (0.0, 0.25, 0.5, 0.75, 1.0)])
 
 
 @query("subject_feature_stats", f"with {E} select k, {r('avg(v)')} as mean, {r('stddev_pop(v)')} as sd from E where v is not null group by k")
