@@ -15,13 +15,11 @@ from pyspark.sql import functions as F
 from duosignal.llm.shared import stored, table
 
 TARGETS = {"high": 0.85, "low": 0.1, "toxic": 0.05}
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def _share(chars: str) -> Column:
-    """The part of the text that consists of these characters, in eight steps of rising width."""
-    n = F.char_length("_text")
-    part = (n - F.char_length(F.translate("_text", chars, ""))) / F.greatest(n, F.lit(1))
+    """The part of the text that is of a class of characters, in twelve steps of rising width."""
+    part = F.regexp_count("_text", F.lit(chars)) / F.greatest(F.char_length("_text"), F.lit(1))
     return F.floor(F.sqrt(part) * 12).cast("int")
 
 
@@ -31,8 +29,8 @@ def _features(docs: DataFrame, buckets: int, words: float) -> DataFrame:
     The words of a document weigh ``words`` together, each shape feature 1. Feature -1 marks a row.
     """
     own = docs.select("doc_id", F.xxhash64("text").alias("h"), F.hash("text").alias("g"), F.coalesce("text", F.lit("")).alias("_text"))
-    own = own.withColumn("_all", F.array_remove(F.split(F.translate("_text", UPPER, LOWER), "[\\x09-\\x0D\\x20]+"), ""))
-    shape = {"symbol": _share("#*$%&|<>"), "digit": _share("0123456789"), "upper": _share(UPPER), "mark": _share(".,;:!?"), "line": _share("\n"), "long": F.least(F.floor(F.char_length("_text") / (F.size("_all") + 1)), F.lit(20)).cast("int"), "size": F.floor(F.log2(F.size("_all") + 1)).cast("int")}
+    own = own.withColumn("_all", F.array_remove(F.split(F.lower("_text"), "[\\x09-\\x0D\\x20]+"), ""))
+    shape = {"symbol": _share("[#*$%&|<>]"), "digit": _share("[0-9]"), "upper": _share("[A-Z]"), "mark": _share("[.,;:!?]"), "line": _share("\n"), "long": F.least(F.floor(F.char_length("_text") / (F.size("_all") + 1)), F.lit(20)).cast("int"), "size": F.floor(F.log2(F.size("_all") + 1)).cast("int")}
     own = own.select("doc_id", "h", "g", F.size("_all").cast("long").alias("n_tokens"), F.array_distinct("_all").alias("_words"), F.array(*[F.concat(F.lit(f"{k} "), v.cast("string")) for k, v in shape.items()], F.lit("row")).alias("_shape"))
     own = own.withColumn("_n", F.size("_words")).select("doc_id", "h", "g", "n_tokens", "_n", F.posexplode(F.concat("_shape", "_words")).alias("_at", "_feature"))
     is_shape = F.col("_at") <= len(shape)
