@@ -19,8 +19,9 @@ from duosignal.llm.shared import stored, table
 
 WHITE = " \t\n\x0b\x0c\r"
 VECTOR = ["v_word", "v_symbol", "v_line", "v_repeat", "v_size"]
-#: Added to the variances: a share that is 0 for most documents has no spread of its own.
-FLOOR = {"v_word": 0.05, "v_symbol": 0.1, "v_line": 0.1, "v_repeat": 0.1, "v_size": 0.5}
+#: Added to the variances: a share that is 0 for most documents has no spread of its own. A twentieth of symbols is
+#: an outlier by itself; of lines, the third that labels of clean documents show is not.
+FLOOR = {"v_word": 0.05, "v_symbol": 0.05, "v_line": 0.13, "v_repeat": 0.12, "v_size": 0.5}
 D = len(VECTOR)
 PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
 
@@ -133,14 +134,15 @@ def _grouped(rows: DataFrame, least: int) -> DataFrame:
     return rows.join(both, rows.lang.eqNullSafe(F.col("_lang")) & rows.source.eqNullSafe(F.col("_source"))).drop("_lang", "_source")
 
 
-def quality(docs: DataFrame, least: int = 50, share: float = 0.75, steps: int = 4, tail: float = 1e-9) -> DataFrame:
+def quality(docs: DataFrame, least: int = 50, share: float = 0.75, steps: int = 4, tail: float = 1e-3) -> DataFrame:
     """The five statistics, base_failed, distance and kept for each row of ``docs``.
 
     ``docs`` has doc_id, text, lang and source; further columns are ignored. A row is kept unless
     n_words < 10, or 100 * n_repeat_words > 20 * n_words, or its squared distance from its group's
     estimate exceeds the chi-squared quantile of 1 - ``tail``. Rows that fail the base rules take no
     part in the estimates. Groups of under ``least`` rows are pooled by language, then altogether;
-    a pool of fewer rows rejects nothing (distance null). ``share`` is the part that a
+    a pool of fewer rows is judged by the estimate of all rows. If there are fewer than ``least``
+    in all, none is rejected (distance null). ``share`` is the part that a
     concentration step keeps, ``steps`` their number.
 
     Null text: no words, fails. Null lang or source: a group like any other. Repeated rows and ties
@@ -151,13 +153,16 @@ def quality(docs: DataFrame, least: int = 50, share: float = 0.75, steps: int =
     rows = stored(rows.withColumn("base_failed", (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)), "statistics")
     sound = _grouped(rows.where(~F.col("base_failed")), least)
     sound = stored(sound, "sound")
-    middle = sound.groupBy("g").agg(F.count("*").alias("n"), *[F.percentile_approx(v, [0.25, 0.5, 0.75], 1000).alias(f"q_{i}") for i, v in enumerate(VECTOR)]).where(F.col("n") >= least)
+    basis = sound
+    if 0 < sound.where("g = ''").limit(least).count() < least:
+        basis = sound.where("g <> ''").unionByName(sound.withColumn("g", F.lit("")))
+    middle = basis.groupBy("g").agg(F.count("*").alias("n"), *[F.percentile_approx(v, [0.25, 0.5, 0.75], 1000).alias(f"q_{i}") for i, v in enumerate(VECTOR)]).where(F.col("n") >= least)
     spread = lambda i: F.pow((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349, F.lit(2)) + FLOOR[VECTOR[i]] ** 2
     start = middle.select("g", *[F.col(f"q_{i}")[1].alias(f"m_{i}") for i in range(D)], *[(spread(i) if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i, j in PAIRS])
     factors = stored(_factor(start), "factors")
     for _ in range(steps):
-        factors = stored(_concentrate(sound, factors, share), "factors")
-    near = _distance(sound, factors).where(F.col("d2") <= chi2_quantile(0.975, D))
+        factors = stored(_concentrate(basis, factors, share), "factors")
+    near = _distance(basis, factors).where(F.col("d2") <= chi2_quantile(0.975, D))
     factors = stored(_factor(_estimates(_moments(near, ["g"]), _consistency(0.975))), "factors")
     judged = _distance(sound, factors).where(F.col("d2") > chi2_quantile(1 - tail, D)).select("doc_id", "row_key", "d2").distinct()
     far = judged.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), F.col("d2").alias("distance"))
