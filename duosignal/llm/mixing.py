@@ -45,13 +45,14 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], sample:
     ``labelled`` has doc_id and domain. The classifier is a naive Bayes model of the presence of
     features (each domain's share drawn to the common one as by ``prior`` documents), fitted on at most ``sample`` labelled documents of each domain, taken in the order of
     a hash of doc_id; its table has 2 * ``buckets`` rows at most. Domains weigh as often as they are
-    among all labels. rows counts equal rows.
+    among all labels. rows counts equal rows. Labels of documents that are not in ``docs`` count nowhere.
     """
     order = Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.where(F.col("domain").isin(domains)).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample).select("doc_id", "domain")
+    present = stored(labelled.where(F.col("domain").isin(domains)).join(docs.select("doc_id"), "doc_id", "left_semi"), "present")
+    chosen = present.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample).select("doc_id", "domain")
     chosen = stored(chosen, "chosen")
     tally = lambda rows: {r.domain: r.n for r in rows.groupBy("domain").agg(F.count("*").alias("n")).collect()}  # noqa: E731  one row for each domain
-    sizes, labels = tally(chosen), tally(labelled.where(F.col("domain").isin(domains)))
+    sizes, labels = tally(chosen), tally(present)
     known = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
     seen = _features(known, buckets, words).select("doc_id", "feature").distinct().join(F.broadcast(chosen), "doc_id").where("feature >= 0")
     counts = seen.groupBy("feature").agg(*[F.sum((F.col("domain") == d).cast("int")).alias(f"c_{i}") for i, d in enumerate(domains)])
