@@ -3,13 +3,15 @@
 Markup is stripped to lines, one for each block of the page. A line weighs what it has of text
 outside links and outside of what is marked as menu, footer, notice, advert and the like. The sums
 of weights over windows of a few lines surge where the article begins and dive to nothing after it;
-text between is kept.
+text between is kept. A name doesn't mark the element that holds most of the page's text.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Container
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,30 +31,49 @@ _NAMED = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']
 _PARTS = re.compile(r"[a-z]+")
 
 
-def _is_aside(tag: str, attributes: str, in_article: bool) -> bool:
-    """If the element is no part of the article. A header inside an article holds its heading."""
+def _aside(tag: str, attributes: str, in_article: bool) -> str:
+    """If the element is no part of the article: "sure", or "named" if only a class or id says so.
+
+    A header inside an article holds its heading.
+    """
     if tag in SKIPPED and not (tag == "header" and in_article):
-        return True
+        return "sure"
     if not attributes or tag in ("html", "body"):
-        return False
+        return ""
+    found = ""
     for name, *values in _NAMED.findall(attributes):
         value = "".join(values).lower()
-        if name.lower() == "hidden" or name.lower() == "role" and value in ROLES or name.lower() in ("class", "id") and not MARKS.isdisjoint(_PARTS.findall(value)):
-            return True
-    return False
-
-
-def lines(html: str) -> list[tuple[str, int, bool]]:
-    """(text, weight, inside an article element) for each block of the page."""
-    out: list[tuple[str, int, bool]] = []
+        if name.lower() == "hidden" or name.lower() == "role" and value in ROLES:
+            return "sure"
+        if name.lower() in ("class", "id") and not MARKS.isdisjoint(_PARTS.findall(value)):
+            found = "named"
+    return found
+
+
+class Line(NamedTuple):
+    text: str
+    weight: int
+    #: None, or where the element starts that marks the line as no part of the article; -1 if not by its name alone.
+    mark: int | None
+    #: Numbers of the outermost holder and of the outermost article element around it, 0 for none.
+    holder: int
+    article: int
+
+
+def lines(html: str, plain: Container[int] = ()) -> list[Line]:
+    """The blocks of the page. Names of elements that start at ``plain`` mark nothing."""
+    out: list[Line] = []
     text: list[str] = []
     state = {"linked": 0}
-    skip, depth, holders, in_link = "", 0, 0, False
+    skip, depth, mark, in_link = "", 0, -1, False
+    holders = dict.fromkeys(HOLDERS, 0)
+    numbers = {"holder": 0, "article": 0}
 
     def close() -> None:
         line = " ".join(unescape("".join(text)).split())
         if line:
-            out.append((line, 0 if skip else max(0, len(line) - state["linked"]), holders > 0))
+            holder = numbers["holder"] if any(holders.values()) else 0
+            out.append(Line(line, max(0, len(line) - state["linked"]), mark if skip else None, holder, numbers["article"] if holders["article"] else 0))
         text.clear()
         state["linked"] = 0
 
@@ -75,43 +96,93 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
             if skip == tag:
                 depth -= 1
                 skip = skip if depth else ""
-            if tag in HOLDERS and holders:
-                holders -= 1
+            if holders.get(tag):
+                holders[tag] -= 1
             in_link = in_link and tag != "a"
         elif tag not in VOID and not m[4].endswith("/"):
-            if tag in HOLDERS and not _is_aside(tag, m[4], True):
-                holders, skip, depth = holders + 1, "", 0
+            aside = _aside(tag, m[4], tag in HOLDERS or any(holders.values()))
+            if aside == "named" and m.start() in plain:
+                aside = ""
+            if tag in HOLDERS and not aside:
+                numbers["holder"] += not any(holders.values())
+                numbers["article"] += tag == "article" and not holders["article"]
+                holders[tag] += 1
+                skip, depth = "", 0
             elif skip:
                 depth += tag == skip
-            elif _is_aside(tag, m[4], holders > 0):
+            elif aside:
                 close()
-                skip, depth = tag, 1
+                skip, depth, mark = tag, 1, m.start() if aside == "named" else -1
             in_link = in_link or tag == "a"
     add(html[at:])
     close()
     return out
 
 
+def _unmarked(html: str, window: int, least: int) -> list[Line]:
+    """The blocks of the page, where a name doesn't mark the element that holds most of the text.
+
+    Such an element has over half of the text outside links and of what is marked by more than a
+    name, and a window of over ``least`` characters. Beyond eight in each other names mark nothing.
+    """
+    plain: set[int] = set()
+    found = lines(html)
+    for _ in range(8):
+        parts: dict[int, list[int]] = {}
+        for x in found:
+            if x.mark is not None and x.mark >= 0:
+                parts.setdefault(x.mark, []).append(x.weight)
+        whole = sum(x.weight for x in found if x.mark != -1)
+        most = [k for k, v in parts.items() if 2 * sum(v) > whole and max(_sums(v, window)) > least]
+        if not most:
+            return found
+        plain.update(most)
+        found = lines(html, plain)
+    return lines(html, range(len(html)))
+
+
+def _sums(weights: list[int], window: int) -> list[int]:
+    return [sum(weights[i : i + window]) for i in range(len(weights))]
+
+
 def main_text(html: str, window: int = 3, least: int = 80) -> str:
     """The blocks between a surge and the next dive of the windowed weights, joined by newlines.
 
     A surge is a window of over ``least`` characters, or over a quarter of the page's fullest
     window if that is less; it reaches back to where the sums left zero, the dive is where they
-    return to it. If the page has article or main elements with text, only theirs weighs.
+    return to it. If the page has article or main elements with text, only theirs weighs; weights
+    only find the borders there. An article with a surge keeps all of its blocks, a main element
+    those from its first surge to its last dive, linked and short ones too, but what is marked.
+    Elsewhere each surge and its dive bound the text, and linked blocks stay between others.
     """
-    found = lines(html)
-    marked = any(w and inside for _, w, inside in found)
-    weights = [w if inside or not marked else 0 for _, w, inside in found]
-    sums = [sum(weights[i : i + window]) for i in range(len(weights))]
+    found = _unmarked(html, window, least)
+    shown = [x.mark is None for x in found]
+    marked = any(x.weight and x.holder for x, s in zip(found, shown, strict=True) if s)
+    weights = [x.weight if s and (x.holder or not marked) else 0 for x, s in zip(found, shown, strict=True)]
+    sums = _sums(weights, window)
     bound = min(least, max(sums, default=0) / 4)
-    kept: list[str] = []
+    kept: set[int] = set()
+    ends: dict[int, tuple[int, int]] = {}
     start = 0
     for i in range(len(sums) + 1):
         if i == len(sums) or not sums[i]:
             if max(sums[start:i], default=0) > bound:
-                kept += [found[j][0] for j in range(start, i) if weights[j]]
+                heavy = [j for j in range(start, i) if weights[j]]
+                kept.update(j for j in range(heavy[0], heavy[-1] + 1) if shown[j] and (found[j].holder or not marked))
+                for j in range(start, i):
+                    if found[j].holder:
+                        ends[found[j].holder] = (ends.get(found[j].holder, (j, j))[0], j)
             start = i + 1
-    return "\n".join(kept)
+    articles: dict[int, list[int]] = {}
+    for j, x in enumerate(found):
+        if shown[j] and x.article:
+            articles.setdefault(x.article, []).append(j)
+        elif shown[j] and x.holder in ends and ends[x.holder][0] <= j <= ends[x.holder][1]:
+            kept.add(j)
+    for rows in articles.values():
+        if not kept.isdisjoint(rows) or max(_sums([weights[j] for j in rows], window)) > bound:
+            kept.update(rows)
+    return "\n".join(found[j].text for j in sorted(kept))
 
 
 _OUT = pa.schema([("text", pa.string()), ("n_chars", pa.int64())])
