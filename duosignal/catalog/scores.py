@@ -16,7 +16,15 @@ _PAIRS = [("A", "N"), ("A", "R"), ("N", "R")]
 
 @query("channel_cross", f"with {M} select a.label, a.ch as a, b.ch as b, {r('avg(a.v * b.v)')} as v from M a join M b on a.vec_id = b.vec_id and a.ch < 16 and b.ch < 16 group by all")
 def channel_cross(t: Tables) -> DataFrame:
-    rows = t.m.where("ch < 16")
+    return _cross(t.m.where("ch < 16"))
+
+
+@query("channel_cross_whole")
+def channel_cross_whole(t: Tables) -> DataFrame:
+    return _cross(t.m)
+
+
+def _cross(rows: DataFrame) -> DataFrame:
     pairs = sc.self_pairs(rows, "ch", ["label", "vec_id"], "v")
     return pairs.groupBy("label", "a", "b").agg(r6(F.avg(F.col("va") * F.col("vb"))).alias("v"))
 

@@ -29,8 +29,9 @@ _HILBERT = f"""{M}, {_SHORT}, B as (select k, f, sum(v * cos(2 * {_PI} * f * t /
 H as (select S.k, S.t, sum((case when f in (0, 8) then 1 else 2 end) * (c * cos(2 * {_PI} * f * t / 16) - s * sin(2 * {_PI} * f * t / 16))) / 16 as re, sum((case when f in (0, 8) then 1 else 2 end) * (c * sin(2 * {_PI} * f * t / 16) + s * cos(2 * {_PI} * f * t / 16))) / 16 as im from S join B on B.k = S.k group by all)"""
 
 
-def short_phases(t: Tables) -> DataFrame:
-    rows = t.m.where("ch < 16").select(F.col("vec_id").alias("k"), F.col("ch").alias("t"), "v")
+def short_phases(t: Tables, first: int | None = 16) -> DataFrame:
+    """Of the ``first`` values of each vector, all with None."""
+    rows = (t.m if first is None else t.m.where(F.col("ch") < first)).select(F.col("vec_id").alias("k"), F.col("ch").alias("t"), "v")
     return sp.analytic_signal(rows, ["k"], "v")
 
 
@@ -39,6 +40,11 @@ def analytic_signal(t: Tables) -> DataFrame:
     return short_phases(t).select("k", "t", r6("amplitude").alias("amplitude"), r6(F.cos("phase")).alias("cosine"))
 
 
+@query("analytic_signal_whole")
+def analytic_signal_whole(t: Tables) -> DataFrame:
+    return short_phases(t, None).select("k", "t", r6("amplitude").alias("amplitude"), r6(F.cos("phase")).alias("cosine"))
+
+
 _TAPS = sp.windowed_sinc(1.0, 4.0, 16.0, 7)
 
 
@@ -80,7 +86,16 @@ _PHASE = f"{_HILBERT}, A as (select k, t, atan2(im, re) as phase from H)"
 
 @query("plv_lagged", f"with {_PHASE}, L as (select a.k, l as lag, a.phase - b.phase as d from A a, (select unnest(range(4)) as l) join A b on b.k = (a.k + 1) and b.t = a.t - l) select k, lag, {r('sqrt(avg(cos(d)) ** 2 + avg(sin(d)) ** 2)')} as plv from L group by k, lag")
 def plv_lagged(t: Tables) -> DataFrame:
-    phases = short_phases(t).select("k", "t", "phase")
+    return _lagged(short_phases(t))
+
+
+@query("plv_lagged_whole")
+def plv_lagged_whole(t: Tables) -> DataFrame:
+    return _lagged(short_phases(t, None))
+
+
+def _lagged(phases: DataFrame) -> DataFrame:
+    phases = phases.select("k", "t", "phase")
     lags = phases.withColumn("lag", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))))
     stim = phases.select((F.col("k") - 1).alias("k"), F.col("t").alias("_t"), F.col("phase").alias("other"))
     pairs = lags.withColumn("_t", F.col("t") - F.col("lag")).join(stim, ["k", "_t"])
@@ -90,15 +105,16 @@ def plv_lagged(t: Tables) -> DataFrame:
 _MP = "G as (select label, vec_id, ch, v * 20 as phase from M where ch < 12)"
 
 
-def _vector_phases(t: Tables) -> DataFrame:
-    return t.m.where("ch < 12").select("label", "vec_id", "ch", (F.col("v") * 20).alias("phase"))
+def _vector_phases(t: Tables, first: int | None) -> DataFrame:
+    return (t.m if first is None else t.m.where(F.col("ch") < first)).select("label", "vec_id", "ch", (F.col("v") * 20).alias("phase"))
 
 
 _INTRA = "I as (select a.label, a.ch as a, b.ch as b, sqrt(avg(cos(a.phase - b.phase)) ** 2 + avg(sin(a.phase - b.phase)) ** 2) as plv from G a join G b on a.vec_id = b.vec_id group by all)"
 
 
-def intra(t: Tables) -> DataFrame:
-    p = _vector_phases(t)
+def intra(t: Tables, first: int | None = 12) -> DataFrame:
+    """Pairs of the ``first`` channels, of all with None."""
+    p = _vector_phases(t, first)
     a, b = p.select("label", "vec_id", F.col("ch").alias("a"), F.col("phase").alias("pa")), p.select("vec_id", F.col("ch").alias("b"), F.col("phase").alias("pb"))
     return a.join(b, "vec_id").groupBy("label", "a", "b").agg(sp.plv(F.col("pa") - F.col("pb")).alias("plv"))
 
@@ -108,6 +124,11 @@ def plv_intra(t: Tables) -> DataFrame:
     return intra(t).select("label", "a", "b", r6("plv").alias("plv"))
 
 
+@query("plv_intra_whole")
+def plv_intra_whole(t: Tables) -> DataFrame:
+    return intra(t, None).select("label", "a", "b", r6("plv").alias("plv"))
+
+
 @query("plv_inter", f"with {E}, X as (select k // 2 as s, k % 2 as m, t, state as ch, v / 10 as phase from E) select x.s as session, x.ch as a, y.ch as b, {r('sqrt(avg(cos(x.phase - y.phase)) ** 2 + avg(sin(x.phase - y.phase)) ** 2)')} as plv from X x join X y on y.s = x.s and y.t = x.t and x.m = 0 and y.m = 1 group by all")
 def plv_inter(t: Tables) -> DataFrame:
     rows = t.e.select(F.floor(F.col("k") / 2).alias("session"), (F.col("k") % 2).alias("m"), "t", F.col("state").alias("ch"), (F.col("v") / 10).alias("phase"))
@@ -118,7 +139,15 @@ def plv_inter(t: Tables) -> DataFrame:
 
 @query("plv_baseline", f"with {M}, {_MP}, {_INTRA} select x.label, x.a, x.b, {r('greatest(0, x.plv - y.plv)')} as plv from I x join I y on y.a = x.b and y.b = x.a and y.label = 0 where x.label <> 0")
 def plv_baseline(t: Tables) -> DataFrame:
+    return _less_silence(intra(t))
+
+
+@query("plv_baseline_whole")
+def plv_baseline_whole(t: Tables) -> DataFrame:
+    return _less_silence(intra(t, None))
+
+
+def _less_silence(p: DataFrame) -> DataFrame:
     """Less the matrix of label 0 turned over, negatives 0."""
-    p = intra(t)
     silence = p.where("label = 0").select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("plv").alias("base"))
     return p.where("label <> 0").join(silence, ["a", "b"]).select("label", "a", "b", r6(F.greatest(F.lit(0.0), F.col("plv") - F.col("base"))).alias("plv"))
