@@ -2,10 +2,13 @@
 
 Positions are sampled whose remainder by 91 lies in a perfect difference set: whatever the distance
 of two equal strings of ``length`` bytes, some offset below 91 is sampled in both. Sampled suffixes
-are named by their first length - 90 bytes, sorted by name on Spark and compared with their
-neighbours. Those whose name repeats are sorted again with up to 90 bytes of both sides, and within
-a name every way to complete it to ``length`` bytes is compared; that stands for the suffixes that
-were not sampled. So only prefixes that can matter are named, and no text meets another in a task.
+are named by a 64-bit polynomial hash of their first length - 90 bytes; rows are sorted by that hash
+to bring equal ones together. Buckets of equal hashes replace the lexicographic order of suffixes,
+and neighbours' prefixes are not compared. Rows whose name repeats meet again with up to 90 bytes of
+both sides, and within a name every way to complete it to ``length`` bytes is compared, pair by pair
+or by tables of hashes; that stands for the suffixes that were not sampled. So results hold but for
+collisions of hashes, and only prefixes that can matter are named. All rows of one name meet in one
+task, which holds them until the name changes.
 """
 
 from __future__ import annotations
