@@ -7,8 +7,9 @@ to bring equal ones together. Buckets of equal hashes replace the lexicographic
 and neighbours' prefixes are not compared. Rows whose name repeats meet again with up to 90 bytes of
 both sides, and within a name every way to complete it to ``length`` bytes is compared, pair by pair
 or by tables of hashes; that stands for the suffixes that were not sampled. So results hold but for
-collisions of hashes, and only prefixes that can matter are named. All rows of one name meet in one
-task, which holds them until the name changes.
+collisions of hashes, and only prefixes that can matter are named. A name that more than a few
+thousand rows share is halved first: with 45 bytes more of one side or of the other it is two names,
+and so on until few rows share one or all of its rows are alike, which is counted, not held.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duosignal.llm.shared import emit, small_batches, stored, table, utf8
+from duosignal.llm.shared import discard, emit, fitting, free_names, small_batches, stored, table, utf8
 from duosignal.llm.shingles import mix
 
 # Each remainder by 91 but 0 is the difference of just one pair of these.
@@ -31,6 +32,7 @@ SIDE = PERIOD - 1
 _TABLE = np.random.Generator(np.random.PCG64(7)).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE, _OTHER = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_BLOCK = 1 << 20
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,40 +45,73 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def window_hashes(a: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of ``length`` bytes from each start."""
-    up, down = _powers(len(a) + 1)
+    """Hashes of ``length`` bytes from each of the rising starts.
+
+    Long texts are worked on in blocks, so that they need little more memory than their bytes.
+    """
+    out = np.empty(len(starts), np.uint64)
+    cuts = np.searchsorted(starts, np.arange(0, len(a) + _BLOCK, _BLOCK))
+    for low, x, y in zip(range(0, len(a), _BLOCK), cuts[:-1], cuts[1:], strict=False):
+        if x < y:
+            part, own = a[low : low + _BLOCK + length], starts[x:y] - low
+            up, down = _powers(len(part) + 1)
+            with np.errstate(over="ignore"):
+                sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_TABLE[part] * up[: len(part)], dtype=np.uint64)))
+                out[x:y] = mix((sums[own + length] - sums[own]) * down[own])
+    return out
+
+
+def _who(h: int, g: int, at: np.ndarray) -> np.ndarray:
+    """64 bits that stand for a text and a position in it."""
     with np.errstate(over="ignore"):
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_TABLE[a] * up[: len(a)], dtype=np.uint64)))
-        return mix((sums[starts + length] - sums[starts]) * down[starts])
+        return mix(np.uint64(h & 0xFFFFFFFFFFFFFFFF) + mix((at + 1).astype(np.uint64) * _OTHER + np.uint64(g & 0xFFFFFFFF)))
+
+
+def _short(who: np.ndarray) -> np.ndarray:
+    return who >> np.uint64(41)
 
 
 def sampled_positions(n: int) -> np.ndarray:
     return (np.arange(0, n, PERIOD)[:, None] + COVER).ravel()
 
 
-def _sample(length: int, turn: int, turns: int):
+def _sample(length: int, turn: int, turns: int, flush: int = 1 << 19):
     """(name, ref) of sampled suffixes whose name falls to ``turn``.
 
-    ref holds 40 bits of the text's key, 23 of the position and one that says that the name is
-    known to repeat. Of a name that repeats within a batch of rows one carries it on.
+    ref holds 40 bits of the text's key, 23 bits of a hash of the whole key and the position, and
+    one bit that says that the name is known to repeat. Of a name that repeats within what a task
+    holds at a time one row carries it on; that is decided on whole keys and positions, so two
+    places of one text never count as one.
     """
     name_length = length - SIDE
 
-    def batch_rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        names, refs = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
-        for key, text in zip(batch.column("h").to_numpy().view(np.uint64), utf8(batch.column("text")), strict=True):
-            if len(text) >= length:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        held, n = [], 0
+        for batch in batches:
+            for h, g, text in zip(batch.column("h").to_pylist(), batch.column("g").to_pylist(), utf8(batch.column("text")), strict=True):
+                if len(text) < length:
+                    continue
                 at = sampled_positions(len(text))
                 at = at[at + name_length <= len(text)]
                 name = window_hashes(np.frombuffer(text, np.uint8), at, name_length)
                 mine = name % np.uint64(turns) == turn
-                names.append(name[mine])
-                refs.append((key & ~np.uint64(0xFFFFFF)) | ((at[mine].astype(np.uint64) & np.uint64(0x7FFFFF)) << np.uint64(1)))
-        name, ref = np.concatenate(names), np.concatenate(refs)
+                who = _who(h, g, at[mine])
+                held.append((name[mine], who, np.uint64(h & 0xFFFFFFFFFF000000) | (_short(who) << np.uint64(1))))
+                n += len(who)
+                if n >= flush:
+                    yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                    held, n = [], 0
+        if held:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+    def carried(name: np.ndarray, who: np.ndarray, ref: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(name)
-        name, ref = name[order], ref[order]
+        same = name[order[1:]] == name[order[:-1]]
+        inner = np.flatnonzero(np.append(same, False) | np.append(False, same))
+        order[inner] = order[inner][np.lexsort((who[order[inner]], name[order[inner]]))]
+        name, who, ref = name[order], who[order], ref[order]
         fresh = np.ones(len(name), bool)
-        fresh[1:] = (name[1:] != name[:-1]) | (ref[1:] != ref[:-1])
+        fresh[1:] = (name[1:] != name[:-1]) | (who[1:] != who[:-1])
         name, ref = name[fresh], ref[fresh]
         follows = np.zeros(len(name), bool)
         follows[1:] = name[1:] == name[:-1]
@@ -86,8 +121,8 @@ def _sample(length: int, turn: int, turns: int):
         return np.where(follows, mix(ref), name), ref
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            name, ref = batch_rows(batch)
+        for held in pieces(batches):
+            name, ref = carried(*held)
             for i in range(0, len(name), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000].view(np.int64)) for x in (name, ref)], names=["name", "ref"])
 
@@ -95,8 +130,8 @@ def _sample(length: int, turn: int, turns: int):
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h40, at) of sorted (name, ref) rows that are known to repeat or share a name with another ref."""
-    out = lambda r: pa.RecordBatch.from_arrays([pa.array(r >> 23), pa.array(r & 0x7FFFFF)], names=["h40", "at"])
+    """(h40, mark) of sorted (name, ref) rows that are known to repeat or share a name with another ref."""
+    out = lambda r: pa.RecordBatch.from_arrays([pa.array(r >> 23), pa.array(r & 0x7FFFFF)], names=["h40", "mark"])
     name, ref, known = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
     for batch in batches:
         if batch.num_rows:
@@ -117,40 +152,55 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SIDES = "name long, h long, g int, at long, n_before int, n_after int, sides binary, known boolean"
 
 
-def _with_sides(length: int):
-    """Flagged suffixes with SIDE bytes of both sides, the nearest first; of equal ones in a batch one is carried on."""
+def _with_sides(length: int, flush: int = 60_000):
+    """Marked suffixes with SIDE bytes of both sides, the nearest first.
+
+    Of rows that are equal in all these bytes among what a task holds at a time one is carried on;
+    the others are settled and go without their sides. Long texts are taken in pieces.
+    """
     name_length = length - SIDE
     away = np.arange(SIDE)
 
-    def one(h: int, g: int, text: bytes, marks: np.ndarray) -> dict[str, np.ndarray]:
+    def pieces(h: int, g: int, text: bytes, marks: np.ndarray) -> Iterator[dict[str, np.ndarray]]:
         n = len(text)
         at = sampled_positions(n)
-        at = at[(at + name_length <= n) & np.isin(at & 0x7FFFFF, marks)]
+        at = at[at + name_length <= n]
+        who = _who(h, g, at)
+        wanted = np.isin(_short(who).view(np.int64), marks)
+        at, key = at[wanted], who[wanted]
         a = np.frombuffer(text, np.uint8)
-        before, after = np.minimum(at, SIDE), np.minimum(n - at - name_length, SIDE)
-        left, right = at[:, None] - 1 - away, at[:, None] + name_length + away
-        sides = np.hstack((np.where(left >= 0, a[np.maximum(left, 0)], 0), np.where(right < n, a[np.minimum(right, n - 1)], 0))).astype(np.uint8)
         name = window_hashes(a, at, name_length)
+        before, after = np.minimum(at, SIDE), np.minimum(n - at - name_length, SIDE)
         full = np.flatnonzero((before == SIDE) & (after == SIDE))
-        key = mix(name + mix((at + 1).astype(np.uint64) * _OTHER + np.uint64(h & 0xFFFFFFFFFFFFFFFF)))
         key[full] = window_hashes(a, at[full] - SIDE, length + SIDE)
-        return {"name": name.view(np.int64), "h": np.full(len(at), h), "g": np.full(len(at), g, np.int32), "at": at, "n_before": before.astype(np.int32), "n_after": after.astype(np.int32), "sides": sides, "key": key}
+        for i in range(0, len(at), flush // 4):
+            p = slice(i, i + flush // 4)
+            left, right = at[p, None] - 1 - away, at[p, None] + name_length + away
+            sides = np.hstack((np.where(left >= 0, a[np.maximum(left, 0)], 0), np.where(right < n, a[np.minimum(right, n - 1)], 0))).astype(np.uint8)
+            m = len(sides)
+            yield {"name": name[p].view(np.int64), "h": np.full(m, h), "g": np.full(m, g, np.int32), "at": at[p], "n_before": before[p].astype(np.int32), "n_after": after[p].astype(np.int32), "sides": sides, "key": key[p]}
+
+    def settled(parts: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        rows = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+        _, first, inverse, count = np.unique(rows.pop("key"), return_index=True, return_inverse=True, return_counts=True)
+        extra = np.ones(len(inverse), bool)
+        extra[first] = False
+        yield from _side_batches(rows, count[inverse] > 1, extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
             flat = batch.column("marks")
             cuts, values = flat.offsets.to_numpy(), flat.values.to_numpy()
-            with np.errstate(over="ignore"):
-                parts = [one(*x, values[i:j]) for *x, i, j in zip(batch.column("h").to_pylist(), batch.column("g").to_pylist(), utf8(batch.column("text")), cuts[:-1], cuts[1:], strict=True)]
-            rows = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]} if parts else {}
-            if not rows or not len(rows["at"]):
-                continue
-            _, first, inverse, count = np.unique(rows.pop("key"), return_index=True, return_inverse=True, return_counts=True)
-            known = count[inverse] > 1
-            extra = np.ones(len(known), bool)
-            extra[first] = False
-            rows["name"][extra] = mix((rows["h"] + rows["at"])[extra].view(np.uint64)).view(np.int64)
-            yield from _side_batches(rows, known, extra)
+            for h, g, text, i, j in zip(batch.column("h").to_pylist(), batch.column("g").to_pylist(), utf8(batch.column("text")), cuts[:-1], cuts[1:], strict=True):
+                for piece in pieces(h, g, text, values[i:j]):
+                    held.append(piece)
+                    n += len(piece["at"])
+                    if n >= flush:
+                        yield from settled(held)
+                        held, n = [], 0
+        if n:
+            yield from settled(held)
 
     return run
 
@@ -227,41 +277,145 @@ def _covered(name: np.ndarray, n_before: np.ndarray, n_after: np.ndarray, sides:
     return low[inverse], high[inverse]
 
 
+def _matrix(sides: pa.Array) -> np.ndarray:
+    """The side bytes of each row; no row is null."""
+    return np.frombuffer(sides.buffers()[2], np.uint8)[sides.offset * 2 * SIDE :][: len(sides) * 2 * SIDE].reshape(-1, 2 * SIDE)
+
+
+_SPAN = "h long, g int, start long, stop long"
+
+
 def _spans(length: int, chunk: int = 40_000):
-    """(h, g, start, stop) that repeat, from rows sorted by name."""
+    """(h, g, start, stop) that repeat, from rows sorted by name. A task holds whole names."""
     name_length = length - SIDE
 
     def cover(t: pa.Table) -> pa.RecordBatch:
-        columns = {c: t.column(c).to_numpy() for c in ("name", "h", "g", "at", "n_before", "n_after", "known")}
-        least, most = np.maximum(0, SIDE - columns["n_after"]), np.minimum(SIDE, columns["n_before"])
-        sides = t.column("sides").combine_chunks()
-        with_sides = np.flatnonzero(sides.is_valid().to_numpy(zero_copy_only=False))
-        if len(with_sides):
-            flat = sides.filter(sides.is_valid())
-            matrix = np.frombuffer(flat.buffers()[2], np.uint8)[flat.offset * 2 * SIDE :][: len(flat) * 2 * SIDE].reshape(-1, 2 * SIDE)
-            low, high = _covered(*(columns[c][with_sides] for c in ("name", "n_before", "n_after")), matrix)
-            settled = columns["known"][with_sides]
-            least[with_sides], most[with_sides] = np.where(settled, least[with_sides], low), np.where(settled, most[with_sides], high)
+        name, at, n_before, n_after = (t.column(c).to_numpy() for c in ("name", "at", "n_before", "n_after"))
+        least, most = _covered(name, n_before, n_after, _matrix(t.column("sides").combine_chunks()))
         found = np.flatnonzero(most >= least)
-        at = columns["at"][found]
-        return pa.RecordBatch.from_arrays([pa.array(columns["h"][found]), pa.array(columns["g"][found]), pa.array(at - most[found]), pa.array(at + name_length + SIDE - least[found])], names=["h", "g", "start", "stop"])
+        at = at[found]
+        return pa.RecordBatch.from_arrays([t.column("h").to_numpy()[found], t.column("g").to_numpy()[found], at - most[found], at + name_length + SIDE - least[found]], names=["h", "g", "start", "stop"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            if held.num_rows >= chunk:
-                names = held.column("name").to_numpy()
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= chunk:
+                rows = pa.Table.from_batches(held)
+                names = rows.column("name").to_numpy()
                 end = int(np.searchsorted(names, names[-1]))
                 if end:
-                    yield cover(held.slice(0, end))
-                    held = held.slice(end)
-        if held is not None and held.num_rows:
-            yield cover(held)
+                    yield cover(rows.slice(0, end))
+                    held = rows.slice(end).to_batches()
+        if held:
+            yield cover(pa.Table.from_batches(held))
 
     return run
 
 
+_HALF = "name long, whole long, x0 int, x1 int, h long, g int, at long, n_before int, n_after int, sides binary"
+
+
+def _halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows twice, for the lower and the upper half of the numbers x0 to x1 of bytes before the name.
+
+    name stands for what all strings with a number in that half share, whole for what they span; a
+    half for which a row has too few bytes is left out, and whole is null where only some fit.
+    """
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        name, x0, x1, n_before, n_after = (batch.column(c).to_numpy() for c in ("name", "x0", "x1", "n_before", "n_after"))
+        sides = _matrix(batch.column("sides"))
+        h_before, h_after = _side_hashes(sides[:, :SIDE]), _side_hashes(sides[:, SIDE:])
+        row = np.arange(len(name))
+
+        def key(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+            with np.errstate(over="ignore"):  # noqa: B023
+                return mix(mix(name.view(np.uint64) + before.astype(np.uint64)) + mix(h_before[before, row] * _OTHER + h_after[after, row])).view(np.int64)  # noqa: B023
+
+        for y0, y1 in ((x0, (x0 + x1) // 2), ((x0 + x1) // 2 + 1, x1)):
+            y1 = np.maximum(y0, y1)
+            shared, whole = key(y0, SIDE - y1), key(y1, SIDE - y0)
+            fits = np.flatnonzero((y0 <= x1) & (n_before >= y0) & (n_after >= SIDE - y1))
+            spanned = (n_before >= y1) & (n_after >= SIDE - y0)
+            columns = [pa.array(shared[fits]), pa.array(whole[fits], mask=~spanned[fits]), pa.array(y0[fits].astype(np.int32)), pa.array(y1[fits].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*columns, *(batch.column(c).take(pa.array(fits)) for c in ("h", "g", "at", "n_before", "n_after", "sides"))], names=["name", "whole", "x0", "x1", "h", "g", "at", "n_before", "n_after", "sides"])
+
+
+def _crowded(rows: DataFrame, most: int) -> DataFrame | None:
+    """Names that more than ``most`` rows share, counted map-side first; None if there are none."""
+    names = stored(rows.groupBy("name").count().where(F.col("count") > most).select("name"), "crowded")
+    return None if names.isEmpty() else fitting(names)
+
+
+def _all_spans(sides: DataFrame, length: int, most: int) -> DataFrame:
+    """(h, g, start, stop) of the rows that _with_sides gives, stored.
+
+    No task holds more than ``most`` rows of a name. Names with more are halved: rows whose
+    whole strings over a half are alike are settled by their count, and of these one stays; then the
+    names of the halves are looked at in the same way. At
+    a single number of bytes before the name what is shared is the whole string, so that ends.
+    """
+    end = F.col("at") + length
+    found = [sides.where("known").select("h", "g", (F.col("at") - F.least(F.col("n_before"), F.lit(SIDE))).alias("start"), (F.col("at") + length - SIDE + F.least(F.col("n_after"), F.lit(SIDE))).alias("stop"))]
+    rows = sides.where("sides is not null").select("name", "h", "g", "at", "n_before", "n_after", "sides")
+    x0, x1 = F.lit(0), F.lit(SIDE)
+    used = []
+    while True:
+        names = _crowded(rows, most)
+        few = rows if names is None else rows.join(names, "name", "left_anti")
+        parts = int(sides.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        few = few.select("name", "h", "g", "at", "n_before", "n_after", "sides").repartition(parts, "name").sortWithinPartitions("name")
+        found.append(few.mapInArrow(_spans(length), _SPAN))
+        if names is None:
+            break
+        many = rows.join(names, "name", "left_semi").select("name", x0.cast("int").alias("x0"), x1.cast("int").alias("x1"), "h", "g", "at", "n_before", "n_after", "sides")
+        many = stored(many.mapInArrow(_halved, _HALF), "halved")
+        used.append(many)
+        names = _crowded(many, most)
+        if names is None:
+            rows = many
+            continue
+        hot = many.join(names, "name", "left_semi")
+        row = F.struct("h", "g", "at")
+        twice = hot.where("whole is not null").groupBy("whole").agg(F.count("*").alias("n"), F.min(row).alias("one")).where("n > 1").select("whole", "one")
+        twice = stored(twice, "twice")
+        used.append(twice)
+        twice = fitting(twice)
+        found.append(hot.join(twice, "whole", "left_semi").select("h", "g", (F.col("at") - F.col("x1")).alias("start"), (end - F.col("x0")).alias("stop")))
+        # One row of each settled string stays, for others may share a part of it.
+        rest = hot.join(twice, "whole", "left").where("x0 < x1").where(F.col("one").isNull() | (F.col("one") == row)).drop("one")
+        rows = many.join(names, "name", "left_anti").unionByName(rest)
+        x0, x1 = F.col("x0"), F.col("x1")
+    spans = found[0]
+    for more in found[1:]:
+        spans = spans.union(more)
+    spans = stored(spans, "spans")
+    discard(*used)
+    return spans
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans united where they touch, from rows sorted by h, g and start."""
+    names = ["h", "g", "start", "stop"]
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h, g, start, stop = (np.concatenate(([x], c.to_numpy())) if last else c.to_numpy() for x, c in zip(last or names, batch.columns, strict=True))
+        other = np.append(False, (h[1:] != h[:-1]) | (g[1:] != g[:-1]))
+        lift = np.cumsum(other) * (int(stop.max()) + 1)
+        far = np.maximum.accumulate(stop + lift)
+        first = np.flatnonzero(np.append(True, start[1:] + lift[1:] > far[:-1]))
+        far = far[np.append(first[1:], len(h)) - 1] - lift[first]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[first[:-1]], g[first[:-1]].astype(np.int32), start[first[:-1]], far[:-1])], names=names)
+        last = (h[first[-1]], g[first[-1]], start[first[-1]], far[-1])
+    if last:
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(last, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=names)
+
+
 def merged(spans: list[dict], n: int) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted((s["start"], min(s["stop"], n)) for s in spans):
@@ -316,7 +470,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"h": F.xxhash64(text), "g": F.hash(text)})
 
 
-def repeated_passages(docs: DataFrame, length: int = 200, turns: int = 2, with_text: bool = False) -> tuple[DataFrame, DataFrame]:
+def repeated_passages(docs: DataFrame, length: int = 200, turns: int = 2, with_text: bool = False, most: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """What of each text is covered by strings of ``length`` bytes that also start elsewhere.
 
     ``docs`` has doc_id and text (null: empty; further columns are ignored). Gives its rows as
@@ -325,7 +479,8 @@ def repeated_passages(docs: DataFrame, length: int = 200, turns: int = 2, with_t
     character that a span cuts stays whole). Strings overlap, never cross texts, may repeat within
     one, and are judged on the input. Two rows of one text of ``length`` bytes or more lose all of
     it. ``turns`` deals the sampled suffixes into that many sorts, one after the other, which bounds
-    the disk in use; it doesn't change the result. ``length`` must be over 100. No rows: no rows.
+    the disk in use; ``most`` is how many rows of a name a task holds, names of more are halved.
+    Neither changes the result. ``length`` must be over 100. No rows: no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -335,38 +490,48 @@ def repeated_passages(docs: DataFrame, length: int = 200, turns: int = 2, with_t
     rows = stored(keyed.select("doc_id", "h", "g", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha256")), "rows")
     texts = rows.where(F.col("n_bytes") >= length).groupBy("h", "g").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.max("n_bytes").alias("n_bytes"))
 
-    marks = None
+    turned = []
     for turn in range(turns):
-        names = keyed.select("h", "text").mapInArrow(_sample(length, turn, turns), "name long, ref long")
-        found = names.repartition(parts, "name").sortWithinPartitions("name", "ref").mapInArrow(_repeated, "h40 long, at long")
-        found = stored(found.distinct(), "marks")
-        marks = found if marks is None else marks.union(found)
-    marks = marks.groupBy("h40").agg(F.collect_set("at").alias("marks"))
+        names = keyed.select("h", "g", "text").mapInArrow(_sample(length, turn, turns), "name long, ref long")
+        found = names.repartition(parts, "name").sortWithinPartitions("name", "ref").mapInArrow(_repeated, "h40 long, mark long")
+        turned.append(stored(found.distinct(), "marks"))
+    marks = turned[0]
+    for more in turned[1:]:
+        marks = marks.union(more)
+    marks = marks.groupBy("h40").agg(F.collect_set("mark").alias("marks"))
     wanted = texts.withColumn("h40", F.shiftright("h", 24)).join(marks, "h40").select("id", F.col("h").alias("_h"), F.col("g").alias("_g"), "marks")
     some = keyed.join(wanted, keyed.doc_id.eqNullSafe(wanted.id) & (keyed.h == wanted["_h"]) & (keyed.g == wanted["_g"]))
     some = stored(some.select("h", "g", "text", "marks"), "some")
+    discard(*turned)
 
-    sides = some.mapInArrow(_with_sides(length), _SIDES)
-    spans = sides.repartition(parts, "name").sortWithinPartitions("name").mapInArrow(_spans(length), "h long, g int, start long, stop long")
-    spans = stored(spans, "spans").distinct().groupBy("h", "g").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    sides = stored(some.mapInArrow(_with_sides(length), _SIDES), "sides")
+    spans = _all_spans(sides, length, most)
+    discard(sides)
     copied = texts.where("copies > 1").select("h", "g", "n_bytes")
-    once = spans.join(copied, ["h", "g"], "left_anti")
+    united = spans.join(copied, ["h", "g"], "left_anti").repartition(parts, "h", "g").sortWithinPartitions("h", "g", "start").mapInArrow(_united, _SPAN)
+    once = united.groupBy("h", "g").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     cut = some.select("h", "g", "text").join(once, ["h", "g"]).mapInArrow(_cut(with_text), _CUT)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("stop")))
     gone = copied.select("h", "g", whole.alias("spans"), F.col("n_bytes").alias("n_removed"), F.lit(sha256(b"").hexdigest()).alias("kept_sha256"), F.lit("" if with_text else None).cast("string").alias("kept"))
-    return rows, stored(cut.union(gone), "cut")
+    cut = stored(cut.union(gone), "cut")
+    discard(some, spans)
+    return rows, cut
 
 
 def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
-    """``docs`` with the repeated passages cut out of text, and n_chars, if there, counted anew."""
+    """``docs`` with the repeated passages cut out of text, and n_chars, if there, counted anew.
+
+    Rows and columns stay as they are otherwise; a null text stays null.
+    """
     _, cut = repeated_passages(docs, length, with_text=True)
-    kept = cut.select(F.col("h").alias("__h"), F.col("g").alias("__g"), F.col("kept").alias("__kept"))
+    h, g, kept = free_names(docs, "h", "g", "kept")
+    cut = cut.select(F.col("h").alias(h), F.col("g").alias(g), F.col("kept").alias(kept))
     text = F.coalesce("text", F.lit(""))
-    here = docs.join(kept, (F.xxhash64(text) == F.col("__h")) & (F.hash(text) == F.col("__g")), "left")
-    changed = F.col("__h").isNotNull()
-    out = {"text": F.when(changed, F.col("__kept")).otherwise(F.col("text"))}
+    here = docs.join(cut, (F.xxhash64(text) == F.col(h)) & (F.hash(text) == F.col(g)), "left")
+    changed = F.col(h).isNotNull()
+    out = {"text": F.when(changed, F.col(kept)).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(changed, F.char_length("__kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+        out["n_chars"] = F.when(changed, F.char_length(kept)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return here.select(*[out[c].alias(c) if c in out else docs[c] for c in docs.columns])
 
 
