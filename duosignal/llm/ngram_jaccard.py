@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from duosignal.llm.shared import components, emit, fitting, runs, small_batches, stored, table, utf8
+from duosignal.llm.shared import components, discard, emit, fitting, runs, small_batches, stored, table, utf8
 from duosignal.llm.shingles import shingle_sets
 
 
@@ -83,7 +83,7 @@ def _block_product(sizes: np.ndarray, sets: list[np.ndarray], left: np.ndarray,
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     overlap = np.zeros((len(left), len(right)), np.float64)
-    width, total = 4096, int(shared.sum())
+    width, total = 1024, int(shared.sum())
     for c in range(0, total, width):
         x, y = np.searchsorted(column, (c, c + width))
         block = np.zeros((len(sets), min(width, total - c)), np.float32)
@@ -93,6 +93,20 @@ def _block_product(sizes: np.ndarray, sets: list[np.ndarray], left: np.ndarray,
     return 100 * overlap >= percent * union
 
 
+def _roots(linked: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """For each of n rows the first row that it reaches over links: least neighbours and short cuts by turns."""
+    root = np.arange(n)
+    while True:
+        new = root.copy()
+        new[left] = np.minimum(new[left], np.where(linked, root[right][None, :], n).min(1))
+        new[right] = np.minimum(new[right], np.where(linked, root[left][:, None], n).min(0))
+        np.minimum.at(new, root, new.copy())
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def _links(percent: int):
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("links", pa.int64())])
 
@@ -109,22 +123,12 @@ def _links(percent: int):
         linked = _block_product(np.diff(cuts).astype(np.float64), sets, left, right, percent)
         if left is right:
             np.fill_diagonal(linked, False)
-        root = list(range(len(nodes)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for i, j in zip(*np.nonzero(linked), strict=True):
-            x, y = find(left[i]), find(right[j])
-            root[max(x, y)] = min(x, y)
+        root = _roots(linked, left, right, len(nodes))
         degree = np.zeros(len(nodes), np.int64)
         degree[left] = linked.sum(1)
         if left is not right:
             degree[right] = linked.sum(0)
-        yield from ((nodes[i], nodes[find(i)], int(degree[i])) for i in np.flatnonzero(degree))
+        yield from ((nodes[i], nodes[root[i]], int(degree[i])) for i in np.flatnonzero(degree))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from emit(schema, (row for rows in runs(batches, "pair") for row in block(rows)))
@@ -132,7 +136,7 @@ def _links(percent: int):
     return run
 
 
-def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, sampled: float | None = None, block: int = 256) -> DataFrame:
+def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, sampled: float | None = None, block: int = 1024, grams: int = 1 << 19) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for each row of ``docs`` (doc_id, text).
 
     A document's set are its distinct k-word shingles (A-Z lower-cased; fewer words: the whole
@@ -144,8 +148,10 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, sampled: float
     No rows: no rows. Further columns are ignored. Very long texts are worked on whole.
 
     ``sampled``: the share of the space of hashes that the first count covers, by default half as
-    much again as a linked pair can differ by. ``block``: rows of a block. Both change the work,
-    never the result.
+    much again as a linked pair can differ by. ``block`` and ``grams``: rows of a block and their
+    n-grams together, about. These change the work, never the result. What is sent for a group of N
+    rows that are all near copies of one another is N / block times their sets, for n_links counts
+    every pair of them.
     """
     sampled = min(0.999, 1.5 * (1 - percent / 100)) if sampled is None else sampled
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -159,24 +165,26 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, sampled: float
         whole = stored(whole, "whole")
     else:  # repeated rows
         whole = stored(whole.dropDuplicates(["x", "y"]), "whole")
-    kept = stored(_linkable(whole, "grams", whole.select("x", "y", "n"), percent), "kept")
+    kept = stored(_linkable(whole, "grams", some, percent), "kept")
     few = stored(whole.drop("n").join(fitting(kept), ["x", "y"]), "few")
-
-    shared = few.select(F.explode("grams").alias("gram"), "x", "y").withColumn("m", F.count("*").over(Window.partitionBy("gram"))).where("m > 1")
-    shared = few.select("x", "y", "node", "n").join(shared, ["x", "y"])
-    each = Window.partitionBy("x", "y")
-    rank = F.col("n") - F.count("*").over(each) + F.row_number().over(each.orderBy("m", "gram"))
-    bucket = Window.partitionBy("gram")
-    entries = shared.withColumn("rank", rank).where(F.col("rank") <= _differ(percent))
-    entries = entries.withColumns({"m": F.count("*").over(bucket), "lead": F.min("node").over(bucket)}).where("m > 1")
-    entries = stored(entries.select("gram", "node", "lead"), "entries")
+    discard(some, whole, kept)
+
+    # Entries: a row's first few n-grams in the order of rising frequency. Counts are taken map-side first.
+    each = few.select(F.explode("grams").alias("gram"), "x", "y")
+    often = each.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1")
+    shared = few.select("x", "y", "node", "n").join(each.join(often, "gram"), ["x", "y"])
+    own = Window.partitionBy("x", "y")
+    rank = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("m", "gram"))
+    ranked = stored(shared.withColumn("rank", rank).where(F.col("rank") <= _differ(percent)).select("gram", "node", "n"), "ranked")
+    leads = ranked.groupBy("gram").agg(F.count("*").alias("m"), F.min("node").alias("lead")).where("m > 1").select("gram", "lead")
+    entries = stored(ranked.join(leads, "gram"), "entries")
 
     # A block is named by the smallest node among the neighbours of a row's neighbours.
-    near = entries.groupBy("node").agg(F.min("lead").alias("label"))
-    near = entries.join(near, "node").groupBy("gram").agg(F.min("label").alias("label"))
-    near = entries.join(near, "gram").groupBy("node").agg(F.min("label").alias("label"))
+    near = entries.groupBy("node").agg(F.min("lead").alias("label"), F.max("n").alias("n"))
+    labels = entries.join(near, "node").groupBy("gram").agg(F.min("label").alias("label"))
+    near = entries.join(labels, "gram").groupBy("node").agg(F.min("label").alias("label"), F.max("n").alias("n"))
     near = stored(near, "near")
-    size = near.groupBy("label").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    size = near.groupBy("label").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / grams)).cast("int").alias("parts"))
     home = near.join(size, "label").select("node", F.struct("label", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part")).alias("home"))
     placed = stored(entries.select("gram", "node").join(home, "node"), "placed")
     other = placed.groupBy("gram", F.col("home").alias("other")).agg(F.count("*").alias("m"))
@@ -188,14 +196,17 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, sampled: float
     parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
     work = work.repartition(int(parts), "pair").sortWithinPartitions("pair")
     found = stored(work.mapInArrow(_links(percent), "a binary, b binary, links long"), "links")
+    discard(ranked, entries, near, placed)
 
+    # Components by set; a set that links with none is its own. Rows join their set once.
     joined = components(found.select("a", "b"))
     degree = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
-    names = few.select("x", "y", "node").join(joined, "node").join(degree, "node", "left").select("x", "y", F.col("component").alias("c"), "n_links")
-    group = F.coalesce("c", F.sha2(F.concat_ws(" ", "x", "y"), 256).cast("binary"))
-    rows = rows.select("doc_id", "n_shingles", "x", "y").join(names, ["x", "y"], "left").withColumn("group", group)
-    low = rows.where("n_shingles > 0").groupBy("group").agg(F.min("doc_id").alias("low"))
-    return rows.join(low, "group", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    linked = few.select("x", "y", "node", "id").join(joined, "node").join(degree, "node", "left")
+    lows = linked.groupBy("component").agg(F.min("id").alias("low"))
+    linked = linked.join(lows, "component").select("x", "y", "low", "n_links")
+    named = sets.join(linked, ["x", "y"], "left").select("x", "y", F.coalesce("low", "id").alias("low"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    rows = rows.select("doc_id", "n_shingles", "x", "y").join(named, ["x", "y"], "left")
+    return rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

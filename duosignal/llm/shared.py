@@ -64,7 +64,7 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
-def fitting(df: DataFrame, most: int = 1 << 20) -> DataFrame:
+def fitting(df: DataFrame, most: int = 1 << 18) -> DataFrame:
     """``df``, a stored table of a few numbers a row, to broadcast if it has at most ``most`` rows.
 
     With more it is left to join by a shuffle.
