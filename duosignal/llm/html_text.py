@@ -26,7 +26,7 @@ MARKS = set("ad ads advert advertisement adverts banner breadcrumb breadcrumbs c
 ROLES = set("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 HOLDERS = {"article", "main"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|xmp|noembed)\b.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|xmp|noembed)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 _NAMED = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _PARTS = re.compile(r"[a-z]+")
 
@@ -197,7 +197,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of ``pages`` (page_id, url, html).
 
     Null or empty html, or a page without text outside of menus and the like: empty text. Repeated
-    rows: one result each. No rows: no rows. Further columns are ignored. Whole pages are read.
+    rows: one result each. Of articles that weigh the same all are kept, in page order. No rows: no
+    rows. Further columns are ignored. Whole pages are read, in time linear in their length.
     """
     return pages.select("page_id", "url", "html").mapInArrow(per_row(_extract, _OUT, ["page_id", "url"], "html"), f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
 

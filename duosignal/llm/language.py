@@ -1,21 +1,23 @@
 """Language identification by a linear-chain conditional random field over words.
 
-A word's features are the byte n-grams of the word with its borders (so its affixes too) and the
-word itself, each hashed to a learned weight for each language; transitions between words' labels
-are learned as well. Forward-backward gives every word its posteriors, so texts that switch between
+A word's features are the byte n-grams of the word with its borders (those at a border are its
+affixes) and the word itself, each hashed to a learned weight for each language, and the language
+whose lexicon holds the word, if one does; transitions between words' labels are learned as well.
+Lexicons are the words that labelled texts have twice or more and nearly always in one language. Forward-backward gives every word its posteriors, so texts that switch between
 languages are labelled by words; a document takes the language of most posterior mass.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duosignal.llm.shared import small_batches, table
+from duosignal.llm.shared import first_by_hash, small_batches, table
 from duosignal.llm.shingles import batches, mix
 
 SIZES = (2, 3, 4)
@@ -27,9 +29,21 @@ _SPREAD, _SHIFT = np.uint64(0xBF58476D1CE4E5B9), np.uint64(64 - 17)
 _TABLE = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, 256, dtype=np.uint64)
 
 
+_UNSPACED = re.compile(rb"[\x80-\xff]{49,}")
+
+
+def _cut(run: re.Match) -> bytes:
+    letters = run[0].decode()
+    return " ".join(letters[i : i + 4] for i in range(0, len(letters), 4)).encode()
+
+
 def normal(text: str) -> bytes:
-    """Lower case, with each run of ASCII characters other than letters as one space."""
-    return b" ".join(text.lower().encode().translate(_LETTERS).split())
+    """Lower case, with each run of ASCII characters other than letters as one space.
+
+    Runs of other characters longer than words are, as scripts without spaces have, are cut by four.
+    """
+    clean = b" ".join(text.lower().encode().translate(_LETTERS).split())
+    return clean if clean.isascii() else _UNSPACED.sub(_cut, clean)
 
 
 def word_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
@@ -40,6 +54,8 @@ def word_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.n
     """
     a = np.frombuffer(b" " + b" ".join(t for t in texts if t) + b" ", np.uint8)
     counts = np.array([t.count(b" ") + 1 if t else 0 for t in texts], np.int64)
+    if not counts.any():
+        return counts, np.empty(0, np.int64), [np.empty(0, np.int32)] * len(SIZES), np.empty(0, np.int32)
     space = a == 32
     start = np.flatnonzero(space[:-1] & ~space[1:])
     found = []
@@ -68,9 +84,12 @@ class Model:
         self.languages = languages
         self.weights = np.zeros((BUCKETS + 1, n), np.float32)
         self.step = np.zeros((n, n))
+        #: The language whose lexicon holds a word, by the word's number; n is none.
+        self.lexicon = np.full(BUCKETS, n, np.int16)
+        self.lexical = np.zeros((n + 1, n))
 
     def scores(self, start: np.ndarray, found: list[np.ndarray], whole: np.ndarray) -> np.ndarray:
-        out = self.weights[whole].astype(np.float64)
+        out = self.weights[whole] + self.lexical[self.lexicon[whole]]
         for numbers in found:
             out += np.add.reduceat(np.take(self.weights, numbers[:-1], axis=0), start, axis=0)
         return out
@@ -93,9 +112,12 @@ class Model:
         real = np.zeros((SEGMENT, total), bool)
         real[column, row] = True
         step = np.exp(self.step - self.step.max())
+        opens = np.zeros(total, bool)  # no step leads to a text's first word
+        opens[first[parts > 0]] = True
         product = np.broadcast_to(np.eye(k), (total, k, k)).copy()
         for t in range(SEGMENT):
-            new = (product.reshape(-1, k) @ step).reshape(total, k, k) * psi[t][:, None, :]
+            new = (product.reshape(-1, k) @ step).reshape(total, k, k) if t else np.where(opens[:, None, None], product, product @ step)
+            new = new * psi[t][:, None, :]
             new /= new.max(axis=(1, 2), keepdims=True)
             product = np.where(real[t][:, None, None], new, product)
         ahead, behind = np.ones((total, k)), np.ones((total, k))
@@ -108,7 +130,7 @@ class Model:
             behind[last - 1] = x / x.max(axis=1, keepdims=True)
         forward = np.empty((SEGMENT, total, k))
         for t in range(SEGMENT):
-            new = (ahead @ step) * psi[t]
+            new = (ahead @ step if t else np.where(opens[:, None], ahead, ahead @ step)) * psi[t]
             new /= new.max(axis=1, keepdims=True)
             ahead = np.where(real[t][:, None], new, ahead)
             forward[t] = ahead
@@ -148,7 +170,8 @@ def fit(texts: list[str], labels: list[str], sequences: int = 6000, rounds: int
     """A model of labelled texts, by AdaGrad on the conditional likelihood.
 
     Training sequences of SEGMENT words join the words of one text with those of another, so that
-    the model meets switches of language.
+    the model meets switches of language. A text of fewer words gives one piece, which goes on into
+    the next text's words. Half of the words go without their lexicon, so that n-grams are learned too.
     """
     model = Model(sorted(set(labels)))
     if not model.languages:
@@ -161,32 +184,37 @@ def fit(texts: list[str], labels: list[str], sequences: int = 6000, rounds: int
     truth = np.repeat([model.languages.index(x) for x in labels], counts)
     half = SEGMENT // 2
     begin = np.cumsum(counts) - counts
-    pieces = np.concatenate([b + np.arange(0, c - half + 1, half) for b, c in zip(begin, counts, strict=True) if c >= half] or [np.empty(0, np.int64)])
-    if not len(pieces):
-        pieces = np.array([0])
+    k = len(model.languages)
+    seen = np.zeros((BUCKETS, k))
+    np.add.at(seen, (whole, truth), 1)
+    sure = (seen.sum(1) >= 2) & (seen.max(1) >= 0.9 * seen.sum(1))
+    model.lexicon[sure] = seen[sure].argmax(1)
+    pieces = np.concatenate([b + np.arange(0, max(1, c - half + 1), half) for b, c in zip(begin, counts, strict=True) if c])
     per = rng.permutation(np.concatenate([rng.choice(own, min(2 * sequences, 4 * sequences // len(model.languages)), replace=True) for y in range(len(model.languages)) if len(own := pieces[truth[np.minimum(pieces, len(truth) - 1)] == y])]))
     per = per[: len(per) // 2 * 2].reshape(-1, 2)[:sequences]
     alone = rng.random(len(per)) < 0.7
     per[alone, 1] = np.minimum(per[alone, 0] + half, len(truth) - half) if len(truth) >= SEGMENT else per[alone, 0]
     words = np.minimum((per[:, :, None] + np.arange(half)).reshape(len(per), SEGMENT), len(truth) - 1)
     size = np.diff(np.append(start, len(found[0]) - 1))
-    heat = [np.full_like(model.weights, 1e-3), np.full_like(model.step, 1e-3)]
-    k = len(model.languages)
+    heat = [np.full_like(x, 1e-3) for x in (model.weights, model.step, model.lexical)]
     for _ in range(rounds):
         for batch in np.array_split(rng.permutation(len(words)), max(1, len(words) // 256)):
             own = words[batch].ravel()
             at = np.repeat(start[own], size[own]) + np.arange(size[own].sum()) - np.repeat(np.cumsum(size[own]) - size[own], size[own])
             feature = np.concatenate([f[at] for f in found] + [whole[own]])
             member = np.concatenate([np.repeat(np.arange(len(own)), size[own])] * len(found) + [np.arange(len(own))])
-            scores = np.stack([np.bincount(member, model.weights[feature, y], len(own)) for y in range(k)], axis=1)
+            entry = np.where(rng.random(len(own)) < 0.5, model.lexicon[whole[own]], k)
+            scores = np.stack([np.bincount(member, model.weights[feature, y], len(own)) for y in range(k)], axis=1) + model.lexical[entry]
             word, steps = _pairs(model, scores.reshape(len(batch), SEGMENT, k))
             y = truth[words[batch]]
             error = word.reshape(-1, k)
             error[np.arange(len(own)), y.ravel()] -= 1
             gradient = np.stack([np.bincount(feature, error[member, j], BUCKETS + 1) for j in range(k)], axis=1) / len(batch)
             gradient[BUCKETS] = 0
+            lexical = np.stack([np.bincount(entry, error[:, j], k + 1) for j in range(k)], axis=1) / len(batch)
+            lexical[k] = 0
             np.subtract.at(steps, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
-            for parameter, g, h in ((model.weights, gradient, heat[0]), (model.step, steps / len(batch), heat[1])):
+            for parameter, g, h in ((model.weights, gradient, heat[0]), (model.step, steps / len(batch), heat[1]), (model.lexical, lexical, heat[2])):
                 h += g * g
                 parameter -= (rate * g / np.sqrt(h)).astype(parameter.dtype)
     return model
@@ -221,24 +249,27 @@ def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
     return out
 
 
-def labelled_sample(docs: DataFrame, rows: int) -> DataFrame:
-    """(text, lang) of at most ``rows`` rows for each language, in the order of a hash of doc_id."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    own = docs.where("lang is not null and text is not null")
-    ids = own.select("doc_id", "lang").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= rows).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
-    return own.join(F.broadcast(ids.distinct()), own.doc_id.eqNullSafe(F.col("_id")) & (own.lang == F.col("_lang"))).select("text", "lang")
+def labelled_sample(docs: DataFrame, rows: int, most: int) -> DataFrame:
+    """(text, lang) of at most ``rows`` rows for each language, in the order of a hash of doc_id.
+
+    Of a text longer than ``most`` characters that many are taken, from its start.
+    """
+    own = docs.select("doc_id", "lang", "text").where("lang is not null and text is not null")
+    ids = first_by_hash(own.select("doc_id", "lang"), "lang", rows).distinct().select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
+    return own.join(F.broadcast(ids), own.doc_id.eqNullSafe(F.col("_id")) & (own.lang == F.col("_lang"))).select(F.substring("text", 1, most).alias("text"), "lang")
 
 
-def identify_languages(docs: DataFrame, learn_from: DataFrame, rows: int = 200) -> DataFrame:
+def identify_languages(docs: DataFrame, learn_from: DataFrame, rows: int = 200, most: int = 20_000) -> DataFrame:
     """(doc_id, lang_pred, score) for each row of ``docs`` (doc_id, text).
 
-    Learned from text and lang of at most ``rows`` rows of ``learn_from`` for each language; the
-    model is some megabytes whatever the corpus. "und" with score 0 where text is null or has no
-    letter, or nothing is labelled. Repeated rows: one result each. No rows: no rows. Further
-    columns are ignored. Whole texts are labelled.
+    Learned from the first ``most`` characters of at most ``rows`` rows of ``learn_from`` for each
+    language, which bounds what the driver fits on; the model is some megabytes whatever the corpus.
+    "und" with score 0 where text is null or has no letter, or where no language is to be learned.
+    Of languages with even scores the first by name is taken. Repeated rows: one result each. No
+    rows: no rows. Further columns are ignored. Whole texts are labelled.
     """
     small_batches(docs.sparkSession)
-    sample = sorted((r.lang, r.text) for r in labelled_sample(learn_from, rows).collect())  # bounded by ``rows``
+    sample = sorted((r.lang, r.text) for r in labelled_sample(learn_from, rows, most).collect())  # bounded by ``rows`` and ``most``
     model = docs.sparkSession.sparkContext.broadcast(fit([t for _, t in sample], [x for x, _ in sample]))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

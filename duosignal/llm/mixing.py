@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duosignal.llm.shared import stored, table
+from duosignal.llm.shared import discard, first_by_hash, free_names, stored, table
 
 TARGETS = {"high": 0.85, "low": 0.1, "toxic": 0.05}
 
@@ -47,10 +47,8 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], sample:
     a hash of doc_id; its table has 2 * ``buckets`` rows at most. Domains weigh as often as they are
     among all labels. rows counts equal rows. Labels of documents that are not in ``docs`` count nowhere.
     """
-    order = Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id")
     present = stored(labelled.where(F.col("domain").isin(domains)).join(docs.select("doc_id"), "doc_id", "left_semi"), "present")
-    chosen = present.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample).select("doc_id", "domain")
-    chosen = stored(chosen, "chosen")
+    chosen = stored(first_by_hash(present.select("doc_id", "domain"), "domain", sample), "chosen")
     tally = lambda rows: {r.domain: r.n for r in rows.groupBy("domain").agg(F.count("*").alias("n")).collect()}  # noqa: E731  one row for each domain
     sizes, labels = tally(chosen), tally(present)
     known = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
@@ -118,20 +116,25 @@ def with_rates(members: DataFrame, targets: list[float], most: float | None = No
     return members.withColumn("rate", rate)
 
 
-def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], size: float = 1.0, most: float | None = None, **classifier) -> DataFrame:
+def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], size: float | None = 1.0, most: float | None = None, **classifier) -> DataFrame:
     """(doc_id, h, g, n_tokens, p_<domain> ..., rate, copies) for each different row of ``docs``.
 
     ``targets`` are the domains' weights; their token totals are these shares of ``size`` times all
-    tokens (words between ASCII white space). copies is the rate, rounded up or down by a hash of
+    tokens (words between ASCII white space). ``size`` None is the largest at which no domain is
+    asked for more tokens than it is expected to have. copies is the rate, rounded up or down by a hash of
     the row so that it is met on average. Equal rows have one result. Null text: no tokens, a
     posterior by its shape. Labels of unknown documents, other domains or null are left out; with
     none at all every posterior is even. No rows: no rows. Further columns are ignored.
     """
     domains = sorted(targets)
     members = stored(posteriors(docs, labelled, domains, **classifier), "members")
-    total = members.agg(F.sum(F.col("rows") * F.col("n_tokens"))).first()[0] or 0
+    n = F.col("rows") * F.col("n_tokens")
+    total, *held = members.agg(F.sum(n), *[F.sum(n * F.col(f"p_{i}")) for i in range(len(domains))]).first()  # one sum for each domain
     whole = sum(targets.values())
-    rated = with_rates(members, [targets[d] / whole * size * total for d in domains], most)
+    asked = (total or 0) * (1.0 if size is None else size)
+    if size is None:
+        asked = min([asked, *[(h or 0.0) * whole / targets[d] for h, d in zip(held, domains, strict=True) if targets[d] > 0]])
+    rated = with_rates(members, [targets[d] / whole * asked for d in domains], most)
     out = rated.select("doc_id", "h", "g", "n_tokens", *[F.col(f"p_{i}").alias(f"p_{d}") for i, d in enumerate(domains)], "rate")
     chance = F.pmod(F.xxhash64("doc_id", "h", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     return out.withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("long"))
@@ -144,10 +147,11 @@ def label_domains(labels: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], **options) -> DataFrame:
-    """``docs`` with each row as often as its copies say."""
-    rates = mixed(docs, labelled, targets, **options).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("g").alias("__g"), F.col("copies").cast("int").alias("__n"))
-    here = docs.join(rates, docs.doc_id.eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h")) & (F.hash("text") == F.col("__g")))
-    return here.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__n")))).select(*docs.columns)
+    """``docs`` with each row as often as its copies say, with their columns whatever their names."""
+    row, h, g, n, copy = free_names(docs, "row", "h", "g", "copies", "copy")
+    rates = mixed(docs, labelled, targets, **options).where("copies > 0").select(F.col("doc_id").alias(row), F.col("h").alias(h), F.col("g").alias(g), F.col("copies").cast("int").alias(n))
+    here = docs.join(rates, docs.doc_id.eqNullSafe(F.col(row)) & (F.xxhash64("text") == F.col(h)) & (F.hash("text") == F.col(g)))
+    return here.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(n)))).select(*docs.columns)
 
 
 def op6_mixing_weights(spark, sf_dir: str) -> DataFrame:

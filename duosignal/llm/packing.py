@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right, insort
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from duosignal.llm.shared import emit, stored, table
+from duosignal.llm.shared import emit, fitting, stored, table
 from duosignal.llm.tokens import RANKS, VOCABULARY, encoder
 
 END = 2
@@ -173,6 +173,18 @@ def _places(shapes: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
     return out
 
 
+def _by_range(places: list[tuple[int, int, int, int, int]]) -> tuple[list[tuple[int, ...]], dict[int, int]]:
+    """The places under each range of ranks that they reach into, and how many ranks a range of a length has.
+
+    Ranges are about as wide as a place of that length is on average, so that a rank meets few places.
+    """
+    held, ranks = Counter(p[0] for p in places), Counter()
+    for x, first, last, *_ in places:
+        ranks[x] += last - first + 1
+    widths = {x: -(-ranks[x] // n) for x, n in held.items()}
+    return [(x, at, first, last, *rest) for x, first, last, *rest in places for at in range(first // widths[x], last // widths[x] + 1)], widths
+
+
 def pack(docs: DataFrame, size: int = 1024, small: int = 64, groups: tuple[int, ...] = (32, 128, 1024), vocabulary: str = VOCABULARY, ranks: str = RANKS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), a row for each piece.
 
@@ -181,7 +193,8 @@ def pack(docs: DataFrame, size: int = 1024, small: int = 64, groups: tuple[int,
     repeated rows are packed as often. Null or empty text: END alone. No rows: no rows. Ties are
     dealt by the order of pieces within the tasks that cut them.
 
-    The histogram has at most ``size`` numbers, so planning is bounded whatever the corpus.
+    The histogram has at most ``size`` numbers, so the plan is bounded whatever the corpus: some
+    tens of thousands of places.
     ``small`` lengths take no part in the configurations; ``groups`` are the numbers of groups that
     are tried, the plan of fewest sequences is taken.
     """
@@ -189,10 +202,14 @@ def pack(docs: DataFrame, size: int = 1024, small: int = 64, groups: tuple[int,
     pieces = stored(pieces, "pieces")
     own = stored(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "counts")
     counts = {r.length: r.n for r in own.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``size`` rows
-    places = docs.sparkSession.createDataFrame(_places(best_plan(counts, size, small, groups)), "at long, first long, last long, sequence long, offset long")
-    before = own.select("part", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
+    places, widths = _by_range(_places(best_plan(counts, size, small, groups)))
+    spark = docs.sparkSession
+    places = spark.createDataFrame(places, "at long, range long, first long, last long, sequence long, offset long")
+    widths = spark.createDataFrame(list(widths.items()), "length long, width long")
+    before = own.select("part", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before")).join(F.broadcast(widths), "length")
     ranked = pieces.join(before, ["part", "length"]).withColumn("rank", F.col("before") + F.col("place"))
-    placed = ranked.join(F.broadcast(places), (F.col("length") == F.col("at")) & F.col("rank").between(F.col("first"), F.col("last")))
+    here = (F.col("length") == F.col("at")) & (F.floor(F.col("rank") / F.col("width")) == F.col("range")) & F.col("rank").between(F.col("first"), F.col("last"))
+    placed = ranked.join(fitting(places), here)
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset")
 
 

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duosignal.llm.shared import stored, table
+from duosignal.llm.shared import free_names, stored, table
 
 WHITE = " \t\n\x0b\x0c\r"
 VECTOR = ["v_word", "v_symbol", "v_line", "v_repeat", "v_size"]
@@ -166,15 +166,16 @@ def quality(docs: DataFrame, least: int = 50, share: float = 0.75, steps: int =
     factors = stored(_factor(_estimates(_moments(near, ["g"]), _consistency(0.975))), "factors")
     judged = _distance(sound, factors).where(F.col("d2") > chi2_quantile(1 - tail, D)).select("doc_id", "row_key", "d2").distinct()
     far = judged.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), F.col("d2").alias("distance"))
-    out = rows.join(far, rows.doc_id.eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key")), "left")
+    out = rows.join(far, rows.doc_id.eqNullSafe(far["_id"]) & (rows.row_key == far["_key"]), "left")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("distance").isNull()).alias("kept"), "distance", "row_key")
 
 
 def keep_good(docs: DataFrame, judge: Callable[[DataFrame], DataFrame] = quality) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with their columns."""
-    bad = judge(docs).where("not kept").select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).distinct()
-    here = docs.withColumn("__row_key", F.xxhash64("doc_id", "lang", "source", "text"))
-    return here.join(bad, here.doc_id.eqNullSafe(F.col("_id")) & (here["__row_key"] == F.col("_key")), "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that ``judge`` keeps, with their columns whatever their names."""
+    row, key, own = free_names(docs, "row", "key", "own")
+    bad = judge(docs).where("not kept").select(F.col("doc_id").alias(row), F.col("row_key").alias(key)).distinct()
+    here = docs.withColumn(own, F.xxhash64("doc_id", "lang", "source", "text"))
+    return here.join(bad, here.doc_id.eqNullSafe(F.col(row)) & (F.col(own) == F.col(key)), "left_anti").select(*docs.columns)
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from duosignal.llm.html_text import op3_html_extraction
 from duosignal.llm.language import op4_language_id
 from duosignal.llm.licenses import op7_license_scans
@@ -30,13 +29,9 @@ def queries() -> dict[str, Callable]:
         "op8_quality_rules": op8_quality_rules,
         "op9_token_counts": op9_token_counts,
         "op10_best_fit_packing": op10_best_fit_packing,
-        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """The others hold models, media, tokens or packing, and are tested against brute force."""
-    found = {"op1_ngram_jaccard": NGRAM_JACCARD, "op7_license_scans": LICENSE_SCANS}
-    if corpus_pipeline.ORACLE_SQL:
-        found["pipeline"] = corpus_pipeline.ORACLE_SQL
-    return found
+    return {"op1_ngram_jaccard": NGRAM_JACCARD, "op7_license_scans": LICENSE_SCANS}

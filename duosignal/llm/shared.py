@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -64,6 +64,20 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def first_by_hash(rows: DataFrame, key: str, most: int, bins: int = 4096) -> DataFrame:
+    """At most ``most`` of ``rows`` (doc_id, ``key``) for each value of the key, in the order of a hash of doc_id.
+
+    Rows are counted by range of the hash first, map-side; only those of the ranges that the last
+    taken rows fall in are ordered, so no key's rows meet in a task. Equal rows count each.
+    """
+    rows = rows.withColumns({"_hash": F.xxhash64("doc_id"), "_bin": F.shiftright(F.xxhash64("doc_id"), 65 - bins.bit_length())})
+    counts = stored(rows.groupBy(key, "_bin").agg(F.count("*").alias("_n")), "bins")
+    before = counts.select(key, "_bin", "_n", (F.sum("_n").over(Window.partitionBy(key).orderBy("_bin")) - F.col("_n")).alias("_before"))
+    near = rows.join(before.where(F.col("_before") < most), [key, "_bin"])
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy(key, "_bin").orderBy("_hash", "doc_id"))
+    return near.withColumn("_rank", rank).where(F.col("_rank") <= most).select("doc_id", key)
+
+
 def fitting(df: DataFrame, most: int = 1 << 18) -> DataFrame:
     """``df``, a stored table of a few numbers a row, to broadcast if it has at most ``most`` rows.
 

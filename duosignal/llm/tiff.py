@@ -71,6 +71,8 @@ def unpack_lzw(data: bytes) -> bytes:
         if code == 256:
             words, width, last = [*single, b"", b""], 9, b""
             continue
+        if code > len(words) or code == len(words) and not last:
+            raise ValueError("no such LZW code")
         word = words[code] if code < len(words) else last + last[:1]
         out.append(word)
         if last:
@@ -160,8 +162,8 @@ def write_tiff(samples: np.ndarray, compression: int = DEFLATE, predictor: int =
 
 def read_tiff(data: bytes) -> Iterator[tuple[dict[int, tuple], np.ndarray]]:
     """(fields, samples as rows x width x samples a pixel) of each page."""
-    order = {b"II": "<", b"MM": ">"}[data[:2]]
-    if struct.unpack_from(order + "H", data, 2)[0] != 42:
+    order = {b"II": "<", b"MM": ">"}.get(data[:2])
+    if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise ValueError("not a TIFF file")
     (at,) = struct.unpack_from(order + "I", data, 4)
     seen: set[int] = set()
@@ -180,10 +182,22 @@ def read_tiff(data: bytes) -> Iterator[tuple[dict[int, tuple], np.ndarray]]:
         (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
 
 
+def _narrow(raw: bytes, rows: int, wide: int, bits: int) -> np.ndarray:
+    """Samples of 1, 2 or 4 bits, the highest first; rows begin at whole bytes."""
+    line = -(-wide * bits // 8)
+    single = np.unpackbits(np.frombuffer(raw, np.uint8, rows * line).reshape(rows, line), axis=1)[:, : wide * bits]
+    return (single.reshape(rows, wide, bits) << np.arange(bits - 1, -1, -1, dtype=np.uint8)).sum(axis=2, dtype=np.uint8)
+
+
 def _samples(data: bytes, fields: dict[int, tuple], order: str) -> np.ndarray:
     one = lambda tag, default: fields.get(tag, (default,))[0]
     wide, high, depth, planar = fields[WIDTH][0], fields[HEIGHT][0], one(SAMPLES, 1), one(PLANAR, 1)
-    kind = np.dtype({8: "u1", 16: order + "u2", 32: order + "u4"}[one(BITS, 1)])
+    bits, packing = one(BITS, 1), one(COMPRESSION, 1)
+    if len(set(fields.get(BITS, (1,)))) > 1 or bits not in (1, 2, 4, 8, 16, 32) or packing not in UNPACK:
+        raise ValueError(f"{bits} bits or compression {packing} are not read")
+    kind = np.dtype("u1" if bits <= 8 else f"{order}u{bits // 8}")
+    if wide * high * depth * bits / 8 > 2048 * len(data):  # more than any of the codes can hold
+        raise ValueError("more pixels than data")
     tiled = TILE_OFFSETS in fields
     part_high, part_wide = (fields[TILE_HEIGHT][0], fields[TILE_WIDTH][0]) if tiled else (min(one(ROWS_PER_STRIP, high), high), wide)
     offsets, sizes = (fields[TILE_OFFSETS], fields[TILE_BYTES]) if tiled else (fields[STRIP_OFFSETS], fields[STRIP_BYTES])
@@ -194,9 +208,12 @@ def _samples(data: bytes, fields: dict[int, tuple], order: str) -> np.ndarray:
         plane, place = divmod(i, across * down)
         y, x = place // across * part_high, place % across * part_wide
         rows = part_high if tiled else min(part_high, high - y)
-        raw = UNPACK[one(COMPRESSION, 1)](data[offset : offset + size])
-        part = np.frombuffer(raw, kind, rows * part_wide * each).reshape(rows, part_wide, each)
-        if one(PREDICTOR, 1) == 2:
+        raw = UNPACK[packing](data[offset : offset + size])
+        if bits < 8:
+            part = _narrow(raw, rows, part_wide * each, bits).reshape(rows, part_wide, each)
+        else:
+            part = np.frombuffer(raw, kind, rows * part_wide * each).reshape(rows, part_wide, each)
+        if one(PREDICTOR, 1) == 2 and bits >= 8:
             part = np.cumsum(part, axis=1, dtype=kind.newbyteorder("="))
         elif one(PREDICTOR, 1) != 1:
             raise ValueError("unknown predictor")
@@ -208,21 +225,29 @@ def _samples(data: bytes, fields: dict[int, tuple], order: str) -> np.ndarray:
 def tiff_pages(files: DataFrame, media: str = "media") -> DataFrame:
     """One row for each page of the TIFF files in the binary column ``media``.
 
-    Keeps the key column ``doc_id`` and adds page (from 0), width, height, samples, compression and
-    pixels (binary, rows first). A null file has no pages; a damaged one raises.
+    Keeps the key column ``doc_id`` and adds page (from 0), width, height, samples, compression,
+    pixels (binary, rows first; samples of under 8 bits take a byte each) and error. A null or empty
+    file has no pages. A damaged one, or one of a form that is not read, has the pages up to there
+    and a row with the next page's number and an error. Repeated rows: pages each. No rows: no rows.
+    Further columns are ignored.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("samples", pa.int32()), ("compression", pa.int32()), ("pixels", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("samples", pa.int32()), ("compression", pa.int32()), ("pixels", pa.binary()), ("error", pa.string())])
 
     def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
         for doc, data in zip(batch.column("doc_id").to_pylist(), batch.column(media).to_pylist(), strict=True):
-            for i, (fields, pixels) in enumerate(read_tiff(data) if data else ()):
-                yield doc, i, pixels.shape[1], pixels.shape[0], pixels.shape[2], fields[COMPRESSION][0], pixels.tobytes()
+            i = 0
+            try:
+                for fields, pixels in read_tiff(data) if data else ():
+                    yield doc, i, pixels.shape[1], pixels.shape[0], pixels.shape[2], fields.get(COMPRESSION, (PLAIN,))[0], pixels.tobytes(), None
+                    i += 1
+            except (struct.error, zlib.error, ValueError, KeyError, IndexError, TypeError, ZeroDivisionError) as e:
+                yield doc, i, None, None, None, None, None, f"{type(e).__name__}: {e}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from emit(schema, rows(batch), 64)
 
-    return files.select("doc_id", media).mapInArrow(run, "doc_id long, page int, width int, height int, samples int, compression int, pixels binary")
+    return files.select("doc_id", media).mapInArrow(run, "doc_id long, page int, width int, height int, samples int, compression int, pixels binary, error string")
 
 
 def payload(text: bytes, width: int = 576) -> bytes:
