@@ -9,10 +9,10 @@ from duosignal.llm.mixing import label_domains, mixed_documents
 from duosignal.llm.ngram_jaccard import ngram_jaccard
 from duosignal.llm.packing import pack
 from duosignal.llm.quality import keep_good
-from duosignal.llm.shared import stored, table
+from duosignal.llm.shared import discard, free_names, stored, table
 from duosignal.llm.suffix_dedup import without_repeats
 
-#: Shares of all tokens. More is asked of the high domain than there is, so that its documents stay.
+#: Shares of the tokens that the mixing stage gives, as many as the scarcest domain allows without repeats.
 TARGETS = {"high": 0.97, "low": 0.02, "toxic": 0.01}
 
 #: Packing and mixing can't be written as SQL over the tables.
@@ -20,31 +20,41 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the outlier test keep."""
+    """Documents that the base rules and the outlier test keep; null and wordless texts go."""
     return keep_good(docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each group that 5-word shingles link at 0.8.
 
-    Rows of one doc_id count as one document; equal ones of these stay once.
+    Rows of one doc_id count as one document; equal ones of these stay once. A text without words
+    is a group of its own, so it stays.
     """
-    first = ngram_jaccard(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(first, docs.doc_id.eqNullSafe(F.col("_first")), "left_semi").dropDuplicates(["doc_id", "text"])
+    (name,) = free_names(docs, "first")
+    first = ngram_jaccard(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(first, docs.doc_id.eqNullSafe(F.col(name)), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without strings of 200 bytes that stand elsewhere too; cut characters stay."""
+    """Documents without strings of 200 bytes that stand elsewhere too; cut characters stay.
+
+    Every row stays, if with an empty text.
+    """
     return without_repeats(docs)
 
 
 def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents thinned so that the domains of the labels table come close to TARGETS; none repeats."""
-    return mixed_documents(docs, label_domains(table(spark, sf_dir, "labels")), TARGETS, most=1.0)
+    """Documents thinned so that the expected tokens of the domains of the labels table meet TARGETS.
+
+    None repeats. Rates round up or down by a hash of the row, so equal rows stay or go together;
+    labels of documents that are gone count nowhere. Texts without tokens weigh nothing and stay as
+    their posteriors say.
+    """
+    return mixed_documents(docs, label_domains(table(spark, sf_dir, "labels")), TARGETS, size=None, most=1.0)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, with their places in sequences of 1024 tokens."""
+    """The pieces of all documents, with their places in sequences of 1024 tokens; empty texts are one token."""
     return pack(docs)
 
 
@@ -60,6 +70,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over the documents table, each written and read again before the next."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), "stage")
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, stored(stage(spark, docs, sf_dir), "stage")
+        if i:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
