@@ -10,15 +10,16 @@ from duosignal.functions.numeric import r6
 from duosignal.operators import ridge as m
 from duosignal.operators import series as s
 from duosignal.operators.folds import contiguous_folds, min_max, train_test
+from duosignal.operators.nulls import permutation_null, permuted, shuffle_key_sql
+from duosignal.operators.spectral import windowed_sinc
 
 ALPHA = 5.0
 CHANNELS = ["y1", "y2", "y3"]
 
 
 def folded(t: Tables, k: int = 5) -> DataFrame:
-    """lineitem as series in units near 1, with folds."""
-    rows = t.l.select("k", "t", (F.col("x") / 50).alias("x"), (F.col("y1") / 100000).alias("y1"), (F.col("y2") * 10).alias("y2"), (F.col("y3") * 10).alias("y3"))
-    return contiguous_folds(rows, ["k"], k)
+    """lineitem as series, with folds."""
+    return contiguous_folds(t.l, ["k"], k)
 
 
 def encoded(t: Tables, x: str = "x", channels: list[str] = CHANNELS, alpha: float = ALPHA) -> DataFrame:
@@ -26,7 +27,7 @@ def encoded(t: Tables, x: str = "x", channels: list[str] = CHANNELS, alpha: floa
 
 
 #: The same model row by row: folds, long form Y, fits T on scaled rows Z, lines W, predictions P, scores S.
-FOLDED = f"{L}, F as (select cast(k as bigint) as k, t, x / 50 as x, y1 / 100000 as y1, y2 * 10 as y2, y3 * 10 as y3, ntile(5) over (partition by k order by t) - 1 as fold from L)"
+FOLDED = f"{L}, F as (select cast(k as bigint) as k, t, x, y1, y2, y3, ntile(5) over (partition by k order by t) - 1 as fold from L)"
 
 
 def model_sql(x: str = "x", channels: list[str] = CHANNELS, tag: str = "", alpha: str = "5e0") -> str:
@@ -42,17 +43,76 @@ S{tag} as (select k, channel, fold, case when stddev_pop(p) > 1e-9 and stddev_po
 MODEL = f"{FOLDED}, {model_sql()}"
 
 
-@query("gram", f"with {FOLDED} select k, fold, count(*) as n, {r('sum(x)', 3)} as sx, {r('sum(y1)', 3)} as sy, {r('sum(x * x)', 3)} as sxx, {r('sum(x * y1)', 3)} as sxy, {r('sum(y1 * y1)', 3)} as syy, min(x) as low, max(x) as high from F group by k, fold")
+def wide_sql(source: str, group: str, responses: list[str], alpha: str = "5e0", x_by: str = "Normalize", y_by: str = "Standarize") -> str:
+    """The ridge models of two features a and b row by row, from ``source`` (group, t, fold, a, b, responses).
+
+    CTEs: long form Y, training statistics T, scaled rows Z, moments H, weights W, predictions P, scores S.
+    """
+
+    def scaled(c: str, by: str) -> str:
+        size, shift = (f"(h{c} - l{c})", f"l{c}") if by == "Normalize" else (f"s{c}", f"m{c}")
+        return f"case when h{c} > l{c} then ({c} - {shift}) / {size} else 0.0 end"
+
+    union = " union all ".join(f"select {group}, t, fold, a, b, '{c}' as channel, {c} as y from {source}" for c in responses)
+    stats = ", ".join(f"min({c}) as l{c}, max({c}) as h{c}, avg({c}) as m{c}, stddev_pop({c}) as s{c}" for c in "aby")
+    det = f"((aa + {alpha}) * (bb + {alpha}) - ab * ab)"
+    return f"""Y as ({union}), T as (select {group}, channel, split, {stats} from Y, (select unnest(range(5)) as split) where fold <> split group by all),
+Z as (select {group}, channel, split, fold, t, {scaled('a', x_by)} as a, {scaled('b', x_by)} as b, {scaled('y', y_by)} as y from Y join T using ({group}, channel)),
+H as (select {group}, channel, split, count(*) as n, regr_sxx(a, a) as aa, regr_sxx(b, b) as bb, regr_sxy(a, b) as ab, regr_sxy(y, a) as ay, regr_sxy(y, b) as by_, avg(a) as ma, avg(b) as mb, avg(y) as my, regr_sxx(y, y) as yy from Z where fold <> split group by all),
+W as (select *, ((bb + {alpha}) * ay - ab * by_) / {det} as wa, ((aa + {alpha}) * by_ - ab * ay) / {det} as wb from H),
+P as (select {group}, channel, split as fold, t, y, wa * a + wb * b + my - wa * ma - wb * mb as p from Z join W using ({group}, channel, split) where Z.fold = split),
+S as (select {group}, channel, fold, case when stddev_pop(p) > 1e-12 and stddev_pop(y) > 1e-12 then corr(p, y) end as r, sqrt(avg((p - y) * (p - y))) as rmse from P group by all)"""
+
+
+#: Two features: x and x one sample before.
+PAIRED = f"{FOLDED}, G as (select k, t, fold, x as a, lag(x, 1, 0.0) over (partition by k order by t) as b, y1, y2, y3 from F)"
+WIDE = f"{PAIRED}, {wide_sql('G', 'k', CHANNELS)}"
+
+
+def paired(t: Tables) -> DataFrame:
+    """Features and responses as the arrays xs and ys."""
+    rows = s.lag_matrix(folded(t), ["k"], ["x"], [0, 1])
+    return rows.select("k", "t", "fold", F.array("x_x_0", "x_x_1").alias("xs"), F.array(*CHANNELS).alias("ys"))
+
+
+def wide(t: Tables, alphas: list[float] | None = None) -> DataFrame:
+    return named(m.encode_wide(paired(t), ["k"], "xs", "ys", 2, alphas or [ALPHA]), CHANNELS)
+
+
+def named(fits: DataFrame, channels: list[str]) -> DataFrame:
+    return fits.withColumn("channel", F.get(F.array(*map(F.lit, channels)), F.col("response").cast("int")))
+
+
+@query("gram", f"with {FOLDED} select k, fold, count(*) as n, {r('avg(x)')} as mx, {r('avg(y1)')} as my, {r('var_pop(x)')} as vx, {r('covar_pop(x, y1) / 1e3')} as vxy, {r('var_pop(y1) / 1e6')} as vy, min(x) as low, max(x) as high from F group by k, fold")
 def gram(t: Tables) -> DataFrame:
     rows = m.pair_blocks(folded(t).withColumnRenamed("y1", "y"), ["k"])
-    return rows.select("k", "fold", F.col("n").cast("long").alias("n"), *[F.round(c, 3).alias(c) for c in m.SUMS[1:]], "low", "high")
+    n = F.col("n")
+    dx, dy = F.col("sx") / n, F.col("sy") / n
+    moments = {"mx": F.col("x0") + dx, "my": F.col("y0") + dy, "vx": F.col("sxx") / n - dx * dx, "vxy": (F.col("sxy") / n - dx * dy) / 1e3, "vy": (F.col("syy") / n - dy * dy) / 1e6}
+    return rows.select("k", "fold", n.cast("long").alias("n"), *[r6(c).alias(k) for k, c in moments.items()], "low", "high")
 
 
-@query("gram_wide", f"with {FOLDED} select k, {r('sum(x * y1)', 3)} as xy1, {r('sum(y2 * y1)', 3)} as y2y1, {r('sum(y2)', 3)} as y2, count(*) as n from F group by k")
+@query("gram_wide", f"with {FOLDED} select k, {r('covar_pop(x, y1)')} as xy1, {r('covar_pop(y2, y1)')} as y2y1, {r('avg(y2)')} as y2, min(x) as low, max(y1) as high, count(*) as n from F group by k")
 def gram_wide(t: Tables) -> DataFrame:
     grams = m.gram(folded(t).select("k", F.array("x", "y2").alias("xs"), F.array("y1").alias("ys")), ["k"], "xs", "ys")
-    at = lambda i, j: F.get("moments", F.lit(4 * i + j))
-    return grams.select("k", F.round(at(1, 3), 3).alias("xy1"), F.round(at(2, 3), 3).alias("y2y1"), F.round(at(0, 2), 3).alias("y2"), at(0, 0).cast("long").alias("n"))
+    at = lambda c, i: F.get(c, F.lit(i))
+    return grams.select("k", r6(at("products", 2) / F.col("n")).alias("xy1"), r6(at("products", 5) / F.col("n")).alias("y2y1"), r6(at("mean", 1)).alias("y2"), at("low", 0).alias("low"), at("high", 2).alias("high"), F.col("n").cast("long").alias("n"))
+
+
+@query("encode_wide", f"with {WIDE} select k, channel, fold, {r('r')} as r, {r('rmse')} as rmse from S")
+def encode_wide(t: Tables) -> DataFrame:
+    return wide(t).select("k", "channel", "fold", r6("r").alias("r"), r6("rmse").alias("rmse"))
+
+
+@query("encode_wide_weights", f"with {WIDE} select k, channel, split as fold, {r('wa')} as wa, {r('wb')} as wb, {r('my - wa * ma - wb * mb')} as b from W")
+def encode_wide_weights(t: Tables) -> DataFrame:
+    return wide(t).select("k", "channel", "fold", *[r6(F.get("w", F.lit(i))).alias(c) for i, c in enumerate(("wa", "wb"))], r6("b").alias("b"))
+
+
+@query("predict_wide", f"with {WIDE} select k, t, channel, {r('y')} as y, {r('p')} as p from P")
+def predict_wide(t: Tables) -> DataFrame:
+    rows = named(m.predict_wide(paired(t), wide(t).drop("channel"), ["k", "fold"], "xs", "ys"), CHANNELS)
+    return rows.select("k", "t", "channel", r6("y_true").alias("y"), r6("p").alias("p"))
 
 
 @query("ridge_encode", f"with {MODEL} select k, channel, split as fold, {r('w')} as w, {r('b')} as b from W")
@@ -80,46 +140,56 @@ def fold_mean(t: Tables) -> DataFrame:
     return encoded(t).groupBy("k", "channel").agg(*[r6(F.avg(c)).alias(c) for c in ("r", "rmse", "w")])
 
 
-_LAGGED = "G as (select k, t, x, y1, lag(x, 1, 0.0) over (partition by k order by t) as x1 from F)"
-_TWO = "select k, regr_sxx(a, a) + 5e0 as aa, regr_sxx(b, b) + 5e0 as bb, regr_sxy(a, b) as ab, regr_sxy(y, a) as ay, regr_sxy(y, b) as by_, avg(a) as ma, avg(b) as mb, avg(y) as my, regr_sxx(y, y) as yy from"
-_WEIGHTS = "V as (select *, (bb * ay - ab * by_) / (aa * bb - ab * ab) as wa, (aa * by_ - ab * ay) / (aa * bb - ab * ab) as wb from H)"
+#: Lags 2 and 1 of x: the range of times is turned round.
+_TRF = f"{FOLDED}, G as (select k, t, fold, lag(x, 2, 0.0) over (partition by k order by t) as a, lag(x, 1, 0.0) over (partition by k order by t) as b, y1 from F), {wide_sql('G', 'k', ['y1'])}"
 
 
-@query("lag_model", f"with {FOLDED}, {_LAGGED}, H as ({_TWO} (select k, x as a, x1 as b, y1 as y from G) group by k), {_WEIGHTS} select k, 0 as lag, {r('wa')} as w, {r('my - wa * ma - wb * mb')} as b from V union all select k, 1, {r('wb')}, {r('my - wa * ma - wb * mb')} from V")
+@query("lag_model", f"with {_TRF} select k, split as fold, cast(0 as bigint) as lag, {r('wa')} as w, {r('S.r')} as r from W join S using (k, channel) where S.fold = split union all select k, split, 1, {r('wb')}, {r('S.r')} from W join S using (k, channel) where S.fold = split")
 def lag_model(t: Tables) -> DataFrame:
-    rows = s.lag_matrix(folded(t), ["k"], ["x"], [0, 1]).select("k", F.array("x_x_0", "x_x_1").alias("xs"), F.array("y1").alias("ys"))
-    return m.fit_wide(m.gram(rows, ["k"], "xs", "ys"), ["k"], 2, ALPHA).select("k", F.col("feature").cast("int").alias("lag"), r6("w").alias("w"), r6("b").alias("b"))
+    fits = m.lag_model(folded(t), ["k"], "x", ["y1"], 0.0, 2 / 128, 128, ALPHA)
+    return fits.select("k", "fold", F.posexplode("w").alias("lag", "w"), "r").select("k", "fold", F.col("lag").cast("long").alias("lag"), r6("w").alias("w"), r6("r").alias("r"))
 
 
-_DECODED = f"{FOLDED}, H as ({_TWO} (select k, y1 as a, y2 as b, x as y from F) group by k), {_WEIGHTS}"
+#: Two channels to the stimulus one sample before.
+_DECODED = f"{FOLDED}, G as (select k, t, fold, y1 as a, y2 as b, lag(x, 1, 0.0) over (partition by k order by t) as x from F), {wide_sql('G', 'k', ['x'], x_by='Standarize', y_by='Normalize')}"
 
 
-def _decoder_grams(t: Tables) -> DataFrame:
-    return m.gram(folded(t).select("k", F.array("y1", "y2").alias("xs"), F.array("x").alias("ys")), ["k"], "xs", "ys")
+def decoded(t: Tables, channels: list[str], delays: list[int]) -> DataFrame:
+    return m.decode(folded(t), ["k"], channels, "x", delays, 1, [ALPHA])
 
 
-@query("ridge_decode", f"with {_DECODED} select k, 0 as feature, {r('wa')} as w from V union all select k, 1, {r('wb')} from V")
+@query("ridge_decode", f"with {_DECODED} select k, W.split as fold, {r('wa')} as w1, {r('wb')} as w2, {r('S.r')} as r, {r('S.rmse')} as rmse from W join S using (k, channel) where S.fold = W.split")
 def ridge_decode(t: Tables) -> DataFrame:
-    return m.fit_wide(_decoder_grams(t), ["k"], 2, ALPHA).select("k", F.col("feature").cast("int").alias("feature"), r6("w").alias("w"))
+    w = lambda i: r6(F.get("w", F.lit(i)))
+    return decoded(t, ["y1", "y2"], [0]).select("k", "fold", w(0).alias("w1"), w(1).alias("w2"), r6("r").alias("r"), r6("rmse").alias("rmse"))
+
 
+@query("ridge_decode_wide")
+def ridge_decode_wide(t: Tables) -> DataFrame:
+    """All channels at four delays; compared with rows in a test."""
+    fits = decoded(t, CHANNELS, [0, -1, -2, -3])
+    return fits.select("k", "fold", F.posexplode("w").alias("feature", "w"), "r")
 
-@query("decode_patterns", f"with {_DECODED} select k, 0 as feature, {r('((aa - 5e0) * wa + ab * wb) / yy')} as pattern from V union all select k, 1, {r('(ab * wa + (bb - 5e0) * wb) / yy')} from V")
+
+@query("decode_patterns", f"with {_DECODED} select k, split as fold, {r('(aa * wa + ab * wb) / yy')} as p1, {r('(ab * wa + bb * wb) / yy')} as p2 from W")
 def decode_patterns(t: Tables) -> DataFrame:
-    return m.patterns_wide(_decoder_grams(t), ["k"], 2, ALPHA).select("k", F.col("feature").cast("int").alias("feature"), r6("pattern").alias("pattern"))
+    at = lambda i: r6(F.get("pattern", F.lit(i)))
+    return decoded(t, ["y1", "y2"], [0]).select("k", "fold", at(0).alias("p1"), at(1).alias("p2"))
 
 
-_SWEEP_LAGS = [0, 2, 4, 6]
+_SWEEP_LAGS = list(range(0, 39, 2))
 
 
-@query("decode_lag_sweep", f"with {FOLDED}, "
-       "X as (" + " union all ".join(f"select k, t, fold, {d} as lag, x, lead(y1, {d}, 0.0) over (partition by k order by t) as y from F" for d in _SWEEP_LAGS) + "), "
-       f"R as (select a.k, a.lag, s.split, regr_sxy(x, y) filter (fold <> split) as w, corr(x, y) filter (fold = split) as c from X a, (select unnest(range(5)) as split) s group by all) select k, cast(lag as bigint) as lag, {r('avg(sign(w) * c)')} as r from R group by k, lag")
+@query("decode_lag_sweep", f"with {FOLDED}, G as (" + " union all ".join(f"select k, t, fold, {d} as lag, x, lead(y1, {d}, 0.0) over (partition by k order by t) as a, lead(y2, {d}, 0.0) over (partition by k order by t) as b from F" for d in _SWEEP_LAGS)
+       + f"), {wide_sql('G', 'k, lag', ['x'], x_by='Standarize', y_by='Normalize')}, A as (select k, lag, avg(r) as r from S group by k, lag) select k, cast(lag as bigint) as lag, {r('r')} as r, r = max(r) over (partition by k) as best from A")
 def decode_lag_sweep(t: Tables) -> DataFrame:
-    long = s.lag_matrix(folded(t), ["k"], ["y1"], [-d for d in _SWEEP_LAGS])
-    rows = m.melt(long.select("k", "fold", F.col("x").alias("y"), *[F.col(f"x_y1_{j}").alias(str(d)) for j, d in enumerate(_SWEEP_LAGS)]), list(map(str, _SWEEP_LAGS)), "lag", "x")
-    splits = m.with_training(m.pair_blocks(rows, ["k", "lag"]), ["k", "lag"])
-    scores = m.univariate_scores(m.univariate_fit(splits, ALPHA, scaled=False))
-    return scores.groupBy("k", F.col("lag").cast("long").alias("lag")).agg(r6(F.avg("r")).alias("r"))
+    """The decoder of the samples at every second of 39 lags; the lag of the best mean score is marked."""
+    long = s.lag_matrix(folded(t), ["k"], ["y1", "y2"], [-d for d in _SWEEP_LAGS])
+    at = F.explode(F.array(*[F.struct(F.lit(d).cast("long").alias("lag"), F.array(f"x_y1_{j}", f"x_y2_{j}").alias("xs")) for j, d in enumerate(_SWEEP_LAGS)]))
+    rows = long.select("k", "fold", F.array("x").alias("ys"), at.alias("at")).select("k", "fold", "at.lag", "at.xs", "ys")
+    fits = m.encode_wide(rows, ["k", "lag"], "xs", "ys", 2, [ALPHA], x_by="Standarize", y_by="Normalize")
+    mean = fits.groupBy("k", "lag").agg(F.avg("r").alias("r"))
+    return mean.select("k", "lag", r6("r").alias("r"), (F.col("r") == F.max("r").over(Window.partitionBy("k"))).alias("best"))
 
 
 _BOTH = f"{FOLDED}, {model_sql(tag='1')}, {model_sql('y2', ['y1', 'y3'], tag='2')}"
@@ -147,15 +217,7 @@ Q as (select R.k, R.split, R.y, p + v * b + d as p from R join V on V.k = R.k an
 select k, split as fold, {r('corr(p, y)')} as r, {r('sqrt(avg((p - y) * (p - y)))')} as rmse from Q group by all""")
 def residual_boost(t: Tables) -> DataFrame:
     rows = min_max(train_test(folded(t).select("k", "t", "fold", "x", "y1", "y2"), 5), ["k", "split"], ["x", "y2"], F.col("role") == "train")
-
-    def stage(rows: DataFrame, x: str, y: str, p: str) -> DataFrame:
-        train = F.when(F.col("role") == "train", F.col(x))
-        fit = rows.groupBy("k", "split").agg(F.regr_sxy(y, train).alias("_xy"), F.regr_sxx(y, train).alias("_xx"), F.avg(train).alias("_mx"), F.avg(F.when(F.col("role") == "train", F.col(y))).alias("_my"))
-        line = fit.withColumn("_w", F.col("_xy") / (F.col("_xx") + ALPHA)).select("k", "split", "_w", (F.col("_my") - F.col("_w") * F.col("_mx")).alias("_b"))
-        return rows.join(line, ["k", "split"]).withColumn(p, F.col("_w") * F.col(x) + F.col("_b")).drop("_w", "_b")
-
-    first = stage(rows, "x", "y1", "p1").withColumn("rest", F.col("y1") - F.col("p1"))
-    both = stage(first, "y2", "rest", "p2").where("role = 'test'").withColumn("p", F.col("p1") + F.col("p2"))
+    both = m.residual_boost(rows, ["k", "split"], ["x", "y2"], "y1", ALPHA).where("role = 'test'")
     return m.test_scores(both, ["k", "split"], y="y1").select("k", F.col("split").alias("fold"), r6("r").alias("r"), r6("rmse").alias("rmse"))
 
 
@@ -182,11 +244,18 @@ def alpha_sweep(t: Tables) -> DataFrame:
     return scores.groupBy("i").agg(r6(F.avg("r")).alias("r"), r6(F.stddev_pop("r")).alias("sd"), r6(F.avg("rmse")).alias("rmse"))
 
 
-@query("alpha_sweep_wide")
+_ALPHA_DET = "((aa + alpha) * (bb + alpha) - ab * ab)"
+
+
+@query("alpha_sweep_wide", f"""with {WIDE}, A as (select cast(i as bigint) as i, 10e0 ** (-1 + 7 * i / 31e0) as alpha from (select unnest(range(32)) as i)),
+E as (select k, channel, split, regr_sxx(a, a) as taa, regr_sxx(b, b) as tbb, regr_sxy(a, b) as tab, regr_sxy(y, a) as tay, regr_sxy(y, b) as tby, regr_sxx(y, y) as tyy from Z where fold = split group by all),
+V as (select H.*, i, ((bb + alpha) * ay - ab * by_) / {_ALPHA_DET} as va, ((aa + alpha) * by_ - ab * ay) / {_ALPHA_DET} as vb from H, A),
+R as (select i, channel, (va * tay + vb * tby) / sqrt((va * va * taa + 2 * va * vb * tab + vb * vb * tbb) * tyy) as r from V join E using (k, channel, split))
+select i, channel, {r('avg(r)')} as r, {r('stddev_pop(r)')} as sd from R group by i, channel""")
 def alpha_sweep_wide(t: Tables) -> DataFrame:
     """Two features, so that r depends on the penalty."""
-    grams = m.gram(folded(t).select("k", "fold", F.array("x", "y2").alias("xs"), F.array("y1", "y3").alias("ys")), ["k", "fold"], "xs", "ys")
-    return m.sweep_wide(m.training_grams(grams, ["k"]), ["k", "fold"], 2, ALPHAS).groupBy("alpha", "response").agg(F.avg("r").alias("r"))
+    scores = wide(t, ALPHAS).withColumn("i", F.array_position(F.array(*map(F.lit, ALPHAS)), F.col("alpha")) - 1)
+    return scores.groupBy("i", "channel").agg(r6(F.avg("r")).alias("r"), r6(F.stddev_pop("r")).alias("sd"))
 
 
 @query("alpha_select", f"with {E}, A as (select k, 10e0 ** (t % 4) as alpha, avg(v) as r from E group by all), T as (select *, max(r) over (partition by k) as top from A) select k, max(alpha) as alpha from T where abs(top - r) < abs(0.1e0 * top) group by k")
@@ -195,10 +264,22 @@ def alpha_select(t: Tables) -> DataFrame:
     return m.alpha_select(scores, ["k"], 0.1)
 
 
-@query("band_grid_search", f"with {FOLDED}, G as (select t % 7 + 2 as low, (t // 7 % 13 + 1) * 0.5e0 as width, avg(y1) as r from F group by all), T as (select *, max(r) over () as top from G) select low, width, {r('r')} as r, r = top as best, r >= 0.99 * top as close from T")
+_GRID = [(float(low), width / 2) for low in range(8, 1, -1) for width in range(1, 14)]
+_GRID_TAPS = {(low, width): windowed_sinc(low, low + width, 32.0, 7) for low, width in _GRID}
+_CELLS = "C as (select * from (values " + ", ".join(f"({low}e0, {width}e0, {i - 3}, {tap:.17e})" for (low, width), taps in _GRID_TAPS.items() for i, tap in enumerate(taps)) + ") c(low, width, d, tap))"
+
+
+@query("band_grid_search", f"""with {E}, {_CELLS}, V as (select k, t, cast(state as double) as x, ntile(5) over (partition by k order by t) - 1 as fold, v from E),
+Q as (select low, width, V.k, V.t, any_value(V.x) as x, any_value(V.fold) as fold, sum(coalesce(U.v, 0) * tap) as y from V cross join C left join V U on U.k = V.k and U.t = V.t - d group by low, width, V.k, V.t),
+B as (select low, width, k, split, regr_sxy(y, x) filter (fold <> split) as c, corr(x, y) filter (fold = split) as r from Q, (select unnest(range(5)) as split) group by all),
+G as (select low, width, avg(case when not isnan(r) and c <> 0 then sign(c) * r end) as r from B group by low, width), T as (select *, max(r) over () as top from G)
+select low, width, {r('r')} as r, r = top as best, r >= 0.99 * top as close from T""")
 def band_grid_search(t: Tables) -> DataFrame:
-    scores = folded(t).select((F.col("t") % 7 + 2).alias("low"), ((F.floor(F.col("t") / 7) % 13 + 1) * 0.5).alias("width"), F.col("y1").alias("r"))
-    return m.grid_best(scores, ["low", "width"]).select("low", "width", r6("r").alias("r"), "best", "close")
+    """Each band of a grid: filter the response, fit and score lines by fold, and take the mean score."""
+    rows = contiguous_folds(t.e.select("k", "t", F.col("state").cast("double").alias("x"), "v"), ["k"], 5)
+    scores = m.band_grid_scores(rows, ["k"], "x", "v", _GRID_TAPS, ALPHA)
+    best = m.grid_best(scores, ["band_low", "band_width"])
+    return best.select(F.col("band_low").alias("low"), F.col("band_width").alias("width"), r6("r").alias("r"), "best", "close")
 
 
 @query("alpha_lookup", f"with {E}, A as (select k, 10e0 ** (k % 4) as alpha from (select distinct k from E) where k % 3 <> 0) select E.k, t, coalesce(alpha, 1000.0e0) as alpha from E left join A on A.k = E.k")
@@ -214,51 +295,52 @@ def best_lag_lookup(t: Tables) -> DataFrame:
     return e.join(best, ["label", "lag"]).select("k", "t", "label", "v")
 
 
-def permuted(rows: DataFrame, keys: list[str], x: str, iterations: int, seed: str = "s") -> DataFrame:
-    """Each key's rows once for each iteration, x taken in the order of md5(seed:iteration:t)."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("t"))
-    rows = rows.withColumn("_i", place)
-    each = rows.select(*keys, "t", F.col(x).alias("_x"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(iterations - 1).cast("long"))).alias("iter"))
-    order = Window.partitionBy(*keys, "iter").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "iter", "t").cast("binary")), "t")
-    return rows.join(each.select(*keys, "iter", "_x", F.row_number().over(order).alias("_i")), [*keys, "_i"]).withColumnRenamed("_x", f"{x}_permuted").drop("_i")
-
-
-_MD5 = "md5('s:' || iter || ':' || t)"
-
-
-@query("permute_rows", f"with {E}, X as (select k, t, v, iter, row_number() over (partition by k, iter order by t) as i, row_number() over (partition by k, iter order by {_MD5}, t) as j from E, (select unnest(range(3)) as iter)) select a.k, a.iter, a.t, b.v as v from X a join X b on a.k = b.k and a.iter = b.iter and a.i = b.j")
+@query("permute_rows", f"with {E}, X as (select k, t, v, iter, row_number() over (partition by k, iter order by t) as i, row_number() over (partition by k, iter order by {shuffle_key_sql('t', 'iter')}) as j from E, (select unnest(range(3)) as iter)) select a.k, a.iter, a.t, b.v as v from X a join X b on a.k = b.k and a.iter = b.iter and a.i = b.j")
 def permute_rows(t: Tables) -> DataFrame:
     return permuted(t.e.select("k", "t", "v"), ["k"], "v", 3).select("k", "iter", "t", F.col("v_permuted").alias("v"))
 
 
-_ITERATIONS = 3
+ITERATIONS = 100
 
 
-def null_scores(t: Tables, both: bool) -> DataFrame:
-    """Scores of lines fitted on permuted training rows, on true or (both) permuted test rows."""
-    rows = train_test(folded(t).select("k", "t", "fold", "x", "y1"), 5)
-    roles = permuted(rows if both else rows.where("role = 'train'"), ["k", "split", "role"], "x", _ITERATIONS)
-    fit = roles.where("role = 'train'").groupBy("k", "split", "iter").agg(F.regr_sxy("y1", "x_permuted").alias("xy"), F.regr_sxx("y1", "x_permuted").alias("xx"), F.avg("x_permuted").alias("mx"), F.avg("y1").alias("my"))
-    line = fit.withColumn("w", F.col("xy") / (F.col("xx") + ALPHA)).select("k", "split", "iter", "w", (F.col("my") - F.col("w") * F.col("mx")).alias("b"))
-    test = roles.where("role = 'test'").select("k", "split", "iter", F.col("x_permuted").alias("x"), "y1") if both else rows.where("role = 'test'").select("k", "split", "x", "y1")
-    scored = test.join(line, ["k", "split", "iter"] if both else ["k", "split"]).withColumn("p", F.col("w") * F.col("x") + F.col("b"))
-    return m.test_scores(scored, ["k", "split", "iter"], y="y1").withColumnRenamed("split", "fold")
+def null_sql(both: bool = False, decoder: bool = False) -> str:
+    """CTEs up to N (k, channel, fold, iter, r, rmse): scores of weights that shuffled training rows give."""
+    source = _DECODED if decoder else WIDE
+    shuffle = lambda rows, name: f"""{name}I as (select k, channel, split, t, a, b, y, row_number() over (partition by k, channel, split order by t) as i from Z where fold {rows} split),
+{name}J as (select k, split, iter, a, b, row_number() over (partition by k, split, iter order by {shuffle_key_sql('t', 'iter')}) as i from (select * from {name}I where channel = '{'x' if decoder else 'y1'}'), (select unnest(range({ITERATIONS})) as iter)),
+{name}X as (select O.k, O.channel, O.split, iter, regr_sxy(O.y, J.a) as ay, regr_sxy(O.y, J.b) as by_ from {name}J J join {name}I O on O.k = J.k and O.split = J.split and O.i = J.i group by all)"""
+    det = "((aa + 5e0) * (bb + 5e0) - ab * ab)"
+    test = "join QX on QX.k = V.k and QX.channel = V.channel and QX.split = V.split and QX.iter = V.iter" if both else ""
+    ay, by = ("QX.ay", "QX.by_") if both else ("tay", "tby")
+    return f"""{source}, {shuffle('<>', 'K')}{', ' + shuffle('=', 'Q') if both else ''},
+D as (select k, channel, split, count(*) as tn, avg(a) as tma, avg(b) as tmb, avg(y) as tmy, regr_sxx(a, a) as taa, regr_sxx(b, b) as tbb, regr_sxy(a, b) as tab, regr_sxy(y, a) as tay, regr_sxy(y, b) as tby, regr_sxx(y, y) as tyy from Z where fold = split group by all),
+V as (select H.k, H.channel, H.split, iter, ma, mb, my, ((bb + 5e0) * KX.ay - ab * KX.by_) / {det} as va, ((aa + 5e0) * KX.by_ - ab * KX.ay) / {det} as vb from H join KX on KX.k = H.k and KX.channel = H.channel and KX.split = H.split),
+M as (select V.*, tn, tyy, {ay} * va + {by} * vb as cross_, va * va * taa + 2 * va * vb * tab + vb * vb * tbb as spread, va * (tma - ma) + vb * (tmb - mb) + my - tmy as off from V join D on D.k = V.k and D.channel = V.channel and D.split = V.split {test}),
+N as (select k, channel, split as fold, iter, cross_ / sqrt(spread * tyy) as r, sqrt(greatest(spread - 2 * cross_ + tyy, 0) / tn + off * off) as rmse from M)"""
 
 
-def null_sql(both: bool) -> str:
-    test = "select a.k, a.split, a.iter, b.x, a.y1 from X a join X b on a.k = b.k and a.split = b.split and a.iter = b.iter and a.role = b.role and a.i = b.j where a.role = 'test'" if both else "select k, split, iter, x, y1 from X where role = 'test'"
-    return f"""{FOLDED}, R as (select k, t, x, y1, split, fold = split as test, case when fold = split then 'test' else 'train' end as role from F, (select unnest(range(5)) as split)),
-X as (select *, row_number() over (partition by k, split, role, iter order by t) as i, row_number() over (partition by k, split, role, iter order by {_MD5}, t) as j from R, (select unnest(range({_ITERATIONS})) as iter)),
-W as (select a.k, a.split, a.iter, regr_sxy(a.y1, b.x) / (regr_sxx(a.y1, b.x) + 5e0) as w, avg(a.y1) - regr_sxy(a.y1, b.x) / (regr_sxx(a.y1, b.x) + 5e0) * avg(b.x) as b from X a join X b on a.k = b.k and a.split = b.split and a.iter = b.iter and a.role = b.role and a.i = b.j where a.role = 'train' group by all),
-Q as ({test}), N as (select Q.k, Q.split as fold, Q.iter, corr(w * x + b, y1) as r, sqrt(avg((w * x + b - y1) ** 2)) as rmse from Q join W on W.k = Q.k and W.split = Q.split and W.iter = Q.iter group by all)"""
+def null_scores(t: Tables, both: bool = False) -> DataFrame:
+    return named(permutation_null(paired(t), ["k"], "xs", "ys", ALPHA, ITERATIONS, both), CHANNELS)
 
 
-@query("permutation_null", f"with {null_sql(False)} select k, fold, iter, {r('r')} as r, {r('rmse')} as rmse from N")
-def permutation_null(t: Tables) -> DataFrame:
-    return null_scores(t, False).select("k", "fold", "iter", r6("r").alias("r"), r6("rmse").alias("rmse"))
+@query("permutation_null", f"with {null_sql()} select k, channel, fold, iter, {r('r')} as r, {r('rmse')} as rmse from N")
+def permutation_null_query(t: Tables) -> DataFrame:
+    return null_scores(t).select("k", "channel", "fold", "iter", r6("r").alias("r"), r6("rmse").alias("rmse"))
 
 
-@query("permutation_null_both", f"with {null_sql(True)} select k, fold, iter, {r('r')} as r, {r('rmse')} as rmse from N")
+@query("permutation_null_both", f"with {null_sql(True)} select k, channel, fold, iter, {r('r')} as r, {r('rmse')} as rmse from N")
 def permutation_null_both(t: Tables) -> DataFrame:
-    return null_scores(t, True).select("k", "fold", "iter", r6("r").alias("r"), r6("rmse").alias("rmse"))
+    return null_scores(t, True).select("k", "channel", "fold", "iter", r6("r").alias("r"), r6("rmse").alias("rmse"))
+
+
+@query("permutation_null_weights")
+def permutation_null_weights(t: Tables) -> DataFrame:
+    """Mean weights of the shuffled fits over folds; compared with rows in a test."""
+    null = permutation_null(paired(t), ["k"], "xs", "ys", ALPHA, ITERATIONS, weights=True)
+    each = named(null, CHANNELS).select("k", "channel", "iter", F.posexplode("w").alias("feature", "w"))
+    return each.groupBy("k", "channel", "iter", "feature").agg(r6(F.avg("w")).alias("w"))
+
 
+def decoder_null(t: Tables) -> DataFrame:
+    rows = folded(t).withColumn("_x", s.lagged("x", 1, s.by(["k"], "t"))).select("k", "t", "fold", F.array("y1", "y2").alias("xs"), F.array("_x").alias("ys"))
+    return permutation_null(rows, ["k"], "xs", "ys", ALPHA, ITERATIONS, x_by="Standarize", y_by="Normalize")

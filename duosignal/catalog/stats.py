@@ -5,42 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from duosignal.catalog.models import null_scores, null_sql
+from duosignal.catalog.models import CHANNELS, decoded, decoder_null, null_scores, null_sql, wide
 from duosignal.catalog.registry import E, M, P, Tables, query, r
 from duosignal.catalog.scores import condition_differences, weights
 from duosignal.functions.numeric import r6
 from duosignal.operators import stats as st
 
-#: True scores are those of iteration 0, nulls the others.
-_TRUE = "select k, fold, r, rmse from R9 where iter = 0"
-_PV = f"{null_sql(False)}, R9 as (select k, fold, iter, round(r, 9) as r, round(rmse, 9) as rmse from N), A as ({_TRUE}), V as (select A.k, A.fold, (sum(case when N.r > A.r then 1 else 0 end) + 1) / (count(*) + 1e0) as p, (sum(case when N.rmse < A.rmse then 1 else 0 end) + 1) / (count(*) + 1e0) as q from A join R9 N on N.k = A.k and N.fold = A.fold and N.iter > 0 group by all)"
+#: p-values of the true fit against the shuffled ones.
+_PV = f"{null_sql()}, PV as (select S.k, S.channel, S.fold, (sum(case when N.r > S.r then 1 else 0 end) + 1) / (count(*) + 1e0) as p, (sum(case when N.rmse < S.rmse then 1 else 0 end) + 1) / (count(*) + 1e0) as q from S join N on N.k = S.k and N.channel = S.channel and N.fold = S.fold group by all)"
+_DV = f"{null_sql(decoder=True)}, PV as (select S.k, S.fold, (sum(case when N.r > S.r then 1 else 0 end) + 1) / (count(*) + 1e0) as p from S join N on N.k = S.k and N.fold = S.fold group by all)"
 
 
-def _p(t: Tables, score: str = "r") -> DataFrame:
-    scores = null_scores(t, False).withColumn(score, F.round(score, 9))  # ties of one feature differ in the last digits
-    return st.permutation_p(scores.where("iter = 0"), scores.where("iter > 0"), ["k", "fold"], score, less=score == "rmse")
+def _p(t: Tables) -> DataFrame:
+    return st.permutation_p(wide(t), null_scores(t), ["k", "channel", "fold"], "r")
 
 
-@query("permutation_pvalue", f"with {_PV} select k, fold, {r('p')} as p, {r('q')} as p_rmse from V")
+@query("permutation_pvalue", f"with {_PV} select k, channel, fold, {r('p')} as p, {r('q')} as p_rmse from PV")
 def permutation_pvalue(t: Tables) -> DataFrame:
-    return _p(t).join(_p(t, "rmse").withColumnRenamed("p", "p_rmse"), ["k", "fold"]).select("k", "fold", r6("p").alias("p"), r6("p_rmse").alias("p_rmse"))
+    both = st.permutation_p(wide(t), null_scores(t), ["k", "channel", "fold"], "r", "rmse")
+    return both.select("k", "channel", "fold", r6("p").alias("p"), r6("p_less").alias("p_rmse"))
 
 
-@query("significant_channels", f"with {_PV}, S as (select k, bool_and(p < 0.7) as passed, avg(p) as p from V group by k) select k % 4 as channel, sum(case when passed then 1 else 0 end)::bigint as subjects, {r('avg(p)')} as p from S group by all")
+@query("significant_channels", f"with {_PV}, A as (select k, channel, bool_and(p < 0.05 / 3) as passed, avg(p) as p from PV group by k, channel) select channel, sum(case when passed then 1 else 0 end)::bigint as subjects, {r('avg(p)')} as p from A group by channel")
 def significant_channels(t: Tables) -> DataFrame:
-    each = st.passes_all_folds(_p(t), ["k"], 0.7)
-    return each.groupBy((F.col("k") % 4).alias("channel")).agg(F.count_if("passed").alias("subjects"), r6(F.avg("p")).alias("p"))
+    """Channels below 0.05 over the number of channels in every fold."""
+    each = st.passes_all_folds(_p(t), ["k", "channel"], 0.05 / len(CHANNELS))
+    return each.groupBy("channel").agg(F.count_if("passed").alias("subjects"), r6(F.avg("p")).alias("p"))
 
 
-@query("decoder_significance", f"with {_PV}, S as (select k, count(*) filter (p < 0.7) as n, bool_and(p < 0.7) as whole from V group by k) select k % 4 as band, sum(n)::bigint as folds, (count(*) filter (whole))::bigint as subjects from S group by all")
+@query("decoder_significance", f"with {_DV}, A as (select k, count(*) filter (p < 0.01) as n, bool_and(p < 0.01) as whole, avg(p) as p from PV group by k) select k % 4 as band, sum(n)::bigint as folds, (count(*) filter (whole))::bigint as subjects, {r('avg(p)')} as p from A group by all")
 def decoder_significance(t: Tables) -> DataFrame:
-    each = _p(t).groupBy("k").agg(F.count_if(F.col("p") < 0.7).alias("n"), F.bool_and(F.col("p") < 0.7).alias("whole"))
-    return each.groupBy((F.col("k") % 4).alias("band")).agg(F.sum("n").alias("folds"), F.count_if("whole").alias("subjects"))
+    """Folds below 0.01, and subjects with all of them, by band."""
+    p = st.permutation_p(decoded(t, ["y1", "y2"], [0]), decoder_null(t), ["k", "fold"], "r")
+    each = p.groupBy("k").agg(F.count_if(F.col("p") < 0.01).alias("n"), F.bool_and(F.col("p") < 0.01).alias("whole"), F.avg("p").alias("p"))
+    return each.groupBy((F.col("k") % 4).alias("band")).agg(F.sum("n").alias("folds"), F.count_if("whole").alias("subjects"), r6(F.avg("p")).alias("p"))
 
 
-@query("downsize_null", f"with {null_sql(False)} select k, iter, {r('avg(r)')} as r from N where iter < 2 group by all")
+@query("downsize_null", f"with {null_sql()} select k, channel, iter, {r('avg(r)')} as r from N where iter < 50 group by all")
 def downsize_null(t: Tables) -> DataFrame:
-    return null_scores(t, False).where("iter < 2").groupBy("k", "iter").agg(r6(F.avg("r")).alias("r"))
+    """The first half of the iterations, as means over folds."""
+    return null_scores(t).where("iter < 50").groupBy("k", "channel", "iter").agg(r6(F.avg("r")).alias("r"))
 
 
 @query("ttest_1samp", f"with {M} select ch // 8 as channel, ch % 8 as lag, {r('avg(v) / (stddev_samp(v) / sqrt(count(*)))')} as t from M group by ch")
@@ -110,7 +114,7 @@ def fdr_bh(t: Tables) -> DataFrame:
     return st.fdr(_ps(t), ["g"], "p").select("g", "event_id", r6("corrected").alias("corrected"), "passed")
 
 
-@query("bonferroni_log", f"with {E}, {_PS} select event_id, p < 0.05 / 128 as passed, {r('case when p < 0.05 / 128 then log10(p) else 0 end')} as log_p from V")
+@query("bonferroni_log", f"with {E}, {_PS} select event_id, p < 0.05 / 128 as passed, {r('case when p < 0.05 / 128 then log10(p) else 0 end')} as log_p from PV")
 def bonferroni_log(t: Tables) -> DataFrame:
     return st.bonferroni_log(_ps(t), "p", 128).select("event_id", "passed", r6("log_p").alias("log_p"))
 

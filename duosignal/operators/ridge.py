@@ -2,8 +2,8 @@
 
 One pass sums second moments by key and fold. A training set's moments are the key's less the
 fold's, so every split, penalty and permutation is solved from small tables; scalers are affine and
-enter as algebra. Narrow models are column expressions; wide ones add up Gram matrices by Arrow
-batches and are solved by key with numpy.
+enter as algebra. Narrow models are column expressions; wide ones add up centred matrices by Arrow
+batches, join them row by row after the shuffle, and are solved by key and split with numpy.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duosignal.functions.numeric import pearson
+from duosignal.operators.series import by, delay_set, lag_matrix, lagged
 
-#: What is kept of a pair (x, y) by block.
+#: What is kept of a pair (x, y) by block, about the key's means x0 and y0.
 SUMS = ["n", "sx", "sy", "sxx", "sxy", "syy"]
 
 
@@ -29,11 +30,21 @@ def melt(df: DataFrame, columns: list[str], name: str = "channel", value: str =
 
 
 def pair_blocks(df: DataFrame, keys: list[str], fold: str = "fold", x: str = "x", y: str = "y") -> DataFrame:
-    """Moments of (x, y) by key and fold, with the range of x."""
-    return df.groupBy(*keys, fold).agg(
-        F.count("*").cast("double").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(F.col(x) * F.col(x)).alias("sxx"),
-        F.sum(F.col(x) * F.col(y)).alias("sxy"), F.sum(F.col(y) * F.col(y)).alias("syy"), F.min(x).alias("low"), F.max(x).alias("high"),
-    )
+    """Moments of (x, y) by key and fold about the key's means (x0, y0), with the range of x.
+
+    Rows without x or y count nowhere. Blocks are centred while they are added up, and only then
+    moved to the key's means, so that large means cost no digits.
+    """
+    own = F.when(F.col(y).isNotNull(), F.col(x))
+    blocks = df.groupBy(*keys, fold).agg(
+        F.regr_count(y, x).cast("double").alias("n"), F.regr_avgx(y, x).alias("_mx"), F.regr_avgy(y, x).alias("_my"), F.regr_sxx(y, x).alias("_xx"),
+        F.regr_sxy(y, x).alias("_xy"), F.regr_syy(y, x).alias("_yy"), F.min(own).alias("low"), F.max(own).alias("high"),
+    ).where("n > 0")
+    part = Window.partitionBy(*keys)
+    mean = lambda m: F.sum(F.col("n") * F.col(m)).over(part) / F.sum("n").over(part)
+    n, dx, dy = F.col("n"), F.col("_mx") - F.col("x0"), F.col("_my") - F.col("y0")
+    moved = {"sx": n * dx, "sy": n * dy, "sxx": F.col("_xx") + n * dx * dx, "sxy": F.col("_xy") + n * dx * dy, "syy": F.col("_yy") + n * dy * dy}
+    return blocks.withColumns({"x0": mean("_mx"), "y0": mean("_my")}).withColumns(moved).select(*keys, fold, "n", "x0", "y0", *moved, "low", "high")
 
 
 def with_training(blocks: DataFrame, keys: list[str], fold: str = "fold") -> DataFrame:
@@ -56,11 +67,11 @@ def univariate_fit(splits: DataFrame, alpha: float | Column, scaled: bool = True
     n, mx, my = F.col("t_n"), F.col("t_sx") / F.col("t_n"), F.col("t_sy") / F.col("t_n")
     cxx, cxy, cyy = F.col("t_sxx") - n * mx * mx, F.col("t_sxy") - n * mx * my, F.col("t_syy") - n * my * my
     span = (F.col("t_high") - F.col("t_low")) if scaled else F.lit(1.0)
-    rows = splits.withColumns({"_span": span, "_base": F.col("t_low") if scaled else F.lit(0.0), "_mid": my if scaled else F.lit(0.0), "_sd": F.sqrt(F.greatest(cyy, F.lit(0.0)) / n) if scaled else F.lit(1.0)})
+    rows = splits.withColumns({"_span": span, "_base": F.col("t_low") if scaled else F.lit(0.0), "_mid": F.col("y0") + my if scaled else F.lit(0.0), "_sd": F.sqrt(F.greatest(cyy, F.lit(0.0)) / n) if scaled else F.lit(1.0)})
     whole = (F.col("_span") > 0) & (F.col("_sd") > 0)
     w = F.when(whole, F.try_divide(F.try_divide(cxy, F.col("_span") * F.col("_sd")), F.greatest(cxx, F.lit(0.0)) / (F.col("_span") * F.col("_span")) + alpha)).otherwise(0.0)
     rows = rows.withColumn("w", w)
-    return rows.withColumn("b", F.coalesce(F.try_divide(my - F.col("_mid"), F.col("_sd")), F.lit(0.0)) - F.col("w") * F.coalesce(F.try_divide(mx - F.col("_base"), F.col("_span")), F.lit(0.0)))
+    return rows.withColumn("b", F.coalesce(F.try_divide(F.col("y0") + my - F.col("_mid"), F.col("_sd")), F.lit(0.0)) - F.col("w") * F.coalesce(F.try_divide(F.col("x0") - F.col("_base") + mx, F.col("_span")), F.lit(0.0)))
 
 
 def univariate_scores(fits: DataFrame) -> DataFrame:
@@ -68,7 +79,7 @@ def univariate_scores(fits: DataFrame) -> DataFrame:
     n = F.col("n")
     mx, my, mxx, mxy, myy = (F.col(c) / n for c in ("sx", "sy", "sxx", "sxy", "syy"))
     a, s = F.coalesce(F.try_divide(F.col("w"), F.col("_span")), F.lit(0.0)), F.when(F.col("_sd") > 0, F.col("_sd"))
-    d = F.col("b") - a * F.col("_base") + F.col("_mid") / s
+    d = F.col("b") + a * (F.col("x0") - F.col("_base")) - (F.col("y0") - F.col("_mid")) / s
     error = a * a * mxx + myy / (s * s) - 2 * a * mxy / s + 2 * a * d * mx - 2 * d * my / s + d * d
     vx, vy = mxx - mx * mx, myy - my * my
     seen = (F.col("w") != 0) & (vx > 1e-12 * mxx) & (vy > 1e-12 * myy)
@@ -89,106 +100,285 @@ def predict(df: DataFrame, fits: DataFrame, keys: list[str], x: str, fold: str =
     return df.join(lines, [*keys, fold]).withColumn("p", F.col("w") * F.coalesce(F.try_divide(F.col(x) - F.col("_base"), F.col("_span")), F.lit(0.0)) + F.col("b"))
 
 
-def gram(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """(keys, moments): for the arrays 1, x and y the matrix of sums of products, row by row.
+def _schema(df: DataFrame, columns: list[str]) -> str:
+    return "".join(f"{f.name} {f.dataType.simpleString()}, " for f in df.select(*columns).schema)
 
-    Each task adds up its rows by key, and the few partial matrices of a key are added after the
-    shuffle, so no key's rows meet in a task.
-    """
-    spark_keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema)
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, np.ndarray] = {}
+_ROW = "i long, n double, mean array<double>, low double, high double, products array<double>"
+_ROWS = ["i", "n", "mean", "low", "high", "products"]
+
+
+def _joined(n: float, mean: np.ndarray, products: np.ndarray, i: int | slice, more: tuple) -> tuple[float, np.ndarray, np.ndarray]:
+    """Rows ``i`` of a centred matrix of sums of products, and the same rows of another block, as one block's."""
+    m, other, added = more
+    whole = n + m
+    d = other - mean
+    return whole, mean + d * (m / whole), products + added + np.multiply.outer(d[i], d) * (n * m / whole)
+
+
+def _values(column: pa.Array) -> np.ndarray:
+    """A list column as a matrix; a null row or value is NaN."""
+    flat, width = column.flatten(), len(column[0]) if column[0].is_valid else 0
+    if column.null_count or len(flat) != len(column) * width:
+        return np.stack([np.asarray(v, float) for v in column.to_pylist()])
+    return flat.to_numpy(zero_copy_only=False).astype(float).reshape(len(column), width)
+
+
+def _partial(keys: list[str], x: str, y: str, held: int):
+    """Moments of the rows of each key that a task has, as rows of the matrix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple, list] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            step = max(1, 4096 // max([len(f[1]) for f in found.values()], default=1))
+            entries = [(key, i) for key, f in found.items() for i in range(len(f[1]))]
+            for a in range(0, len(entries), step * 16):
+                part = [(*key, i, f[0], f[1], f[3][i], f[4][i], f[2][i]) for key, i in entries[a : a + step * 16] for f in (found[key],)]
+                yield pa.RecordBatch.from_pandas(pd.DataFrame(part, columns=[*keys, *_ROWS]), preserve_index=False)
+
         for batch in batches:
-            frame = batch.to_pandas()
-            if not len(frame):
+            if not batch.num_rows:
                 continue
-            for key, own in frame.groupby(keys, sort=False):
-                z = np.column_stack([np.ones(len(own)), np.stack(own[x]), np.stack(own[y])])
-                held[key] = held.get(key, 0) + z.T @ z
-        if held:
-            out = pd.DataFrame(list(held), columns=keys)
-            out["moments"] = [m.ravel() for m in held.values()]
-            yield pa.RecordBatch.from_pandas(out, preserve_index=False)
-
-    partial = df.select(*keys, x, y).mapInArrow(part, f"{spark_keys}, moments array<double>")
-    cells = partial.select(*keys, F.posexplode("moments").alias("i", "v")).groupBy(*keys, "i").agg(F.sum("v").alias("v"))
-    return cells.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda c: c["v"]).alias("moments"))
-
-
-def centred(moments: np.ndarray, p: int) -> tuple[float, np.ndarray, np.ndarray]:
-    """n, the means and the centred sums of products of x and y."""
-    size = int(round(len(moments) ** 0.5))
-    z = np.asarray(moments, float).reshape(size, size)
-    n, mean = z[0, 0], z[0, 1:] / max(z[0, 0], 1)
-    return n, mean, z[1:, 1:] - n * np.outer(mean, mean)
-
-
-def solve(moments: np.ndarray, p: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (p, q) and intercepts of the ridge model; a constant feature has weight 0."""
-    _, mean, c = centred(moments, p)
-    spread = np.diag(c)[:p]
-    live = spread > 1e-12 * max(1.0, spread.max(initial=0.0))
-    w = np.zeros((p, len(mean) - p))
-    if live.any():
-        w[live] = np.linalg.solve(c[:p, :p][np.ix_(live, live)] + alpha * np.eye(int(live.sum())), c[:p, p:][live])
-    return w, mean[p:] - mean[:p] @ w
-
-
-def training_grams(grams: DataFrame, keys: list[str], fold: str = "fold") -> DataFrame:
-    """Moments of each split's training rows beside those of its test rows (``test``)."""
-    cells = grams.select(*keys, fold, F.posexplode("moments").alias("i", "v"))
-    cells = cells.withColumn("rest", F.sum("v").over(Window.partitionBy(*keys, "i")) - F.col("v"))
-    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("i", c))), lambda s: s[c])
-    return cells.groupBy(*keys, fold).agg(ordered("rest").alias("moments"), ordered("v").alias("test"))
-
-
-def fit_wide(grams: DataFrame, keys: list[str], p: int, alpha: float) -> DataFrame:
-    """(keys, response, feature, w, b) of the model of each key's moments."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in grams.select(*keys).schema)
+            z = np.column_stack([_values(batch.column(x)), _values(batch.column(y))])
+            whole = ~np.isnan(z).any(axis=1)
+            frame = batch.select(keys).to_pandas()[whole]
+            z = z[whole]
+            for key, own in frame.groupby(keys, sort=False, dropna=False).indices.items():
+                key, rows = key if isinstance(key, tuple) else (key,), z[own]
+                mean = rows.mean(axis=0)
+                block = (float(len(rows)), mean, (rows - mean).T @ (rows - mean))
+                low, high = rows.min(axis=0), rows.max(axis=0)
+                if old := found.get(key):
+                    block = _joined(old[0], old[1], old[2], slice(None), block)
+                    low, high = np.minimum(old[3], low), np.maximum(old[4], high)
+                found[key] = [*block, low, high]
+            if sum(f[2].size for f in found.values()) > held:
+                yield from out()
+                found.clear()
+        yield from out()
+
+    return run
+
+
+def _merged(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, list]]:
+    """(keys, [n, mean, products, low, high]) of a row of the matrix, from what tasks found of it, in order."""
+    at, now = None, []
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in keys] + [batch.column(c).to_numpy(zero_copy_only=False) for c in _ROWS]
+        for *key, i, n, mean, low, high, products in zip(*columns, strict=True):
+            key = (*key, i)
+            if key == at:
+                now = [*_joined(*now[:3], int(i), (n, mean, products)), min(now[3], low), max(now[4], high)]
+            else:
+                if at is not None:
+                    yield at, now
+                at, now = key, [n, mean, products, low, high]
+    if at is not None:
+        yield at, now
+
+
+def _batches(rows: Iterator[tuple], columns: list[str], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Record batches of about so many numbers."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(v) for v in row if isinstance(v, np.ndarray))
+        if size > most or len(held) > 5000:
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(held, columns=columns), preserve_index=False)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pandas(pd.DataFrame(held, columns=columns), preserve_index=False)
+
+
+def _partials(df: DataFrame, keys: list[str], x: str, y: str, held: int) -> DataFrame:
+    return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y).mapInArrow(_partial(keys, x, y, held), _schema(df, keys) + _ROW)
+
+
+def gram(df: DataFrame, keys: list[str], x: str, y: str, held: int = 1 << 26) -> DataFrame:
+    """(keys, n, mean, low, high, products): the arrays x, then y, of a key's rows as moments.
+
+    products is the matrix of centred sums of products, row by row, mean the means, low and high the
+    ranges. Rows without x or y, or with a null in them, count nowhere. Each task adds up its rows by
+    key (at most ``held`` numbers at a time), centred, so that large means cost no digits; what tasks
+    found of a row of the matrix is joined after a shuffle by key and row, one after the other, so
+    neither a key's rows nor its tasks' matrices meet in one task.
+    """
 
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        w, b = solve(frame["moments"].iloc[0], p, alpha)
-        rows = [(*frame[keys].iloc[0], j, i, w[i, j], b[j]) for j in range(w.shape[1]) for i in range(p)]
-        return pd.DataFrame(rows, columns=[*keys, "response", "feature", "w", "b"])
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batches(((*at, n, mean, low, high, products) for at, (n, mean, products, low, high) in _merged(batches, keys)), [*keys, *_ROWS])
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = _partials(df, keys, x, y, held).repartition(parts, *keys, "i").sortWithinPartitions(*keys, "i")
+    return rows.mapInArrow(join, _schema(df, keys) + _ROW).groupBy(*keys).agg(*_whole())
 
-    return grams.groupBy(*keys).applyInPandas(fit, f"{schema}, response long, feature long, w double, b double")
 
+def _whole(prefix: str = "") -> list[Column]:
+    """The rows of a key's matrix as arrays of one row: n, mean, low, high and the matrix, row by row."""
+    rows = F.array_sort(F.collect_list(F.struct("i", f"{prefix}low", f"{prefix}high", f"{prefix}products")))
+    each = lambda c: F.transform(rows, lambda r: r[f"{prefix}{c}"])
+    return [F.first(f"{prefix}n").alias(f"{prefix}n"), F.first(f"{prefix}mean").alias(f"{prefix}mean"), each("low").alias(f"{prefix}low"), each("high").alias(f"{prefix}high"), F.flatten(each("products")).alias(f"{prefix}products")]
+
+
+def training_grams(df: DataFrame, keys: list[str], x: str, y: str, fold: str = "fold", held: int = 1 << 26) -> DataFrame:
+    """(keys, fold, n, ..., test_n, ...): the moments of gram of each split's training and test rows.
+
+    A training set is joined from the other folds, row by row of the matrix; nothing is subtracted.
+    A key with one fold has no training rows and is left out.
+    """
+    names = _ROWS[1:]
+
+    def splits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        at, folds = None, []
+
+        def out() -> Iterator[tuple]:
+            i = int(at[-1])
+            for j, (test, (n, mean, products, low, high)) in enumerate(folds):
+                rest = [b for k, (_, b) in enumerate(folds) if k != j]
+                if rest:
+                    now = rest[0][:3]
+                    for b in rest[1:]:
+                        now = _joined(*now, i, b[:3])
+                    yield *at[:-1], test, i, now[0], now[1], min(b[3] for b in rest), max(b[4] for b in rest), now[2], n, mean, low, high, products
+
+        for (*key, i, test), block in ((((*k[: len(keys)], k[-1], k[len(keys)])), b) for k, b in _merged(batches, [*keys, fold])):
+            if (*key, i) != at:
+                if at is not None:
+                    yield from out()
+                at, folds = (*key, i), []
+            folds.append((test, block))
+        if at is not None:
+            yield from out()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batches(splits(batches), [*keys, fold, *_ROWS, *[f"test_{c}" for c in names]])
+
+    one = _ROW.removeprefix("i long, ")
+    schema = f"{_schema(df, [*keys, fold])}{_ROW}, " + ", ".join(f"test_{c}" for c in one.split(", "))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = _partials(df, [*keys, fold], x, y, held).repartition(parts, *keys, "i").sortWithinPartitions(*keys, "i", fold)
+    return rows.mapInArrow(run, schema).groupBy(*keys, fold).agg(*_whole(), *_whole("test_"))
+
+
+def matrix(row, prefix: str = "") -> tuple[float, np.ndarray, np.ndarray]:
+    """n, means and the centred matrix of a row of moments."""
+    mean = np.asarray(row[f"{prefix}mean"], float)
+    return float(row[f"{prefix}n"]), mean, np.asarray(row[f"{prefix}products"], float).reshape(len(mean), len(mean))
+
+
+def scales(row, p: int, x_by: str | None, y_by: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """What is taken off, and what is multiplied by, for each of the p features and the responses.
+
+    Normalize: the training range to [0, 1]; Standarize: mean 0 and deviation 1; None: as it is. A
+    value without spread becomes 0 where it is scaled.
+    """
+    n, mean, c = matrix(row)
+    low, high = np.asarray(row["low"], float), np.asarray(row["high"], float)
+    deviation = np.sqrt(np.maximum(np.diag(c), 0) / n)
+    kinds = {"Normalize": (low, high - low), "Standarize": (mean, np.where(high > low, deviation, 0)), None: (np.zeros(len(mean)), np.ones(len(mean)))}
+    shift, size = (np.concatenate([a[:p], b[p:]]) for a, b in zip(kinds[x_by], kinds[y_by], strict=True))
+    return shift, np.divide(1.0, size, out=np.zeros(len(size)), where=size > 0)
 
-def sweep_wide(splits: DataFrame, keys: list[str], p: int, alphas: list[float]) -> DataFrame:
-    """(keys, alpha, response, r) of each penalty on the test moments; one eigendecomposition a split."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in splits.select(*keys).schema)
 
-    def sweep(frame: pd.DataFrame) -> pd.DataFrame:
-        _, _, train = centred(frame["moments"].iloc[0], p)
-        _, _, test = centred(frame["test"].iloc[0], p)
-        values, vectors = np.linalg.eigh(train[:p, :p])
-        turned, rows = vectors.T @ train[:p, p:], []
-        for alpha in alphas:
-            w = vectors @ (turned / (np.maximum(values, 0) + alpha)[:, None])
-            for j in range(w.shape[1]):
-                size = np.sqrt(max(w[:, j] @ test[:p, :p] @ w[:, j], 0.0) * max(test[p + j, p + j], 0.0))
-                rows.append((*frame[keys].iloc[0], alpha, j, float(w[:, j] @ test[:p, p + j] / size) if size > 0 else None))
-        return pd.DataFrame(rows, columns=[*keys, "alpha", "response", "r"])
+def ridge_weights(c: np.ndarray, p: int, alphas: list[float]) -> np.ndarray:
+    """Weights (penalty, p, q) from a centred matrix; one eigendecomposition serves all penalties."""
+    values, vectors = np.linalg.eigh(c[:p, :p])
+    size = np.maximum(values, 0)[None, :] + np.asarray(alphas, float)[:, None]
+    live = size > 1e-12 * np.maximum(values.max(initial=0.0), size.min(axis=1, keepdims=True))
+    inverse = np.divide(1.0, size, out=np.zeros_like(size), where=live)
+    return np.einsum("ij,aj,jq->aiq", vectors, inverse, vectors.T @ c[:p, p:], optimize=True)
 
-    return splits.groupBy(*keys).applyInPandas(sweep, f"{schema}, alpha double, response long, r double")
 
+_FIT = "alpha double, response long, w array<double>, b double, shift array<double>, scale array<double>, y_shift double, y_scale double"
 
-def patterns_wide(grams: DataFrame, keys: list[str], p: int, alpha: float) -> DataFrame:
-    """(keys, response, feature, w, pattern): decoder weights and what they look like forward.
 
-    The pattern is the covariance of the features times the weights over the response's variance.
+def fit_wide(grams: DataFrame, keys: list[str], p: int, alphas: list[float], x_by: str | None = "Normalize", y_by: str | None = "Standarize") -> DataFrame:
+    """(keys, alpha, response, w, b, shift, scale, y_shift, y_scale): ridge models of moments, a row for each response.
+
+    The intercept is unpenalised. w and b are in the units that ``x_by`` and ``y_by`` scale to. If
+    the moments have test rows, r and rmse of those are added, from the moments alone.
     """
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in grams.select(*keys).schema)
+    tested = "test_n" in grams.columns
+
+    def one(row: dict) -> Iterator[tuple]:
+        _, mean, c = matrix(row)
+        shift, scale = scales(row, p, x_by, y_by)
+        c, mean = c * np.outer(scale, scale), (mean - shift) * scale
+        w = ridge_weights(c, p, alphas)
+        b = mean[p:] - mean[:p] @ w
+        if tested:
+            n, at, test = matrix(row, "test_")
+            test, at = test * np.outer(scale, scale), (at - shift) * scale
+            spread, own, both = (w * (test[:p, :p] @ w)).sum(axis=1), np.diag(test)[p:], (w * test[:p, p:]).sum(axis=1)
+            off = at[:p] @ w + b - at[p:]
+            size = np.sqrt(spread * own)
+            r = np.divide(both, size, out=np.full(size.shape, np.nan), where=(spread > 1e-24) & (own > 1e-24))
+            rmse = np.sqrt(np.maximum(spread - 2 * both + own, 0) / n + off * off)
+        for a, alpha in enumerate(alphas):
+            for j in range(w.shape[2]):
+                scores = (None if np.isnan(r[a, j]) else float(r[a, j]), float(rmse[a, j])) if tested else ()
+                yield *(row[k] for k in keys), float(alpha), j, w[a, :, j], b[a, j], shift[:p], scale[:p], shift[p + j], scale[p + j], *scores
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = {c: batch.column(c).to_pylist() if c in keys else batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+            rows = ({c: v[i] for c, v in columns.items()} for i in range(batch.num_rows))
+            yield from _batches((made for row in rows for made in one(row)), [*keys, "alpha", "response", "w", "b", "shift", "scale", "y_shift", "y_scale", *(["r", "rmse"] if tested else [])])
+
+    used = [*keys, *_ROWS[1:], *([f"test_{c}" for c in _ROWS[1:]] if tested else [])]
+    return grams.select(*used).mapInArrow(fit, _schema(grams, keys) + _FIT + (", r double, rmse double" if tested else ""))
+
+
+def encode_wide(df: DataFrame, keys: list[str], x: str, y: str, p: int, alphas: list[float], fold: str = "fold", **scaling) -> DataFrame:
+    """Cross-validated ridge models of the array y on the array x of p features: fit_wide for each key and fold."""
+    return fit_wide(training_grams(df, keys, x, y, fold), [*keys, fold], p, alphas, **scaling)
+
+
+def predict_wide(df: DataFrame, fits: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """Rows of ``df`` once for each response, with its value y_true and prediction p in the scaled units."""
+    rows = df.join(fits.select(*keys, "response", "w", "b", "shift", "scale", "y_shift", "y_scale"), keys)
+    scaled = F.zip_with(F.zip_with(x, "shift", lambda a, s: a - s), F.zip_with("scale", "w", lambda s, w: s * w), lambda a, w: a * w)
+    p = F.aggregate(scaled, F.lit(0.0), lambda a, v: a + v) + F.col("b")
+    return rows.withColumns({"p": p, "y_true": (F.get(y, F.col("response").cast("int")) - F.col("y_shift")) * F.col("y_scale")}).drop("w", "b", "shift", "scale", "y_shift", "y_scale")
+
+
+def weights_long(fits: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, response, feature, w, b): a row for each weight."""
+    return fits.select(*keys, "response", F.posexplode("w").alias("feature", "w"), "b")
 
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        moments = frame["moments"].iloc[0]
-        w, _ = solve(moments, p, alpha)
-        _, _, c = centred(moments, p)
-        rows = [(*frame[keys].iloc[0], j, i, w[i, j], float(c[i, :p] @ w[:, j] / c[p + j, p + j]) if c[p + j, p + j] > 0 else None) for j in range(w.shape[1]) for i in range(p)]
-        return pd.DataFrame(rows, columns=[*keys, "response", "feature", "w", "pattern"])
 
-    return grams.groupBy(*keys).applyInPandas(fit, f"{schema}, response long, feature long, w double, pattern double")
+def lag_model(df: DataFrame, keys: list[str], x: str, responses: list[str], tmin: float, tmax: float, rate: float, alpha: float, fold: str = "fold", t: str = "t", **scaling) -> DataFrame:
+    """encode_wide on the lags of the plain column x; the time range counts from the response, so delays change sign."""
+    delays = delay_set(-tmax, -tmin, rate)
+    rows = lag_matrix(df, keys, [x], delays, t, "lagged")
+    rows = rows.select(*keys, fold, F.array(*[f"lagged_{x}_{j}" for j in range(len(delays))]).alias("xs"), F.array(*responses).alias("ys"))
+    return encode_wide(rows, keys, "xs", "ys", len(delays), [alpha], fold, **scaling)
+
+
+def decode(df: DataFrame, keys: list[str], channels: list[str], stimulus: str, delays: list[int], t_lag: int, alphas: list[float], fold: str = "fold", t: str = "t") -> DataFrame:
+    """The backward model: all channels at all delays to one stimulus column at delay ``t_lag``.
+
+    Channels are standardised, the stimulus is scaled to its training range. Adds the forward
+    patterns: the covariance of the features times the weights over the stimulus's variance.
+    """
+    rows = lag_matrix(df.withColumn("_y", lagged(stimulus, t_lag, by(keys, t))), keys, channels, delays, t, "lagged")
+    xs = [f"lagged_{c}_{j}" for c in channels for j in range(len(delays))]
+    rows = rows.select(*keys, fold, F.array(*xs).alias("xs"), F.array("_y").alias("ys"))
+    grams = training_grams(rows, keys, "xs", "ys", fold)
+    fits = fit_wide(grams, [*keys, fold], len(xs), alphas, "Standarize", "Normalize")
+    return with_patterns(fits, grams, [*keys, fold], len(xs))
+
+
+def with_patterns(fits: DataFrame, grams: DataFrame, keys: list[str], p: int) -> DataFrame:
+    """Adds ``pattern``, an array by feature, from the training moments."""
+    rows = fits.join(grams.select(*keys, F.col("products").alias("_c")), keys)
+    size = F.expr(f"sqrt(size(_c))").cast("int")
+    cell = lambda i, j: F.get("_c", i * size + j)
+    j = F.col("response").cast("int") + p
+    spread = cell(j, j) * F.col("y_scale") * F.col("y_scale")
+    each = F.zip_with("w", "scale", lambda w, s: w * s)
+    pattern = F.transform("scale", lambda s, i: F.try_divide(F.aggregate(F.transform(each, lambda v, k: cell(i, k) * v), F.lit(0.0), lambda a, v: a + v) * s, spread))
+    return rows.withColumn("pattern", pattern).drop("_c")
 
 
 def corr_loss_fit(grams: DataFrame, keys: list[str], p: int, alpha: float, steps: int = 300, seed: int = 1) -> DataFrame:
@@ -203,7 +393,7 @@ def corr_loss_fit(grams: DataFrame, keys: list[str], p: int, alpha: float, steps
         return -(w @ cxy) / size + alpha * np.abs(w).sum() if size > 0 else alpha * np.abs(w).sum()
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        _, _, c = centred(frame["moments"].iloc[0], p)
+        _, _, c = matrix(frame.iloc[0])
         cxx, cxy, cyy = c[:p, :p], c[:p, p], float(c[p, p])
         w, rate = np.random.default_rng(seed).normal(size=p), 0.5
         best = loss(w, cxx, cxy, cyy)
@@ -223,6 +413,33 @@ def corr_loss_fit(grams: DataFrame, keys: list[str], p: int, alpha: float, steps
     return grams.groupBy(*keys).applyInPandas(fit, f"{schema}, feature long, w double, loss double")
 
 
+def residual_boost(rows: DataFrame, keys: list[str], features: list[str], y: str, alpha: float) -> DataFrame:
+    """Adds ``p``: the sum of ridge lines, each fitted on what the ones before leave of y in the rows of role train."""
+    rows = rows.withColumns({"p": F.lit(0.0), "_rest": F.col(y)})
+    for x in features:
+        train = F.when(F.col("role") == "train", F.col(x))
+        fit = rows.groupBy(*keys).agg(F.regr_sxy("_rest", train).alias("_xy"), F.regr_sxx("_rest", train).alias("_xx"), F.avg(train).alias("_mx"), F.avg(F.when(F.col("role") == "train", F.col("_rest"))).alias("_my"))
+        line = fit.withColumn("_w", F.col("_xy") / (F.col("_xx") + alpha)).select(*keys, "_w", (F.col("_my") - F.col("_w") * F.col("_mx")).alias("_b"))
+        step = F.col("_w") * F.col(x) + F.col("_b")
+        rows = rows.join(line, keys).withColumns({"p": F.col("p") + step, "_rest": F.col("_rest") - step}).drop("_w", "_b")
+    return rows.drop("_rest")
+
+
+def band_grid_scores(df: DataFrame, keys: list[str], x: str, y: str, taps: dict[tuple[float, float], list[float]], alpha: float, fold: str = "fold", t: str = "t") -> DataFrame:
+    """(band_low, band_width, keys, fold, r): lines from x to the series y filtered to each band (low, width) of a grid.
+
+    A sample meets its neighbours once; the bands are a small table of filters of one length.
+    """
+    half = len(next(iter(taps.values()))) // 2
+    near = F.array(*[lagged(y, i - half, by(keys, t)) for i in range(2 * half + 1)])
+    bands = F.array(*[F.struct(F.lit(low).alias("band_low"), F.lit(width).alias("band_width"), F.array(*map(F.lit, own)).alias("taps")) for (low, width), own in taps.items()])
+    rows = df.select(*keys, fold, F.col(x).alias("x"), near.alias("_near"))  # apart from the explode, which would come first
+    rows = rows.select("*", F.explode(bands).alias("_band"))
+    rows = rows.select(*keys, fold, "x", "_band.band_low", "_band.band_width", F.aggregate(F.zip_with("_near", "_band.taps", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v).alias("y"))
+    own = ["band_low", "band_width", *keys]
+    return univariate_scores(univariate_fit(with_training(pair_blocks(rows, own, fold), own, fold), alpha, scaled=False)).select(*own, fold, "r")
+
+
 def alpha_select(scores: DataFrame, keys: list[str], limit: float = 0.01) -> DataFrame:
     """The largest penalty whose score is within ``limit`` of the best, relative to it."""
     top = F.max("r").over(Window.partitionBy(*keys))
@@ -230,10 +447,9 @@ def alpha_select(scores: DataFrame, keys: list[str], limit: float = 0.01) -> Dat
 
 
 def grid_best(scores: DataFrame, axes: list[str], share: float = 0.99) -> DataFrame:
-    """Mean score of each cell of a grid, with the best cell and those of at least ``share`` of it."""
-    cells = scores.groupBy(*axes).agg(F.avg("r").alias("r"))
-    top = cells.agg(F.max("r").alias("_top"))
-    return cells.join(F.broadcast(top)).withColumns({"best": F.col("r") == F.col("_top"), "close": F.col("r") >= share * F.col("_top")}).drop("_top")
+    """Mean score of each cell of a grid (of few cells), with the best cell and those of at least ``share`` of it."""
+    cells = scores.groupBy(*axes).agg(F.avg("r").alias("r")).withColumn("_top", F.max("r").over(Window.partitionBy(F.lit(0))))
+    return cells.withColumns({"best": F.col("r") == F.col("_top"), "close": F.col("r") >= share * F.col("_top")}).drop("_top")
 
 
 def test_scores(df: DataFrame, keys: list[str], p: str = "p", y: str = "y") -> DataFrame:

@@ -10,16 +10,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def permutation_p(true: DataFrame, null: DataFrame, keys: list[str], score: str, less: bool = False) -> DataFrame:
+def permutation_p(true: DataFrame, null: DataFrame, keys: list[str], score: str, less: str | None = None) -> DataFrame:
     """(keys, p): the rank of the true score among the iterations there are, (count + 1) / (n + 1).
 
-    Counts null scores above the true one (``less``: below). Without a null p is null.
+    Counts null scores above the true one; with ``less``, of a second score, those below, as p_less.
+    Without a null p is null.
     """
-    own = true.select(*keys, F.col(score).alias("_true"))
-    both = own.join(null.select(*keys, F.col(score).alias("_null")), keys, "left")
-    beyond = F.col("_null") < F.col("_true") if less else F.col("_null") > F.col("_true")
-    n = F.count("_null")
-    return both.groupBy(*keys).agg(F.when(n > 0, (F.count_if(beyond) + 1) / (n + 1)).alias("p"))
+    scores = [score] if less is None else [score, less]
+    own = true.select(*keys, *[F.col(c).alias(f"_true_{c}") for c in scores])
+    both = own.join(null.select(*keys, *[F.col(c).alias(f"_null_{c}") for c in scores]), keys, "left")
+
+    def rank(c: str, beyond: Column) -> Column:
+        n = F.count(f"_null_{c}")
+        return F.when(n > 0, (F.count_if(beyond) + 1) / (n + 1))
+
+    out = [rank(score, F.col(f"_null_{score}") > F.col(f"_true_{score}")).alias("p")]
+    if less is not None:
+        out.append(rank(less, F.col(f"_null_{less}") < F.col(f"_true_{less}")).alias("p_less"))
+    return both.groupBy(*keys).agg(*out)
 
 
 def passes_all_folds(p: DataFrame, keys: list[str], threshold: float | Column) -> DataFrame:
