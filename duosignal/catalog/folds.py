@@ -10,11 +10,12 @@ from duosignal.functions.numeric import r6
 from duosignal.operators import folds as f
 
 KFOLD = "F as (select *, ntile(5) over (partition by k order by t) - 1 as fold from L)"
+
+
 def _train():
     return F.col("fold") != 0
 
 
-
 @query("kfold_contiguous", f"with {E} select k, t, ntile(5) over (partition by k order by t) - 1 as fold from E")
 def kfold_contiguous(t: Tables) -> DataFrame:
     return f.contiguous_folds(t.e, ["k"], 5).select("k", "t", "fold")
@@ -75,3 +76,10 @@ def scale_11(t: Tables) -> DataFrame:
 def preprocess_dispatch(t: Tables) -> DataFrame:
     rows = f.preprocess(f.contiguous_folds(t.l, ["k"], 5).select("k", "t", "fold", "x", "y1", "y2"), ["k"], ["x", "y2"], ["y1"], _train())
     return rows.select("k", "t", r6(F.get("x", F.lit(0))).alias("x0"), r6(F.get("x", F.lit(1))).alias("x1"), r6("y1").alias("y1"))
+
+
+@query("preprocess_percentile", f"with {L}, {KFOLD}, {_FIT}, A as (select k, y1, (count(*) over (partition by k) * 5 - 1) // 100 as n, row_number() over (partition by k order by y1) - 1 as u, row_number() over (partition by k order by y1 desc) - 1 as d from F where fold <> 0), B as (select k, max(case when u = n then y1 end) as lo, max(case when d = n then y1 end) as hi from A group by k) select cast(F.k as bigint) as k, t, {r(_range('x'))} as x0, {r('case when hi = lo then 0.0 else (y1 - lo) / (hi - lo) end')} as y1 from F join S on F.k = S.k join B on B.k = F.k")
+def preprocess_percentile(t: Tables) -> DataFrame:
+    """Responses by the range between the training rows' percentiles."""
+    rows = f.preprocess(f.contiguous_folds(t.l, ["k"], 5).select("k", "t", "fold", "x", "y1"), ["k"], ["x"], ["y1"], _train(), response_by="Normalize")
+    return rows.select("k", "t", r6(F.get("x", F.lit(0))).alias("x0"), r6("y1").alias("y1"))

@@ -142,3 +142,78 @@ def gccmi_ccc(t: Tables) -> DataFrame:
 @query("gccmi_ccd", f"with {E}, {_EV}, {_normals('E0', {'cx': 'v', 'cy': 'w'}, 'k, label')}, A as ({_mi('cx', 'cy', 'N', 'k, label')}), G as (select k, sum(n * mi) / sum(n) as cmi from A where n >= 4 and mi is not null group by k), B as ({_mi('cx', 'cy', 'N', 'k')}) select G.k, {r('cmi')} as cmi, {r('mi')} as mi from G join B on B.k = G.k")
 def gccmi_ccd(t: Tables) -> DataFrame:
     return nf.gccmi_ccd(_e(t), ["k"], "v", "w", "label").select("k", r6("cmi").alias("cmi"), r6("mi").alias("mi"))
+
+
+def _det(columns: list[str]) -> str:
+    """The determinant of the sample covariance of one to three columns."""
+    c = lambda i, j: f"covar_samp({columns[i]}, {columns[j]})"
+    if len(columns) == 1:
+        return c(0, 0)
+    if len(columns) == 2:
+        return f"({c(0, 0)} * {c(1, 1)} - {c(0, 1)} * {c(0, 1)})"
+    return f"({c(0, 0)} * ({c(1, 1)} * {c(2, 2)} - {c(1, 2)} * {c(1, 2)}) - {c(0, 1)} * ({c(0, 1)} * {c(2, 2)} - {c(1, 2)} * {c(0, 2)}) + {c(0, 2)} * ({c(0, 1)} * {c(1, 2)} - {c(1, 1)} * {c(0, 2)}))"
+
+
+def _wide(source: str, signs: list[tuple[int, list[str]]], keys: str = "k") -> str:
+    """A signed sum of entropies of blocks of columns, by key."""
+    dets = ", ".join(f"{_det(own)} as d{i}" for i, (_, own) in enumerate(signs))
+    total = " ".join(f"{'+' if sign > 0 else '-'} {nf.gauss_entropy_sql('n', f'd{i}', len(own))}" for i, (sign, own) in enumerate(signs))
+    return f"select {keys}, n, {total} as v from (select {keys}, count(*) as n, {dets} from {source} group by {keys})"
+
+
+@query("mi_gauss_wide", f"with {L}, {_LK}, A as ({_wide('L0', [(1, ['x', 'y2']), (1, ['y1']), (-1, ['x', 'y2', 'y1'])])}) select k, n, {r('v')} as mi from A")
+def mi_gauss_wide(t: Tables) -> DataFrame:
+    return nf.mi_gauss(_l(t), ["k"], ["x", "y2"], "y1").select("k", "n", r6("mi").alias("mi"))
+
+
+@query("gcmi_cc_wide", f"with {L}, {_LK}, {_normals('L0', {'cx': 'x', 'cz': 'y2', 'cy': 'y1'})}, A as ({_wide('N', [(1, ['cx', 'cz']), (1, ['cy']), (-1, ['cx', 'cz', 'cy'])])}) select k, n, {r('v')} as mi from A")
+def gcmi_cc_wide(t: Tables) -> DataFrame:
+    return nf.gcmi_cc(_l(t), ["k"], ["x", "y2"], "y1").select("k", "n", r6("mi").alias("mi"))
+
+
+_LC = "L1 as (select L0.*, cast(t % 3 as bigint) as label from L0)"
+
+
+def _lc(t: Tables) -> DataFrame:
+    return _l(t).withColumn("label", F.col("t") % 3)
+
+
+def _model_wide(source: str, columns: list[str]) -> str:
+    return f"A as ({_wide(source, [(1, columns)])}), B as ({_wide(source, [(1, columns)], 'k, label')}), G as (select k, sum(n * v) / sum(n) as h from B where n >= 4 group by k)"
+
+
+@query("mi_model_gd_wide", f"with {L}, {_LK}, {_LC}, {_model_wide('L1', ['x', 'y1'])} select A.k, {r('A.v - G.h')} as mi from A join G on G.k = A.k")
+def mi_model_gd_wide(t: Tables) -> DataFrame:
+    return nf.mi_model_gd(_lc(t), ["k"], ["x", "y1"], "label").select("k", r6("mi").alias("mi"))
+
+
+@query("gcmi_model_cd_wide", f"with {L}, {_LK}, {_LC}, {_normals('L1', {'cx': 'x', 'cy': 'y1'})}, {_model_wide('N', ['cx', 'cy'])} select A.k, {r('A.v - G.h')} as mi from A join G on G.k = A.k")
+def gcmi_model_cd_wide(t: Tables) -> DataFrame:
+    rows = nf.copula_normal(nf.copula_normal(_lc(t), ["k"], "x", "cx"), ["k"], "y1", "cy")
+    return nf.mi_model_gd(rows, ["k"], ["cx", "cy"], "label").select("k", r6("mi").alias("mi"))
+
+
+def _mixture_wide(source: str, x: str, y: str) -> str:
+    """Two columns: points at the rows of the Cholesky factor ((p, 0), (q, s)) by the root of 2."""
+    return f"""B as (select *, sqrt(a) as p, c / sqrt(a) as q, sqrt(b - c * c / a) as s, n / sum(n) over (partition by k) as w from (select k, label, count(*) as n, avg({x}) as m1, avg({y}) as m2, var_samp({x}) as a, var_samp({y}) as b, covar_samp({x}, {y}) as c from {source} group by k, label) where n >= 4),
+Q as (select k, label as own, w as ow, unnest([m1 + sqrt(2e0) * p, m1 - sqrt(2e0) * p, m1 + sqrt(2e0) * q, m1 - sqrt(2e0) * q]) as u, unnest([m2, m2, m2 + sqrt(2e0) * s, m2 - sqrt(2e0) * s]) as v from B),
+D as (select Q.k, own, ow, u, v, sum(w * exp(-0.5e0 * (((u - m1) / p) ** 2 + (((v - m2) - q * (u - m1) / p) / s) ** 2)) / (2 * pi() * p * s)) as f from Q join B on B.k = Q.k group by all),
+H as (select k, -sum(ow * ln(f)) / 4 / ln(2e0) as h from D group by k), G as (select k, sum(w * (ln(p * s) + ln(2 * pi()) + 1)) / ln(2e0) as e from B group by k), R as (select H.k, h - e as mi from H join G on G.k = H.k)"""
+
+
+@query("mi_mixture_gd_wide", f"with {L}, {_LK}, {_LC}, {_mixture_wide('L1', 'x', 'y1')} select k, {r('mi')} as mi from R")
+def mi_mixture_gd_wide(t: Tables) -> DataFrame:
+    return nf.mi_mixture_gd(_lc(t), ["k"], ["x", "y1"], "label").select("k", r6("mi").alias("mi"))
+
+
+@query("cmi_gauss_wide", f"with {L}, {_LK}, A as ({_wide('L0', [(1, ['x', 'y2']), (1, ['y1', 'y2']), (-1, ['x', 'y1', 'y2']), (-1, ['y2'])])}) select k, {r('v')} as cmi from A")
+def cmi_gauss_wide(t: Tables) -> DataFrame:
+    """By the joint log-determinants; of more columns the same, compared with numpy in a test."""
+    logs = nf.log_determinants(_l(t), ["k"], {"xz": ["x", "y2"], "yz": ["y1", "y2"], "xyz": ["x", "y1", "y2"], "z": ["y2"]})
+    h = lambda b, k: nf.gauss_entropy_sql("n", b, k, logarithm=True)
+    return logs.select("k", r6(F.expr(f"{h('xz', 2)} + {h('yz', 2)} - {h('xyz', 3)} - {h('z', 1)}")).alias("cmi"))
+
+
+@query("gccmi_ccd_wide", f"with {L}, {_LK}, {_LC}, {_normals('L1', {'cx': 'x', 'cz': 'y2', 'cy': 'y1'}, 'k, label')}, A as ({_wide('N', [(1, ['cx', 'cz']), (1, ['cy']), (-1, ['cx', 'cz', 'cy'])], 'k, label')}), G as (select k, sum(n * v) / sum(n) as cmi from A where n >= 4 group by k), B as ({_wide('N', [(1, ['cx', 'cz']), (1, ['cy']), (-1, ['cx', 'cz', 'cy'])])}) select G.k, {r('cmi')} as cmi, {r('v')} as mi from G join B on B.k = G.k")
+def gccmi_ccd_wide(t: Tables) -> DataFrame:
+    return nf.gccmi_ccd(_lc(t), ["k"], ["x", "y2"], "y1", "label").select("k", r6("cmi").alias("cmi"), r6("mi").alias("mi"))

@@ -10,23 +10,19 @@ from duosignal.catalog.registry import E, M, P, Tables, query, r
 from duosignal.functions.numeric import r6
 from duosignal.operators import ridge
 from duosignal.operators import scores as sc
+from duosignal.operators.spectral import cross_means
 
 _PAIRS = [("A", "N"), ("A", "R"), ("N", "R")]
 
 
-@query("channel_cross", f"with {M} select a.label, a.ch as a, b.ch as b, {r('avg(a.v * b.v)')} as v from M a join M b on a.vec_id = b.vec_id and a.ch < 16 and b.ch < 16 group by all")
-def channel_cross(t: Tables) -> DataFrame:
-    return _cross(t.m.where("ch < 16"))
-
+_CROSS = f"with {M} select a.label, a.ch as a, b.ch as b, {r('avg(a.v * b.v)')} as v from M a join M b on a.vec_id = b.vec_id group by all"
 
-@query("channel_cross_whole")
-def channel_cross_whole(t: Tables) -> DataFrame:
-    return _cross(t.m)
 
-
-def _cross(rows: DataFrame) -> DataFrame:
-    pairs = sc.self_pairs(rows, "ch", ["label", "vec_id"], "v")
-    return pairs.groupBy("label", "a", "b").agg(r6(F.avg(F.col("va") * F.col("vb"))).alias("v"))
+@query("channel_cross_whole", _CROSS)
+@query("channel_cross", _CROSS)
+def channel_cross(t: Tables) -> DataFrame:
+    rows = t["embeddings"].select(F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
+    return cross_means(rows, ["label"], "v").select("label", "a", "b", r6("v").alias("v"))
 
 
 @query("condition_pairs", f"with {P}, C as (select unnest(['A', 'A', 'N']) as a, unnest(['N', 'R', 'R']) as b) select C.a, C.b, x.subject, x.channel, {r('x.v - y.v')} as d from C join P x on x.condition = C.a join P y on y.condition = C.b and y.subject = x.subject and y.channel = x.channel")

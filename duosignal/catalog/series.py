@@ -14,10 +14,12 @@ LABELS = ["click", "view", "purchase"]
 W = "over (partition by k order by t)"
 
 
-@query("delay_set", "select cast(-i as bigint) as delay, (i * 1e0 / 128) as time from (select unnest(range(-77, 26)) as i)")
+@query("delay_set", f"with {E}, N as (select k, count(*) as n from E group by k) select k, cast(-i as bigint) as delay, (i * 1e0 / 128) as time, greatest(n - abs(i), 0) as samples from N, (select unnest(range(-77, 26)) as i)")
 def delay_set(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([(d,) for d in s.delay_set(-0.6, 0.2, 128)], "delay long")
-    return rows.withColumn("time", -F.col("delay") / 128)
+    """The delays of a range of times for each series, and how many of its samples have a partner there."""
+    delays = F.explode(F.array(*[F.lit(d).cast("long") for d in s.delay_set(-0.6, 0.2, 128)]))
+    rows = s.lengths(t.e, ["k"]).select("k", "n", delays.alias("delay"))
+    return rows.select("k", "delay", (-F.col("delay") / 128).alias("time"), F.greatest(F.col("n") - F.abs("delay"), F.lit(0)).alias("samples"))
 
 
 _LAGS = [2, 1, 0, -1]
@@ -94,11 +96,21 @@ def onehot_onset(t: Tables) -> DataFrame:
     return s.one_hot_onset(t.e, ["k"], "label", LABELS).select("k", "t", *[f"is_{n}" for n in LABELS])
 
 
-@query("situation_filter", f"with {E}, O as (select k, t, sum(case when state = 0 then 1 else 0 end) over w as hits, count(*) over w as seen, sum(case when state = 1 then 1 else 0 end) over w as ones from E window w as (partition by k order by t rows between 2 preceding and 1 preceding)) select k, t, 0 as target from O where coalesce(hits, 0) + 2 - coalesce(seen, 0) = 2 union all select k, t, 1 from O where ones = 2")
+_SITUATIONS = [("silence", 0, [2, 1]), ("own", 1, [2, 1]), ("gap", 1, [4, 2]), ("steps", 0, [6, 3, 0, -2]), ("all", None, [2, 1])]
+
+
+def _state_at(d: int) -> str:
+    return f"{'lag' if d >= 0 else 'lead'}(state, {abs(d)}, 0) {W}"
+
+
+@query("situation_filter", f"with {E}, O as (select k, t, " + ", ".join(" and ".join(f"{_state_at(d)} = {target}" for d in delays) + f" as {name}_" for name, target, delays in _SITUATIONS if target is not None) + ", true as all_ from E) " + " union all ".join(f"select k, t, '{name}' as situation from O where {name}_" for name, _, _ in _SITUATIONS))
 def situation_filter(t: Tables) -> DataFrame:
     e = t.e.select("k", "t", "state")
-    both = [s.situation_filter(e, ["k"], "state", target, [2, 1]).select("k", "t", F.lit(target).alias("target")) for target in (0, 1)]
-    return both[0].union(both[1])
+    each = [s.situation_filter(e, ["k"], "state", target, delays).select("k", "t", F.lit(name).alias("situation")) for name, target, delays in _SITUATIONS]
+    out = each[0]
+    for more in each[1:]:
+        out = out.union(more)
+    return out
 
 
 _TRIALS = "T as (select k, t // 10 as trial, t % 10 as t, v from E)"

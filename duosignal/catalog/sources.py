@@ -31,9 +31,10 @@ def scan_pitch(t: Tables) -> DataFrame:
     return raw.select("k", "t", ws.defined("raw").alias("pitch"), ws.defined("raw", None).alias("known"))
 
 
-@query("scan_signal", "select vec_id, cast(label as bigint) as session, cast(embedding[1] as double) as a1, cast(embedding[64] as double) as d32 from embeddings")
+@query("scan_signal", f"with {M} select vec_id, label as session, cast(ch as bigint) as channel, v as y from M")
 def scan_signal(t: Tables) -> DataFrame:
-    return t["embeddings"].select("vec_id", F.col("label").cast("long").alias("session"), F.get("embedding", F.lit(0)).cast("double").alias("a1"), F.get("embedding", F.lit(63)).cast("double").alias("d32"))
+    """All channels of each sample, in long form."""
+    return t["embeddings"].select("vec_id", F.col("label").cast("long").alias("session"), F.posexplode("embedding").alias("channel", "y")).select("vec_id", "session", F.col("channel").cast("long").alias("channel"), F.col("y").cast("double").alias("y"))
 
 
 @query("sink_partitioned", f"with {E} select k, t, v, label from E")

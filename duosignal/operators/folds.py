@@ -45,15 +45,23 @@ def min_max(df: DataFrame, keys: list[str], columns: list[str], train: Column) -
     return rows.select(*[c for c in df.columns if c not in columns], *[F.when(span(c) == 0, 0.0).otherwise(F.try_divide(F.col(c) - F.col(f"{c}_min"), span(c))).alias(c) for c in columns])
 
 
-def min_max_percentile(df: DataFrame, keys: list[str], column: str, percent: int = 5) -> DataFrame:
-    """A column by its n-th smallest and n-th largest value, n = percent * rows - 1 over 100."""
-    part = Window.partitionBy(*keys)
+def min_max_percentile(df: DataFrame, keys: list[str], columns: str | list[str], train: Column | None = None, percent: int = 5) -> DataFrame:
+    """Columns by the training rows' n-th smallest and n-th largest value, n = percent * rows - 1 over 100.
+
+    Without ``train`` all rows train. Not clipped; no range: 0.
+    """
+    columns = [columns] if isinstance(columns, str) else columns
+    rows = df.withColumn("_train", F.lit(True) if train is None else train)
+    part = Window.partitionBy(*keys, "_train")
     n = F.floor((F.count("*").over(part) * percent - 1) / 100)
-    rows = df.withColumns({"_n": n, "_up": F.row_number().over(part.orderBy(column)) - 1, "_down": F.row_number().over(part.orderBy(F.desc(column))) - 1})
-    at = lambda c: F.max(F.when(F.col(c) == F.col("_n"), F.col(column))).over(part)
-    rows = rows.withColumns({"_low": at("_up"), "_high": at("_down")})
-    span = F.col("_high") - F.col("_low")
-    return rows.withColumn(column, F.when(span == 0, 0.0).otherwise(F.try_divide(F.col(column) - F.col("_low"), span))).drop("_n", "_up", "_down", "_low", "_high")
+    whole = Window.partitionBy(*keys)
+    for column in columns:
+        up, down = (F.row_number().over(part.orderBy(o)) - 1 for o in (F.col(column), F.desc(column)))
+        at = lambda rank: F.max(F.when(F.col("_train") & (F.col(rank) == F.col("_n")), F.col(column))).over(whole)  # noqa: B023, E731
+        rows = rows.withColumns({"_n": n, "_up": up, "_down": down}).withColumns({"_low": at("_up"), "_high": at("_down")})
+        span = F.col("_high") - F.col("_low")
+        rows = rows.withColumn(column, F.when(span == 0, 0.0).otherwise(F.try_divide(F.col(column) - F.col("_low"), span)))
+    return rows.drop("_n", "_up", "_down", "_low", "_high", "_train")
 
 
 def scale(df: DataFrame, keys: list[str], column: str, low: float, high: float, name: str) -> DataFrame:
@@ -64,7 +72,10 @@ def scale(df: DataFrame, keys: list[str], column: str, low: float, high: float,
 
 
 def preprocess(df: DataFrame, keys: list[str], stimuli: list[str], responses: list[str], train: Column, stimulus_by: str = "Normalize", response_by: str = "Standarize") -> DataFrame:
-    """Stimuli and responses by the scaler named for each side, and the stimuli as one array ``x``."""
-    scalers = {"Normalize": min_max, "Standarize": standardise}
-    scaled = scalers[response_by](scalers[stimulus_by](df, keys, stimuli, train), keys, responses, train)
-    return scaled.withColumn("x", F.array(*stimuli))
+    """Stimuli and responses by the scaler named for each side, and the stimuli as one array ``x``.
+
+    Normalize is the range for stimuli, and the range between percentiles for responses.
+    """
+    stimulus = {"Normalize": min_max, "Standarize": standardise}[stimulus_by]
+    response = {"Normalize": min_max_percentile, "Standarize": standardise}[response_by]
+    return response(stimulus(df, keys, stimuli, train), keys, responses, train).withColumn("x", F.array(*stimuli))

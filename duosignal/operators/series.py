@@ -7,12 +7,13 @@ operators are window functions or equi-joins partitioned by the key, so series a
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from duosignal.functions.numeric import pearson
-
 
 def by(keys: list[str], *order: str) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*order)
@@ -91,13 +92,62 @@ def one_hot_onset(df: DataFrame, keys: list[str], label: str, names: list[str],
     return df.withColumn("_on", F.when(before.isNull() | (before != F.col(label)), 1.0).otherwise(0.0)).withColumns(one_hot(label, names, F.col("_on"))).drop("_on")
 
 
-def situation_filter(df: DataFrame, keys: list[str], state: str, target: int, delays: list[int], t: str = "t") -> DataFrame:
-    """Samples whose state is ``target`` at every delay; outside of the trial the state is 0."""
-    low, high = -max(delays), -min(delays)
-    hits = F.sum((F.col(state) == target).cast("int")).over(by(keys, t).rowsBetween(low, high))
-    seen = F.count("*").over(by(keys, t).rowsBetween(low, high))
-    padding = (F.lit(high - low + 1) - seen) if target == 0 else F.lit(0)
-    return df.withColumn("_hits", F.coalesce(hits, F.lit(0)) + F.coalesce(padding, F.lit(0))).where(F.col("_hits") == high - low + 1).drop("_hits")
+def situation_filter(df: DataFrame, keys: list[str], state: str, target: int | None, delays: list[int], t: str = "t") -> DataFrame:
+    """Samples whose state is ``target`` at every delay; outside of the trial the state is 0.
+
+    Delays may have steps and gaps: each run of them is one window. Without a target all samples stay.
+    """
+    if target is None:
+        return df
+    runs: list[list[int]] = []
+    for d in sorted(set(delays)):
+        if runs and d == runs[-1][1] + 1:
+            runs[-1][1] = d
+        else:
+            runs.append([d, d])
+    hits = F.lit(0)
+    for low, high in runs:
+        w = by(keys, t).rowsBetween(-high, -low)
+        hits = hits + F.coalesce(F.sum((F.col(state) == target).cast("int")).over(w), F.lit(0))
+        if target == 0:
+            hits = hits + (high - low + 1) - F.count("*").over(w)
+    return df.withColumn("_hits", hits).where(F.col("_hits") == len(set(delays))).drop("_hits")
+
+
+def as_arrays(df: DataFrame, keys: list[str], values: list[str], t: str = "t") -> DataFrame:
+    """(keys, t, values) as arrays in the order of t, a row for each series."""
+    rows = F.array_sort(F.collect_list(F.struct(t, *values)))
+    each = lambda c: F.transform(rows, lambda r: r[c])
+    return df.groupBy(*keys).agg(each(t).alias(t), *[each(v).cast("array<double>").alias(v) for v in values])
+
+
+def map_arrays(rows: DataFrame, keys: list[str], values: list[str], out: list[str], fn: Callable[..., list[np.ndarray]], keep: str = "t") -> DataFrame:
+    """(keys, ``keep`` if there, out): ``fn`` of whole series as arrays.
+
+    Series of one length in a batch come to ``fn`` together, as matrices with a row for each; it gives
+    a matrix for each of ``out``. Nulls come as NaN; an empty series gives empty arrays.
+    """
+    kept = [*keys, *([keep] if keep in rows.columns else [])]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*kept).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [[np.asarray(v, float) for v in batch.column(c).to_pylist()] for c in values]
+            sizes = np.array([len(v) for v in columns[0]], int)
+            made: list[list] = [[np.empty(0)] * batch.num_rows for _ in out]
+            for n in np.unique(sizes[sizes > 0]):
+                own = np.flatnonzero(sizes == n)
+                for target, matrix in zip(made, fn(*[np.stack([c[i] for i in own]) for c in columns]), strict=True):
+                    for i, row in zip(own, matrix, strict=True):
+                        target[i] = row
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *[pa.array(m, pa.list_(pa.float64())) for m in made]], names=[*kept, *out])
+
+    return rows.select(*kept, *[v for v in values if v not in kept]).mapInArrow(run, schema + "".join(f", {o} array<double>" for o in out))
+
+
+def from_arrays(rows: DataFrame, keys: list[str], values: list[str], t: str = "t") -> DataFrame:
+    """(keys, t, values): a row for each sample again."""
+    return rows.select(*keys, F.inline(F.arrays_zip(t, *values)))
 
 
 def concat_trials(df: DataFrame, keys: list[str], trial: str, t: str = "t", name: str = "g") -> DataFrame:
@@ -122,12 +172,22 @@ def find_peaks(df: DataFrame, keys: list[str], x: str, share: float, t: str = "t
 
 
 def autocorrelation(df: DataFrame, keys: list[str], x: str, most: int, t: str = "t") -> DataFrame:
-    """(keys, lag, r): Pearson's r of each series with itself at lags 1 to ``most``, and 1 at lag 0."""
-    size = Window.partitionBy(*keys)
-    left = df.withColumn("_n", F.count("*").over(size)).select(*keys, F.col(t).alias("_t"), F.col(x).alias("_x"), F.explode(F.sequence(F.lit(0), F.least(F.lit(most), F.floor(F.col("_n") / 2)).cast("int"))).alias("lag"))
-    pair = left.withColumn(t, F.col("_t") + F.col("lag")).join(df.select(*keys, t, F.col(x).alias("_y")), [*keys, t])
-    r = pair.groupBy(*keys, "lag").agg(pearson("_x", "_y").alias("r"))
-    return r.select(*keys, F.col("lag").cast("long").alias("lag"), F.when(F.col("lag") == 0, 1.0).otherwise(F.col("r")).alias("r"))
+    """(keys, lag, r): Pearson's r of each series with itself at lags 1 to ``most`` or half its length, and 1 at lag 0.
+
+    Each series is taken as an array; r is null where a part has no spread.
+    """
+
+    def lags(x: np.ndarray) -> list[np.ndarray]:
+        n = x.shape[1]
+        out = np.ones((len(x), min(most, n // 2) + 1))
+        for k in range(1, out.shape[1]):
+            a, b = (v - v.mean(axis=1, keepdims=True) for v in (x[:, : n - k], x[:, k:]))
+            size = np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
+            out[:, k] = np.divide((a * b).sum(axis=1), size, out=np.full(len(x), np.nan), where=size > 0)
+        return [out]
+
+    rows = map_arrays(as_arrays(df, keys, [x], t), keys, [x], ["r"], lags).select(*keys, F.posexplode("r").alias("lag", "r"))
+    return rows.select(*keys, F.col("lag").cast("long").alias("lag"), F.nanvl("r", F.lit(None)).alias("r"))
 
 
 def decorrelation_time(r: DataFrame, keys: list[str], below: float = 0.1, scale: float = 1.0) -> DataFrame:

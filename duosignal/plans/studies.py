@@ -22,15 +22,10 @@ def receptive_field_study(series: DataFrame, keys: list[str], stimulus: str, res
     """Lagged models: the penalty chosen per key by cross-validated correlation, and the weights it gives."""
     lagged = lag_matrix(contiguous_folds(series, keys, k), keys, [stimulus], delays)
     rows = lagged.select(*keys, "fold", F.array(*[f"x_{stimulus}_{j}" for j in range(len(delays))]).alias("xs"), F.array(*responses).alias("ys"))
-    splits = ridge.training_grams(ridge.gram(rows, [*keys, "fold"], "xs", "ys"), keys)
-    scores = ridge.sweep_wide(splits, [*keys, "fold"], len(delays), alphas).groupBy(*keys, "alpha").agg(F.avg("r").alias("r"))
+    scores = ridge.encode_wide(rows, keys, "xs", "ys", len(delays), alphas, x_by=None, y_by=None).groupBy(*keys, "alpha").agg(F.avg("r").alias("r"))
     chosen = ridge.alpha_select(scores, keys, limit)
-    whole = ridge.gram(rows, keys, "xs", "ys")
-    fits = [ridge.fit_wide(whole.join(chosen.where(F.col("alpha") == a), keys, "left_semi"), keys, len(delays), a).withColumn("alpha", F.lit(a)) for a in alphas]
-    out = fits[0]
-    for f in fits[1:]:
-        out = out.unionByName(f)
-    return out
+    fits = ridge.fit_wide(ridge.gram(rows, keys, "xs", "ys"), keys, len(delays), alphas, x_by=None, y_by=None)
+    return ridge.weights_long(fits.join(chosen, [*keys, "alpha"], "left_semi"), [*keys, "alpha"])
 
 
 def significance_study(scores: DataFrame, null: DataFrame, keys: list[str], fold: str = "fold", limit: float = 0.05, tests: int = 128) -> DataFrame:

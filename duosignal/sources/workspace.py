@@ -16,7 +16,7 @@ def work_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     global _own
     _own = _own or tempfile.mkdtemp(prefix="duosignal-series-")
@@ -48,9 +48,14 @@ def select_features(df: DataFrame, wanted: str, known: list[str], feature: str =
     return df.where(F.col(feature).isin(names)).withColumn("position", F.array_position(F.array(*map(F.lit, names)), F.col(feature)) - 1)
 
 
-def save_partitioned(df: DataFrame, path: str, by: list[str]) -> None:
-    """Replaces just the partitions that ``df`` has rows for."""
-    df.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+def save_partitioned(df: DataFrame, path: str, by: list[str], files: int = 16) -> None:
+    """Replaces just the partitions that ``df`` has rows for.
+
+    The rows of a partition are dealt by a hash into up to ``files`` files, so that no task writes a
+    large partition alone.
+    """
+    deal = F.pmod(F.xxhash64(*df.columns), F.lit(files))
+    df.repartition(*by, deal).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
