@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,24 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is what the cluster names in spark.checkpoint.dir. Only a local session without that
-    setting, as in tests, gets a temporary folder of its own.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    global _own
-    _own = _own or tempfile.mkdtemp(prefix="duosignal-")
-    return _own
-
-
-_own = ""
+from duosignal.sources.workspace import work_folder
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -37,7 +19,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     collects its garbage, which is asked for here so that they don't pile up over the steps.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
