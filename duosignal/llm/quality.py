@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,21 +86,26 @@ def _consistency(share: float) -> float:
 
 
 def _factor(estimates: DataFrame) -> DataFrame:
-    """Adds the Cholesky factor l_i_j of the covariances c_i_j."""
+    """(g, m_i, k_i_j): means and inverse covariances, by way of the Cholesky factor l and its inverse e.
+
+    One select whose columns refer to those before them, so the plan is analysed once.
+    """
+    columns = {}
+    for i, j in sorted(PAIRS, key=lambda p: (p[1], p[0])):
+        rest = " - ".join([f"c_{i}_{j}", *(f"l_{i}_{k} * l_{j}_{k}" for k in range(j))])
+        columns[f"l_{i}_{j}"] = f"sqrt(greatest({rest}, 1e-6D))" if i == j else f"({rest}) / l_{j}_{j}"
     for i, j in sorted(PAIRS, key=lambda p: (p[1], p[0])):
-        rest = reduce(lambda a, k: a - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}"), range(j), F.col(f"c_{i}_{j}"))
-        estimates = estimates.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-6))) if i == j else rest / F.col(f"l_{j}_{j}"))
-    return estimates.select("g", *[f"m_{i}" for i in range(D)], *[f"l_{i}_{j}" for i, j in PAIRS])
+        columns[f"e_{i}_{j}"] = f"1D / l_{i}_{i}" if i == j else f"-({' + '.join(f'l_{i}_{k} * e_{k}_{j}' for k in range(j, i))}) / l_{i}_{i}"
+    columns |= {f"k_{i}_{j}": " + ".join(f"e_{k}_{i} * e_{k}_{j}" for k in range(i, D)) for i, j in PAIRS}
+    whole = estimates.selectExpr("*", *[f"{x} as {c}" for c, x in columns.items()])
+    return whole.select("g", *[f"m_{i}" for i in range(D)], *[f"k_{i}_{j}" for i, j in PAIRS])
 
 
 def _distance(rows: DataFrame, factors: DataFrame) -> DataFrame:
-    """Adds d2, the squared Mahalanobis distance, by forward substitution."""
-    rows = rows.join(factors, "g")
-    for i in range(D):
-        z = reduce(lambda a, j: a - F.col(f"l_{i}_{j}") * F.col(f"z_{j}"), range(i), F.col(VECTOR[i]) - F.col(f"m_{i}"))
-        rows = rows.withColumn(f"z_{i}", z / F.col(f"l_{i}_{i}"))
-    rows = rows.withColumn("d2", reduce(lambda a, i: a + F.pow(f"z_{i}", F.lit(2)), range(D), F.lit(0.0)))
-    return rows.drop(*[f"{k}_{i}" for k in "mz" for i in range(D)], *[f"l_{i}_{j}" for i, j in PAIRS])
+    """Adds d2, the squared Mahalanobis distance."""
+    at = [f"({v} - m_{i})" for i, v in enumerate(VECTOR)]
+    d2 = " + ".join(f"{'' if i == j else '2D * '}k_{i}_{j} * {at[i]} * {at[j]}" for i, j in PAIRS)
+    return rows.join(factors, "g").selectExpr(*rows.columns, f"{d2} as d2")
 
 
 def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -116,12 +120,17 @@ def _estimates(moments: DataFrame, factor: float) -> DataFrame:
 
 
 def _concentrate(rows: DataFrame, factors: DataFrame, share: float) -> DataFrame:
-    """One C-step: moments of the nearest ``share`` of each group, to the precision of a bin."""
-    sums = ["n", *[f"s_{i}" for i in range(D)], *[f"s_{i}_{j}" for i, j in PAIRS]]
+    """One C-step: moments of the nearest ``share`` of each group, to the precision of a bin.
+
+    Bins are summed map-side and by (g, bin); of a group a few hundred are left whatever its size.
+    """
+    sums = [f"s_{i}" for i in range(D)] + [f"s_{i}_{j}" for i, j in PAIRS]
     bins = _moments(_distance(rows, factors).withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * 16)), ["g", "bin"])
+    # Another name for g: else what is not yet summed by bin would be dealt by g alone.
+    bins = bins.select(F.concat("g", F.lit("")).alias("g"), "bin", "n", *sums)
     order = Window.partitionBy("g").orderBy("bin")
     near = bins.withColumns({"before": F.sum("n").over(order) - F.col("n"), "all": F.sum("n").over(Window.partitionBy("g"))})
-    near = near.where(F.col("before") < F.col("all") * share).groupBy("g").agg(*[F.sum(x).alias(x) for x in sums])
+    near = near.where(F.col("before") < F.col("all") * share).groupBy("g").agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in sums])
     return _factor(_estimates(near, _consistency(share)))
 
 
@@ -143,7 +152,7 @@ def quality(docs: DataFrame, least: int = 50, share: float = 0.75, steps: int =
     part in the estimates. Groups of under ``least`` rows are pooled by language, then altogether;
     a pool of fewer rows is judged by the estimate of all rows. If there are fewer than ``least``
     in all, none is rejected (distance null). ``share`` is the part that a
-    concentration step keeps, ``steps`` their number.
+    concentration step keeps, ``steps`` their number. distance is given for rejected rows alone.
 
     Null text: no words, fails. Null lang or source: a group like any other. Repeated rows and ties
     are judged alike. No rows: no rows. row_key is a fingerprint of the row, to join verdicts by.
