@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from duosignal.catalog.registry import E, L, Tables, query, r
 from duosignal.functions.numeric import normal_quantile_sql, r6
 from duosignal.operators import information as nf
-from duosignal.operators.series import lag_matrix
 
 
 def _rank(x: str, keys: str = "k", tie: str = "t") -> str:
@@ -74,15 +73,13 @@ def gcmi_cc(t: Tables) -> DataFrame:
     return nf.gcmi_cc(_e(t), ["k"], "v", "w").select("k", "n", r6("mi").alias("mi"), "many_ties")
 
 
-_LAGS = [0, 1, 2]
+_LAGS = list(range(16))
 
 
 @query("gcmi_lagged", f"with {L}, {_LK}, X as (" + " union all ".join(f"select k, t, {d} as lag, '{c}' as channel, lag(x, {d}, 0.0) over (partition by k order by t) as x, {c} as y from L0" for d in _LAGS for c in ("y1", "y2")) + f"), {_normals('X', {'cx': 'x', 'cy': 'y'}, 'k, lag, channel')}, A as ({_mi('cx', 'cy', 'N', 'k, lag, channel')}) select k, cast(lag as bigint) as lag, channel, {r('mi')} as mi from A")
 def gcmi_lagged(t: Tables) -> DataFrame:
-    wide = lag_matrix(_l(t), ["k"], ["x"], _LAGS)
-    lags = F.explode(F.array(*[F.struct(F.lit(d).cast("long").alias("lag"), F.col(f"x_x_{j}").alias("x")) for j, d in enumerate(_LAGS)])).alias("at")
-    long = wide.select("k", "t", "y1", "y2", lags).select("k", "t", "at.lag", F.col("at.x").alias("x"), "y1", "y2").unpivot(["k", "t", "lag", "x"], ["y1", "y2"], "channel", "y")
-    return nf.gcmi_cc(long, ["k", "lag", "channel"], "x", "y").select("k", "lag", "channel", r6("mi").alias("mi"))
+    rows = nf.gcmi_lagged(_l(t), ["k"], "x", ["y1", "y2"], _LAGS)
+    return rows.select("k", "lag", "channel", r6("mi").alias("mi"))
 
 
 def _model(x: str, source: str) -> str:

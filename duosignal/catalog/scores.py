@@ -85,7 +85,7 @@ def fold_envelope(t: Tables) -> DataFrame:
 @query("best_lag_profile", f"with {M}, {_TRF}, A as (select label, lag, avg(v) as v from T group by all), B as (select label, arg_max(lag, v) as lag from A group by label) select T.label, T.lag, T.channel, {r('avg(T.v)')} as v, {r('stddev_pop(T.v)')} as sd from T join B on B.label = T.label and B.lag = T.lag group by all")
 def best_lag_profile(t: Tables) -> DataFrame:
     best = weights(t).groupBy("label", "lag").agg(F.avg("v").alias("v")).groupBy("label").agg(F.max_by("lag", "v").alias("lag"))
-    return weights(t).join(F.broadcast(best), ["label", "lag"]).groupBy("label", "lag", "channel").agg(r6(F.avg("v")).alias("v"), r6(F.stddev_pop("v")).alias("sd"))
+    return weights(t).join(best, ["label", "lag"]).groupBy("label", "lag", "channel").agg(r6(F.avg("v")).alias("v"), r6(F.stddev_pop("v")).alias("sd"))
 
 
 @query("score_matrix", f"with {MODEL}, A as (select channel, fold, avg(r) as r, sum(case when r > 0 then 1 else 0 end) as n from S group by all) select channel, " + ", ".join(f"{r(f'max(r) filter (fold = {i})')} as r_{i}, cast(max(n) filter (fold = {i}) as bigint) as passed_{i}" for i in range(5)) + " from A group by channel")

@@ -52,13 +52,12 @@ def ttest_1samp(t: Tables) -> DataFrame:
     return weights(t).groupBy("channel", "lag").agg(r6(st.t_one_sample(F.count("*"), F.avg("v"), F.stddev_samp("v"))).alias("t"))
 
 
-_PERMS = 16
-_FLIP = f"G as (select vec_id, perm, case when substr(md5('f:' || perm || ':' || vec_id), 1, 1) >= '8' then 1e0 else -1e0 end as s from (select distinct vec_id from M), (select unnest(range({_PERMS})) as perm)), T as (select perm, ch // 8 as channel, ch % 8 as lag, avg(v * s) / (stddev_samp(v * s) / sqrt(count(*))) as t from M join G on G.vec_id = M.vec_id group by perm, ch)"
+_PERMS = 1024
+_FLIP = f"G as (select vec_id, perm, {st.sign_sql('vec_id', 'perm')} as s from (select distinct vec_id from M), (select unnest(range({_PERMS})) as perm)), T as (select perm, ch // 8 as channel, ch % 8 as lag, avg(v * s) / (stddev_samp(v * s) / sqrt(count(*))) as t from M join G on G.vec_id = M.vec_id group by perm, ch)"
 
 
 def flipped(t: Tables) -> DataFrame:
-    rows = weights(t)
-    return st.sign_flip_t(rows, st.sign_flips(rows, "vec_id", _PERMS), "vec_id", ["channel", "lag"], "v")
+    return st.sign_flip_t(weights(t), "vec_id", ["channel", "lag"], "v", _PERMS)
 
 
 @query("signflip_null", f"with {M}, {_FLIP} select perm, {r('max(abs(t))')} as top, {r('avg(t)')} as mean from T group by perm")

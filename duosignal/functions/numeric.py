@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +33,14 @@ def normal_quantile_sql(p: str) -> str:
     return f"case when abs({q}) <= 0.425e0 then {q} * {ratio(CENTRE, square)} else sign({q}) * (case when {edge} <= 5e0 then {ratio(MIDDLE, near)} else {ratio(TAIL, far)} end) end"
 
 
+def normal_quantiles(p: np.ndarray) -> np.ndarray:
+    """The normal quantiles of an array, by the same polynomials."""
+    q, edge = p - 0.5, np.sqrt(-np.log(np.minimum(p, 1 - p)))
+    ratio = lambda pair, x: np.polyval(pair[0][::-1], x) / np.polyval(pair[1][::-1], x)
+    far = np.where(edge <= 5, ratio(MIDDLE, edge - 1.6), ratio(TAIL, edge - 5))
+    return np.where(np.abs(q) <= 0.425, q * ratio(CENTRE, 0.180625 - q * q), np.sign(q) * far)
+
+
 def digamma_sql(x: str) -> str:
     """The digamma function of the SQL expression ``x`` (> 0), by recurrence to x + 6 and a series."""
     y = f"({x} + 6e0)"

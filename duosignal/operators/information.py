@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from duosignal.functions.numeric import digamma_sql, normal_quantile_sql
+from duosignal.functions.numeric import digamma_sql, normal_quantile_sql, normal_quantiles
+from duosignal.operators.series import as_arrays, map_arrays
 
 LN2 = math.log(2)
 
@@ -114,6 +115,38 @@ def gcmi_cc(df: DataFrame, keys: list[str], x: str | list[str], y: str | list[st
     return mi_gauss(normal, keys, cx, cy).join(ties, keys)
 
 
+def gcmi_lagged(df: DataFrame, keys: list[str], x: str, responses: list[str], lags: list[int], t: str = "t") -> DataFrame:
+    """(keys, lag, channel, n, mi): gcmi_cc of x so many samples before (0 outside of the series) and each response.
+
+    Series are taken as arrays, so a lag costs a sort in memory and no shuffle; the values of the
+    responses are made normal once. Equal values rank in the order of t.
+    """
+
+    def normal(v: np.ndarray) -> np.ndarray:
+        rank = np.empty(v.shape)
+        np.put_along_axis(rank, np.argsort(v, axis=1, kind="stable"), np.arange(1.0, v.shape[1] + 1)[None, :], axis=1)
+        z = normal_quantiles(rank / (v.shape[1] + 1))
+        return z - z.mean(axis=1, keepdims=True)
+
+    def correlations(x: np.ndarray, *ys: np.ndarray) -> list[np.ndarray]:
+        zs, n, out = [normal(y) for y in ys], x.shape[1], []
+        for lag in lags:
+            moved = np.zeros(x.shape)
+            if lag < n:
+                moved[:, max(lag, 0) : n + min(lag, 0)] = x[:, max(-lag, 0) : n - max(lag, 0)]
+            a = normal(moved)
+            for z in zs:
+                size = np.sqrt((a * a).sum(axis=1) * (z * z).sum(axis=1))
+                out.append(np.divide((a * z).sum(axis=1), size, out=np.full(len(x), np.nan), where=size > 0))
+        return [np.stack(out, axis=1)]
+
+    rows = map_arrays(as_arrays(df, keys, [x, *responses], t).withColumn("t", F.size(t).cast("long")), keys, [x, *responses], ["r"], correlations)
+    names, at = F.array(*map(F.lit, responses)), F.col("_i")
+    rows = rows.select(*keys, F.col("t").alias("n"), F.posexplode("r").alias("_i", "_r"))
+    rows = rows.select(*keys, F.get(F.array(*[F.lit(d).cast("long") for d in lags]), F.floor(at / len(responses)).cast("int")).alias("lag"), F.get(names, (at % len(responses)).cast("int")).alias("channel"), "n", "_r")
+    return rows.select(*keys, "lag", "channel", "n", F.when((F.col("n") > 3) & (F.abs("_r") < 1 - 1e-9), F.expr(mi_gauss_sql("n", "_r"))).alias("mi"))
+
+
 def entropy_gauss(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """(keys, n, h): Gaussian entropy of one or more columns; null where they have no full rank."""
     logs = log_determinants(df, keys, {"_l": columns}).where(F.col("n") > len(columns) + 1)

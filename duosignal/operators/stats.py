@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from duosignal.operators.nulls import shuffle_key_sql, shuffle_keys
 
 def permutation_p(true: DataFrame, null: DataFrame, keys: list[str], score: str, less: str | None = None) -> DataFrame:
     """(keys, p): the rank of the true score among the iterations there are, (count + 1) / (n + 1).
@@ -40,16 +42,40 @@ def t_one_sample(n: Column, mean: Column, sd: Column) -> Column:
     return F.when(sd > 0, F.try_divide(mean, sd / F.sqrt(n)))
 
 
-def sign_flips(members: DataFrame, member: str, permutations: int, seed: str = "f") -> DataFrame:
-    """(perm, member, sign): a sign for each member in each permutation from a bit of md5."""
-    rows = members.select(member).distinct().select(member, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(permutations - 1).cast("long"))).alias("perm"))
-    bit = F.substring(F.md5(F.concat_ws(":", F.lit(seed), "perm", member).cast("binary")), 1, 1) >= "8"
-    return rows.select("perm", member, F.when(bit, 1.0).otherwise(-1.0).alias("sign"))
+def sign_sql(member: str, perm: str) -> str:
+    """The sign of a member in a permutation, as SQL."""
+    return f"case when {shuffle_key_sql(member, perm)} % 2 = 0 then 1e0 else -1e0 end"
 
 
-def sign_flip_t(df: DataFrame, signs: DataFrame, member: str, cells: list[str], value: str) -> DataFrame:
-    """(perm, cells, t) of the flipped members; the sum of squares doesn't change with signs."""
-    flipped = df.join(signs, member).groupBy("perm", *cells).agg(F.count("*").alias("n"), F.sum(F.col(value) * F.col("sign")).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"))
+def sign_flip_t(df: DataFrame, member: str, cells: list[str], value: str, permutations: int) -> DataFrame:
+    """(perm, cells, t): t of each cell with the members' signs flipped at random, the same in all cells.
+
+    The sum of squares doesn't change with signs, and sums of flipped values are products of a matrix
+    of signs with one of values: a task sends a number for each permutation and cell, no row of its own.
+    """
+    schema = "perm long, " + "".join(f"{f.name} {f.dataType.simpleString()}, " for f in df.select(*cells).schema) + "s double"
+    perms = np.arange(permutations)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[tuple, np.ndarray] = {}
+        for own in batches:
+            if not len(own):
+                continue
+            who, row = np.unique(own[member], return_inverse=True)
+            signs = np.where(shuffle_keys(who, perms) % 2 == 0, 1.0, -1.0)
+            places = own.groupby(cells, sort=False).indices
+            values = np.zeros((len(who), len(places)))
+            for j, at in enumerate(places.values()):
+                np.add.at(values, (row[at], j), own[value].to_numpy()[at])
+            for cell, s in zip(places, (signs @ values).T, strict=True):
+                cell = cell if isinstance(cell, tuple) else (cell,)
+                found[cell] = found.get(cell, 0.0) + s
+        for cell, s in found.items():
+            yield pd.DataFrame({"perm": perms, **dict(zip(cells, cell, strict=True)), "s": s})
+
+    known = df.where(F.col(value).isNotNull())
+    sizes = known.groupBy(*cells).agg(F.count("*").alias("n"), F.sum(F.col(value) * F.col(value)).alias("q"))
+    flipped = known.select(member, *cells, value).mapInPandas(sums, schema).groupBy("perm", *cells).agg(F.sum("s").alias("s")).join(sizes, cells)
     mean = F.col("s") / F.col("n")
     sd = F.sqrt(F.greatest(F.try_divide(F.col("q") - F.col("n") * mean * mean, F.col("n") - 1), F.lit(0.0)))
     return flipped.select("perm", *cells, t_one_sample(F.col("n"), mean, sd).alias("t"))
@@ -97,9 +123,13 @@ def tfce(maps: DataFrame, row: str, column: str, start: float = 0.0, step: float
 
 
 def max_p(scores: DataFrame, true: DataFrame, cells: list[str], value: str) -> DataFrame:
-    """(cells, p) of true values against the distribution of each permutation's largest absolute one."""
-    top = scores.groupBy("perm").agg(F.max(F.abs(value)).alias("_top"))
-    return true.join(F.broadcast(top)).groupBy(*cells).agg(((F.count_if(F.col("_top") >= F.abs(value)) + 1) / (F.count("*") + 1)).alias("p"))
+    """(cells, p) of true values against the distribution of each permutation's largest absolute one.
+
+    That distribution is one number for each permutation, and goes to all cells as one array.
+    """
+    tops = scores.groupBy("perm").agg(F.max(F.abs(value)).alias("_top")).agg(F.collect_list("_top").alias("_tops"))
+    beyond = F.size(F.filter("_tops", lambda v: v >= F.abs(value)))
+    return true.join(F.broadcast(tops)).select(*cells, ((beyond + 1) / (F.size("_tops") + 1)).alias("p"))
 
 
 def threshold_map(p: str | Column, limit: float = 0.05) -> Column:
