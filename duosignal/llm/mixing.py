@@ -116,12 +116,12 @@ def with_rates(members: DataFrame, targets: list[float], most: float | None = No
     return members.withColumn("rate", rate)
 
 
-def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], size: float | None = 1.0, most: float | None = None, **classifier) -> DataFrame:
+def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], size: float | str = 1.0, most: float | None = None, **classifier) -> DataFrame:
     """(doc_id, h, g, n_tokens, p_<domain> ..., rate, copies) for each different row of ``docs``.
 
     ``targets`` are the domains' weights; their token totals are these shares of ``size`` times all
-    tokens (words between ASCII white space). ``size`` None is the largest at which no domain is
-    asked for more tokens than it is expected to have. copies is the rate, rounded up or down by a hash of
+    tokens (words between ASCII white space). If ``size`` is a domain's name, its expected tokens are
+    its share, so it is used up; then no domain is asked for more than it is expected to have. copies is the rate, rounded up or down by a hash of
     the row so that it is met on average. Equal rows have one result. Null text: no tokens, a
     posterior by its shape. Labels of unknown documents, other domains or null are left out; with
     none at all every posterior is even. No rows: no rows. Further columns are ignored.
@@ -131,10 +131,13 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], size:
     n = F.col("rows") * F.col("n_tokens")
     total, *held = members.agg(F.sum(n), *[F.sum(n * F.col(f"p_{i}")) for i in range(len(domains))]).first()  # one sum for each domain
     whole = sum(targets.values())
-    asked = (total or 0) * (1.0 if size is None else size)
-    if size is None:
-        asked = min([asked, *[(h or 0.0) * whole / targets[d] for h, d in zip(held, domains, strict=True) if targets[d] > 0]])
-    rated = with_rates(members, [targets[d] / whole * asked for d in domains], most)
+    asked = {d: targets[d] / whole * (total or 0) for d in domains}
+    if isinstance(size, str):
+        have = {d: h or 0.0 for d, h in zip(domains, held, strict=True)}
+        asked = {d: min(have[d], targets[d] / targets[size] * have[size]) for d in domains}
+    else:
+        asked = {d: n * size for d, n in asked.items()}
+    rated = with_rates(members, [asked[d] for d in domains], most)
     out = rated.select("doc_id", "h", "g", "n_tokens", *[F.col(f"p_{i}").alias(f"p_{d}") for i, d in enumerate(domains)], "rate")
     chance = F.pmod(F.xxhash64("doc_id", "h", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     return out.withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("long"))
