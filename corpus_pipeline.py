@@ -12,7 +12,8 @@ from duosignal.llm.quality import keep_good
 from duosignal.llm.shared import discard, free_names, stored, table
 from duosignal.llm.suffix_dedup import without_repeats
 
-#: Shares of the tokens that the mixing stage gives, as many as the scarcest domain allows without repeats.
+#: Weights of the domains' tokens after mixing. The high domain is used up; where another has fewer than its weight
+#: asks for, all of it stays.
 TARGETS = {"high": 0.97, "low": 0.02, "toxic": 0.01}
 
 #: Packing and mixing can't be written as SQL over the tables.
@@ -50,7 +51,7 @@ def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     labels of documents that are gone count nowhere. Texts without tokens weigh nothing and stay as
     their posteriors say.
     """
-    return mixed_documents(docs, label_domains(table(spark, sf_dir, "labels")), TARGETS, size=None, most=1.0)
+    return mixed_documents(docs, label_domains(table(spark, sf_dir, "labels")), TARGETS, size="high", most=1.0)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
