@@ -100,7 +100,7 @@ def with_rates(members: DataFrame, targets: list[float], most: float | None = No
         return members.withColumn("rate", rate)
     scale = float(sums["n"])
     inverse = _inverse([[sums[f"m_{i}_{j}"] / scale + (1e-9 if i == j else 0.0) for j in range(k)] for i in range(k)])
-    last = float("inf")
+    last, own = float("inf"), None
     for turn in range(1, steps + 1):
         got = members.agg(*[F.sum(n * rate * p[i]).alias(f"t_{i}") for i in range(k)]).first()
         e = [(got[f"t_{i}"] - targets[i]) / scale for i in range(k)]
@@ -112,7 +112,10 @@ def with_rates(members: DataFrame, targets: list[float], most: float | None = No
         rate = F.greatest(F.lit(0.0), rate - reduce(lambda a, b: a + b, [p[i] * push[i] for i in range(k)]))
         rate = rate if most is None else F.least(F.lit(float(most)), rate)
         if turn % 8 == 0:
-            members, rate = stored(members.withColumn("rate", rate), "rates"), F.col("rate")
+            before, own = own, stored(members.withColumn("rate", rate), "rates")
+            members, rate = own, F.col("rate")
+            if before is not None:
+                discard(before)
     return members.withColumn("rate", rate)
 
 

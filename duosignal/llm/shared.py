@@ -26,12 +26,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*dfs: DataFrame) -> None:
-    """Deletes the files of stored tables that nothing reads any more."""
+    """Deletes the files of tables of ``stored`` that nothing reads any more; others are left alone."""
     for df in dfs:
-        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-        for folder in folders:
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        spark = df.sparkSession
+        own = work_folder(spark).rsplit("/", 1)[-1]
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if folder.split("/")[-2] == own:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
