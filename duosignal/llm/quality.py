@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duosignal.llm.shared import free_names, stored, table
+from duosignal.llm.shared import fitting, free_names, stored, table
 
 WHITE = " \t\n\x0b\x0c\r"
 VECTOR = ["v_word", "v_symbol", "v_line", "v_repeat", "v_size"]
@@ -102,10 +102,13 @@ def _factor(estimates: DataFrame) -> DataFrame:
 
 
 def _distance(rows: DataFrame, factors: DataFrame) -> DataFrame:
-    """Adds d2, the squared Mahalanobis distance."""
+    """Adds d2, the squared Mahalanobis distance. ``factors`` is a stored table, a row for each group.
+
+    It is broadcast behind a count: else rows could be dealt by g before it shows how small it is.
+    """
     at = [f"({v} - m_{i})" for i, v in enumerate(VECTOR)]
     d2 = " + ".join(f"{'' if i == j else '2D * '}k_{i}_{j} * {at[i]} * {at[j]}" for i, j in PAIRS)
-    return rows.join(factors, "g").selectExpr(*rows.columns, f"{d2} as d2")
+    return rows.join(fitting(factors), "g").selectExpr(*rows.columns, f"{d2} as d2")
 
 
 def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -139,7 +142,7 @@ def _grouped(rows: DataFrame, least: int) -> DataFrame:
     both = rows.groupBy("lang", "source").agg(F.count("*").alias("_n"))
     both = both.withColumn("_rest", F.sum(F.when(F.col("_n") < least, F.col("_n"))).over(Window.partitionBy("lang")))
     name = F.when(F.col("_n") >= least, F.to_json(F.array(F.coalesce("lang", F.lit("\0")), F.coalesce("source", F.lit("\0"))))).when(F.col("_rest") >= least, F.to_json(F.array(F.coalesce("lang", F.lit("\0"))))).otherwise("")
-    both = both.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), name.alias("g"))
+    both = fitting(stored(both.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), name.alias("g")), "groups"))
     return rows.join(both, rows.lang.eqNullSafe(F.col("_lang")) & rows.source.eqNullSafe(F.col("_source"))).drop("_lang", "_source")
 
 
