@@ -66,3 +66,22 @@ B as (select word, other, m, count(*) over (partition by word) as n_near, row_nu
 F as (select V.word, V.n, coalesce(n_near, 0)::bigint as n_near, case when m >= 2 * V.n then other end as form, case when m >= 2 * V.n then m end as form_n from V left join B on B.word = V.word and place = 1),
 C as (select word, word as last, form as onward from F union all select C.word, F.word, F.form from C join F on F.word = C.onward)
 select F.word, form, last as root, n, n_near, form_n from F join C on C.word = F.word and C.onward is null"""
+
+
+def _features(name: str, key: str) -> str:
+    """Tables of the words and of the features (runs of one or two words) of a table's texts."""
+    return f"""{name}_w as (select {key} as id, list_filter(string_split_regex({_LOWER}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w from {name}),
+{name}_f as (select id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as f from {name}_w)"""
+
+
+IMPORTANCE_RESAMPLING = f"""with {_features("documents", "doc_id")}, {_features("benchmark", "item_id")},
+B as (select f, ({_crc32("f")} % 10000)::int as bucket from (select f from documents_f union select f from benchmark_f)),
+S as (select bucket, count(*) as s from documents_f join B using (f) group by bucket),
+T as (select bucket, count(*) as t from benchmark_f join B using (f) group by bucket),
+N as (select (select count(*) from documents_f) as s_all, (select count(*) from benchmark_f) as t_all),
+G as (select bucket, floor(1000 * ln((coalesce(t, 0) + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000))))::bigint as gain from S left join T using (bucket), N),
+D as (select id, count(*) as n_features, floor(sum(gain)::double / count(*))::bigint as weight from documents_f join B using (f) join G using (bucket) group by id),
+H as (select id as doc_id, len(w) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight, list_reduce([(instr('0123456789abcdef', c) - 1)::bigint for c in string_split(substr(sha256('7:' || id), 1, 8), '')], lambda x, y: x * 16 + y) as h from documents_w left join D using (id)),
+R as (select doc_id, n_words, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296)))::bigint as score from H),
+K as (select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id) as place, count(*) over (partition by n_words >= 20) as n from R)
+select doc_id, n_features, weight, score, case when n_words >= 20 and place <= 25 * n // 100 then place end as rank from K"""
