@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from duosignal.llm.binary_ids import op13_binary_ids
 from duosignal.llm.html_text import op3_html_extraction
 from duosignal.llm.importance import op12_importance_resampling
 from duosignal.llm.language import op4_language_id
@@ -33,6 +34,7 @@ def queries() -> dict[str, Callable]:
         "op10_best_fit_packing": op10_best_fit_packing,
         "op11_spelling_variants": op11_spelling_variants,
         "op12_importance_resampling": op12_importance_resampling,
+        "op13_binary_ids": op13_binary_ids,
     }
 
 
