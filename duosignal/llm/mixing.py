@@ -2,7 +2,7 @@
 
 A classifier of labelled documents gives every document posteriors over domains. Nonnegative rates
 are then fitted so that the expected tokens of each domain meet their targets: projected-gradient
-least squares, where a step needs one sum for each domain over all documents.
+least squares, where a step needs a few sums over all documents.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duosignal.llm.shared import discard, first_by_hash, free_names, stored, table
+from duosignal.llm.shared import first_by_hash, free_names, stored, table
 
 TARGETS = {"high": 0.85, "low": 0.1, "toxic": 0.05}
 
@@ -67,10 +67,10 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], sample:
     return raw.select("doc_id", "h", "g", "rows", "n_tokens", *[(F.col(f"e_{i}") / norm).alias(f"p_{i}") for i in range(len(domains))])
 
 
-def _inverse(m: list[list[float]]) -> list[list[float]]:
-    """Of a small symmetric matrix, by Gauss-Jordan steps."""
+def _solved(m: list[list[float]], v: list[float]) -> list[float]:
+    """The x of m x = v, m a small matrix, by Gauss-Jordan steps."""
     n = len(m)
-    rows = [[*m[i], *[float(i == j) for j in range(n)]] for i in range(n)]
+    rows = [[*m[i], v[i]] for i in range(n)]
     for i in range(n):
         best = max(range(i, n), key=lambda k: abs(rows[k][i]))
         rows[i], rows[best] = rows[best], rows[i]
@@ -78,53 +78,108 @@ def _inverse(m: list[list[float]]) -> list[list[float]]:
         for k in range(n):
             if k != i:
                 rows[k] = [x - rows[k][i] * y for x, y in zip(rows[k], rows[i], strict=True)]
-    return [r[n:] for r in rows]
+    return [r[n] for r in rows]
 
 
-def with_rates(members: DataFrame, targets: list[float], most: float | None = None, steps: int = 60, close: float = 1e-7, gain: float = 1e-3) -> DataFrame:
-    """``members`` (rows, n_tokens, p_0 ...) with the ``rate`` of each row.
+def _dot(a: list[float], b: list[float]) -> float:
+    return sum(x * y for x, y in zip(a, b, strict=True))
 
-    Least squares of the domains' expected tokens against ``targets`` over rates between 0 and
-    ``most``, from rate 1. Residuals are weighed by the inverse of sum n p p', so the step 1 never
-    overshoots where rates are measured by tokens; without active bounds it meets the targets at
-    once. It ends after ``steps``, at residuals below ``close`` of all tokens, or when a step lowers
-    the loss by less than the share ``gain`` (targets out of reach). Only sums over all documents,
-    one for each domain, come to the driver; rates are written out every eight steps.
+
+def fit_rates(members: DataFrame, targets: list[float], most: float | None = None, steps: int = 400, close: float = 1e-8, gain: float = 1e-12, ridges: tuple[float, ...] = (1e-1, 1e-2, 1e-3, 1e-4, 1e-5, 1e-6, 1e-7)) -> tuple[list[float], list[float]]:
+    """What makes the rates of ``with_rates``: (x, miss), a row's rate being 1 - p x between the bounds.
+
+    miss is what the domains' expected tokens are off their targets, as shares of all tokens.
+
+    Gradients are added up in x and projected on the bounds only for the rates (lazy projected
+    gradient). A gradient is p' M e with the residuals e and a metric M; M comes from the rows that
+    are not at a bound, so a step has the size that meets the targets if none of them reaches one,
+    and is cut until the concave dual grows. A weight on the distance of rates from 1 (``ridges``, in
+    falling order, each from the last one's x) makes the answer unique and holds x where targets are
+    out of reach. A weight is done with when the dual's gradient is below ``close`` of all tokens or
+    a step promises less than the share ``gain``; the last one ends with residuals of about 1e-7 x
+    (targets in reach) or at the least weighed squares. Only some sums over all documents come to the
+    driver, none larger than the square of the number of domains.
     """
     k = len(targets)
     p = [F.col(f"p_{i}") for i in range(k)]
-    n = F.col("rows") * F.col("n_tokens")
-    sums = members.agg(F.sum(n).alias("n"), *[F.sum(n * p[i] * p[j]).alias(f"m_{i}_{j}") for i in range(k) for j in range(k)]).first()
-    rate: Column = F.lit(1.0)
+    tokens = F.col("rows") * F.col("n_tokens")
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    sums = members.agg(F.sum(tokens).alias("n"), *[F.sum(tokens * p[i] * p[j]).alias(f"m_{i}_{j}") for i, j in pairs]).first()
     if not sums["n"]:
-        return members.withColumn("rate", rate)
+        return [0.0] * k, [0.0] * k
     scale = float(sums["n"])
-    inverse = _inverse([[sums[f"m_{i}_{j}"] / scale + (1e-9 if i == j else 0.0) for j in range(k)] for i in range(k)])
-    last, own = float("inf"), None
-    for turn in range(1, steps + 1):
-        got = members.agg(*[F.sum(n * rate * p[i]).alias(f"t_{i}") for i in range(k)]).first()
-        e = [(got[f"t_{i}"] - targets[i]) / scale for i in range(k)]
-        push = [sum(a * b for a, b in zip(row, e, strict=True)) for row in inverse]
-        loss = sum(a * b for a, b in zip(push, e, strict=True))
-        if max(map(abs, e)) < close or last - loss < gain * loss:
+    goal, n = [t / scale for t in targets], tokens / scale
+
+    def square(row, name: str) -> list[list[float]]:
+        return [[row[f"{name}_{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]
+
+    metric = [[v / scale for v in r] for r in square(sums, "m")]
+    floor = 1e-6 * sum(metric[i][i] for i in range(k)) / k
+    metric = [[v + (floor if i == j else 0.0) for j, v in enumerate(r)] for i, r in enumerate(metric)]
+
+    def at(x: list[float]) -> tuple[list[float], list[list[float]], float]:
+        """Residuals, the metric's inverse and the dual at x."""
+        push, rate, free = _rate(p, x, most)
+        row = members.agg(
+            F.sum(n * ((rate - 1) * (rate - 1) / 2 + rate * push)).alias("dual"), *[F.sum(n * rate * p[i]).alias(f"t_{i}") for i in range(k)],
+            *[F.sum(F.when(free, n * p[i] * p[j]).otherwise(0.0)).alias(f"h_{i}_{j}") for i, j in pairs],
+        ).first()
+        return [row[f"t_{i}"] - goal[i] for i in range(k)], square(row, "h"), row["dual"] - _dot(x, goal)
+
+    x, turn = [0.0] * k, 0
+    e, h, dual = at(x)
+    for ridge in ridges:
+        while turn < steps:
+            held = [ridge * _dot(r, x) for r in metric]
+            slope = [a - b for a, b in zip(e, held, strict=True)]
+            if max(map(abs, slope)) < close:
+                break
+            step = _solved([[a + ridge * b for a, b in zip(r, m, strict=True)] for r, m in zip(h, metric, strict=True)], slope)
+            now, size = dual - _dot(x, held) / 2, 1.0
+            if _dot(slope, step) <= gain * abs(now):
+                break
+            while True:
+                y = [a + size * b for a, b in zip(x, step, strict=True)]
+                turn += 1
+                found = at(y)
+                better = found[2] - ridge * _dot(y, [_dot(r, y) for r in metric]) / 2
+                if better >= now + 1e-4 * size * _dot(slope, step) or size < 1e-9:
+                    break
+                size /= 4
+            if better <= now:
+                break
+            x, (e, h, dual) = y, found
+        if max(map(abs, e)) < close:
             break
-        last = loss
-        rate = F.greatest(F.lit(0.0), rate - reduce(lambda a, b: a + b, [p[i] * push[i] for i in range(k)]))
-        rate = rate if most is None else F.least(F.lit(float(most)), rate)
-        if turn % 8 == 0:
-            before, own = own, stored(members.withColumn("rate", rate), "rates")
-            members, rate = own, F.col("rate")
-            if before is not None:
-                discard(before)
-    return members.withColumn("rate", rate)
+    return x, e
+
+
+def _rate(p: list[Column], x: list[float], most: float | None) -> tuple[Column, Column, Column]:
+    """(p x, the rate, whether it is not at a bound)."""
+    push = reduce(lambda a, b: a + b, [c * v for c, v in zip(p, x, strict=True)])
+    rate = F.greatest(F.lit(0.0), F.lit(1.0) - push)
+    free = push < 1
+    return (push, rate, free) if most is None else (push, F.least(F.lit(float(most)), rate), free & (push > 1 - most))
+
+
+def with_rates(members: DataFrame, targets: list[float], most: float | None = None, **fitting) -> DataFrame:
+    """``members`` (rows, n_tokens, p_0 ...) with the ``rate`` of each row.
+
+    Least squares of the domains' expected tokens against ``targets`` over rates between 0 and
+    ``most``, residuals weighed by the inverse of sum n p p'. Where rates exist that meet the targets,
+    they are those nearest to 1.
+    """
+    x, _ = fit_rates(members, targets, most, **fitting)
+    return members.withColumn("rate", _rate([F.col(f"p_{i}") for i in range(len(targets))], x, most)[1])
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], size: float | str = 1.0, most: float | None = None, **classifier) -> DataFrame:
-    """(doc_id, h, g, n_tokens, p_<domain> ..., rate, copies) for each different row of ``docs``.
+    """(doc_id, h, g, n_tokens, p_<domain> ..., miss_<domain> ..., rate, copies) for each different row of ``docs``.
 
     ``targets`` are the domains' weights; their token totals are these shares of ``size`` times all
     tokens (words between ASCII white space). If ``size`` is a domain's name, its expected tokens are
-    its share, so it is used up; then no domain is asked for more than it is expected to have. copies is the rate, rounded up or down by a hash of
+    its share, so it is used up; then no domain is asked for more than it is expected to have. miss_<domain> is how far the fitted rates
+    leave its expected tokens off that, as a share of all tokens. copies is the rate, rounded up or down by a hash of
     the row so that it is met on average. Equal rows have one result. Null text: no tokens, a
     posterior by its shape. Labels of unknown documents, other domains or null are left out; with
     none at all every posterior is even. No rows: no rows. Further columns are ignored.
@@ -140,8 +195,9 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], size:
         asked = {d: min(have[d], targets[d] / targets[size] * have[size]) for d in domains}
     else:
         asked = {d: n * size for d, n in asked.items()}
-    rated = with_rates(members, [asked[d] for d in domains], most)
-    out = rated.select("doc_id", "h", "g", "n_tokens", *[F.col(f"p_{i}").alias(f"p_{d}") for i, d in enumerate(domains)], "rate")
+    x, miss = fit_rates(members, [asked[d] for d in domains], most)
+    p = [F.col(f"p_{i}") for i in range(len(domains))]
+    out = members.select("doc_id", "h", "g", "n_tokens", *[c.alias(f"p_{d}") for c, d in zip(p, domains, strict=True)], *[F.lit(m).alias(f"miss_{d}") for m, d in zip(miss, domains, strict=True)], _rate(p, x, most)[1].alias("rate"))
     chance = F.pmod(F.xxhash64("doc_id", "h", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     return out.withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("long"))
 
