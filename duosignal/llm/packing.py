@@ -2,8 +2,8 @@
 
 Documents are encoded and cut once, on Spark; only the histogram of piece lengths, one number for
 each length up to the sequence size, is planned with. Large lengths are rounded up within groups of
-equal cardinality, configurations of few sizes are chosen for them, actual lengths are substituted
-and small ones go where they fit best. The plan says which ranks of a length stand where, so pieces
+equal cardinality, configurations of few sizes are optimised for them by column generation, actual
+lengths are substituted and small ones go where they fit best. The plan says which ranks of a length stand where, so pieces
 find their place by one join of (length, rank).
 """
 
@@ -62,49 +62,72 @@ def _groups(counts: dict[int, int], groups: int) -> list[tuple[int, deque]]:
     return out
 
 
-def _fill(sizes: list[int], room: int) -> list[int]:
-    """Of the sizes (rising), one, two or three that fill ``room`` best; the fewest on a tie."""
-    best: list[int] = []
-    top = bisect_right(sizes, room) - 1
-    if top < 0:
-        return best
-    best = [sizes[top]]
-    low, high = 0, top
-    while low <= high and sum(best) < room:
-        pair = sizes[low] + sizes[high]
-        if pair <= room:
-            if pair > sum(best):
-                best = [sizes[high], sizes[low]]
-            low += 1
+def _heaviest(sizes: np.ndarray, worth: np.ndarray, room: int) -> tuple[float, np.ndarray]:
+    """The configuration of ``sizes`` (falling) within ``room`` that is worth most: (worth, how often each size)."""
+    value, last = np.zeros(room + 1), np.full(room + 1, -1)
+    for i in np.flatnonzero(worth > 1e-12):
+        step = int(sizes[i])
+        for _ in range(room // step):
+            got = value[:-step] + worth[i]
+            better = got > value[step:] + 1e-12
+            if not better.any():
+                break
+            np.copyto(value[step:], got, where=better)
+            np.copyto(last[step:], i, where=better)
+    shape, c = np.zeros(len(sizes)), room
+    while last[c] >= 0:
+        shape[last[c]] += 1
+        c -= int(sizes[last[c]])
+    return float(worth @ shape), shape
+
+
+def configurations(need: dict[int, int], room: int, turns: int = 600) -> list[tuple[np.ndarray, float]]:
+    """Configurations of few sizes and how often each is used, so that all of ``need`` is met by the least in all.
+
+    The linear programme over all configurations, by column generation: the one that is worth most at
+    the prices of the sizes enters, until none is worth more than a sequence, or until the bound that
+    prices give is reached but for less than a sequence, or after ``turns`` columns. Counts are of
+    the fractional solution, which covers ``need`` whenever it ends.
+    """
+    sizes = np.array(sorted(need, reverse=True))
+    wanted = np.array([need[s] for s in sizes], float)
+    shapes = np.diag((room // sizes).astype(float))  # a column for each configuration in use
+    inverse = np.diag(1 / np.diag(shapes))
+    used = inverse @ wanted
+    for turn in range(1, turns + 1):
+        prices = inverse.sum(axis=0)
+        worth, shape = _heaviest(sizes, prices, room)
+        if worth <= 1 + 1e-9 or np.ceil(prices @ wanted / worth - 1e-6) >= np.ceil(used.sum() - 1e-6):
+            break
+        way = inverse @ shape
+        up = way > 1e-10
+        ratio = np.full(len(way), np.inf)
+        ratio[up] = np.maximum(used[up], 0) / way[up]
+        out = int(ratio.argmin())
+        shapes[:, out] = shape
+        if turn % 64:
+            inverse[out] /= way[out]
+            inverse -= np.outer(np.where(np.arange(len(way)) == out, 0, way), inverse[out])
         else:
-            high -= 1
-    if len(best) == 2 and room - sum(best) >= sizes[0]:
-        best.append(sizes[bisect_right(sizes, room - sum(best)) - 1])
-    return best
+            inverse = np.linalg.inv(shapes)  # rounding errors don't pile up
+        used = inverse @ wanted
+    return [(shapes[:, i], float(used[i])) for i in range(len(sizes)) if used[i] > 1e-9]
 
 
-def _large(counts: dict[int, int], size: int, groups: int) -> list[tuple[tuple[int, ...], int]]:
-    """Configurations of the rounded lengths with actual lengths put in: (lengths, how often)."""
+def _large(counts: dict[int, int], size: int, groups: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
+    """Optimised configurations of the rounded lengths with actual lengths put in: (lengths, how often).
+
+    Their counts are rounded down; lengths that are left over then come second.
+    """
     runs: dict[int, deque] = {}
     for top, own in _groups(counts, groups):
         runs.setdefault(top, deque()).extend(own)
-    left = {top: sum(n for _, n in own) for top, own in runs.items()}
-    sizes, out = sorted(left), []
-    while sizes:
-        shape = [sizes[-1]]
-        room = size - shape[0]
-        while room and (more := _fill(sizes, room)):
-            shape += more
-            room -= sum(more)
-        need = {s: shape.count(s) for s in shape}
-        shape = [s for s in need for _ in range(min(need[s], left[s]))]
-        need = {s: shape.count(s) for s in shape}
-        times = min(left[s] // n for s, n in need.items())
-        for s, n in need.items():
-            left[s] -= n * times
-            if not left[s]:
-                sizes.remove(s)
-        while times:
+    if not runs:
+        return [], {}
+    sizes, out = sorted(runs, reverse=True), []
+    for shape, times in configurations({top: sum(n for _, n in own) for top, own in runs.items()}, size):
+        need, times = {s: int(round(n)) for s, n in zip(sizes, shape, strict=True) if n > 0.5}, int(times + 1e-6)
+        while times and all(sum(n for _, n in runs[s]) >= k for s, k in need.items()):
             took, once = [], min(times, *(_longest(runs[s], n) for s, n in need.items()))
             for s, n in need.items():
                 for _ in range(n):
@@ -114,7 +137,11 @@ def _large(counts: dict[int, int], size: int, groups: int) -> list[tuple[tuple[i
                         runs[s].popleft()
             out.append((tuple(took), once))
             times -= once
-    return out
+    left: Counter = Counter()
+    for own in runs.values():
+        for length, n in own:
+            left[length] += n
+    return out, left
 
 
 def _longest(runs: deque, n: int) -> int:
@@ -125,13 +152,19 @@ def _longest(runs: deque, n: int) -> int:
 
 
 def plan(counts: dict[int, int], size: int, small: int, groups: int) -> list[tuple[tuple[int, ...], int]]:
-    """Sequences for all lengths of a histogram, as (lengths in a sequence, how many such)."""
+    """Sequences for all lengths of a histogram, as (lengths in a sequence, how many such).
+
+    Lengths above ``small`` are configured in ``groups`` groups; what their rounded counts leave over
+    and the small ones go where they fit best, longest first.
+    """
     done = [((size,), counts[size])] if counts.get(size) else []
     shelves: list[tuple[int, tuple[int, ...], int]] = []  # room, lengths, how many
-    for lengths, n in _large({x: n for x, n in counts.items() if small < x < size and n}, size, groups):
+    made, left = _large({x: n for x, n in counts.items() if small < x < size and n}, size, groups)
+    for lengths, n in made:
         insort(shelves, (size - sum(lengths), lengths, n))
-    for x in sorted((x for x, n in counts.items() if x <= min(small, size - 1) and n), reverse=True):
-        n = counts[x]
+    left = left | {x: n for x, n in counts.items() if x <= min(small, size - 1) and n}
+    for x in sorted(left, reverse=True):
+        n = left[x]
         while n:
             at = bisect_right(shelves, (x,))
             if at == len(shelves):
@@ -144,7 +177,7 @@ def plan(counts: dict[int, int], size: int, small: int, groups: int) -> list[tup
                     n = 0
                 continue
             room, lengths, many = shelves.pop(at)
-            each = min(room // x, max(1, n // many))
+            each = min(room // x, n)
             used = min(many, n // each)
             insort(shelves, (room - each * x, lengths + (x,) * each, used))
             if many > used:
@@ -154,8 +187,37 @@ def plan(counts: dict[int, int], size: int, small: int, groups: int) -> list[tup
 
 
 def best_plan(counts: dict[int, int], size: int, small: int, groups: tuple[int, ...]) -> list[tuple[tuple[int, ...], int]]:
-    """The plan of fewest sequences over several numbers of groups."""
-    return min((plan(counts, size, small, g) for g in groups), key=lambda p: sum(n for _, n in p))
+    """The plan of fewest sequences: best fit of all lengths, or configurations in several numbers of groups.
+
+    Configurations are not tried once a plan has as few sequences as the tokens or the lengths over half need.
+    """
+    pick, needed = plan(counts, size, size, 1), least_sequences(counts, size)
+    for g in groups:
+        if sum(n for _, n in pick) <= needed:
+            break
+        pick = min(pick, plan(counts, size, small, g), key=lambda p: sum(n for _, n in p))
+    return pick
+
+
+def least_sequences(counts: dict[int, int], size: int) -> int:
+    """A bound that no packing goes below: by all tokens, and by lengths that can't share a sequence.
+
+    For every length t up to half: those over size - t are alone among lengths of t and more, those
+    over half are one to a sequence, and those from t to half fill at best what these leave.
+    """
+    n = np.zeros(size + 1, np.int64)
+    for x, many in counts.items():
+        n[x] += many
+    tokens = np.cumsum(n * np.arange(size + 1))
+    many = np.cumsum(n)
+    best = -(-int(tokens[-1]) // size)
+    half = size // 2
+    for t in range(1, half + 1):
+        alone, pairs = int(many[size] - many[size - t]), int(many[size - t] - many[half])
+        room = pairs * size - int(tokens[size - t] - tokens[half])
+        rest = int(tokens[half] - tokens[t - 1])
+        best = max(best, alone + pairs + max(0, -(-(rest - room) // size)))
+    return best
 
 
 def _places(shapes: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int]]:
@@ -185,7 +247,7 @@ def _by_range(places: list[tuple[int, int, int, int, int]]) -> tuple[list[tuple[
     return [(x, at, first, last, *rest) for x, first, last, *rest in places for at in range(first // widths[x], last // widths[x] + 1)], widths
 
 
-def pack(docs: DataFrame, size: int = 1024, small: int = 64, groups: tuple[int, ...] = (32, 128, 1024), vocabulary: str = VOCABULARY, ranks: str = RANKS) -> DataFrame:
+def pack(docs: DataFrame, size: int = 1024, small: int = 64, groups: tuple[int, ...] = (32, 128), vocabulary: str = VOCABULARY, ranks: str = RANKS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), a row for each piece.
 
     ``docs`` has doc_id and text; further columns are ignored. A document is its ids and END; only
@@ -196,7 +258,7 @@ def pack(docs: DataFrame, size: int = 1024, small: int = 64, groups: tuple[int,
     The histogram has at most ``size`` numbers, so the plan is bounded whatever the corpus: some
     tens of thousands of places.
     ``small`` lengths take no part in the configurations; ``groups`` are the numbers of groups that
-    are tried, the plan of fewest sequences is taken.
+    are tried beside plain best fit, the plan of fewest sequences is taken.
     """
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(size, vocabulary, ranks), "doc_id long, piece int, start long, length long, ids_crc32 long, part long, place long")
     pieces = stored(pieces, "pieces")
