@@ -309,33 +309,33 @@ class PackedIdsWriter(DataSourceArrowWriter):
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]{0,64})([!-&(-/:;=-@\[-`{-~]{0,64})")
 
 
-class _Parts(dict):
-    """Ids of words in lower case and of marks, by the library's model."""
-
-    def __init__(self, tokenizer: Tokenizer) -> None:
-        self.tokenize, self.pre = tokenizer.model.tokenize, tokenizer.pre_tokenizer
-
-    def __missing__(self, part: str) -> bytes:
-        letters = part if part.isascii() else "".join(p for p, _ in self.pre.pre_tokenize_str(part))
-        ids = self[part] = array("I", [t.id for t in self.tokenize(letters)]).tobytes()
-        return ids
-
-
 class _Chunks(dict):
-    """Ids of chunks of text without spaces."""
+    """Ids of chunks of text without spaces; words in lower case and marks stand for themselves."""
 
     def __init__(self, tokenizer: Tokenizer) -> None:
-        self.tokenizer, self.parts = tokenizer, _Parts(tokenizer)
+        self.encode, self.tokenize = tokenizer.encode, tokenizer.model.tokenize
+        self.letters = str.maketrans({c: tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xC0, 0x100))})
+
+    def _part(self, part: str) -> bytes:
+        """Ids of a word in lower case or of marks, by the library's model."""
+        ids = self.get(part)
+        if ids is None:
+            ids = self[part] = array("I", [t.id for t in self.tokenize(part if part.isascii() else part.translate(self.letters))]).tobytes()
+        return ids
 
     def __missing__(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha() and len(chunk) <= 64:
+            low = chunk.lower()
+            ids = self._part(low)
+            if low != chunk:
+                self[chunk] = ids
+            return ids
         plain = PLAIN.fullmatch(chunk)
         if plain:
             word, marks = plain.groups()
-            ids = self.parts[word.lower()]
-            if marks:
-                ids += self.parts[marks]
+            ids = self._part(word.lower()) + self._part(marks) if marks else self._part(word.lower())
         else:
-            ids = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+            ids = array("I", self.encode(chunk, add_special_tokens=False).ids).tobytes()
             if len(chunk) > 128:  # long ones hardly repeat
                 return ids
         self[chunk] = ids
@@ -355,9 +355,8 @@ class ChunkEncoder:
         self.known, self.held = _Chunks(Tokenizer.from_file(vocabulary)), held
 
     def __call__(self, text: str, end: int) -> bytes:
-        for known in (self.known, self.known.parts):
-            if len(known) > self.held:
-                known.clear()
+        if len(self.known) > self.held:
+            self.known.clear()
         return b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" "))) + end.to_bytes(4, "little")
 
 
