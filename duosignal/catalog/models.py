@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from duosignal.catalog.registry import E, L, Tables, query, r
 from duosignal.functions.numeric import r6
+from duosignal.operators import lagged as lag
 from duosignal.operators import ridge as m
 from duosignal.operators import series as s
 from duosignal.operators.folds import contiguous_folds, min_max, train_test
@@ -146,7 +147,7 @@ _TRF = f"{FOLDED}, G as (select k, t, fold, lag(x, 2, 0.0) over (partition by k
 
 @query("lag_model", f"with {_TRF} select k, split as fold, cast(0 as bigint) as lag, {r('wa')} as w, {r('S.r')} as r from W join S using (k, channel) where S.fold = split union all select k, split, 1, {r('wb')}, {r('S.r')} from W join S using (k, channel) where S.fold = split")
 def lag_model(t: Tables) -> DataFrame:
-    fits = m.lag_model(folded(t), ["k"], "x", ["y1"], 0.0, 2 / 128, 128, ALPHA)
+    fits = lag.lag_model(folded(t), ["k"], "x", ["y1"], 0.0, 2 / 128, 128, ALPHA)
     return fits.select("k", "fold", F.posexplode("w").alias("lag", "w"), "r").select("k", "fold", F.col("lag").cast("long").alias("lag"), r6("w").alias("w"), r6("r").alias("r"))
 
 
@@ -155,7 +156,7 @@ _DECODED = f"{FOLDED}, G as (select k, t, fold, y1 as a, y2 as b, lag(x, 1, 0.0)
 
 
 def decoded(t: Tables, channels: list[str], delays: list[int]) -> DataFrame:
-    return m.decode(folded(t), ["k"], channels, "x", delays, 1, [ALPHA])
+    return lag.decode(folded(t), ["k"], channels, "x", delays, 1, [ALPHA])
 
 
 @query("ridge_decode", f"with {_DECODED} select k, W.split as fold, {r('wa')} as w1, {r('wb')} as w2, {r('S.r')} as r, {r('S.rmse')} as rmse from W join S using (k, channel) where S.fold = W.split")
@@ -177,19 +178,65 @@ def decode_patterns(t: Tables) -> DataFrame:
     return decoded(t, ["y1", "y2"], [0]).select("k", "fold", at(0).alias("p1"), at(1).alias("p2"))
 
 
-_SWEEP_LAGS = list(range(0, 39, 2))
+#: Every second lag of a range of 77, by which the stimulus goes before the sample.
+SWEEP_LAGS = list(range(0, 77, 2))
 
 
-@query("decode_lag_sweep", f"with {FOLDED}, G as (" + " union all ".join(f"select k, t, fold, {d} as lag, x, lead(y1, {d}, 0.0) over (partition by k order by t) as a, lead(y2, {d}, 0.0) over (partition by k order by t) as b from F" for d in _SWEEP_LAGS)
+@query("decode_lag_sweep", f"with {FOLDED}, G as (" + " union all ".join(f"select k, t, fold, {d} as lag, y1 as a, y2 as b, lag(x, {d}, 0.0) over (partition by k order by t) as x from F" for d in SWEEP_LAGS)
        + f"), {wide_sql('G', 'k, lag', ['x'], x_by='Standarize', y_by='Normalize')}, A as (select k, lag, avg(r) as r from S group by k, lag) select k, cast(lag as bigint) as lag, {r('r')} as r, r = max(r) over (partition by k) as best from A")
 def decode_lag_sweep(t: Tables) -> DataFrame:
-    """The decoder of the samples at every second of 39 lags; the lag of the best mean score is marked."""
-    long = s.lag_matrix(folded(t), ["k"], ["y1", "y2"], [-d for d in _SWEEP_LAGS])
-    at = F.explode(F.array(*[F.struct(F.lit(d).cast("long").alias("lag"), F.array(f"x_y1_{j}", f"x_y2_{j}").alias("xs")) for j, d in enumerate(_SWEEP_LAGS)]))
-    rows = long.select("k", "fold", F.array("x").alias("ys"), at.alias("at")).select("k", "fold", "at.lag", "at.xs", "ys")
-    fits = m.encode_wide(rows, ["k", "lag"], "xs", "ys", 2, [ALPHA], x_by="Standarize", y_by="Normalize")
-    mean = fits.groupBy("k", "lag").agg(F.avg("r").alias("r"))
-    return mean.select("k", "lag", r6("r").alias("r"), (F.col("r") == F.max("r").over(Window.partitionBy("k"))).alias("best"))
+    """The decoder of the stimulus at every second lag, all from one Gram matrix; the lag of the best mean score is marked."""
+    rows = folded(t).withColumn("channels", F.array("y1", "y2"))
+    return lag.decode_sweep(rows, ["k"], "channels", "x", 2, [0], SWEEP_LAGS, ALPHA).withColumn("r", r6("r"))
+
+
+@query("decode_lag_sweep_wide")
+def decode_lag_sweep_wide(t: Tables) -> DataFrame:
+    """All channels at six delays for 39 lags in two bands of the stimulus; compared with separate fits in a test."""
+    rows = folded(t).withColumn("channels", F.array(*CHANNELS))
+    bands = {"low": windowed_sinc(1.0, 4.0, 32.0, 7), "high": windowed_sinc(4.0, 8.0, 32.0, 7)}
+    w = s.by(["k"], "t")
+    in_band = lambda taps: sum((F.lit(tap) * s.lagged("x", i - len(taps) // 2, w) for i, tap in enumerate(taps)), F.lit(0.0))
+    rows = rows.withColumns({band: in_band(taps) for band, taps in bands.items()})
+    rows = rows.select("k", "t", "fold", "channels", *bands).unpivot(["k", "t", "fold", "channels"], list(bands), "band", "stimulus")
+    return lag.decode_sweep(rows, ["k", "band"], "channels", "stimulus", len(CHANNELS), [-3, -2, -1, 0, 1, 2], SWEEP_LAGS, ALPHA).withColumn("r", r6("r"))
+
+
+_BEFORE = f"{FOLDED}, G as (select k, t, fold, lag(x, 1, 0.0) over o as a, lag(y2, 1, 0.0) over o as b, y1, y3 from F window o as (partition by k order by t))"
+
+
+def stages(t: Tables, how: str, delays: list[int]) -> DataFrame:
+    """The stimuli x and y2 at some delays to y1 and y3."""
+    rows = folded(t).select("k", "t", "fold", F.array("x", "y2").alias("xs"), F.array("y1", "y3").alias("ys"))
+    return named(lag.lagged_stages(rows, ["k"], "xs", "ys", [1, 1], 2, delays, [ALPHA], how), ["y1", "y3"])
+
+
+_ENDED = "P as (select {group}, channel, split as fold, y, {p} as p from Z join V using (k, channel, split) where fold = split), S as (select k, channel, fold, corr(p, y) as r, sqrt(avg((p - y) * (p - y))) as rmse from P group by all) select k, channel, fold, {r}, {e} from S"
+_ENDED = _ENDED.replace("{group}", "k").replace("{r}", f"{r('r')} as r").replace("{e}", f"{r('rmse')} as rmse")
+_HALF = wide_sql("G", "k", ["y1", "y3"]).split("W as (")[0]
+
+
+@query("residual_stages", f"with {_BEFORE}, {_HALF} U as (select *, ay / (aa + 5e0) as wa from H), V as (select *, (by_ - ab * wa) / (bb + 5e0) as wb from U), {_ENDED.replace('{p}', 'wa * a + wb * b + my - wa * ma - wb * mb')}")
+def residual_stages(t: Tables) -> DataFrame:
+    """A stimulus fitted on what the one before it leaves of the responses, from blocks of one Gram matrix."""
+    return stages(t, "in turn", [1]).select("k", "channel", "fold", r6("r").alias("r"), r6("rmse").alias("rmse"))
+
+
+@query("ensemble_stages", f"with {_BEFORE}, {_HALF} V as (select *, ay / (aa + 5e0) as wa, by_ / (bb + 5e0) as wb from H), {_ENDED.replace('{p}', '(wa * a + wb * b - wa * ma - wb * mb) / 2 + my')}")
+def ensemble_stages(t: Tables) -> DataFrame:
+    """The mean of one model for each stimulus, from blocks of one Gram matrix."""
+    return stages(t, "mean", [1]).select("k", "channel", "fold", r6("r").alias("r"), r6("rmse").alias("rmse"))
+
+
+@query("residual_stages_wide")
+def residual_stages_wide(t: Tables) -> DataFrame:
+    """Two stimuli at three delays each; compared with fits row by row in a test."""
+    return stages(t, "in turn", [0, 1, 2]).select("k", "channel", "fold", r6("r").alias("r"), r6("rmse").alias("rmse"))
+
+
+@query("ensemble_stages_wide")
+def ensemble_stages_wide(t: Tables) -> DataFrame:
+    return stages(t, "mean", [0, 1, 2]).select("k", "channel", "fold", r6("r").alias("r"), r6("rmse").alias("rmse"))
 
 
 _BOTH = f"{FOLDED}, {model_sql(tag='1')}, {model_sql('y2', ['y1', 'y3'], tag='2')}"

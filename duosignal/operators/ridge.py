@@ -8,7 +8,7 @@ batches, join them row by row after the shuffle, and are solved by key and split
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duosignal.functions.numeric import pearson
-from duosignal.operators.series import by, delay_set, lag_matrix, lagged
+from duosignal.operators.series import by, lagged
 
 #: What is kept of a pair (x, y) by block, about the key's means x0 and y0.
 SUMS = ["n", "sx", "sy", "sxx", "sxy", "syy"]
@@ -129,6 +129,7 @@ def _partial(keys: list[str], x: str, y: str, held: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple, list] = {}
+        size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
             step = max(1, 4096 // max([len(f[1]) for f in found.values()], default=1))
@@ -152,10 +153,13 @@ def _partial(keys: list[str], x: str, y: str, held: int):
                 if old := found.get(key):
                     block = _joined(old[0], old[1], old[2], slice(None), block)
                     low, high = np.minimum(old[3], low), np.maximum(old[4], high)
+                else:
+                    size += block[2].size
                 found[key] = [*block, low, high]
-            if sum(f[2].size for f in found.values()) > held:
-                yield from out()
-                found.clear()
+                if size > held:
+                    yield from out()
+                    found.clear()
+                    size = 0
         yield from out()
 
     return run
@@ -195,7 +199,7 @@ def _partials(df: DataFrame, keys: list[str], x: str, y: str, held: int) -> Data
     return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y).mapInArrow(_partial(keys, x, y, held), _schema(df, keys) + _ROW)
 
 
-def gram(df: DataFrame, keys: list[str], x: str, y: str, held: int = 1 << 26) -> DataFrame:
+def gram(df: DataFrame, keys: list[str], x: str, y: str, held: int = 1 << 23) -> DataFrame:
     """(keys, n, mean, low, high, products): the arrays x, then y, of a key's rows as moments.
 
     products is the matrix of centred sums of products, row by row, mean the means, low and high the
@@ -220,7 +224,7 @@ def _whole(prefix: str = "") -> list[Column]:
     return [F.first(f"{prefix}n").alias(f"{prefix}n"), F.first(f"{prefix}mean").alias(f"{prefix}mean"), each("low").alias(f"{prefix}low"), each("high").alias(f"{prefix}high"), F.flatten(each("products")).alias(f"{prefix}products")]
 
 
-def training_grams(df: DataFrame, keys: list[str], x: str, y: str, fold: str = "fold", held: int = 1 << 26) -> DataFrame:
+def training_grams(df: DataFrame, keys: list[str], x: str, y: str, fold: str = "fold", held: int = 1 << 23) -> DataFrame:
     """(keys, fold, n, ..., test_n, ...): the moments of gram of each split's training and test rows.
 
     A training set is joined from the other folds, row by row of the matrix; nothing is subtracted.
@@ -289,44 +293,54 @@ def ridge_weights(c: np.ndarray, p: int, alphas: list[float]) -> np.ndarray:
     return np.einsum("ij,aj,jq->aiq", vectors, inverse, vectors.T @ c[:p, p:], optimize=True)
 
 
-_FIT = "alpha double, response long, w array<double>, b double, shift array<double>, scale array<double>, y_shift double, y_scale double"
+FIT_SCHEMA = "alpha double, response long, w array<double>, b double, shift array<double>, scale array<double>, y_shift double, y_scale double"
+FIT_COLUMNS = ["alpha", "response", "w", "b", "shift", "scale", "y_shift", "y_scale"]
+
 
+def fitted_rows(row: dict, keys: list[str], p: int, alphas: list[float], x_by: str | None, y_by: str | None, tested: bool, weigh: Callable = ridge_weights, patterns: bool = False) -> Iterator[tuple]:
+    """The rows of fit_wide from one row of moments; ``weigh`` makes weights (penalty, p, q) of the scaled matrix.
 
-def fit_wide(grams: DataFrame, keys: list[str], p: int, alphas: list[float], x_by: str | None = "Normalize", y_by: str | None = "Standarize") -> DataFrame:
+    With ``patterns`` the covariance of the features times the weights over each response's variance comes last.
+    """
+    _, mean, c = matrix(row)
+    shift, scale = scales(row, p, x_by, y_by)
+    c, mean = c * np.outer(scale, scale), (mean - shift) * scale
+    w = weigh(c, p, alphas)
+    b = mean[p:] - mean[:p] @ w
+    if tested:
+        n, at, test = matrix(row, "test_")
+        test, at = test * np.outer(scale, scale), (at - shift) * scale
+        spread, own, both = (w * (test[:p, :p] @ w)).sum(axis=1), np.diag(test)[p:], (w * test[:p, p:]).sum(axis=1)
+        off = at[:p] @ w + b - at[p:]
+        size = np.sqrt(np.maximum(spread * own, 0))
+        r = np.divide(both, size, out=np.full(size.shape, np.nan), where=(spread > 1e-24) & (own > 1e-24))
+        rmse = np.sqrt(np.maximum(spread - 2 * both + own, 0) / n + off * off)
+    for a, alpha in enumerate(alphas):
+        forward = c[:p, :p] @ w[a] if patterns else None
+        for j in range(w.shape[2]):
+            scores = (None if np.isnan(r[a, j]) else float(r[a, j]), float(rmse[a, j])) if tested else ()
+            own_pattern = (np.divide(forward[:, j], c[p + j, p + j], out=np.full(p, np.nan), where=c[p + j, p + j] > 0),) if patterns else ()
+            yield *(row[k] for k in keys), float(alpha), j, w[a, :, j], b[a, j], shift[:p], scale[:p], shift[p + j], scale[p + j], *scores, *own_pattern
+
+
+def fit_wide(grams: DataFrame, keys: list[str], p: int, alphas: list[float], x_by: str | None = "Normalize", y_by: str | None = "Standarize", patterns: bool = False) -> DataFrame:
     """(keys, alpha, response, w, b, shift, scale, y_shift, y_scale): ridge models of moments, a row for each response.
 
     The intercept is unpenalised. w and b are in the units that ``x_by`` and ``y_by`` scale to. If
-    the moments have test rows, r and rmse of those are added, from the moments alone.
+    the moments have test rows, r and rmse of those are added, from the moments alone. ``patterns``
+    adds the forward patterns, computed where the matrix is.
     """
     tested = "test_n" in grams.columns
-
-    def one(row: dict) -> Iterator[tuple]:
-        _, mean, c = matrix(row)
-        shift, scale = scales(row, p, x_by, y_by)
-        c, mean = c * np.outer(scale, scale), (mean - shift) * scale
-        w = ridge_weights(c, p, alphas)
-        b = mean[p:] - mean[:p] @ w
-        if tested:
-            n, at, test = matrix(row, "test_")
-            test, at = test * np.outer(scale, scale), (at - shift) * scale
-            spread, own, both = (w * (test[:p, :p] @ w)).sum(axis=1), np.diag(test)[p:], (w * test[:p, p:]).sum(axis=1)
-            off = at[:p] @ w + b - at[p:]
-            size = np.sqrt(spread * own)
-            r = np.divide(both, size, out=np.full(size.shape, np.nan), where=(spread > 1e-24) & (own > 1e-24))
-            rmse = np.sqrt(np.maximum(spread - 2 * both + own, 0) / n + off * off)
-        for a, alpha in enumerate(alphas):
-            for j in range(w.shape[2]):
-                scores = (None if np.isnan(r[a, j]) else float(r[a, j]), float(rmse[a, j])) if tested else ()
-                yield *(row[k] for k in keys), float(alpha), j, w[a, :, j], b[a, j], shift[:p], scale[:p], shift[p + j], scale[p + j], *scores
+    names = [*keys, *FIT_COLUMNS, *(["r", "rmse"] if tested else []), *(["pattern"] if patterns else [])]
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = {c: batch.column(c).to_pylist() if c in keys else batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
             rows = ({c: v[i] for c, v in columns.items()} for i in range(batch.num_rows))
-            yield from _batches((made for row in rows for made in one(row)), [*keys, "alpha", "response", "w", "b", "shift", "scale", "y_shift", "y_scale", *(["r", "rmse"] if tested else [])])
+            yield from _batches((made for row in rows for made in fitted_rows(row, keys, p, alphas, x_by, y_by, tested, patterns=patterns)), names)
 
     used = [*keys, *_ROWS[1:], *([f"test_{c}" for c in _ROWS[1:]] if tested else [])]
-    return grams.select(*used).mapInArrow(fit, _schema(grams, keys) + _FIT + (", r double, rmse double" if tested else ""))
+    return grams.select(*used).mapInArrow(fit, _schema(grams, keys) + FIT_SCHEMA + (", r double, rmse double" if tested else "") + (", pattern array<double>" if patterns else ""))
 
 
 def encode_wide(df: DataFrame, keys: list[str], x: str, y: str, p: int, alphas: list[float], fold: str = "fold", **scaling) -> DataFrame:
@@ -347,40 +361,6 @@ def weights_long(fits: DataFrame, keys: list[str]) -> DataFrame:
     return fits.select(*keys, "response", F.posexplode("w").alias("feature", "w"), "b")
 
 
-def lag_model(df: DataFrame, keys: list[str], x: str, responses: list[str], tmin: float, tmax: float, rate: float, alpha: float, fold: str = "fold", t: str = "t", **scaling) -> DataFrame:
-    """encode_wide on the lags of the plain column x; the time range counts from the response, so delays change sign."""
-    delays = delay_set(-tmax, -tmin, rate)
-    rows = lag_matrix(df, keys, [x], delays, t, "lagged")
-    rows = rows.select(*keys, fold, F.array(*[f"lagged_{x}_{j}" for j in range(len(delays))]).alias("xs"), F.array(*responses).alias("ys"))
-    return encode_wide(rows, keys, "xs", "ys", len(delays), [alpha], fold, **scaling)
-
-
-def decode(df: DataFrame, keys: list[str], channels: list[str], stimulus: str, delays: list[int], t_lag: int, alphas: list[float], fold: str = "fold", t: str = "t") -> DataFrame:
-    """The backward model: all channels at all delays to one stimulus column at delay ``t_lag``.
-
-    Channels are standardised, the stimulus is scaled to its training range. Adds the forward
-    patterns: the covariance of the features times the weights over the stimulus's variance.
-    """
-    rows = lag_matrix(df.withColumn("_y", lagged(stimulus, t_lag, by(keys, t))), keys, channels, delays, t, "lagged")
-    xs = [f"lagged_{c}_{j}" for c in channels for j in range(len(delays))]
-    rows = rows.select(*keys, fold, F.array(*xs).alias("xs"), F.array("_y").alias("ys"))
-    grams = training_grams(rows, keys, "xs", "ys", fold)
-    fits = fit_wide(grams, [*keys, fold], len(xs), alphas, "Standarize", "Normalize")
-    return with_patterns(fits, grams, [*keys, fold], len(xs))
-
-
-def with_patterns(fits: DataFrame, grams: DataFrame, keys: list[str], p: int) -> DataFrame:
-    """Adds ``pattern``, an array by feature, from the training moments."""
-    rows = fits.join(grams.select(*keys, F.col("products").alias("_c")), keys)
-    size = F.expr(f"sqrt(size(_c))").cast("int")
-    cell = lambda i, j: F.get("_c", i * size + j)
-    j = F.col("response").cast("int") + p
-    spread = cell(j, j) * F.col("y_scale") * F.col("y_scale")
-    each = F.zip_with("w", "scale", lambda w, s: w * s)
-    pattern = F.transform("scale", lambda s, i: F.try_divide(F.aggregate(F.transform(each, lambda v, k: cell(i, k) * v), F.lit(0.0), lambda a, v: a + v) * s, spread))
-    return rows.withColumn("pattern", pattern).drop("_c")
-
-
 def corr_loss_fit(grams: DataFrame, keys: list[str], p: int, alpha: float, steps: int = 300, seed: int = 1) -> DataFrame:
     """(keys, feature, w, loss): weights that minimise -corr(Xw, y) + alpha * sum |w|.
 
@@ -448,7 +428,8 @@ def alpha_select(scores: DataFrame, keys: list[str], limit: float = 0.01) -> Dat
 
 def grid_best(scores: DataFrame, axes: list[str], share: float = 0.99) -> DataFrame:
     """Mean score of each cell of a grid (of few cells), with the best cell and those of at least ``share`` of it."""
-    cells = scores.groupBy(*axes).agg(F.avg("r").alias("r")).withColumn("_top", F.max("r").over(Window.partitionBy(F.lit(0))))
+    cells = scores.groupBy(*axes).agg(F.avg("r").alias("r"))
+    cells = cells.crossJoin(F.broadcast(cells.agg(F.max("r").alias("_top"))))  # one row
     return cells.withColumns({"best": F.col("r") == F.col("_top"), "close": F.col("r") >= share * F.col("_top")}).drop("_top")
 
 
