@@ -20,20 +20,20 @@ def _p(t: Tables) -> DataFrame:
     return st.permutation_p(wide(t), null_scores(t), ["k", "channel", "fold"], "r")
 
 
-@query("permutation_pvalue", f"with {_PV} select k, channel, fold, {r('p')} as p, {r('q')} as p_rmse from PV")
+@query("permutation_pvalue", f"with recursive {_PV} select k, channel, fold, {r('p')} as p, {r('q')} as p_rmse from PV")
 def permutation_pvalue(t: Tables) -> DataFrame:
     both = st.permutation_p(wide(t), null_scores(t), ["k", "channel", "fold"], "r", "rmse")
     return both.select("k", "channel", "fold", r6("p").alias("p"), r6("p_less").alias("p_rmse"))
 
 
-@query("significant_channels", f"with {_PV}, A as (select k, channel, bool_and(p < 0.05 / 3) as passed, avg(p) as p from PV group by k, channel) select channel, sum(case when passed then 1 else 0 end)::bigint as subjects, {r('avg(p)')} as p from A group by channel")
+@query("significant_channels", f"with recursive {_PV}, A as (select k, channel, bool_and(p < 0.05 / 3) as passed, avg(p) as p from PV group by k, channel) select channel, sum(case when passed then 1 else 0 end)::bigint as subjects, {r('avg(p)')} as p from A group by channel")
 def significant_channels(t: Tables) -> DataFrame:
     """Channels below 0.05 over the number of channels in every fold."""
     each = st.passes_all_folds(_p(t), ["k", "channel"], 0.05 / len(CHANNELS))
     return each.groupBy("channel").agg(F.count_if("passed").alias("subjects"), r6(F.avg("p")).alias("p"))
 
 
-@query("decoder_significance", f"with {_DV}, A as (select k, count(*) filter (p < 0.01) as n, bool_and(p < 0.01) as whole, avg(p) as p from PV group by k) select k % 4 as band, sum(n)::bigint as folds, (count(*) filter (whole))::bigint as subjects, {r('avg(p)')} as p from A group by all")
+@query("decoder_significance", f"with recursive {_DV}, A as (select k, count(*) filter (p < 0.01) as n, bool_and(p < 0.01) as whole, avg(p) as p from PV group by k) select k % 4 as band, sum(n)::bigint as folds, (count(*) filter (whole))::bigint as subjects, {r('avg(p)')} as p from A group by all")
 def decoder_significance(t: Tables) -> DataFrame:
     """Folds below 0.01, and subjects with all of them, by band."""
     p = st.permutation_p(decoded(t, ["y1", "y2"], [0]), decoder_null(t), ["k", "fold"], "r")
@@ -41,7 +41,7 @@ def decoder_significance(t: Tables) -> DataFrame:
     return each.groupBy((F.col("k") % 4).alias("band")).agg(F.sum("n").alias("folds"), F.count_if("whole").alias("subjects"), r6(F.avg("p")).alias("p"))
 
 
-@query("downsize_null", f"with {null_sql()} select k, channel, iter, {r('avg(r)')} as r from N where iter < 50 group by all")
+@query("downsize_null", f"with recursive {null_sql()} select k, channel, iter, {r('avg(r)')} as r from N where iter < 50 group by all")
 def downsize_null(t: Tables) -> DataFrame:
     """The first half of the iterations, as means over folds."""
     return null_scores(t).where("iter < 50").groupBy("k", "channel", "iter").agg(r6(F.avg("r")).alias("r"))

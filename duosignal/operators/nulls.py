@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 # A prime and two multipliers; the fifth power is a bijection by this prime.
 PRIME, BY_T, BY_ITER = 2147483647, 48271, 69621
@@ -20,19 +22,76 @@ def shuffle_key_sql(t: str, iteration: str) -> str:
     return f"(({square} * {square} % {PRIME}) * {u} % {PRIME})"
 
 
-def shuffle_keys(t: np.ndarray, iterations: np.ndarray) -> np.ndarray:
-    """shuffle_key_sql for each iteration and t."""
-    u = (t[None, :].astype(np.int64) * BY_T + (iterations[:, None].astype(np.int64) + 1) * BY_ITER) % PRIME
+def mixed(t: np.ndarray, iteration: np.ndarray) -> np.ndarray:
+    """shuffle_key_sql of whole arrays."""
+    u = (t * BY_T + (iteration + 1) * BY_ITER) % PRIME
     square = u * u % PRIME
     return square * square % PRIME * u % PRIME
 
 
+def shuffle_keys(t: np.ndarray, iterations: np.ndarray) -> np.ndarray:
+    """shuffle_key_sql for each iteration and t."""
+    return mixed(t[None, :].astype(np.int64), iterations[:, None].astype(np.int64))
+
+
+#: Of the bijection; a round changes one half of a place by the other.
+ROUNDS = 6
+
+
+def dealt(i: np.ndarray, n: np.ndarray | int, iteration: np.ndarray | int) -> np.ndarray:
+    """The row whose features place i < n gets in an iteration: a bijection of the numbers below n for each iteration.
+
+    A place is a pair (left, right) of digits; Feistel rounds add to one digit what the other gives
+    with the iteration as the key. What leaves the numbers below n goes through it again until it is
+    back. Every place is evaluated by itself, so no rows are sorted and any task can do any of them.
+    """
+    i, n, iteration = (v.astype(np.int64) for v in np.broadcast_arrays(i, n, iteration))
+    out, shape = i.ravel().copy(), i.shape
+    n, iteration = n.ravel(), iteration.ravel()
+    live = np.arange(len(out))
+    while len(live):
+        size, key = n[live], iteration[live] * ROUNDS
+        many = np.maximum(np.ceil(np.sqrt(size)).astype(np.int64), 1)
+        each = -(-size // many)
+        left, right = out[live] // each, out[live] % each
+        for j in range(ROUNDS):
+            if j % 2:
+                right = (right + mixed(left, key + j)) % each
+            else:
+                left = (left + mixed(right, key + j)) % many
+        out[live] = left * each + right
+        live = live[out[live] >= size]
+    return out.reshape(shape)
+
+
+def dealt_sql(name: str, sizes: str, iterations: int) -> str:
+    """A recursive CTE ``name`` (n, iter, i, v, step) of ``dealt`` for each n of the query ``sizes``; v holds where step > 0 and v < n."""
+    step = f"select *, greatest(ceil(sqrt(n)), 1)::bigint as many from {name} where step = 0 or v >= n"
+    step = f"select *, (n + many - 1) // many as each_ from ({step})"
+    step = f"select *, v // each_ as l, v % each_ as r from ({step})"
+    for j in range(ROUNDS):  # a subquery for each value that is used more than once
+        at, other, size = ("r", "l", "each_") if j % 2 else ("l", "r", "many")
+        step = f"select *, ({other} * {BY_T} + (iter * {ROUNDS} + {j} + 1) * {BY_ITER}) % {PRIME} as u from ({step})"
+        step = f"select *, u * u % {PRIME} as s from ({step})"
+        step = f"select n, iter, i, step, many, each_, {other}, ({at} + s * s % {PRIME} * u % {PRIME}) % {size} as {at} from ({step})"
+    return f"""{name} as (select n::bigint as n, iter::bigint as iter, i::bigint as i, i::bigint as v, 0 as step from ({sizes}), (select unnest(range({iterations})) as iter), lateral (select unnest(range(n)) as i)
+union all select n, iter, i, l * each_ + r, step + 1 from ({step}))"""
+
+
 def permuted(rows: DataFrame, keys: list[str], x: str, iterations: int) -> DataFrame:
-    """Each key's rows once for each iteration, x taken in the order of the shuffle key."""
-    rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy("t")))
-    each = rows.select(*keys, "t", F.col(x).alias("_x"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(iterations - 1).cast("long"))).alias("iter"))
-    order = Window.partitionBy(*keys, "iter").orderBy(F.expr(shuffle_key_sql("t", "iter")))
-    return rows.join(each.select(*keys, "iter", "_x", F.row_number().over(order).alias("_i")), [*keys, "_i"]).withColumnRenamed("_x", f"{x}_permuted").drop("_i")
+    """Each key's rows once for each iteration, x taken from the row that ``dealt`` gives the row's place in the order of t."""
+    part = Window.partitionBy(*keys)
+    rows = rows.withColumns({"_i": (F.row_number().over(part.orderBy("t")) - 1).cast("long"), "_n": F.count("*").over(part)})
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i, n, iteration = (batch.column(c).to_numpy() for c in ("_i", "_n", "iter"))
+            yield batch.append_column("_from", pa.array(dealt(i, n, iteration)))
+
+    each = rows.withColumn("iter", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(iterations - 1).cast("long"))))
+    each = each.mapInArrow(place, StructType([*each.schema.fields, StructField("_from", LongType())]))
+    values = rows.select(*keys, F.col("_i").alias("_from"), F.col(x).alias(f"{x}_permuted"))
+    return each.join(values, [*keys, "_from"]).drop("_i", "_n", "_from")
 
 
 def _scaled(z: np.ndarray, train: np.ndarray, by: str) -> np.ndarray:
@@ -41,8 +100,8 @@ def _scaled(z: np.ndarray, train: np.ndarray, by: str) -> np.ndarray:
     return np.divide(z - shift, size, out=np.zeros_like(z), where=size > 0)
 
 
-def _scores(x: np.ndarray, y: np.ndarray, fold: np.ndarray, order: np.ndarray, alpha: float, both: bool, x_by: str, y_by: str) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(fold, r, rmse, mean weights) by iteration of one series in the order of t."""
+def _scores(x: np.ndarray, y: np.ndarray, fold: np.ndarray, iterations: np.ndarray, alpha: float, both: bool, x_by: str, y_by: str) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(fold, iterations, r, rmse, mean weights) of one series in the order of t."""
     for split in np.unique(fold):
         train = fold != split
         if not train.any():
@@ -50,40 +109,42 @@ def _scores(x: np.ndarray, y: np.ndarray, fold: np.ndarray, order: np.ndarray, a
         xs, ys = _scaled(x, train, x_by), _scaled(y, train, y_by)
         x_mean, y_mean = xs[train].mean(0), ys[train].mean(0)
         xc, yc, test_y = xs - x_mean, ys[train] - y_mean, ys[~train]
-        inverse = np.linalg.pinv(xc[train].T @ xc[train] + alpha * np.eye(x.shape[1]))  # X'X is the same in all iterations
+        train_x, test_rows = xc[train], xc[~train]
+        inverse = np.linalg.pinv(train_x.T @ train_x + alpha * np.eye(x.shape[1]))  # X'X is the same in all iterations
         spread = test_y.std(0)
         step = max(1, (1 << 22) // max(1, train.sum() * x.shape[1]))
-        for i in range(0, len(order), step):
-            part = order[i : i + step]
-            shuffled = xc[part[train[part]].reshape(len(part), -1)]
+        for i in range(0, len(iterations), step):
+            part = iterations[i : i + step]
+            shuffled = train_x[dealt(np.arange(len(train_x)), len(train_x), part[:, None])]
             w = inverse @ (shuffled.transpose(0, 2, 1) @ yc)
-            test_x = xc[part[~train[part]].reshape(len(part), -1)] if both else xc[~train][None]
+            test_x = test_rows[dealt(np.arange(len(test_rows)), len(test_rows), part[:, None])] if both else test_rows[None]
             p = test_x @ w + y_mean
             e = p - test_y
             size = p.std(1) * spread
             r = np.divide(((p - p.mean(1, keepdims=True)) * (test_y - test_y.mean(0))).mean(1), size, out=np.full(size.shape, np.nan), where=(p.std(1) > 1e-12) & (spread > 1e-12))
-            yield int(split), i, r, np.sqrt((e * e).mean(1)), w
+            yield int(split), part, r, np.sqrt((e * e).mean(1)), w
 
 
-def permutation_null(df: DataFrame, keys: list[str], x: str, y: str, alpha: float, iterations: int, both: bool = False, fold: str = "fold", t: str = "t", x_by: str = "Normalize", y_by: str = "Standarize", weights: bool = False) -> DataFrame:
+def permutation_null(df: DataFrame, keys: list[str], x: str, y: str, alpha: float, iterations: int, both: bool = False, fold: str = "fold", t: str = "t", x_by: str = "Normalize", y_by: str = "Standarize", weights: bool = False, block: int = 250) -> DataFrame:
     """(keys, fold, iter, response, r, rmse): ridge models fitted on shuffled training rows.
 
     x and y are arrays of features and responses. In each iteration the training rows' features are
     dealt anew to their responses; scores are those on the true test rows or, ``both``, on shuffled
     ones. X'X and the scalers don't change by that and are computed once for a split, so an iteration
     costs one product X'Y. ``weights`` adds the array w. Repeats of a run give the same shuffles.
-    One series (a key) is worked on in a task, as it has to be for a shuffle of its rows; iterations
-    are gone through in pieces of bounded memory.
+    The unit of work is a key with ``block`` iterations: its rows are sent to as many tasks as it has
+    such blocks, and what an iteration gives is the same whatever their size. Iterations are gone
+    through in pieces of bounded memory; a task holds one series.
     """
     schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in df.select(*keys).schema)
 
     def null(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(t)
-        order = np.argsort(shuffle_keys(own[t].to_numpy(), np.arange(iterations)), axis=1, kind="stable")
+        first = int(own["_block"].iloc[0]) * block
         out = []
-        for split, start, r, rmse, w in _scores(np.stack(own[x]).astype(float), np.stack(own[y]).astype(float), own[fold].to_numpy(), order, alpha, both, x_by, y_by):
+        for split, part, r, rmse, w in _scores(np.stack(own[x]).astype(float), np.stack(own[y]).astype(float), own[fold].to_numpy(), np.arange(first, min(first + block, iterations)), alpha, both, x_by, y_by):
             n, q = r.shape
-            frame = pd.DataFrame({"fold": split, "iter": np.repeat(np.arange(start, start + n), q), "response": np.tile(np.arange(q), n), "r": r.ravel(), "rmse": rmse.ravel()})
+            frame = pd.DataFrame({"fold": split, "iter": np.repeat(part, q), "response": np.tile(np.arange(q), n), "r": r.ravel(), "rmse": rmse.ravel()})
             if weights:
                 frame["w"] = list(w.transpose(0, 2, 1).reshape(n * q, -1))
             out.append(frame)
@@ -94,4 +155,5 @@ def permutation_null(df: DataFrame, keys: list[str], x: str, y: str, alpha: floa
         return made
 
     kept = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, t, fold, x, y)
-    return kept.groupBy(*keys).applyInPandas(null, f"{schema}fold long, iter long, response int, r double, rmse double{', w array<double>' if weights else ''}")
+    each = kept.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((iterations - 1) // block))))
+    return each.groupBy(*keys, "_block").applyInPandas(null, f"{schema}fold long, iter long, response int, r double, rmse double{', w array<double>' if weights else ''}")
