@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from duosignal.catalog.registry import E, L, M, Tables, query, r
 from duosignal.functions.numeric import pearson, r6
 from duosignal.operators import series as se
+from duosignal.operators import filters as ft
 from duosignal.operators import spectral as sp
 
 _PI = "pi()"
@@ -53,6 +54,34 @@ def butter_filter(t: Tables) -> DataFrame:
     return sp.butter_filter(t.e, ["k"], "v", 3, 1.0, 4.0, 16.0, forward_backward=True)
 
 
+#: The band Delta at 32 Hz, of minimum phase.
+_LEAST = ft.minimum_phase(ft.fir_design(*sp.band("Delta"), 32.0))
+_BACK = "H as (select * from (values " + ", ".join(f"({i}, {tap:.17e})" for i, tap in enumerate(_LEAST)) + ") h(d, tap))"
+
+
+@query("fir_filter_minimum", f"with {E}, {_BACK} select a.k, a.t, {r('sum(coalesce(b.v, 0) * tap)')} as y from E a cross join H left join E b on b.k = a.k and b.t = a.t - d group by a.k, a.t")
+def fir_filter_minimum(t: Tables) -> DataFrame:
+    """A causal filter by the name of its band, over blocks of samples."""
+    return ft.band_filter(t.e, ["k"], "v", "Delta", 32.0, causal=True, size=256).select("k", "t", r6("y").alias("y"))
+
+
+_B, _A = sp.butterworth(3, None, 4.0, 32.0)
+_STATES = ", ".join(f"{f's{i + 1} + ' if i < 2 else ''}{_B[i + 1]:.17e} * e.v - {_A[i + 1]:.17e} * ({_B[0]:.17e} * e.v + s0)" for i in range(3))
+
+
+@query("butter_filter_causal", f"""with recursive {E}, R as (select k, -1::bigint as t, 0e0 as y, 0e0 as s0, 0e0 as s1, 0e0 as s2 from E where t = 0
+union all select e.k, e.t, {_B[0]:.17e} * e.v + s0, {_STATES} from R join E e on e.k = R.k and e.t = R.t + 1) select k, t, {r('y')} as y from R where t >= 0""")
+def butter_filter_causal(t: Tables) -> DataFrame:
+    """A recursive filter over blocks of samples, whose states are followed from block to block."""
+    return ft.butter_blocks(t.e, ["k"], "v", 3, None, 4.0, 32.0, size=16).select("k", "t", r6("y").alias("y"))
+
+
+@query("butter_filter_blocks")
+def butter_filter_blocks(t: Tables) -> DataFrame:
+    """Forward and backward over blocks; compared with whole series in a test."""
+    return ft.butter_blocks(t.e, ["k"], "v", 3, 1.0, 4.0, 16.0, True, size=32).select("k", "t", r6("y").alias("y"))
+
+
 _FRAME = f"D as (select k, t // 16 as frame, f, sum(v * (0.5 - 0.5 * cos(2 * {_PI} * (t % 16) / 16)) * cos(2 * {_PI} * (t % 16) * f / 16)) as c, sum(v * (0.5 - 0.5 * cos(2 * {_PI} * (t % 16) / 16)) * sin(2 * {_PI} * (t % 16) * f / 16)) as s from E, (select unnest(range(1, 9)) as f) group by all having count(*) = 16), Q as (select k, frame, f, c * c + s * s as power from D)"
 
 
