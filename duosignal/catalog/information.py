@@ -27,6 +27,12 @@ def _mi(x: str, y: str, source: str, keys: str, biased: bool = True) -> str:
     return f"select {keys}, n, case when n > 3 and abs(r) < 1 - 1e-9 then {nf.mi_gauss_sql('n', 'r', biased)} end as mi from ({inner})"
 
 
+@query("copula_rank_ranges", f"with {E} select k, t, {r(_rank('v'))} as u from E")
+def copula_rank_ranges(t: Tables) -> DataFrame:
+    """The same ranks by ranges of key and value, so that no task holds a key."""
+    return nf.copula_rank(t.e, ["k"], "v", "u", ranges=True).select("k", "t", r6("u").alias("u"))
+
+
 @query("copula_rank", f"with {E} select k, t, {r(_rank('v'))} as u from E")
 def copula_rank(t: Tables) -> DataFrame:
     return nf.copula_rank(t.e, ["k"], "v", "u").select("k", "t", r6("u").alias("u"))

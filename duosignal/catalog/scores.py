@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from duosignal.catalog.models import MODEL, encoded, folded
 from duosignal.catalog.registry import E, M, P, Tables, query, r
 from duosignal.functions.numeric import r6
+from duosignal.operators.order import quantiles
 from duosignal.operators import ridge
 from duosignal.operators import scores as sc
 from duosignal.operators.spectral import cross_means
@@ -96,7 +97,8 @@ def score_matrix(t: Tables) -> DataFrame:
 
 @query("score_distribution", f"with {P} select condition, " + ", ".join(f"{r(f'quantile_cont(v, {q})', 3)} as q{int(q * 100)}" for q in (0, 0.25, 0.5, 0.75, 1)) + " from P group by condition")
 def score_distribution(t: Tables) -> DataFrame:
-    return t.p.groupBy("condition").agg(*[F.round(F.percentile("v", q), 3).alias(f"q{int(q * 100)}") for q in (0.0, 0.25, 0.5, 0.75, 1.0)])
+    found = quantiles(t.p, ["condition"], "v", {f"q{int(q * 100)}": q for q in (0.0, 0.25, 0.5, 0.75, 1.0)}, "subject")
+    return found.select("condition", *[F.round(c, 3).alias(c) for c in found.columns[1:]])
 
 
 @query("subject_feature_stats", f"with {E} select k, {r('avg(v)')} as mean, {r('stddev_pop(v)')} as sd from E where v is not null group by k")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from duosignal.operators.order import edges
 from duosignal.operators.series import by
 
 
@@ -45,23 +46,19 @@ def min_max(df: DataFrame, keys: list[str], columns: list[str], train: Column) -
     return rows.select(*[c for c in df.columns if c not in columns], *[F.when(span(c) == 0, 0.0).otherwise(F.try_divide(F.col(c) - F.col(f"{c}_min"), span(c))).alias(c) for c in columns])
 
 
-def min_max_percentile(df: DataFrame, keys: list[str], columns: str | list[str], train: Column | None = None, percent: int = 5) -> DataFrame:
+def min_max_percentile(df: DataFrame, keys: list[str], columns: str | list[str], train: Column | None = None, percent: int = 5, t: str = "t") -> DataFrame:
     """Columns by the training rows' n-th smallest and n-th largest value, n = percent * rows - 1 over 100.
 
-    Without ``train`` all rows train. Not clipped; no range: 0.
+    Without ``train`` all rows train. Not clipped; no range: 0. Values are found by ranges, so no task
+    holds a key.
     """
     columns = [columns] if isinstance(columns, str) else columns
-    rows = df.withColumn("_train", F.lit(True) if train is None else train)
-    part = Window.partitionBy(*keys, "_train")
-    n = F.floor((F.count("*").over(part) * percent - 1) / 100)
-    whole = Window.partitionBy(*keys)
+    rows = df
     for column in columns:
-        up, down = (F.row_number().over(part.orderBy(o)) - 1 for o in (F.col(column), F.desc(column)))
-        at = lambda rank: F.max(F.when(F.col("_train") & (F.col(rank) == F.col("_n")), F.col(column))).over(whole)  # noqa: B023, E731
-        rows = rows.withColumns({"_n": n, "_up": up, "_down": down}).withColumns({"_low": at("_up"), "_high": at("_down")})
+        fit = edges(df if train is None else df.where(train), keys, column, percent, t).select(*keys, F.col("low").alias("_low"), F.col("high").alias("_high"))
         span = F.col("_high") - F.col("_low")
-        rows = rows.withColumn(column, F.when(span == 0, 0.0).otherwise(F.try_divide(F.col(column) - F.col("_low"), span)))
-    return rows.drop("_n", "_up", "_down", "_low", "_high", "_train")
+        rows = rows.join(fit, keys, "left").withColumn(column, F.when(span == 0, 0.0).otherwise(F.try_divide(F.col(column) - F.col("_low"), span))).drop("_low", "_high")
+    return rows.select(*df.columns)
 
 
 def scale(df: DataFrame, keys: list[str], column: str, low: float, high: float, name: str) -> DataFrame:

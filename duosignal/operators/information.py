@@ -14,20 +14,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from duosignal.functions.numeric import digamma_sql, normal_quantile_sql, normal_quantiles
+from duosignal.operators.order import quantiles, ranked
 from duosignal.operators.series import as_arrays, map_arrays
 
 LN2 = math.log(2)
 
 
-def copula_rank(df: DataFrame, keys: list[str], x: str, name: str, tie: str = "t") -> DataFrame:
-    """Adds rank / (n + 1); equal values by the order ``tie``."""
+def copula_rank(df: DataFrame, keys: list[str], x: str, name: str, tie: str = "t", ranges: bool = False) -> DataFrame:
+    """Adds rank / (n + 1); equal values by the order ``tie``. With ``ranges`` no task holds a key."""
+    if ranges:
+        return ranked(df, keys, x, tie, "_rank", "_n").withColumn(name, F.col("_rank") / (F.col("_n") + 1)).drop("_rank", "_n")
     part = Window.partitionBy(*keys)
     return df.withColumn(name, F.row_number().over(part.orderBy(x, tie)) / (F.count("*").over(part) + 1))
 
 
-def copula_normal(df: DataFrame, keys: list[str], x: str, name: str, tie: str = "t") -> DataFrame:
+def copula_normal(df: DataFrame, keys: list[str], x: str, name: str, tie: str = "t", ranges: bool = False) -> DataFrame:
     """Adds the normal quantile of the copula rank."""
-    return copula_rank(df, keys, x, "_u", tie).withColumn(name, F.expr(normal_quantile_sql("_u"))).drop("_u")
+    return copula_rank(df, keys, x, "_u", tie, ranges).withColumn(name, F.expr(normal_quantile_sql("_u"))).drop("_u")
 
 
 def _bias(n: str, dims: int) -> str:
@@ -228,9 +231,9 @@ def _mixture_wide(df: DataFrame, keys: list[str], xs: list[str], label: str, lea
 def robust_copula(df: DataFrame, keys: list[str], x: str, label: str, name: str) -> DataFrame:
     """Adds x made normal within each class and set to the class's median and 1.4826 * MAD."""
     own = [*keys, label]
-    middle = df.groupBy(*own).agg(F.percentile(x, 0.5).alias("_med"))
+    middle = quantiles(df, own, x, {"_med": 0.5}, "t")
     rows = copula_normal(df, own, x, "_c").join(middle, own).withColumn("_dev", F.abs(F.col(x) - F.col("_med")))
-    spread = rows.groupBy(*own).agg((F.percentile("_dev", 0.5) * 1.4826).alias("_mad"))
+    spread = quantiles(rows, own, "_dev", {"_mad": 0.5}, "t").withColumn("_mad", F.col("_mad") * 1.4826)
     return rows.join(spread, own).withColumn(name, F.col("_c") * F.col("_mad") + F.col("_med")).drop("_med", "_dev", "_mad", "_c")
 
 
