@@ -7,7 +7,7 @@ bands take whole series as arrays, a row each, and work on batches of them as ma
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,8 +53,21 @@ def analytic(x: np.ndarray) -> np.ndarray:
     return np.fft.ifft(np.fft.fft(x) * gain)
 
 
+def over_gaps(fn: Callable[[np.ndarray], list[np.ndarray]]) -> Callable[[np.ndarray], list[np.ndarray]]:
+    """``fn`` of series in which missing samples count as 0; what it gives at their places is missing."""
+
+    def run(x: np.ndarray) -> list[np.ndarray]:
+        gaps = np.isnan(x)
+        return [np.where(gaps, np.nan, y) for y in fn(np.where(gaps, 0.0, x))] if gaps.any() else fn(x)
+
+    return run
+
+
 def analytic_arrays(rows: DataFrame, keys: list[str], x: str = "x", band: tuple | None = None, rate: float = 1.0, order: int = 3) -> DataFrame:
-    """(keys, amplitude, phase) as arrays of each row's whole series; with ``band`` of the signal filtered to it both ways."""
+    """(keys, amplitude, phase) as arrays of each row's whole series; with ``band`` of the signal filtered to it both ways.
+
+    A null sample counts as 0 for the others and has neither amplitude nor phase (NaN).
+    """
     filters = butterworth(order, *band, rate) if band else None
 
     def both(x: np.ndarray) -> list[np.ndarray]:
@@ -63,7 +76,7 @@ def analytic_arrays(rows: DataFrame, keys: list[str], x: str = "x", band: tuple
             z = both_ways(*filters, z.real) + 1j * both_ways(*filters, z.imag)
         return [np.abs(z), np.angle(z)]
 
-    return map_arrays(rows, keys, [x], ["amplitude", "phase"], both)
+    return map_arrays(rows, keys, [x], ["amplitude", "phase"], over_gaps(both))
 
 
 def analytic_signal(df: DataFrame, keys: list[str], x: str, t: str = "t") -> DataFrame:
@@ -83,7 +96,11 @@ def windowed_sinc(low: float | None, high: float, rate: float, n: int) -> list[f
 
 
 def fir_filter(df: DataFrame, keys: list[str], x: str, taps: list[float], name: str, t: str = "t") -> DataFrame:
-    """(keys, t, name): the series filtered without delay; outside of the series it is 0."""
+    """(keys, t, name): the series filtered without delay; outside of the series it is 0.
+
+    A null sample counts as 0 for its neighbours and gives NaN itself. A series is one row in a task;
+    longer ones are for ``filters.fir_blocks``.
+    """
     half = len(taps) // 2
 
     def through(x: np.ndarray) -> list[np.ndarray]:
@@ -94,7 +111,7 @@ def fir_filter(df: DataFrame, keys: list[str], x: str, taps: list[float], name:
             y = np.stack([np.convolve(row, taps) for row in x])
         return [y[:, half : half + x.shape[1]]]
 
-    return from_arrays(map_arrays(as_arrays(df, keys, [x], t), keys, [x], [name], through), keys, [name], t)
+    return from_arrays(map_arrays(as_arrays(df, keys, [x], t), keys, [x], [name], over_gaps(through)), keys, [name], t)
 
 
 def butterworth(order: int, low: float | None, high: float | None, rate: float) -> tuple[np.ndarray, np.ndarray]:
@@ -152,10 +169,14 @@ def both_ways(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def butter_filter(df: DataFrame, keys: list[str], x: str, order: int, low: float | None, high: float | None, rate: float, forward_backward: bool = False, t: str = "t") -> DataFrame:
-    """(keys, t, y): each series through a Butterworth filter, causal or forward and backward."""
+    """(keys, t, y): each series through a Butterworth filter, causal or forward and backward.
+
+    A null sample counts as 0 for the others and gives NaN itself. A series is one row in a task;
+    longer ones are for ``filters.butter_blocks``.
+    """
     b, a = butterworth(order, low, high, rate)
     through = lambda x: [both_ways(b, a, x) if forward_backward else recursive(b, a, x)]
-    return from_arrays(map_arrays(as_arrays(df, keys, [x], t), keys, [x], ["y"], through), keys, ["y"], t)
+    return from_arrays(map_arrays(as_arrays(df, keys, [x], t), keys, [x], ["y"], over_gaps(through)), keys, ["y"], t)
 
 
 def mel_filters(rate: float, frame: int, bands: int) -> np.ndarray:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,45 +82,78 @@ def sign_flip_t(df: DataFrame, member: str, cells: list[str], value: str, permut
     return flipped.select("perm", *cells, t_one_sample(F.col("n"), mean, sd).alias("t"))
 
 
+def _heights(top: float, start: float, step: float) -> np.ndarray:
+    """start (without one, step) and on by ``step``, as far as ``top``."""
+    out, height = [], start if start > 0 else step
+    while height <= top:
+        out.append(height)
+        height += step
+    return np.array(out)
+
+
 def _enhance(t: np.ndarray, start: float, step: float) -> np.ndarray:
-    """Threshold-free cluster enhancement of a lattice: extent ** 0.5 * height ** 2 over heights."""
+    """Threshold-free cluster enhancement of a lattice: extent ** 0.5 * height ** 2 over heights.
+
+    Cells come in falling order and join the clusters of their neighbours. A cluster of one extent
+    lasts from the cell that made it down to the next that changes it; the heights in between are a
+    difference of two prefix sums, whatever their number. Every cell's score is what its cluster and
+    those that it became part of have, added once down the tree.
+    """
     out = np.zeros_like(t)
+    rows, columns = t.shape
     for sign in (1, -1):
         x = np.nan_to_num(sign * t)
-        height = start if start > 0 else step
-        while height <= x.max(initial=0.0):
-            label = np.where(x >= height, np.arange(1, x.size + 1).reshape(x.shape), 0)
-            while True:  # the largest label spreads over neighbours
-                wide = label.copy()
-                for axis in (0, 1):
-                    for shift in (1, -1):
-                        moved = np.roll(label, shift, axis)
-                        edge = [slice(None)] * 2
-                        edge[axis] = 0 if shift == 1 else -1
-                        moved[tuple(edge)] = 0
-                        wide = np.maximum(wide, moved)
-                wide[label == 0] = 0
-                if (wide == label).all():
-                    break
-                label = wide
-            size = np.bincount(label.ravel())
-            out += np.where(label > 0, sign * np.sqrt(size[label]) * height**2 * step, 0.0)
-            height += step
+        heights = _heights(x.max(initial=0.0), start, step)
+        if not len(heights):
+            continue
+        gain = np.concatenate([[0.0], np.cumsum(heights**2 * step)])
+        level = gain[np.searchsorted(heights, x.ravel(), "right")].tolist()
+        order = np.flatnonzero(x.ravel() >= heights[0])
+        order = order[np.argsort(-x.ravel()[order], kind="stable")].tolist()
+        top, root, size, up, own = {}, {}, [], [], []  # a node for each cell, in the order of their coming
+        for node, cell in enumerate(order):
+            i, j = divmod(cell, columns)
+            merged = set()
+            for other in ((cell - columns) if i else -1, (cell + columns) if i + 1 < rows else -1, cell - 1 if j else -1, cell + 1 if j + 1 < columns else -1):
+                if other in top:
+                    at = top[other]
+                    while root[at] != at:
+                        root[at] = at = root[root[at]]
+                    merged.add(at)
+            size.append(1 + sum(size[m] for m in merged))
+            for m in merged:
+                own[m] = size[m] ** 0.5 * (own[m] - level[cell])
+                root[m] = up[m] = node
+            top[cell] = root[node] = node
+            up.append(-1)
+            own.append(level[cell])
+        total = [0.0] * len(order)
+        for node in range(len(order) - 1, -1, -1):
+            total[node] = own[node] + total[up[node]] if up[node] >= 0 else size[node] ** 0.5 * own[node]
+        out.ravel()[order] += sign * np.array(total)
     return out
 
 
 def tfce(maps: DataFrame, row: str, column: str, start: float = 0.0, step: float = 0.2) -> DataFrame:
-    """(perm, row, column, t, score): the enhanced map of each permutation."""
-
-    def enhance(own: pd.DataFrame) -> pd.DataFrame:
-        rows, i = np.unique(own[row], return_inverse=True)
-        columns, j = np.unique(own[column], return_inverse=True)
-        grid = np.zeros((len(rows), len(columns)))
-        grid[i, j] = own["t"].fillna(0)
-        return own.assign(score=_enhance(grid, start, step)[i, j])[["perm", row, column, "t", "score"]]
-
+    """(perm, row, column, t, score): the enhanced map of each permutation; a map is a row, a task takes many."""
     kind = lambda c: maps.schema[c].dataType.simpleString()
-    return maps.groupBy("perm").applyInPandas(enhance, f"perm {kind('perm')}, {row} {kind(row)}, {column} {kind(column)}, t double, score double")
+    cells = F.array_sort(F.collect_list(F.struct(row, column, "t")))
+    each = lambda c: F.transform(cells, lambda r: r[c]).alias(c)
+    whole = maps.groupBy("perm").agg(each(row), each(column), each("t"))
+
+    def enhance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = []
+            for own in zip(*[batch.column(c).to_pylist() for c in (row, column, "t")], strict=True):
+                rows, i = np.unique(own[0], return_inverse=True)
+                columns, j = np.unique(own[1], return_inverse=True)
+                grid = np.zeros((len(rows), len(columns)))
+                grid[i, j] = np.nan_to_num(np.array(own[2], float))
+                scores.append(_enhance(grid, start, step)[i, j])
+            yield batch.append_column("score", pa.array(scores, pa.list_(pa.float64())))
+
+    made = whole.mapInArrow(enhance, f"perm {kind('perm')}, {row} array<{kind(row)}>, {column} array<{kind(column)}>, t array<double>, score array<double>")
+    return made.select("perm", F.inline(F.arrays_zip(row, column, "t", "score")))
 
 
 def max_p(scores: DataFrame, true: DataFrame, cells: list[str], value: str) -> DataFrame:
