@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duosignal.catalog.registry import C, E, M, Tables, query
+from duosignal.catalog.registry import C, E, L, M, Tables, query
 from duosignal.operators.series import normalise_label
 from duosignal.sources import workspace as ws
+from duosignal.sources.trials import save_trials
+from duosignal.sources.trials import scan_trials as read_trials
 
 
 @query("trial_catalog", "select distinct conv_id % 10 as session, turn as trial from conversations")
@@ -71,3 +73,21 @@ def categorical_features(t: Tables) -> DataFrame:
     brand = part.select("k", *[(F.col("p_brand") == f"Brand#{b}").cast("int").alias(f"b_{b}") for b in range(1, 6)], F.lit("brand").alias("source"))
     size = part.select("k", (F.col("p_size") > 25).cast("int").alias("kind"), F.lit("size").alias("source"))
     return brand.unionByName(size, allowMissingColumns=True).fillna(0).select("k", *[f"b_{b}" for b in range(1, 6)], "kind", "source")
+
+
+@query("scan_trials", f'with {C} select cast(k % 10 as bigint) as session, cast(turn as bigint) as trial, cast(speaker as bigint) as channel, start_s as start, end_s as "end", \'turn \' || turn as text from C where k % 10 in (1, 4) and turn < 4')
+def scan_trials(t: Tables) -> DataFrame:
+    """Files of sessions, trials and channels, of which filters choose some before they are opened."""
+    path = f"{ws.work_folder(t.spark)}/trials-{uuid.uuid4().hex}"
+    save_trials(t.c.select((F.col("k") % 10).alias("session"), F.col("turn").alias("trial"), F.col("speaker").alias("channel"), F.col("start_s").alias("start"), F.col("end_s").alias("end"), F.format_string("turn %d", "turn").alias("text")), path)
+    return read_trials(t.spark, path).where("session in (1, 4) and trial < 4")
+
+
+@query("cached_partitions", f"with {E}, {L} select 'events' as part, cast(k as bigint) as k, count(*) as n from E group by k union all select 'lineitem', cast(k as bigint), count(*) from L group by k")
+def cached_partitions(t: Tables) -> DataFrame:
+    """Tables kept beside what they were built from; the second call finds both as they are."""
+    path = f"{ws.work_folder(t.spark)}/cached-{uuid.uuid4().hex}"
+    tables = {"events": lambda: t.e, "lineitem": lambda: t.l}
+    for _ in range(2):
+        found = ws.cached_partitions(t.spark, path, {n: [f"{t.folder}/{n}.parquet"] for n in tables}, lambda n: tables[n]().groupBy("k").agg(F.count("*").alias("n")))
+    return found.select("part", "k", "n")

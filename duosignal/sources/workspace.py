@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,3 +71,63 @@ def read_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]
     if not exists(spark, path):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def fingerprint(spark: SparkSession, inputs: list[str], parameters: dict) -> str:
+    """Of all files under the inputs (paths, sizes, times) and the parameters."""
+    jvm, conf, found = spark._jvm, spark._jsc.hadoopConfiguration(), []
+    for path in sorted(inputs):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        system = at.getFileSystem(conf)
+        files = system.listFiles(at, True) if system.getFileStatus(at).isDirectory() else None
+        if files is None:
+            status = system.getFileStatus(at)
+            found.append((path, status.getLen(), status.getModificationTime()))
+        while files is not None and files.hasNext():
+            status = files.next()
+            found.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return hashlib.sha256(json.dumps([sorted(found), parameters], sort_keys=True, default=str).encode()).hexdigest()
+
+
+def _text_file(spark: SparkSession, path: str, text: str | None = None) -> str | None:
+    """The text of a small file, None without one; or writes it, in one step as others see it."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(conf)
+    if text is None:
+        if not system.exists(at):
+            return None
+        source = system.open(at)
+        try:
+            return jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+        finally:
+            source.close()
+    new = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    sink = system.create(new, False)
+    sink.write(bytearray(text.encode()))
+    sink.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), conf).rename(new, at, options) if at.toUri().getScheme() else jvm.org.apache.hadoop.fs.FileContext.getFileContext(conf).rename(new, at, options)
+    return None
+
+
+def cached_partitions(spark: SparkSession, path: str, sources: dict[str, list[str]], build: Callable[[str], DataFrame], parameters: dict | None = None, column: str = "part") -> DataFrame:
+    """The tables that ``build`` gives for each name in ``sources``, with the name as a column, kept at ``path``.
+
+    ``sources`` says which inputs a name is built from. A name is built again if the fingerprint of
+    its inputs and ``parameters`` is not the one beside what is there. It is written to a folder of its
+    own, which its manifest is then turned to in one step, so readers and other builders see a
+    whole table or the one before. Builders at once each write a whole one; the last manifest
+    counts. Folders that no manifest names any more are left, as others may still read them.
+    """
+    folders = []
+    for name, inputs in sources.items():
+        now, at = fingerprint(spark, inputs, parameters or {}), f"{path}/{name}.json"
+        held = json.loads(_text_file(spark, at) or "{}")
+        if held.get("fingerprint") != now:
+            held = {"fingerprint": now, "folder": f"{name}-{uuid.uuid4().hex}"}
+            build(name).withColumn(column, F.lit(name)).write.parquet(f"{path}/{held['folder']}")
+            _text_file(spark, at, json.dumps(held))
+        folders.append(f"{path}/{held['folder']}")
+    return spark.read.parquet(*folders)
