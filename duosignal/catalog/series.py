@@ -211,14 +211,14 @@ def find_peaks(t: Tables) -> DataFrame:
     return s.find_peaks(mean, ["k"], "w", 0.3).select("k", "t", r6("w").alias("w"))
 
 
-_AUTO = f"N as (select k, least(12, count(*) // 2) as n from E group by k), R as (select a.k, b.t - a.t as lag, case when stddev_pop(a.v) > 0 and stddev_pop(b.v) > 0 then covar_pop(a.v, b.v) / (stddev_pop(a.v) * stddev_pop(b.v)) end as r0 from E a join N on N.k = a.k join E b on b.k = a.k and b.t between a.t and a.t + N.n group by a.k, b.t - a.t), A as (select k, lag, case when lag = 0 then 1.0e0 else r0 end as r from R)"
+_AUTO = f"N as (select k, count(*) // 2 as n from E group by k), R as (select a.k, b.t - a.t as lag, case when stddev_pop(a.v) > 0 and stddev_pop(b.v) > 0 then covar_pop(a.v, b.v) / (stddev_pop(a.v) * stddev_pop(b.v)) end as r0 from E a join N on N.k = a.k join E b on b.k = a.k and b.t between a.t and a.t + N.n group by a.k, b.t - a.t), A as (select k, lag, case when lag = 0 then 1.0e0 else r0 end as r from R)"
 
 
 @query("autocorrelation", f"with {E}, {_AUTO} select k, lag, {r('r')} as r from A")
 def autocorrelation(t: Tables) -> DataFrame:
-    return s.autocorrelation(t.e, ["k"], "v", 12).select("k", "lag", r6("r").alias("r"))
+    return s.autocorrelation(t.e, ["k"], "v").select("k", "lag", r6("r").alias("r"))
 
 
 @query("decorrelation_time", f"with {E}, {_AUTO}, B as (select k, lag, r, lag(r) over (partition by k order by lag) as p from A), F as (select k, arg_min(struct_pack(lag := lag, r := r, p := p), lag) as f from B where r < 0.1 and lag > 0 group by k) select k, {r('(f.lag - 1 + case when f.p - f.r <> 0 then (f.p - 0.1e0) / (f.p - f.r) end) * 7.8125e0')} as time from F")
 def decorrelation_time(t: Tables) -> DataFrame:
-    return s.decorrelation_time(s.autocorrelation(t.e, ["k"], "v", 12), ["k"], 0.1, 7.8125).select("k", r6("time").alias("time"))
+    return s.decorrelation_time(s.autocorrelation(t.e, ["k"], "v"), ["k"], 0.1, 7.8125).select("k", r6("time").alias("time"))

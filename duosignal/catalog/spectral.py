@@ -96,6 +96,19 @@ def welch_psd(t: Tables) -> DataFrame:
     return sp.welch(t.e, ["k"], "v", 16, list(range(2, 7))).select("k", "f", r6(F.col("power") / 1e4).alias("power"))
 
 
+_OVERLAP = f"""G as (select k, s, t - s * 8 as i, v from E, (select unnest(range(500)) as s) where t >= s * 8 and t < s * 8 + 16),
+H as (select *, v - avg(v) over o as d, count(*) over o as n from G window o as (partition by k, s)),
+D as (select k, s, f, sum(d * (0.54 - 0.46 * cos(2 * {_PI} * i / 16)) * cos(2 * {_PI} * i * f / 16)) as c, sum(d * (0.54 - 0.46 * cos(2 * {_PI} * i / 16)) * sin(2 * {_PI} * i * f / 16)) as z from H, (select unnest(range(1, 8)) as f) where n = 16 group by all),
+U as (select 2 / (32 * sum(power(0.54 - 0.46 * cos(2 * {_PI} * i / 16), 2))) as u from (select unnest(range(16)) as i))"""
+
+
+@query("welch_overlap", f"with {E}, {_OVERLAP} select k, f * 2e0 as f, {r('avg((c * c + z * z) * u)', 4)} as power from D, U group by k, f")
+def welch_overlap(t: Tables) -> DataFrame:
+    """Power density at 32 Hz from 1 to 15 Hz, over segments that share half of their samples."""
+    found = sp.welch_psd(t.e, ["k"], "v", 32.0, 16, 8, 1.0, 15.0)
+    return found.select("k", "f", (F.round("power", 4) + 0.0).alias("power"))
+
+
 @query("psd_corr", f"with {E}, P as (select k, t, v, lag(v, 1, 0.0) over (partition by k order by t) as p from E), "
        + ", ".join(f"D{n} as (select k, t // 16 as frame, f, sum({n} * (0.5 - 0.5 * cos(2 * {_PI} * (t % 16) / 16)) * cos(2 * {_PI} * (t % 16) * f / 16)) as c, sum({n} * (0.5 - 0.5 * cos(2 * {_PI} * (t % 16) / 16)) * sin(2 * {_PI} * (t % 16) * f / 16)) as s from P, (select unnest(range(1, 9)) as f) group by all having count(*) = 16), W{n} as (select k, f, avg(c * c + s * s) as w from D{n} group by k, f)" for n in "vp")
        + f" select a.k, {r('corr(a.w, b.w)')} as r from Wv a join Wp b on a.k = b.k and a.f = b.f group by a.k")

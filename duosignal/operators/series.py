@@ -171,15 +171,15 @@ def find_peaks(df: DataFrame, keys: list[str], x: str, share: float, t: str = "t
     return runs.where(peak).drop("_a", "_before", "_left", "_right", "_top")
 
 
-def autocorrelation(df: DataFrame, keys: list[str], x: str, most: int, t: str = "t") -> DataFrame:
-    """(keys, lag, r): Pearson's r of each series with itself at lags 1 to ``most`` or half its length, and 1 at lag 0.
+def autocorrelation(df: DataFrame, keys: list[str], x: str, most: int | None = None, t: str = "t") -> DataFrame:
+    """(keys, lag, r): Pearson's r of each series with itself at lags 1 to half its length (or ``most``), and 1 at lag 0.
 
     Each series is taken as an array; r is null where a part has no spread.
     """
 
     def lags(x: np.ndarray) -> list[np.ndarray]:
         n = x.shape[1]
-        out = np.ones((len(x), min(most, n // 2) + 1))
+        out = np.ones((len(x), min(n if most is None else most, n // 2) + 1))
         for k in range(1, out.shape[1]):
             a, b = (v - v.mean(axis=1, keepdims=True) for v in (x[:, : n - k], x[:, k:]))
             size = np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))

@@ -229,6 +229,34 @@ def band_levels(power: DataFrame, keys: list[str], bands: Column, floor_db: floa
     return sums.join(top, keys).select(*keys, "frame", "band", F.greatest(level, F.lit(-floor_db)).alias("db"))
 
 
+def welch_psd(df: DataFrame, keys: list[str], x: str, rate: float, segment: int = 256, overlap: int = 0, low: float = 0.0, high: float | None = None, detrend: bool = True, t: str = "t") -> DataFrame:
+    """(keys, f, power): power density by hertz, the mean over whole segments that share ``overlap`` samples.
+
+    Segments are made free of their mean (``detrend``), weighed by a periodic Hamming window and
+    transformed as arrays, so a series of any length is in as many groups as it has segments; a sample
+    is sent to the segments that it is in. Frequencies from ``low`` to ``high`` Hz. A null sample
+    counts as 0. A series shorter than a segment has no row.
+    """
+    step = segment - overlap
+    window = 0.54 - 0.46 * np.cos(2 * math.pi * np.arange(segment) / segment)
+    f = np.arange(segment // 2 + 1) * rate / segment
+    own = np.flatnonzero((f >= low) & (f <= (f[-1] if high is None else high)))
+    double = np.where((f == 0) | (f == rate / 2), 1.0, 2.0) / (rate * (window**2).sum())
+
+    def density(x: np.ndarray) -> list[np.ndarray]:
+        x = np.nan_to_num(x)
+        if detrend:
+            x = x - x.mean(axis=1, keepdims=True)
+        return [(np.abs(np.fft.rfft(x * window)) ** 2 * double)[:, own]]
+
+    first = F.greatest(F.lit(0), F.floor((F.col(t) - segment) / step) + 1)
+    rows = df.select(*keys, F.col(t).alias("t"), F.col(x).cast("double").alias("x"), F.explode(F.sequence(first, F.floor(F.col(t) / step))).alias("_segment"))
+    whole = as_arrays(rows, [*keys, "_segment"], ["x"]).where(F.size("x") == segment)
+    each = map_arrays(whole, [*keys, "_segment"], ["x"], ["power"], density).select(*keys, F.posexplode("power").alias("_i", "power"))
+    mean = each.groupBy(*keys, "_i").agg(F.avg("power").alias("power"))
+    return mean.select(*keys, F.get(F.array(*[F.lit(float(f[i])) for i in own]), F.col("_i")).alias("f"), "power")
+
+
 def welch(df: DataFrame, keys: list[str], x: str, segment: int, frequencies: list[int], t: str = "t") -> DataFrame:
     """(keys, f, power): mean power over the segments of each series."""
     return frame_power(df, keys, x, segment, frequencies, t=t).groupBy(*keys, "f").agg(F.avg("power").alias("power"))
