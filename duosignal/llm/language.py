@@ -29,6 +29,7 @@ _SPREAD, _SHIFT = np.uint64(0xBF58476D1CE4E5B9), np.uint64(64 - 17)
 _TABLE = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, 256, dtype=np.uint64)
 
 
+_GAP = re.compile("[ \t\n\r]")
 _UNSPACED = re.compile(rb"[\x80-\xff]{49,}")
 
 
@@ -72,7 +73,7 @@ def word_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.n
         lengths = np.diff(np.append(start, len(a) - 1))
         place = np.arange(len(a)) - np.repeat(np.append(start, len(a) - 1), np.append(lengths, 1))
         powers = np.cumprod(np.full(int(lengths.max(initial=0)) + 2, 0xD6E8FEB86659FD93, np.uint64))
-        whole = np.add.reduceat(_TABLE[a] * powers[place], start) if len(start) else np.empty(0, np.uint64)
+        whole = np.add.reduceat((_TABLE[a] * powers[place])[:-1], start) if len(start) else np.empty(0, np.uint64)
     return counts, start, found, ((mix(whole) * _SPREAD) >> _SHIFT).astype(np.int32)
 
 
@@ -94,11 +95,12 @@ class Model:
             out += np.add.reduceat(np.take(self.weights, numbers[:-1], axis=0), start, axis=0)
         return out
 
-    def posteriors(self, scores: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def posteriors(self, scores: np.ndarray, counts: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> np.ndarray:
         """Of each word's labels, exactly, for texts of ``counts`` words one after the other.
 
         Texts are cut into segments; the product of a segment's steps carries what is before and
-        after it, so all segments are gone through side by side.
+        after it, so all segments are gone through side by side. ``before`` and ``after`` are what a
+        piece of a text has from the words around it.
         """
         n, k = scores.shape
         parts = -(-counts // SEGMENT)
@@ -113,7 +115,7 @@ class Model:
         real[column, row] = True
         step = np.exp(self.step - self.step.max())
         opens = np.zeros(total, bool)  # no step leads to a text's first word
-        opens[first[parts > 0]] = True
+        opens[first[parts > 0]] = before is None
         product = np.broadcast_to(np.eye(k), (total, k, k)).copy()
         for t in range(SEGMENT):
             new = (product.reshape(-1, k) @ step).reshape(total, k, k) if t else np.where(opens[:, None, None], product, product @ step)
@@ -121,6 +123,10 @@ class Model:
             new /= new.max(axis=(1, 2), keepdims=True)
             product = np.where(real[t][:, None, None], new, product)
         ahead, behind = np.ones((total, k)), np.ones((total, k))
+        if before is not None:
+            ahead[0] = before
+        if after is not None:
+            behind[-1] = after
         for i in range(1, int(parts.max(initial=0))):
             own = first[parts > i] + i
             x = np.einsum("nk,nkj->nj", ahead[own - 1], product[own - 1])
@@ -144,6 +150,20 @@ class Model:
         return out / out.sum(axis=1, keepdims=True)
 
 
+    def carried(self, scores: np.ndarray, opens: bool) -> np.ndarray:
+        """The product of the steps and scores of a piece's words, which carries what is before it to its end."""
+        k = scores.shape[1]
+        step, psi = np.exp(self.step - self.step.max()), np.exp(scores - scores.max(axis=1, keepdims=True))
+        own = step[None] * psi[:, None, :]  # the step into a word and its score
+        if opens:
+            own[0] = np.diag(psi[0])
+        while len(own) > 1:  # neighbours are joined, so the order stays
+            odd = own[-1:] if len(own) % 2 else own[:0]
+            own = np.concatenate([own[: len(own) // 2 * 2 : 2] @ own[1::2], odd])
+            own = own / own.max(axis=(1, 2), keepdims=True)
+        return own[0] if len(own) else np.eye(k)
+
+
 def _pairs(model: Model, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Posteriors (n, t, k) of words and summed ones (k, k) of steps, for sequences of one length."""
     n, length, k = scores.shape
@@ -229,21 +249,70 @@ def label_words(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]
     return counts, model.posteriors(model.scores(start, found, whole), counts)
 
 
-def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
-    """The language and its share of all words' posteriors; "und" where no letter is."""
+def cut_text(text: str, size: int) -> list[str]:
+    """A text in pieces of about ``size`` characters that end at white space; a word of over 65,536 may be cut."""
+    out, at = [], 0
+    while at < len(text):
+        far = min(at + size + (1 << 16), len(text))
+        gap = _GAP.search(text, at + size, far)
+        end = gap.start() if gap else far
+        out.append(text[at:end])
+        at = end
+    return out
+
+
+def language_mass(model: Model, text: str, size: int) -> tuple[int, np.ndarray]:
+    """Words of a long text and the sums of their posteriors, held a piece at a time.
+
+    The pieces' products are followed from both ends first, then each piece is gone through with
+    what comes from the words before and after it, so posteriors are those of the whole text.
+    """
+    k, pieces, products, opened = len(model.languages), cut_text(text, size), [], False
+
+    def scored(piece: str) -> np.ndarray:
+        _, start, found, whole = word_features([normal(piece)])
+        return model.scores(start, found, whole) if len(start) else np.empty((0, k))
+
+    for piece in pieces:
+        scores = scored(piece)
+        products.append(model.carried(scores, not opened) if len(scores) else np.eye(k))
+        opened = opened or len(scores) > 0
+    after = [np.ones(k)]
+    for product in reversed(products[1:]):
+        x = product @ after[-1]
+        after.append(x / x.max())
+    before, words, mass, opened = np.ones(k), 0, np.zeros(k), False
+    for piece, product in zip(pieces, products, strict=True):
+        scores, behind = scored(piece), after.pop()
+        if len(scores):
+            mass += model.posteriors(scores, np.array([len(scores)]), before if opened else None, behind).sum(axis=0)
+            words, opened = words + len(scores), True
+        before = before @ product
+        before = before / before.max()
+    return words, mass
+
+
+def predict(model: Model, texts: list[str | None], long: int = 1 << 20) -> list[tuple[str, float]]:
+    """The language and its share of all words' posteriors; "und" where no letter is.
+
+    Texts of over ``long`` characters are gone through in pieces.
+    """
     out: list[tuple[str, float]] = []
     for i, j in batches([(t or "").encode() for t in texts], 1 << 19):
         own = [t or "" for t in texts[i:j]]
         if not model.languages:
             out += [("und", 0.0)] * len(own)
             continue
-        counts, words = label_words(model, own)
+        counts, words = label_words(model, [t if len(t) <= long else "" for t in own])
         begin = np.cumsum(counts) - counts
         for t, b, c in zip(own, begin, counts, strict=True):
+            mass = words[b : b + c].sum(axis=0)
+            if len(t) > long:
+                c, mass = language_mass(model, t, long // 2)
             if not c or not (t.isalpha() or any(map(str.isalpha, t))):
                 out.append(("und", 0.0))
             else:
-                mass = words[b : b + c].mean(axis=0)
+                mass = mass / c
                 best = int(np.argmax(mass))
                 out.append((model.languages[best], min(1.0, float(mass[best]))))
     return out
@@ -252,23 +321,28 @@ def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
 def labelled_sample(docs: DataFrame, rows: int, most: int) -> DataFrame:
     """(text, lang) of at most ``rows`` rows for each language, in the order of a hash of doc_id.
 
-    Of a text longer than ``most`` characters that many are taken, from its start.
+    Of a text longer than ``most`` characters that many are taken, from a place that a hash of its
+    doc_id says.
     """
     own = docs.select("doc_id", "lang", "text").where("lang is not null and text is not null")
     ids = first_by_hash(own.select("doc_id", "lang"), "lang", rows).distinct().select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
-    return own.join(F.broadcast(ids), own.doc_id.eqNullSafe(F.col("_id")) & (own.lang == F.col("_lang"))).select(F.substring("text", 1, most).alias("text"), "lang")
+    place = (F.pmod(F.xxhash64("doc_id", F.lit("piece")), F.greatest(F.char_length("text") - most, F.lit(0)) + 1) + 1).cast("int")
+    return own.join(F.broadcast(ids), own.doc_id.eqNullSafe(F.col("_id")) & (own.lang == F.col("_lang"))).select(F.substring("text", place, F.lit(most)).alias("text"), "lang")
 
 
-def identify_languages(docs: DataFrame, learn_from: DataFrame, rows: int = 200, most: int = 20_000) -> DataFrame:
+def identify_languages(docs: DataFrame, learn_from: DataFrame, rows: int = 200, most: int = 20_000, total: int = 16_000_000) -> DataFrame:
     """(doc_id, lang_pred, score) for each row of ``docs`` (doc_id, text).
 
-    Learned from the first ``most`` characters of at most ``rows`` rows of ``learn_from`` for each
-    language, which bounds what the driver fits on; the model is some megabytes whatever the corpus.
+    Learned from ``most`` characters each of at most ``rows`` rows of ``learn_from`` for each language,
+    fewer if they would be over ``total`` for all languages, which bounds what the driver fits on; the
+    model is some megabytes whatever the corpus.
     "und" with score 0 where text is null or has no letter, or where no language is to be learned.
     Of languages with even scores the first by name is taken. Repeated rows: one result each. No
     rows: no rows. Further columns are ignored. Whole texts are labelled.
     """
     small_batches(docs.sparkSession)
+    languages = learn_from.where("lang is not null").select("lang").distinct().count()
+    most = max(200, min(most, total // max(1, rows * languages)))
     sample = sorted((r.lang, r.text) for r in labelled_sample(learn_from, rows, most).collect())  # bounded by ``rows`` and ``most``
     model = docs.sparkSession.sparkContext.broadcast(fit([t for _, t in sample], [x for x, _ in sample]))
 
