@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from duosignal.operators.nulls import shuffle_key_sql, shuffle_keys
 
@@ -17,7 +18,7 @@ def permutation_p(true: DataFrame, null: DataFrame, keys: list[str], score: str,
     """(keys, p): the rank of the true score among the iterations there are, (count + 1) / (n + 1).
 
     Counts null scores above the true one; with ``less``, of a second score, those below, as p_less.
-    Without a null p is null.
+    Without a null p is null. Null scores may be arrays of iterations, which are counted where they are.
     """
     scores = [score] if less is None else [score, less]
     own = true.select(*keys, *[F.col(c).alias(f"_true_{c}") for c in scores])
@@ -27,6 +28,15 @@ def permutation_p(true: DataFrame, null: DataFrame, keys: list[str], score: str,
         n = F.count(f"_null_{c}")
         return F.when(n > 0, (F.count_if(beyond) + 1) / (n + 1))
 
+    if isinstance(null.schema[score].dataType, ArrayType):
+
+        def rank(c: str, beyond: Callable[[Column, Column], Column]) -> Column:
+            n = F.sum(F.coalesce(F.array_size(F.array_compact(f"_null_{c}")), F.lit(0)))
+            above = F.sum(F.array_size(F.filter(f"_null_{c}", lambda v: beyond(v, F.col(f"_true_{c}")))))
+            return F.when(n > 0, (above + 1) / (n + 1))
+
+        out = [rank(score, lambda v, true: v > true).alias("p"), *([] if less is None else [rank(less, lambda v, true: v < true).alias("p_less")])]
+        return both.groupBy(*keys).agg(*out)
     out = [rank(score, F.col(f"_null_{score}") > F.col(f"_true_{score}")).alias("p")]
     if less is not None:
         out.append(rank(less, F.col(f"_null_{less}") < F.col(f"_true_{less}")).alias("p_less"))
