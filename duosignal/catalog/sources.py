@@ -23,8 +23,8 @@ def trial_catalog(t: Tables) -> DataFrame:
 @query("scan_intervals", f'with {C} select k, start_s as start, end_s as "end", \'turn \' || turn as text from C')
 def scan_intervals(t: Tables) -> DataFrame:
     path = f"{ws.work_folder(t.spark)}/phrases-{uuid.uuid4().hex}"
-    t.c.select("k", "start_s", "end_s", F.format_string("turn %d", "turn")).write.partitionBy("k").option("sep", "\t").csv(path)
-    return ws.scan_intervals(t.spark, path).select(F.col("k").cast("long").alias("k"), "start", "end", "text")
+    t.c.select("k", "start_s", "end_s", F.format_string("turn %d", "turn")).write.option("sep", "\t").csv(path)  # not a folder for each series
+    return ws.scan_intervals(t.spark, path, "k long")
 
 
 @query("scan_pitch", f"with {E} select k, t, case when label = 'view' then 0.0 else v end as pitch, case when label <> 'view' then v end as known from E")

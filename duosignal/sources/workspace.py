@@ -26,9 +26,9 @@ def work_folder(spark: SparkSession) -> str:
     return _own
 
 
-def scan_intervals(spark: SparkSession, path: str) -> DataFrame:
-    """Headerless tab-separated phrases: start, end and text."""
-    return spark.read.schema("start double, end double, text string").option("sep", "\t").csv(path)
+def scan_intervals(spark: SparkSession, path: str, keys: str = "") -> DataFrame:
+    """Headerless tab-separated phrases: start, end and text, behind the columns ``keys`` ("k long") if files hold several series."""
+    return spark.read.schema(", ".join([*([keys] if keys else []), "start double, end double, text string"])).option("sep", "\t").csv(path)
 
 
 def defined(text: str | Column, fill: float | None = 0.0, undefined: str = "--undefined--") -> Column:
