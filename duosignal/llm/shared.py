@@ -2,38 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from duosignal.sources.workspace import work_folder
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again, which cuts its lineage.
-
-    The shuffle files behind it are no longer needed then; Spark drops them when the driver's JVM
-    collects its garbage, which is asked for here so that they don't pile up over the steps.
-    """
-    spark = df.sparkSession
-    path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(*dfs: DataFrame) -> None:
-    """Deletes the files of tables of ``stored`` that nothing reads any more; others are left alone."""
-    for df in dfs:
-        spark = df.sparkSession
-        own = work_folder(spark).rsplit("/", 1)[-1]
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if folder.split("/")[-2] == own:
-                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+from duosignal.sources.workspace import discard, stored, work_folder  # noqa: F401
 
 
 def free_names(df: DataFrame, *wanted: str) -> list[str]:

@@ -3,7 +3,7 @@
 A finite filter needs the samples that its taps reach, so blocks overlap by them. A recursive one
 needs its state: a block changes the state by a linear map and adds what its own samples leave, so
 each block is filtered from zero first, the maps are followed block by block (a few numbers each),
-and the blocks run again from their true states.
+and the blocks run again from their true states. Blocks of about one length take a step together.
 
 A null sample counts as 0 for its neighbours and gives null itself.
 """
@@ -12,16 +12,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from duosignal.operators.spectral import band, butterworth, recursive
-
-_ROWS = "_block long, t long, x double, start array<double>"
+from duosignal.sources.workspace import discard, stored
 
 
 def transition(low: float | None, high: float | None, rate: float) -> float:
@@ -66,29 +65,34 @@ def _schema(df: DataFrame, keys: list[str]) -> str:
     return "".join(f"{f.name} {f.dataType.simpleString()}, " for f in df.select(*keys).schema)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, np.ndarray, np.ndarray, np.ndarray | None]]:
-    """(key and block, t, x, state to start from) of consecutive rows; nulls of x are NaN."""
-    at, t, x, start = None, [], [], None
+def _cuts(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
+    """Where runs of equal values of the columns start, and the number of rows."""
+    codes = np.stack([batch.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy() for c in columns])
+    return np.array([0, *(np.flatnonzero((codes[:, 1:] != codes[:, :-1]).any(axis=0)) + 1), batch.num_rows])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows of whole blocks, many or one, with where each starts and the number of rows."""
+    held = None
     for batch in batches:
-        for *key, when, value, state in zip(*[batch.column(c).to_pylist() for c in [*keys, "_block", "t", "x", "start"]], strict=True):
-            if tuple(key) != at:
-                if at is not None:
-                    yield at, np.array(t, np.int64), np.array(x, float), start
-                at, t, x, start = tuple(key), [], [], None
-            if when is None:
-                start = np.array(state, float)
-            else:
-                t.append(when)
-                x.append(np.nan if value is None else value)
-    if at is not None:
-        yield at, np.array(t, np.int64), np.array(x, float), start
-
-
-def _samples(rows: Iterator[tuple[tuple, np.ndarray, np.ndarray]], kinds: pa.Schema, name: str) -> Iterator[pa.RecordBatch]:
-    """(keys, t, name) from arrays of blocks; NaN becomes null."""
-    for key, t, y in rows:
-        if len(t):  # not neighbours' samples alone
-            yield pa.RecordBatch.from_arrays([*[pa.array([k] * len(t), f.type) for k, f in zip(key, kinds, strict=True)], pa.array(t), pa.array(y, pa.float64(), from_pandas=True)], names=[*kinds.names, "t", name])
+        if not batch.num_rows:
+            continue
+        held = pa.concat_batches([held, batch]) if held else batch
+        cuts = _cuts(held, [*keys, "_block"])
+        if len(cuts) > 2:
+            yield held.slice(0, cuts[-2]), cuts[:-1]
+            held = held.slice(cuts[-2])
+    if held:
+        yield held, np.array([0, held.num_rows])
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    """A column of numbers, null as NaN."""
+    return column.cast(pa.float64()).to_numpy(zero_copy_only=False)
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(values.ravel(), pa.float64()))
 
 
 def _dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -104,28 +108,51 @@ def fir_blocks(df: DataFrame, keys: list[str], x: str, taps: list[float] | np.nd
     taps = np.asarray(taps, float)
     ahead = 0 if causal else len(taps) // 2
     back = len(taps) - 1 - ahead
-    size, kinds = max(size, back, ahead, 1), to_arrow_schema(df.select(*keys).schema)
+    size = max(size, back, ahead, 1)
     block = F.floor(F.col("t") / size).cast("long")
     near = F.array_compact(F.array(block, F.when(F.col("t") >= (block + 1) * size - back, block + 1), F.when((F.col("t") < block * size + ahead) & (block > 0), block - 1)))
-    rows = df.select(*keys, F.col(t).cast("long").alias("t"), F.col(x).cast("double").alias("x")).withColumn("_block", F.explode(near)).withColumn("start", F.lit(None).cast("array<double>"))
+    rows = df.select(*keys, F.col(t).cast("long").alias("t"), F.col(x).cast("double").alias("x")).withColumn("_block", F.explode(near))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made() -> Iterator[tuple]:
-            for (*key, number), when, values, _ in _blocks(batches, keys):
+        for part, cuts in _blocks(batches, keys):
+            when, values = part.column("t").to_numpy(), _numbers(part.column("x"))
+            numbers = part.column("_block").to_numpy()
+            own, y = when // size == numbers, np.empty(len(when))
+            for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+                at = when[first:last] - (numbers[first] * size - back)
                 wide = np.zeros(back + size + ahead)
-                wide[when - (number * size - back)] = np.nan_to_num(values)
+                wide[at] = np.nan_to_num(values[first:last])
                 n = len(wide) + len(taps) - 1
                 out = np.fft.irfft(np.fft.rfft(wide, n) * np.fft.rfft(taps, n), n) if len(taps) > 64 else np.convolve(wide, taps)
-                own = when // size == number
-                at = when[own]
-                y = out[at - (number * size - back) + ahead]
-                yield key, at, np.where(np.isnan(values[own]), np.nan, y)
-
-        yield from _samples(made(), kinds, name)
+                y[first:last] = out[at + ahead]
+            kept = part.filter(pa.array(own))  # not neighbours' samples
+            y = np.where(np.isnan(values), np.nan, y)[own]
+            yield pa.RecordBatch.from_arrays([*[kept.column(k) for k in keys], kept.column("t"), pa.array(y, pa.float64(), from_pandas=True)], names=[*keys, "t", name])
 
     return _dealt(rows, keys).mapInArrow(run, f"{_schema(df, keys)}t long, {name} double")
 
 
+def _through(b: np.ndarray, a: np.ndarray, x: np.ndarray, cuts: np.ndarray, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """What the filter gives of each block of x from its state (0 without), and the states they end in."""
+    many, n = np.diff(cuts), len(a)
+    y, end = np.empty(len(x)), np.zeros((len(many), n - 1))
+    kinds = np.ceil(np.log2(np.maximum(many, 1)))
+    for kind in np.unique(kinds):  # at most half of the matrix is past the blocks' ends
+        own = np.flatnonzero(kinds == kind)
+        at = np.arange(many[own].max() + n - 1)
+        inside = at < many[own, None]
+        from_x = (cuts[own, None] + at)[inside]
+        wide = np.zeros(inside.shape)
+        wide[inside] = x[from_x]
+        out = recursive(b, a, wide, None if state is None else state[own].T)
+        y[from_x] = out[inside]
+        # The state is what the filter would give next, without input, by the direct form's recursion.
+        tail = out[np.arange(len(own))[:, None], many[own, None] + np.arange(n - 1)]
+        for i in range(n - 1):
+            end[own, i] = tail[:, i] + sum(a[j] * tail[:, i - j] for j in range(1, i + 1))
+    return y, end
+
+
 def _companion(a: np.ndarray) -> np.ndarray:
     """How the state goes on without input."""
     step = np.eye(len(a) - 1, k=1)
@@ -133,80 +160,106 @@ def _companion(a: np.ndarray) -> np.ndarray:
     return step
 
 
-def recursive_blocks(df: DataFrame, keys: list[str], b: np.ndarray, a: np.ndarray, x: str, name: str = "y", t: str = "t", first: np.ndarray | None = None, size: int = 1 << 16) -> DataFrame:
-    """(keys, t, name): each series through the causal filter (b, a), by blocks of ``size`` samples.
+def _samples(df: DataFrame, keys: list[str], x: str, t: str) -> DataFrame:
+    """(keys, t, x, gone): a missing sample is 0."""
+    gone = F.col(x).isNull() | F.isnan(F.col(x).cast("double"))
+    return df.select(*keys, F.col(t).cast("long").alias("t"), F.when(gone, 0.0).otherwise(F.col(x).cast("double")).alias("x"), gone.alias("gone"))
 
-    ``first`` times the first sample is the state that a series starts in (0 without). t counts from 0
-    without gaps. What is gathered for a series is its blocks' states, len(a) - 1 numbers each.
+
+def _recursive(rows: DataFrame, keys: list[str], b: np.ndarray, a: np.ndarray, first: np.ndarray | None, size: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (keys, t, x, gone) with x filtered, and the table that they are read from.
+
+    Samples are read twice, for the states and for the run, so they are written to the shared folder once.
     """
-    n = max(len(a), len(b))
-    b, a = np.pad(np.asarray(b, float), (0, n - len(b))) / a[0], np.pad(np.asarray(a, float), (0, n - len(a))) / a[0]
+    n = len(a)
     step = _companion(a)
-    rows = df.select(*keys, F.col(t).cast("long").alias("t"), F.col(x).cast("double").alias("x")).withColumn("_block", F.floor(F.col("t") / size).cast("long"))
-    rows = rows.withColumn("start", F.lit(None).cast("array<double>")).select(*keys, "_block", "t", "x", "start")
-    spec, kinds = _schema(df, keys), to_arrow_schema(df.select(*keys).schema)
-
-    def through(values: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """What the filter gives from a state, and the state it ends in."""
-        padded = np.concatenate([values, np.zeros(n - 1)])
-        y = recursive(b, a, padded[None, :], state[:, None])[0]
-        # The state is what the filter would give next, without input, by the direct form's recursion.
-        end, tail = np.zeros(n - 1), y[len(values) :]
-        for i in range(n - 1):
-            end[i] = tail[i] + sum(a[j] * tail[i - j] for j in range(1, i + 1))
-        return y[: len(values)], end
+    table = stored(rows.withColumn("_block", F.floor(F.col("t") / size).cast("long")), "blocks")
+    spec = _schema(rows, keys)
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [(*key, len(when), float(np.nan_to_num(values[0])), through(np.nan_to_num(values), np.zeros(n - 1))[1].tolist()) for key, when, values, _ in _blocks(batches, keys)]
-        if found:
-            *own, block, many, value, end = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, f.type) for c, f in zip(own, kinds, strict=True)], pa.array(block), pa.array(many), pa.array(value), pa.array(end)], names=[*keys, "_block", "n", "value", "end"])
-
-    def follow(table: pa.Table) -> pa.Table:
-        table = table.sort_by("_block")
-        state, starts = np.zeros(n - 1), []
-        for i, (many, value, end) in enumerate(zip(table.column("n").to_pylist(), table.column("value").to_pylist(), table.column("end").to_pylist(), strict=True)):
-            if i == 0 and first is not None:
-                state = first * value
-            starts.append(state.tolist())
-            state = np.linalg.matrix_power(step, many) @ state + np.array(end)
-        nothing = pa.nulls(len(table), pa.int64())
-        return pa.Table.from_arrays([*[table.column(k) for k in keys], table.column("_block"), nothing, nothing.cast(pa.float64()), pa.array(starts, pa.list_(pa.float64()))], names=[*keys, "_block", "t", "x", "start"])
+        for part, cuts in _blocks(batches, keys):
+            x = part.column("x").to_numpy()
+            own = pa.array(cuts[:-1])
+            yield pa.RecordBatch.from_arrays([*[part.column(k).take(own) for k in [*keys, "_block"]], pa.array(np.diff(cuts)), pa.array(x[cuts[:-1]]), _lists(_through(b, a, x, cuts)[1])], names=[*keys, "_block", "n", "value", "end"])
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        power = cache(lambda many: np.linalg.matrix_power(step, many))
+        at, state = None, np.zeros(n - 1)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cuts = _cuts(batch, keys)
+            series, length = cuts[:-1], np.diff(cuts)
+            many, end = batch.column("n").to_numpy(), batch.column("end").flatten().to_numpy().reshape(-1, n - 1)
+            kinds, kind = np.unique(many, return_inverse=True)
+            after = np.stack([power(int(k)) for k in kinds])
+            starts = np.zeros((batch.num_rows, n - 1))
+            if first is not None:
+                starts[series] = np.multiply.outer(batch.column("value").to_numpy()[series], first)
+            if tuple(batch.column(k)[0].as_py() for k in keys) == at:
+                starts[0] = state
+            for i in range(1, length.max()):  # the i-th blocks of all series together
+                now = series[length > i] + i
+                starts[now] = np.einsum("kij,kj->ki", after[kind[now - 1]], starts[now - 1]) + end[now - 1]
+            at, state = tuple(batch.column(k)[batch.num_rows - 1].as_py() for k in keys), after[kind[-1]] @ starts[-1] + end[-1]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in [*keys, "_block"]], _lists(starts)], names=[*keys, "_block", "start"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made() -> Iterator[tuple]:
-            for (*key, _), when, values, state in _blocks(batches, keys):
-                y, _ = through(np.nan_to_num(values), state)
-                yield key, when, np.where(np.isnan(values), np.nan, y)
+        for part, cuts in _blocks(batches, keys):
+            sample = part.column("t").is_valid()
+            inside = sample.to_numpy(zero_copy_only=False)
+            own = part.filter(sample)
+            places = np.concatenate([[0], np.cumsum(inside)])[cuts]  # of blocks, a row with a state before each
+            y, _ = _through(b, a, own.column("x").to_numpy(), places, part.column("start").flatten().to_numpy().reshape(-1, n - 1))
+            yield pa.RecordBatch.from_arrays([*[own.column(k) for k in [*keys, "t"]], pa.array(y), own.column("gone")], names=[*keys, "t", "x", "gone"])
+
+    found = _dealt(table, keys).select(*keys, "_block", "x").mapInArrow(ends, f"{spec}_block long, n long, value double, end array<double>")
+    starts = found.repartition(*keys).sortWithinPartitions(*keys, "_block").mapInArrow(follow, f"{spec}_block long, start array<double>")
+    return _dealt(table.unionByName(starts, allowMissingColumns=True), keys).mapInArrow(run, f"{spec}t long, x double, gone boolean"), table
+
+
+def _padded(b: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients of one length, the first of a being 1."""
+    n = max(len(a), len(b))
+    return np.pad(np.asarray(b, float), (0, n - len(b))) / a[0], np.pad(np.asarray(a, float), (0, n - len(a))) / a[0]
+
 
-        yield from _samples(made(), kinds, name)
+def recursive_blocks(df: DataFrame, keys: list[str], b: np.ndarray, a: np.ndarray, x: str, name: str = "y", t: str = "t", first: np.ndarray | None = None, size: int = 1 << 16) -> DataFrame:
+    """(keys, t, name): each series through the causal filter (b, a), by blocks of ``size`` samples.
 
-    found = _dealt(rows, keys).mapInArrow(ends, f"{spec}_block long, n long, value double, end array<double>")
-    starts = found.groupBy(*keys).applyInArrow(follow, f"{spec}{_ROWS}")
-    return _dealt(rows.union(starts), keys).mapInArrow(run, f"{spec}t long, {name} double")
+    ``first`` times the first sample is the state that a series starts in (0 without). t counts from 0
+    without gaps. What is gathered for a series is its blocks' states, len(a) - 1 numbers each.
+    """
+    out, _ = _recursive(_samples(df, keys, x, t), keys, *_padded(b, a), first, size)
+    return out.select(*keys, "t", F.when(~F.col("gone"), F.col("x")).alias(name))
 
 
 def both_ways_blocks(df: DataFrame, keys: list[str], b: np.ndarray, a: np.ndarray, x: str, name: str = "y", t: str = "t", size: int = 1 << 16) -> DataFrame:
     """(keys, t, name): the filter forward and backward by blocks, as ``spectral.both_ways`` does for whole series.
 
-    Series go on at both ends by their odd mirror image and start in the state of a constant.
+    Series go on at both ends by their odd mirror image and start in the state of a constant. Their
+    lengths are joined once and go with the keys from then on.
     """
-    n = max(len(a), len(b))
-    b, a = np.pad(np.asarray(b, float), (0, n - len(b))) / a[0], np.pad(np.asarray(a, float), (0, n - len(a))) / a[0]
-    first = np.linalg.solve(np.eye(n - 1) - _companion(a), b[1:] - a[1:] * b[0])
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min_by(x, t).alias("_a"), F.max_by(x, t).alias("_e"))
-    sizes = sizes.withColumn("_edge", F.least(F.lit(3 * n), F.col("_n") - 1))
-    rows = df.select(*keys, F.col(t).cast("long").alias("t"), F.col(x).cast("double").alias("x"))
-    near = rows.where(F.col("t") <= 3 * n).join(sizes, keys)
-    before = near.where((F.col("t") > 0) & (F.col("t") <= F.col("_edge"))).select(*keys, (-F.col("t")).alias("t"), (2 * F.coalesce("_a", F.lit(0.0)) - F.coalesce("x", F.lit(0.0))).alias("x"))
-    far = rows.join(sizes, keys).where((F.col("t") < F.col("_n") - 1) & (F.col("t") >= F.col("_n") - 1 - F.col("_edge")))
-    after = far.select(*keys, (2 * (F.col("_n") - 1) - F.col("t")).alias("t"), (2 * F.coalesce("_e", F.lit(0.0)) - F.coalesce("x", F.lit(0.0))).alias("x"))
-    wide = rows.union(before).union(after).join(sizes.select(*keys, "_n", "_edge"), keys).select(*keys, (F.col("t") + F.col("_edge")).alias("t"), F.coalesce("x", F.lit(0.0)).alias("x"))
-    once = recursive_blocks(wide, keys, b, a, "x", "x", first=first, size=size)
-    turned = once.join(sizes.select(*keys, "_n", "_edge"), keys).select(*keys, (F.col("_n") + 2 * F.col("_edge") - 1 - F.col("t")).alias("t"), "x")
-    twice = recursive_blocks(turned, keys, b, a, "x", "x", first=first, size=size).join(sizes.select(*keys, "_n", "_edge"), keys)
-    back = twice.select(*keys, (F.col("_n") + F.col("_edge") - 1 - F.col("t")).alias("t"), F.col("x").alias("_y"), "_n").where((F.col("t") >= 0) & (F.col("t") < F.col("_n"))).drop("_n")
-    return back.join(rows, [*keys, "t"]).select(*keys, "t", F.when(F.col("x").isNotNull(), F.col("_y")).alias(name))
+    b, a = _padded(b, a)
+    first = np.linalg.solve(np.eye(len(a) - 1) - _companion(a), b[1:] - a[1:] * b[0])
+    rows = _samples(df, keys, x, t)
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min_by("x", "t").alias("_a"), F.max_by("x", "t").alias("_e"))
+    edge, last = F.least(F.lit(3 * len(a)), F.col("_n") - 1), F.col("_n") - 1
+    here = F.col("t")
+    sample = lambda at, value, gone: F.struct((at + edge).alias("t"), value.alias("x"), gone.alias("gone"))
+    each = F.array_compact(F.array(
+        sample(here, F.col("x"), F.col("gone")),
+        F.when((here > 0) & (here <= edge), sample(-here, 2 * F.col("_a") - F.col("x"), F.lit(False))),
+        F.when((here < last) & (here >= last - edge), sample(2 * last - here, 2 * F.col("_e") - F.col("x"), F.lit(False))),
+    ))
+    own = [*keys, "_n"]
+    wide = rows.join(sizes, keys).select(*own, F.explode(each).alias("_s")).select(*own, "_s.*")
+    once, kept = _recursive(wide, own, b, a, first, size)
+    turned = once.withColumn("t", F.col("_n") + 2 * edge - 1 - F.col("t"))
+    twice, _ = _recursive(turned, own, b, a, first, size)
+    discard(kept)
+    back = twice.select(*own, (F.col("_n") + edge - 1 - F.col("t")).alias("t"), F.when(~F.col("gone"), F.col("x")).alias(name))
+    return back.where((F.col("t") >= 0) & (F.col("t") < F.col("_n"))).drop("_n")
 
 
 def band_filter(df: DataFrame, keys: list[str], x: str, name: str | tuple, rate: float, causal: bool = False, t: str = "t", **blocks) -> DataFrame:
