@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from duosignal.operators.series import runs, whole_runs
 from duosignal.operators.spectral import band, butterworth, recursive
 from duosignal.sources.workspace import discard, stored
 
@@ -65,27 +66,6 @@ def _schema(df: DataFrame, keys: list[str]) -> str:
     return "".join(f"{f.name} {f.dataType.simpleString()}, " for f in df.select(*keys).schema)
 
 
-def _cuts(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
-    """Where runs of equal values of the columns start, and the number of rows."""
-    codes = np.stack([batch.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy() for c in columns])
-    return np.array([0, *(np.flatnonzero((codes[:, 1:] != codes[:, :-1]).any(axis=0)) + 1), batch.num_rows])
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """Rows of whole blocks, many or one, with where each starts and the number of rows."""
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held = pa.concat_batches([held, batch]) if held else batch
-        cuts = _cuts(held, [*keys, "_block"])
-        if len(cuts) > 2:
-            yield held.slice(0, cuts[-2]), cuts[:-1]
-            held = held.slice(cuts[-2])
-    if held:
-        yield held, np.array([0, held.num_rows])
-
-
 def _numbers(column: pa.Array) -> np.ndarray:
     """A column of numbers, null as NaN."""
     return column.cast(pa.float64()).to_numpy(zero_copy_only=False)
@@ -114,7 +94,7 @@ def fir_blocks(df: DataFrame, keys: list[str], x: str, taps: list[float] | np.nd
     rows = df.select(*keys, F.col(t).cast("long").alias("t"), F.col(x).cast("double").alias("x")).withColumn("_block", F.explode(near))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, cuts in _blocks(batches, keys):
+        for part, cuts in whole_runs(batches, [*keys, "_block"]):
             when, values = part.column("t").to_numpy(), _numbers(part.column("x"))
             numbers = part.column("_block").to_numpy()
             own, y = when // size == numbers, np.empty(len(when))
@@ -177,7 +157,7 @@ def _recursive(rows: DataFrame, keys: list[str], b: np.ndarray, a: np.ndarray, f
     spec = _schema(rows, keys)
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, cuts in _blocks(batches, keys):
+        for part, cuts in whole_runs(batches, [*keys, "_block"]):
             x = part.column("x").to_numpy()
             own = pa.array(cuts[:-1])
             yield pa.RecordBatch.from_arrays([*[part.column(k).take(own) for k in [*keys, "_block"]], pa.array(np.diff(cuts)), pa.array(x[cuts[:-1]]), _lists(_through(b, a, x, cuts)[1])], names=[*keys, "_block", "n", "value", "end"])
@@ -188,7 +168,7 @@ def _recursive(rows: DataFrame, keys: list[str], b: np.ndarray, a: np.ndarray, f
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cuts = _cuts(batch, keys)
+            cuts = runs(batch, keys)
             series, length = cuts[:-1], np.diff(cuts)
             many, end = batch.column("n").to_numpy(), batch.column("end").flatten().to_numpy().reshape(-1, n - 1)
             kinds, kind = np.unique(many, return_inverse=True)
@@ -205,7 +185,7 @@ def _recursive(rows: DataFrame, keys: list[str], b: np.ndarray, a: np.ndarray, f
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in [*keys, "_block"]], _lists(starts)], names=[*keys, "_block", "start"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, cuts in _blocks(batches, keys):
+        for part, cuts in whole_runs(batches, [*keys, "_block"]):
             sample = part.column("t").is_valid()
             inside = sample.to_numpy(zero_copy_only=False)
             own = part.filter(sample)
